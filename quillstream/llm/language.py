@@ -8,7 +8,8 @@ the text is rejected.
 
 Defined cases: a null text and a text without a letter get ``und``, score 0 and
 are rejected; equal sums go to the smaller language name and are rejected; with
-no learned language every text is ``und``; with one, the runner-up is the size
+no learned language every text is ``und``, but only those without a letter are
+rejected; with one, the runner-up is the size
 without a dictionary; repeated rows get the same answer; other columns are not
 looked at.
 """
@@ -70,8 +71,10 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (the relative margin's place between 0 and 1), rejected."""
-        if not text or not self.dictionaries or not _LETTER.search(text):
+        if not text or not _LETTER.search(text):
             return UNDETERMINED, 0.0, True
+        if not self.dictionaries:
+            return UNDETERMINED, 0.0, False
         data = letters(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         sizes = sorted((sum(len(f(p)) for p in pieces), lang) for lang, f in self._compressors() if lang is not None)

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, language, pii, token_orc
+from quillstream.llm import decontaminate, html_text, jaccard_join, language, licences, maxscore, packing, pii, token_orc, url_filter
 from quillstream.llm.common import table
 
 
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best vectors for every vector whose id is divisible by 20."""
+    vectors = maxscore.quantised(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(vectors.where("id % 20 = 0"), vectors, k=20)
+
+
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document written to ORC, digests read back from the files."""
     return token_orc.round_trip(table(spark, sf_dir, "documents"))
@@ -18,18 +25,61 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document by shingles of five words at 0.8."""
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL, by the rules and else by the listed URLs."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, url_filter.listing(pages))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document; its path is source/lang/id, so directories are sources and their languages."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt")))
+    return licences.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in sequences of the permitted lengths."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_counts(docs), rows=docs.count())
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_orc, op3_decontamination, op5_pii, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_token_orc, op3_decontamination, op4_jaccard, op5_pii, op6_url_filter, op7_html, op8_licences, op9_packing, op10_language)}
 
 #: DuckDB SQL of the queries that SQL can express.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_maxscore": """
+WITH e AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM e q JOIN e c ON c.id <> q.id WHERE q.id % 20 = 0
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op6_url_filter": url_filter.SQL,
+}
