@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import new_path, parallelism
+from quillstream.llm.common import new_path, parallelism, stored
 
 END_ID = 0
 #: Pieces of text of which a worker remembers the ids (about 200 bytes each),
@@ -183,7 +183,8 @@ def digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "file", "row", "n_tokens", "ids_crc32"])
 
     rows = read_tokens(spark, path, kind).select("doc_id", "ids", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.mapInArrow(run, f"doc_id {kind}, file string, row long, n_tokens long, ids_crc32 long")
+    # Two sums follow; written down, the digests spare a second reading of the ids.
+    rows = stored(rows.mapInArrow(run, f"doc_id {kind}, file string, row long, n_tokens long, ids_crc32 long"), "digests")
     # Spark names part files by the partition that wrote them, so names have the ranges' order.
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
     before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
