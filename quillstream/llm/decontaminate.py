@@ -33,6 +33,7 @@ WINDOW = 10
 #: not in a bit table.
 PAIR_TABLE_WORDS = 6_000
 
+_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -277,8 +278,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the words of the spans; what stood between them stays apart."""
-    # The word rule is the same on characters as on bytes.
-    ends = [m.span() for m in _WORD.finditer(text)]
+    # The word rule is the same on characters as on bytes, after lower-casing.
+    ends = [m.span() for m in _WORD.finditer(text.translate(_LOWER))]
     out, at = [], 0
     for a, b in spans:
         out.append(text[at : ends[a][0]])

@@ -51,7 +51,7 @@ THRESHOLD = 0.6
 #: Lines that follow a cue's line in its passage.
 LINES = 8
 #: A document whose licence passages hold this share of its words is a licence file.
-FILE_SHARE = 0.5
+FILE_SHARE = 0.9
 
 _CUE = re.compile(r"\b(?:licen[sc]|copyright\b|all rights reserved|public domain|spdx-|permission is hereby|redistribution and use)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?]) +(?=[^\W\d_])")

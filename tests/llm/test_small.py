@@ -37,6 +37,7 @@ def test_automaton_is_brute_force():
 def test_words_and_cut():
     assert words_of("Ab-1é X\x7fy") == [b"ab", "1é".encode(), b"x", b"y"] and words_of(None) == words_of("") == []
     assert cut("a b, c d", [(1, 3)]) == "a  d"
+    assert cut("The Cat SAT, Éa on MATS.", [(1, 3), (5, 6)]) == "The , Éa on ."
 
 
 def test_encoder_is_the_librarys():
