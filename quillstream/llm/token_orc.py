@@ -148,7 +148,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str | None = None,
         .repartitionByRange(files or parallelism(spark), "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(run, f"doc_id {kind}, ids array<int>")
-        .write.option("compression", "zlib")
+        .write.option("compression", "zstd")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(bloom_fpp))
         .option("orc.row.index.stride", str(row_stride))
