@@ -41,6 +41,12 @@ def named(**fields: Column) -> Column:
     return F.named_struct(*[c for k, v in fields.items() for c in (F.lit(k), v)])
 
 
+def let(value: Column, body) -> Column:
+    """body over a value that is computed once: without it a deep expression holds
+    a copy of the value at each place that uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import SPACE, collapse, strip
+from quillstream.functions.text import collapse, let, named, strip
 
 # Intents in the order that decides ties. Fixed values.
 INTENTS = ("fact_qa", "summarize", "compare", "howto", "troubleshoot", "explain", "definition", "list", "smalltalk", "unknown")
@@ -57,68 +57,85 @@ def language(c: Column) -> Column:
     return F.when(zh & en, "mixed").when(zh, "zh").when(en, "en").otherwise("unknown")
 
 
-def intent_scores(c: Column) -> dict[str, Column]:
-    """Score of each intent for a stripped, non-empty query, rounded to 6 digits."""
-    low, n = F.lower(c), F.length(c)
-    hit = lambda test, w: F.when(test, w).otherwise(0.0)
-    s = dict.fromkeys(INTENTS, F.lit(0.0))
-    for intent, weight, keywords in LEXICON:
+def _lexicon_scores(c: Column) -> Column:
+    """Sums of keyword weights in the order of the intents."""
+    low = F.lower(c)
+    sums = dict.fromkeys(INTENTS, F.lit(0.0))
+    for name, weight, keywords in LEXICON:
         for k in keywords:
-            s[intent] = s[intent] + hit(low.contains(k), weight)
-    s["fact_qa"] = s["fact_qa"] + hit(n <= 10, 0.4) + hit(c.rlike("[?？]"), 0.3)
-    none = sum((s[i] for i in INTENTS), F.lit(0.0)) == 0
-    s["fact_qa"] = F.when(none & _any_of(low, QUESTION_WORDS), 0.5).when(none & (n > 5), 0.3).otherwise(s["fact_qa"])
-    short = n <= 5
-    s["fact_qa"] = s["fact_qa"] + hit(short & c.rlike("[0-9]"), 0.2)
-    for intent, chars in SHORT:
-        s[intent] = s[intent] + hit(short & _has_char(c, chars), 0.3)
-    return {i: F.round(x, 6) for i, x in s.items()}
+            sums[name] = sums[name] + F.when(low.contains(k), weight).otherwise(0.0)
+    n = F.when(F.length(c) <= 10, 0.4).otherwise(0.0) + F.when(c.rlike("[?？]"), 0.3).otherwise(0.0)
+    sums["fact_qa"] = sums["fact_qa"] + n
+    return F.array(*sums.values())
+
+
+def _final_scores(c: Column, base: Column) -> Column:
+    """The sums with what is added to queries without keywords and to very short ones."""
+    hit = lambda test, w: F.when(test, w).otherwise(0.0)
+    s = {name: base[i] for i, name in enumerate(INTENTS)}
+    none, short = F.aggregate(base, F.lit(0.0), lambda a, x: a + x) == 0, F.length(c) <= 5
+    s["fact_qa"] = F.when(none & _any_of(F.lower(c), QUESTION_WORDS), 0.5).when(none & (F.length(c) > 5), 0.3).otherwise(s["fact_qa"]) + hit(short & c.rlike("[0-9]"), 0.2)
+    for name, chars in SHORT:
+        s[name] = s[name] + hit(short & _has_char(c, chars), 0.3)
+    return F.array_sort(F.array(*[named(neg=-F.round(x, 6), ord=F.lit(i), name=F.lit(name)) for i, (name, x) in enumerate(s.items())]))
 
 
 def intent(query: Column) -> Column:
     """struct(intent, score, confidence, signals, language): the best intent, ties
     by declaration; signals are the three best with a score."""
-    c = strip(F.coalesce(query, F.lit("")))
-    scores = intent_scores(c)
-    ranked = F.array_sort(F.array(*[F.struct((-x).alias("neg"), F.lit(i).alias("ord"), F.lit(name).alias("name")) for i, (name, x) in enumerate(scores.items())]))
-    best = ranked[0]
-    top = F.filter(F.slice(ranked, 1, 3), lambda x: x["neg"] < 0)
-    empty = c == ""
-    return F.struct(
-        F.when(empty, "unknown").otherwise(best["name"]).alias("intent"),
-        F.when(empty, 0.0).otherwise(-best["neg"]).alias("score"),
-        F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.2), -best["neg"] / 2))).alias("confidence"),
-        F.when(empty, F.array().cast("array<string>")).otherwise(F.transform(top, lambda x: x["name"])).alias("signals"),
-        F.when(empty, "unknown").otherwise(language(c)).alias("language"),
-    )
 
+    def told(c: Column, ranked: Column) -> Column:
+        empty, best = c == "", ranked[0]
+        return named(
+            intent=F.when(empty, "unknown").otherwise(best["name"]),
+            score=F.when(empty, 0.0).otherwise(-best["neg"]),
+            confidence=F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.2), -best["neg"] / 2))),
+            signals=F.when(empty, F.array().cast("array<string>")).otherwise(F.transform(F.filter(F.slice(ranked, 1, 3), lambda x: x["neg"] < 0), lambda x: x["name"])),
+            language=F.when(empty, "unknown").otherwise(language(c)),
+        )
 
-def expand(query: Column) -> Column:
-    """struct(expanded, terms, confidence)."""
-    c = strip(query)
+    return let(strip(F.coalesce(query, F.lit(""))), lambda c: let(_lexicon_scores(c), lambda base: let(_final_scores(c, base), lambda ranked: told(c, ranked))))
+
+
+def _long_form(c: Column) -> Column:
+    """struct(text, note): the first abbreviation written out."""
     text, note = c, F.lit(None).cast("string")
     for short, long_ in reversed(ABBREVIATIONS):
         text = F.when(c.contains(short), F.replace(c, F.lit(short), F.lit(long_))).otherwise(text)
         note = F.when(c.contains(short), f"{short} -> {long_}").otherwise(note)
-    low, phrases, notes = F.lower(text), [], [note]
-    for keyword, phrase in EXPANSIONS:
-        full = F.replace(F.lit(phrase), F.lit("XX"), F.replace(text, F.lit(keyword), F.lit("XX")))
-        use = low.contains(keyword.lower()) & (full != text)
-        phrases.append(F.when(use, full))
-        notes.append(F.when(use, F.concat(F.lit(f"'{keyword}' -> '"), full, F.lit("'"))))
-    found = F.array_compact(F.array(*phrases))
-    short = (F.length(c) <= 10) & (F.size(found) == 0)
-    asks_what, asks_how, marks = _has_char(c, DEFINITION_CHARS), _has_char(c, HOW_CHARS), c.rlike("[?？]")
-    more = F.when(~short, found).when(asks_what, F.array(F.concat(c, F.lit("的相关定义")), F.concat(c, F.lit("的具体含义")))).when(asks_how, F.array(F.concat(F.lit("关于"), c, F.lit("的操作方法")), F.concat(c, F.lit("的实现步骤")))).when(marks, found).otherwise(F.array(*[F.concat(c, F.lit(x)) for x in ("是什么", "有什么", "如何", "的作用")]))
-    last = F.when(~short, None).when(asks_what, "添加定义查询").when(asks_how, "添加操作查询").when(marks, None).otherwise("添加常见查询变体")
-    terms = F.array_compact(F.array(*notes, last))
-    empty = c == ""
-    none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(empty, c).otherwise(strip(F.when(F.size(more) > 0, F.concat(text, F.lit(" "), F.array_join(more, " "))).otherwise(text))).alias("expanded"),
-        F.when(empty, none).otherwise(terms).alias("terms"),
-        F.when(empty, 0.0).otherwise(F.round(F.least(F.lit(0.9), 0.3 + F.size(terms) * 0.2), 6)).alias("confidence"),
-    )
+    return named(text=text, note=note)
+
+
+def expand(query: Column) -> Column:
+    """struct(expanded, terms, confidence)."""
+    nothing = F.array().cast("array<string>")
+
+    def phrase(text: Column, keyword: str, first: str) -> Column:
+        full = F.replace(F.lit(first), F.lit("XX"), F.replace(text, F.lit(keyword), F.lit("XX")))
+        return let(full, lambda f: F.when(F.lower(text).contains(keyword.lower()) & (f != text), named(phrase=f, note=F.concat(F.lit(f"'{keyword}' -> '"), f, F.lit("'")))))
+
+    def variants(c: Column) -> Column:
+        """struct(phrases, note) for short queries that no keyword fits."""
+        add = lambda note, *phrases: named(phrases=F.array(*phrases), note=F.lit(note))
+        what = add("添加定义查询", F.concat(c, F.lit("的相关定义")), F.concat(c, F.lit("的具体含义")))
+        how = add("添加操作查询", F.concat(F.lit("关于"), c, F.lit("的操作方法")), F.concat(c, F.lit("的实现步骤")))
+        other = add("添加常见查询变体", *[F.concat(c, F.lit(x)) for x in ("是什么", "有什么", "如何", "的作用")])
+        return F.when(_has_char(c, DEFINITION_CHARS), what).when(_has_char(c, HOW_CHARS), how).when(~c.rlike("[?？]"), other)
+
+    def told(c: Column, long_: Column, found: Column, more: Column) -> Column:
+        phrases = F.concat(F.transform(found, lambda x: x["phrase"]), F.coalesce(more["phrases"], nothing))
+        terms = F.array_compact(F.concat(F.array(long_["note"]), F.transform(found, lambda x: x["note"]), F.array(more["note"])))
+        return named(
+            expanded=F.when(c == "", c).otherwise(strip(F.when(F.size(phrases) > 0, F.concat(long_["text"], F.lit(" "), F.array_join(phrases, " "))).otherwise(long_["text"]))),
+            terms=F.when(c == "", nothing).otherwise(terms),
+            confidence=F.when(c == "", 0.0).otherwise(F.round(F.least(F.lit(0.9), 0.3 + F.size(terms) * 0.2), 6)),
+        )
+
+    def second(c: Column, long_: Column) -> Column:
+        found = F.array_compact(F.array(*[phrase(long_["text"], k, p) for k, p in EXPANSIONS]))
+        return let(found, lambda f: let(F.when((F.length(c) <= 10) & (F.size(f) == 0), variants(c)), lambda more: told(c, long_, f, more)))
+
+    return let(strip(query), lambda c: let(_long_form(c), lambda long_: second(c, long_)))
 
 
 def synonyms(query: Column) -> Column:
@@ -133,24 +150,29 @@ def synonyms(query: Column) -> Column:
 
 def rewrite(query: Column, kb: Column | None = None, kind: Column | None = None) -> Column:
     """struct(rewritten, rules, expansions, warnings)."""
-    first = strip(F.coalesce(query, F.lit("")))
-    spaced = collapse(first)
-    marked = F.translate(spaced, "，。？", ",.?")
-    bare = marked
-    for f in FILLERS:
-        bare = F.replace(bare, F.lit(f), F.lit(""))
-    bare = collapse(bare)
-    none = F.lit(None).cast("string")
-    parts = F.array_compact(F.array(F.when(F.coalesce(kb, F.lit("")) != "", F.concat(F.lit("kb:"), kb)) if kb is not None else none, F.when(F.coalesce(kind, F.lit("")) != "", F.concat(F.lit("type:"), kind)) if kind is not None else none))
-    hinted = F.when(F.size(parts) > 0, F.concat(bare, F.lit(" ("), F.array_join(parts, " "), F.lit(")"))).otherwise(bare)
-    more, empty = synonyms(first), first == ""
-    nothing = F.array().cast("array<string>")
-    rules = F.array_compact(F.array(F.when(spaced != first, "normalize_whitespace"), F.when(marked != spaced, "normalize_punctuation"), F.when(bare != marked, "remove_fillers"), F.when(F.size(parts) > 0, "append_hints"), F.when(F.size(more) > 0, "synonym_expansion")))
-    return F.struct(
-        F.when(empty, "").otherwise(hinted).alias("rewritten"),
-        F.when(empty, nothing).otherwise(rules).alias("rules"),
-        F.when(empty, nothing).otherwise(more).alias("expansions"),
-        F.when(empty, F.array(F.lit("空查询"))).when(F.length(hinted) < 2, F.array(F.lit("重写后查询过短"))).otherwise(nothing).alias("warnings"),
+    none, nothing = F.lit(None).cast("string"), F.array().cast("array<string>")
+    hint = lambda name, v: none if v is None else F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(name), v))
+    parts = F.array_compact(F.array(hint("kb:", kb), hint("type:", kind)))
+
+    def bare(c: Column) -> Column:
+        for f in FILLERS:
+            c = F.replace(c, F.lit(f), F.lit(""))
+        return collapse(c)
+
+    def told(first: Column, spaced: Column, marked: Column, clear: Column, hints: Column, more: Column) -> Column:
+        full = F.when(F.size(hints) > 0, F.concat(clear, F.lit(" ("), F.array_join(hints, " "), F.lit(")"))).otherwise(clear)
+        rules = F.array_compact(F.array(F.when(spaced != first, "normalize_whitespace"), F.when(marked != spaced, "normalize_punctuation"), F.when(clear != marked, "remove_fillers"), F.when(F.size(hints) > 0, "append_hints"), F.when(F.size(more) > 0, "synonym_expansion")))
+        empty = first == ""
+        return named(
+            rewritten=F.when(empty, "").otherwise(full),
+            rules=F.when(empty, nothing).otherwise(rules),
+            expansions=F.when(empty, nothing).otherwise(more),
+            warnings=F.when(empty, F.array(F.lit("空查询"))).when(F.length(full) < 2, F.array(F.lit("重写后查询过短"))).otherwise(nothing),
+        )
+
+    return let(
+        strip(F.coalesce(query, F.lit(""))),
+        lambda a: let(collapse(a), lambda b: let(F.translate(b, "，。？", ",.?"), lambda c: let(bare(c), lambda d: let(parts, lambda h: let(synonyms(a), lambda m: told(a, b, c, d, h, m)))))),
     )
 
 
@@ -160,4 +182,4 @@ def tokens(c: Column) -> Column:
     return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$")))
 
 
-__all__ = ["SPACE", "expand", "intent", "intent_scores", "language", "rewrite", "synonyms", "tokens"]
+__all__ = ["expand", "intent", "language", "rewrite", "synonyms", "tokens"]

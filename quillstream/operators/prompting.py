@@ -5,24 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.operators.templates import TEMPLATES
+
 CHUNKS, CHARS = 8, 5000
 
-# Prompts by intent: who answers and how. Fixed values.
-NOT_ENOUGH = "参考资料不足，无法确认"
-ROLES = {
-    "list": "你是一个列表枚举助手。", "definition": "你是一个术语定义助手。", "troubleshoot": "你是一个故障排查助手。", "smalltalk": "你是一个聊天助手。", "unknown": "你是一个通用问答助手。",
-    "fact_qa": "你是一个企业知识库事实问答助手。", "howto": "你是一个操作指导助手。", "explain": "你是一个企业知识库操作指导助手。", "summarize": "你是一个文档总结助手。", "compare": "你是一个分析对比助手。", "default": "你是一个企业知识库问答助手。",
-}
-TASKS = {
-    "fact_qa": "请先给出结论，再说明依据。如果资料不足，请直接说明不足，不要猜测。", "explain": "请按步骤回答。先写步骤，再说明注意事项。如果资料不足，请直接说明不足。",
-    "summarize": "请基于参考资料做简洁、准确的总结。", "default": "请先给出结论，再给出依据。",
-}
+# Rules that every prompt carries. Fixed values.
 NO_CONTEXT = "【注意】当前没有任何可用参考资料。如果无法从资料中得到答案，请明确回复“资料不足，无法回答该问题”。"
 CITE = "【重要引用规则】\n1. 回答时请在相关句子后标注引用编号，例如：[1]、[2]。\n2. 【关键规则】如果多个引用编号来自同一个文档（即具有相同的文档ID），且回答的内容都来自该文档，**必须只标注一个最小的引用编号**（例如：[1]），不要重复标注该文档的其他编号。\n3. 只能使用提供的引用编号，不要编造参考资料，不要伪造编号。"
 STYLE = "请优先给出简洁结论，再给出依据。如果只能部分回答，请明确指出哪些内容来自资料，哪些内容资料中未提及。不要把推测写成确定事实。"
 NOTICE = "【参考资料说明】\n以下参考资料中，相同文档ID的多个条目来自同一个文档的不同部分。\n请根据内容相关性选择合适的引用编号。\n"
 EMPTY_CONTEXT = "（无可用参考资料）"
-NO_HITS = "未找到相关内容"
 
 
 def block(n: Column, document: Column, chunk: Column, retriever: Column, text: Column) -> Column:
@@ -59,10 +51,12 @@ def contexts(kept: DataFrame) -> DataFrame:
     return blocks.join(notices, "query_id", "left").withColumn("notice", F.coalesce("notice", F.lit("")))
 
 
-def _pick(intent: Column, table: dict[str, str]) -> Column:
-    out = F.lit(table["default"])
-    for k, v in table.items():
-        out = F.when(intent == k, v).otherwise(out)
+def _by_intent(intent: Column, make) -> Column:
+    """A column for each intent's template; those without one take the default."""
+    out = make(*TEMPLATES["default"])
+    for k, v in TEMPLATES.items():
+        if k != "default":
+            out = F.when(intent == k, make(*v)).otherwise(out)
     return out
 
 
@@ -71,10 +65,16 @@ def prompts(queries: DataFrame, context: DataFrame) -> DataFrame:
     j = queries.join(context, "query_id", "left")
     text = F.coalesce("context", F.lit(""))
     empty = F.trim(text) == ""
-    system = F.concat_ws("\n", _pick(F.col("intent"), ROLES), F.when(empty, NO_CONTEXT), F.lit(CITE), F.lit(STYLE))
+    intent, shown = F.coalesce("intent", F.lit("default")), F.when(empty, EMPTY_CONTEXT).otherwise(text)
+
+    def user(_, template: str) -> Column:
+        before, after = template.split("{question}")
+        between, last = after.split("{context}")
+        return F.concat(F.lit(before), F.col("question"), F.lit(between), shown, F.lit(last))
+
+    system = F.concat_ws("\n", _by_intent(intent, lambda s, _: F.lit(s)), F.when(empty, NO_CONTEXT), F.lit(CITE), F.lit(STYLE))
     notice = F.coalesce("notice", F.lit(""))
-    user = F.concat(F.lit("【用户问题】\n"), F.col("question"), F.lit("\n\n【参考资料】\n"), F.when(empty, EMPTY_CONTEXT).otherwise(text), F.lit("\n\n"), _pick(F.col("intent"), TASKS))
-    return j.select("query_id", F.when(notice != "", F.concat(system, F.lit("\n\n"), notice)).otherwise(system).alias("system_prompt"), user.alias("user_prompt"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
+    return j.select("query_id", F.when(notice != "", F.concat(system, F.lit("\n\n"), notice)).otherwise(system).alias("system_prompt"), _by_intent(intent, user).alias("user_prompt"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
 
 
 def offline_answer(hits: DataFrame, most: int = 3, limit: int = 200) -> DataFrame:

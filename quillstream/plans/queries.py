@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import answer, chunk, embedding, filetype, text, understanding
 from quillstream.operators import metadata, parsing, prompting, ranking, vector
 from quillstream.plans import derived as d
+from quillstream.plans import ingest
 from quillstream.sources import stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,37 +386,21 @@ def chunk_types(s, sf):
     return literal(s, "kind, chunk_type", TYPES).select("kind", chunk.chunk_type(F.col("kind")).alias("chunk_type"))
 
 
-def ingest_chunks(docs: DataFrame) -> DataFrame:
-    """Plain-text documents (doc_id, text) parsed, cleaned, merged and chunked, with overlaps."""
-    e = parsing.plain_elements(docs).withColumn("raw_content", text.clean(F.col("raw_content")))
-    e = parsing.merge_headings(e)
-    c = e.select("doc_id", "element_index", "element_type", "structure_path", "parser_confidence", F.posexplode(chunk.by_element(F.col("raw_content"), F.col("element_type"))).alias("local", "t"))
-    w = Window.partitionBy("doc_id", "element_index").orderBy("local")
-    prefix = F.coalesce(F.right(F.lag("t").over(w), F.lit(chunk.OVERLAP)), F.lit(""))
-    suffix = F.when(F.col("local") == 0, "").otherwise(F.coalesce(F.left(F.lead("t").over(w), F.lit(chunk.OVERLAP)), F.lit("")))
-    c = c.withColumns({"overlap_prefix": prefix, "overlap_suffix": suffix})
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("element_index", "local")) - 1
-    return c.select(
-        "doc_id", number.alias("chunk_index"), F.concat("overlap_prefix", "t").alias("text"), "element_type", chunk.chunk_type(F.col("element_type")).alias("chunk_type"), "structure_path",
-        "overlap_prefix", "overlap_suffix", (F.col("overlap_prefix") != "").alias("has_overlap"), F.length("t").alias("original_size"), F.col("parser_confidence").alias("confidence"),
-    )
-
-
 @query()
 def chunk_pipeline(s, sf):
     """All documents to chunks."""
-    return ingest_chunks(d.table(s, sf, "documents")).select("doc_id", "chunk_index", "chunk_type", "has_overlap", F.md5("text").alias("digest"))
+    return ingest.chunks(d.table(s, sf, "documents")).select("doc_id", "chunk_index", "chunk_type", "has_overlap", F.md5("text").alias("digest"))
 
 
 @query()
 def chunk_type_hist(s, sf):
-    return ingest_chunks(d.table(s, sf, "documents")).groupBy("chunk_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
+    return ingest.chunks(d.table(s, sf, "documents")).groupBy("chunk_type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("documents"))
 
 
 @query()
 def embed_chunks(s, sf):
     """Every chunk as a vector row, with the offline embedder."""
-    c = ingest_chunks(d.table(s, sf, "documents"))
+    c = ingest.chunks(d.table(s, sf, "documents"))
     rows = c.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("document_id"), "chunk_index", "text", embedding.hashed(32)(F.col("text")).alias("embedding"), "structure_path", F.array().cast("array<int>").alias("bbox"), F.lit("plain_text").alias("source_type"), F.lit("u").alias("uploader_id"), F.lit("kb").alias("knowledge_base_id"))
     v = stores.vector_rows(rows, F.lit("2024-01-01 00:00:00").cast("timestamp"))
     return v.select("id", "document_id", "chunk_index", F.size("embedding").alias("dimension"), "source_info")
