@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -71,5 +70,16 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: White space as Unicode sees it, for rules that need one class on any engine.
-SPACE = re.compile(r"\s")
+_state: dict = {}
+
+
+def worker_state(owner, make):
+    """What an operator keeps in a Python worker from task to task, such as a memo.
+
+    Workers live on and serve one operator after another; each keeps the state
+    of the last one alone, so that memory does not add up over a pipeline.
+    """
+    if owner not in _state:
+        _state.clear()
+        _state[owner] = make()
+    return _state[owner]

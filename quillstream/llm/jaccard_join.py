@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import forget, parallelism, stored, words_of
+from quillstream.llm.common import forget, parallelism, stored, words_of, worker_state
 from quillstream.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -42,7 +42,7 @@ TOLERANCE = 1e-6
 #: Members of a block of a bucket.
 BLOCK = 512
 #: Words whose hashes a worker remembers.
-MEMO = 500_000
+MEMO = 300_000
 #: Bits of the filter that picks the documents to verify: at most 4 MB.
 FILTER_BITS = 1 << 25
 #: Cells of a block's incidence matrix (4 bytes each) before sets are met in pairs.
@@ -64,9 +64,8 @@ class Hasher(dict):
         return h
 
 
-@functools.cache
 def hasher() -> Hasher:
-    return Hasher()
+    return worker_state("hasher", Hasher)
 
 
 def word_list(text: str | None) -> list[bytes]:
@@ -390,8 +389,8 @@ def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     info = reps.select("key", "copy_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")
     info = info.select("key", "copy_id", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
     info = stored(info, "info")
-    least = info.where(F.col("root") != F.col("key")).select("root").distinct()
-    groups = info.join(least, "root", "left_semi").groupBy("root").agg(F.min(F.struct("copy_id", "key")).alias("g"))
+    # Straight from the table, so that partial minima come before the shuffle.
+    groups = info.groupBy("root").agg(F.min(F.struct("copy_id", "key")).alias("g"))
     info = info.join(groups, "root", "left").select("key", "copy_id", "copies", "n_links", "n_linked", F.coalesce("g.copy_id", "copy_id").alias("class_id"), F.coalesce("g.key", "key").alias("class_key"))
     return rows.select("doc_id", "key"), info
 

@@ -14,7 +14,6 @@ are not looked at.
 
 from __future__ import annotations
 
-import functools
 import sys
 import zlib
 from array import array
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import new_path, parallelism, stored
+from quillstream.llm.common import new_path, parallelism, stored, worker_state
 
 END_ID = 0
 #: Pieces of text of which a worker remembers the ids (about 200 bytes each),
@@ -110,9 +109,8 @@ class Encoder:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return worker_state(("encoder", path), lambda: Encoder(path))
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
