@@ -2,7 +2,7 @@
 
 users are customers, groups are nations, members customers of a nation (the
 customers whose key is divisible by 7 administer), records are user turns with
-the assistant turn that follows, favourites are every third record of a user,
+the assistant turn that follows, favourites are the records with long answers,
 files are pages, vectors are embeddings with their label as knowledge base, and
 a document's chunk of 500 characters is a stored chunk.
 """
@@ -39,7 +39,7 @@ def records(s, d):
 
 
 def favorites(s, d):
-    return records(s, d).where("id % 3 = 0").select((F.col("id") + 1_000_000).alias("id"), "user_id", F.col("id").alias("qa_id"), "created_at")
+    return records(s, d).where("length(answer) > 400").select((F.col("id") + 1_000_000).alias("id"), "user_id", F.col("id").alias("qa_id"), "created_at")
 
 
 def files(s, d):
@@ -68,7 +68,7 @@ SQL = {
     "members": "SELECT c_nationkey AS group_id, c_custkey AS user_id, CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'member' END AS role FROM customer",
     "records": """SELECT conv_id * 100 + turn AS id, conv_id % 1500 + 1 AS user_id, conv_id % 25 AS group_id, text AS question, answer, conv_id * 7919 % 86400 AS created_at FROM (
         SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'""",
-    "favorites": "SELECT id + 1000000 AS id, user_id, id AS qa_id, created_at FROM records WHERE id % 3 = 0",
+    "favorites": "SELECT id + 1000000 AS id, user_id, id AS qa_id, created_at FROM records WHERE length(answer) > 400",
     "files": "SELECT page_id AS id, page_id % 25 AS group_id, page_id * 31 % 1500 + 1 AS uploader_id, 'page_' || page_id || '.html' AS name, CAST(strlen(html) AS BIGINT) AS size FROM pages",
     "vectors": "SELECT vec_id AS id, embedding, label AS kb FROM embeddings",
 }

@@ -437,27 +437,24 @@ def tokenize(s, sf):
     return d.table(s, sf, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(F.array_sort(t), " ")).alias("digest"))
 
 
-VECTOR_LIST = """, v AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS INTEGER) AS rank FROM (
-  SELECT item_id AS query_id, doc_id AS id, abs(length(b.text) - length(documents.text)) AS dist FROM benchmark b JOIN documents ON doc_id % 40 = item_id % 40))"""
-
-
-def _length_list(s, sf) -> DataFrame:
-    """A second hit list: documents of an item's residue, nearest in length first."""
-    q, c = d.items(s, sf), d.corpus(s, sf)
-    m = q.withColumn("m", F.col("query_id") % 40).join(c.withColumn("m", F.col("id") % 40), "m")
-    dist = F.abs(F.length("question") - F.length("text"))
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(dist, "id"))).where("rank <= 8").select("query_id", "id", "rank")
-
-
-FUSED = BM25_HITS + VECTOR_LIST + """, un AS (SELECT query_id, id, 0 AS source, rank, 1.0 / (60 + rank) AS part FROM v WHERE rank <= 8
+HYBRID = BM25_SQL + f""", vectors AS ({d.SQL["vectors"]}), qs AS (SELECT v.id AS query_id, text FROM vectors v JOIN documents ON doc_id = v.id WHERE v.id % 50 = 0
+), qt AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$')))) AS token FROM qs
+), sc AS (SELECT query_id, id, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (token) JOIN post USING (token) GROUP BY query_id, id
+), kw AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc
+), m AS (SELECT q.id AS query_id, v.id, {DIST} AS dist FROM vectors q JOIN vectors v ON true WHERE q.id % 50 = 0
+), v AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dist, id) AS INTEGER) AS rank FROM m
+), un AS (SELECT query_id, id, 0 AS source, rank, 1.0 / (60 + rank) AS part FROM v WHERE rank <= 8
   UNION ALL SELECT query_id, id, 1, rank, 0.8 / (60 + rank) FROM kw WHERE rank <= 8 AND score > 0
 ), su AS (SELECT query_id, id, round(CAST(sum(part) AS DOUBLE), 9) AS score, min(source * 1000 + rank) AS seen, max(CASE WHEN source = 0 THEN rank END) AS vector_rank, max(CASE WHEN source = 1 THEN rank END) AS keyword_rank FROM un GROUP BY query_id, id
 ), fu AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS INTEGER) AS rank FROM su)"""
 
 
-@query("WITH " + FUSED + " SELECT query_id, id, score, vector_rank, keyword_rank, rank FROM fu WHERE rank <= 8")
+@query("WITH " + HYBRID + " SELECT query_id, id, score, vector_rank, keyword_rank, rank FROM fu WHERE rank <= 8")
 def rrf_fusion(s, sf):
-    return ranking.fuse(_length_list(s, sf), ranking.bm25(d.items(s, sf), d.corpus(s, sf)))
+    """Vector hits and keyword hits of the same queries: a vector and the document with its id."""
+    q, docs = d.vector_queries(s, sf), d.corpus(s, sf)
+    asked = q.select("query_id").join(docs.select(F.col("id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    return ranking.fuse(vector.nearest(q, d.vectors(s, sf), by=None), ranking.bm25(asked, docs))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -744,10 +741,10 @@ def favorite_add(s, sf):
     return metadata.added_favorites(d.favorites(s, sf), r, d.members(s, sf), r.select("user_id", F.col("id").alias("qa_id")))
 
 
-@query(d.with_tables("favorites") + " SELECT id, qa_id FROM favorites WHERE NOT (user_id = 1 AND id % 2 = 0)")
+@query(d.with_tables("favorites") + " SELECT id, qa_id FROM favorites WHERE NOT (user_id = 1 AND created_at < 43200)")
 def favorite_delete(s, sf):
     f = d.favorites(s, sf)
-    return stores.without(f, f.where("user_id = 1 AND id % 2 = 0")).select("id", "qa_id")
+    return stores.without(f, f.where("user_id = 1 AND created_at < 43200")).select("id", "qa_id")
 
 
 @query(d.with_tables("members", "records") + " SELECT r.id, r.user_id, CAST(coalesce(m.group_id, r.group_id) AS BIGINT) AS group_id FROM records r LEFT JOIN members m ON m.user_id = r.user_id")

@@ -81,7 +81,7 @@ def test_chunk_numbers_are_dense(spark):
 
 
 def test_plans_stay_in_the_engine(spark):
-    for name in ("clean_basic", "bm25_topk", "rrf_fusion", "prompt_context", "intent_classify", "chunk_fixed"):
+    for name in ("clean_basic", "bm25_topk", "neighbor_expand", "prompt_context", "intent_classify", "chunk_fixed"):
         plan = q.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan
 
