@@ -60,13 +60,15 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.as_chars = {b: chr(hidden.get(b, b)) for b in range(256)}
+        self.space = self.as_chars[0x20]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str) -> bytes:
         """A space and letters: one pre-token, which goes straight to the library's model."""
-        chars = (" " + word).encode().decode("latin-1").translate(self.as_chars)
+        # ASCII letters stand for themselves.
+        chars = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.as_chars))
         return array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
 
     def _learn(self, parts: set[str]) -> None:
@@ -79,9 +81,9 @@ class Encoder:
                 continue
             if p in old:
                 young[p] = old[p]
-            elif p.isalpha() and max(p) < "\u0180":
+            elif p.isalpha() and (p.isascii() or max(p) < "\u0180"):
                 young[p] = self._letters(p)
-            elif p[-1:] in marks and (stem := p[:-1]).isalpha() and max(stem) < "\u0180":
+            elif p[-1:] in marks and (stem := p[:-1]).isalpha() and (p.isascii() or max(stem) < "\u0180"):
                 if (ids := young.get(stem)) is None:
                     ids = young[stem] = self._letters(stem)
                 young[p] = ids + marks[p[-1]]
