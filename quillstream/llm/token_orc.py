@@ -29,6 +29,8 @@ END_ID = 0
 #: Pieces of text of which a worker remembers the ids (about 200 bytes each),
 #: twice that at most.
 MEMO = 400_000
+#: Marks that may follow a word without being more than marks.
+MARKS = ".,;:!?*&%$#|-)"
 
 
 assert array("I").itemsize == 4 and sys.byteorder == "little"
@@ -55,7 +57,7 @@ class Encoder:
         self.tokenizer, self.memo = Tokenizer.from_file(path), memo
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.marks = {c: self._whole(c) for c in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
         # The characters that stand for bytes inside a byte-level model.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
@@ -83,10 +85,15 @@ class Encoder:
                 young[p] = old[p]
             elif p.isalpha() and (p.isascii() or max(p) < "\u0180"):
                 young[p] = self._letters(p)
-            elif p[-1:] in marks and (stem := p[:-1]).isalpha() and (p.isascii() or max(stem) < "\u0180"):
+            elif (stem := p.rstrip(MARKS)).isalpha() and (p.isascii() or max(stem) < "\u0180"):
+                # Letters and the marks after them are two pre-tokens.
                 if (ids := young.get(stem)) is None:
                     ids = young[stem] = self._letters(stem)
-                young[p] = ids + marks[p[-1]]
+                if (tail := marks.get(end := p[len(stem) :])) is None:
+                    if len(marks) > 10_000:
+                        marks.clear()
+                    tail = marks[end] = self._whole(end)
+                young[p] = ids + tail
             elif not p or _loose(p[0]) or _loose(p[-1]):
                 young[p] = None
             else:

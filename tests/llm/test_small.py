@@ -43,7 +43,7 @@ def test_words_and_cut():
 def test_encoder_is_the_librarys():
     enc = token_orc.Encoder(token_orc.vocabulary(), memo=50)
     rng = random.Random(1)
-    bits = ["a", "b", " ", "  ", "\n", " \n", "'s", "é", "　", "\x1c", "\x85", "1", "!", "<|endoftext|>", "字", "\t", "᠎", "​", '"', "ab, cd. ef"]
+    bits = ["a", "b", " ", "  ", "\n", " \n", "'s", "é", "　", "\x1c", "\x85", "1", "!", "<|endoftext|>", "字", "\t", "᠎", "​", '"', "ab, cd. ef", "x***", "y!!.", "-", "'", "ß%", "|"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(14))) for _ in range(3000)] + [None, ""]
     for lo in range(0, len(texts), 100):
         part = texts[lo : lo + 100]
