@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import SPACE, collapse, strip
+from quillstream.functions.text import SPACE, collapse, let, named, strip
 
 PARAGRAPH, CODE, CODE_LINES, TABLE_ROWS, OVERLAP = 500, 2000, 10, 20, 50
 
@@ -34,24 +34,30 @@ def _cut(parts: Column, starts: Column, joint: str) -> Column:
     return F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda z: F.array_join(F.slice(parts, z["s"] + 1, z["e"] - z["s"]), joint))
 
 
+def _packed(parts: Column, size, limit: int, joint: str) -> Column:
+    """parts packed greedily by their sizes; both are worked out once."""
+    return let(parts, lambda p: let(_starts(F.transform(p, size), limit), lambda s: _cut(p, s, joint)))
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(collapse(c), " "), lambda w: w != "")
 
 
 def fixed_size(c: Column, limit: int = PARAGRAPH) -> Column:
     """Greedy packing of words, each counted with one space."""
-    w = words(c)
-    return _cut(w, _starts(F.transform(w, lambda x: F.length(x) + 1), limit), " ")
+    return _packed(words(c), lambda x: F.length(x) + 1, limit, " ")
 
 
 def sentences(c: Column) -> Column:
     """Parts that end with closing marks before white space, a capital or the end; what is left over is glued to the last."""
+
+    def glued(parts: Column) -> Column:
+        last = F.get(parts, F.size(parts) - 1)
+        one = F.concat(F.slice(parts, 1, F.size(parts) - 2), F.array(F.concat(F.get(parts, F.size(parts) - 2), last)))
+        return F.when((F.size(parts) > 1) & ~last.rlike(r"[.!?。！？]$"), one).otherwise(parts)
+
     parts = F.filter(F.split(c, r"(?<=[.!?。！？])(?=\s|$|[A-ZА-Я])"), lambda s: s != "")
-    last = F.element_at(parts, -1)
-    open_ = ~last.rlike(r"[.!?。！？]$")
-    glued = F.concat(F.slice(parts, 1, F.size(parts) - 2), F.array(F.concat(F.element_at(parts, -2), last)))
-    parts = F.when((F.size(parts) > 1) & open_, glued).otherwise(parts)
-    return F.filter(parts, lambda s: strip(s) != "")
+    return F.filter(let(parts, glued), lambda s: strip(s) != "")
 
 
 def slices(c: Column, size: int) -> Column:
@@ -65,14 +71,14 @@ def paragraph(c: Column, limit: int = PARAGRAPH) -> Column:
     zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
 
     def flushed(a):
-        return F.when(strip(a["cur"]) != "", F.concat(a["done"], F.array(strip(a["cur"])))).otherwise(a["done"])
+        return let(strip(a["cur"]), lambda t: F.when(t != "", F.concat(a["done"], F.array(t))).otherwise(a["done"]))
 
     def step(a, s):
         fits = F.length(a["cur"]) + F.length(s) <= limit
         long_ = F.length(s) > limit
-        return F.struct(
-            F.when(fits, a["done"]).when(long_, F.concat(flushed(a), slices(s, limit))).otherwise(flushed(a)).alias("done"),
-            F.when(fits, F.concat(a["cur"], s)).when(long_, "").otherwise(s).alias("cur"),
+        return named(
+            done=F.when(fits, a["done"]).when(long_, F.concat(flushed(a), slices(s, limit))).otherwise(flushed(a)),
+            cur=F.when(fits, F.concat(a["cur"], s)).when(long_, "").otherwise(s),
         )
 
     return F.when(F.length(c) <= limit, F.array(c)).otherwise(F.aggregate(sentences(c), zero, step, flushed))
@@ -82,17 +88,16 @@ def code(c: Column, limit: int = CODE, lines: int = CODE_LINES, preserve: bool =
     """Whole unless long in characters and lines; then greedy packing of lines, line ends not counted."""
     if not preserve:
         return slices(c, limit)
-    parts = F.split(c, "\n", -1)
-    packed = _cut(parts, _starts(F.transform(parts, F.length), limit), "\n")
-    return F.when((F.length(c) > limit) & (F.size(parts) > lines), packed).otherwise(F.array(c))
+    packed = let(F.split(c, "\n", -1), lambda p: F.when(F.size(p) > lines, let(_starts(F.transform(p, F.length), limit), lambda s: _cut(p, s, "\n"))).otherwise(F.array(c)))
+    return F.when(F.length(c) > limit, packed).otherwise(F.array(c))
 
 
 def table(c: Column, split_rows: bool = True, most: int = TABLE_ROWS) -> Column:
     """Groups of rows of a pipe table, or the whole; other text by fixed size."""
-    rows = F.filter(F.split(c, "\n", -1), lambda r: strip(r) != "")
     whole = F.array(c)
     if split_rows:
-        whole = F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(most)), lambda i: F.array_join(F.slice(rows, i + 1, most), "\n"))
+        rows = F.filter(F.split(c, "\n", -1), lambda r: strip(r) != "")
+        whole = let(rows, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.size(p) - 1, F.lit(0)), F.lit(most)), lambda i: F.array_join(F.slice(p, i + 1, most), "\n")))
     return F.when(c.rlike(rf"(?m)^{SPACE}*\|"), whole).otherwise(fixed_size(c))
 
 
