@@ -8,8 +8,7 @@ ancestor directory, found by joins on the distinct directories of the corpus.
 
 Defined cases: null and empty texts have no licence of their own and inherit;
 a null path has no directory; equal scores go to the template named first; of
-several licence files in a directory the best score and then the smallest path
-decides; repeated rows get the same answer; other columns are ignored.
+several licence files in a directory the best score, then the shortest path decides; repeated rows get the same answer; other columns are ignored.
 """
 
 from __future__ import annotations
