@@ -10,31 +10,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import decontaminate, jaccard_join, language, packing, pii
-from quillstream.llm.common import stored, table
+from quillstream.llm.common import small_batches, stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by compression; those that are rejected go."""
+    small_batches(spark)
     return language.keep_identified(docs, language.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingle similarity links."""
+    small_batches(spark)
     return jaccard_join.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out; documents that are mostly such go."""
+    small_batches(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes placeholders."""
+    small_batches(spark)
     return pii.redact(docs)
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces and their places in sequences of permitted lengths."""
+    small_batches(spark)
     return packing.pack(packing.token_counts(docs), rows=docs.count())
 
 

@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import worker_state
+
 #: Bound of the sample: so many documents of a language, so many bytes of each.
 SAMPLE_DOCUMENTS = 64
 SAMPLE_BYTES = 512
@@ -122,6 +124,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        worker_state("language", bool)  # lets go of other operators' memos
         m = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -140,6 +143,7 @@ def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
     at = documents.columns.index("text")
 
     def run(batches):
+        worker_state("language", bool)  # lets go of other operators' memos
         for batch in batches:
             keep = [not shared.value.predict(t.as_py())[2] for t in batch.column(at)]
             yield batch if all(keep) else batch.filter(pa.array(keep, pa.bool_()))
