@@ -1,13 +1,16 @@
 """License scan: TF-IDF cosine to templates, then inheritance from directories.
 
-Passages around licence cues of a whole text, and whole licence files, become
-sparse TF-IDF vectors and are compared with templates; the inverse document
-frequencies of the templates' words are counted over all documents. A document
+Passages around licence cues of a whole text become sparse TF-IDF vectors and
+are compared with templates of notices; the inverse document frequencies of the
+templates' words are counted over all documents. A licence file is told by the
+title at its head, else as a whole by the full texts in ``licence_texts``, else
+by its passages and as a whole by the notices, whichever is best. A document
 without a licence of its own takes that of the licence file in its nearest
 ancestor directory, found by joins on the distinct directories of the corpus.
 
 Defined cases: null and empty texts have no licence of their own and inherit;
-a null path has no directory; equal scores go to the template named first; of
+a null path has no directory; equal scores go to the template named first;
+reserved rights count only where no licence is found; of
 several licence files in a directory the best score, then the shortest path decides; repeated rows get the same answer; other columns are ignored.
 """
 
@@ -16,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +37,10 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
@@ -46,7 +55,27 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
+RESERVED = "LicenseRef-All-Rights-Reserved"
+#: Licence id and the whole title of its text: licences whose texts are much alike.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    *((i, f"{lead}{kind} 4.0 International{end}")
+      for i, kind in (("CC-BY-4.0", "Attribution"), ("CC-BY-SA-4.0", "Attribution-ShareAlike"), ("CC-BY-NC-4.0", "Attribution-NonCommercial"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives"), ("CC-BY-NC-SA-4.0", "Attribution-NonCommercial-ShareAlike"), ("CC-BY-NC-ND-4.0", "Attribution-NonCommercial-NoDerivatives"))
+      for lead in ("", "Creative Commons ") for end in ("", " Public License")),
+)
+#: A title is one to three of so many lines with words at a file's head.
+HEAD = 6
 THRESHOLD = 0.6
+#: Whole files are held to more against full texts, as these share much of their language.
+FULL_THRESHOLD = 0.9
 #: Lines that follow a cue's line in its passage.
 LINES = 8
 #: A document whose licence passages hold this share of its words is a licence file.
@@ -64,7 +93,9 @@ def bag(text: str) -> Counter:
 class Templates:
     """Template vectors for given document frequencies."""
 
-    def __init__(self, df: dict[bytes, int], documents: int, templates=TEMPLATES):
+    def __init__(self, df: dict[bytes, int], documents: int, templates=TEMPLATES, full=None):
+        full = full_texts() if full is None else full
+        self.full = Templates(df, documents, full, ()) if full else None
         self.names = [n for n, _ in templates]
         self.idf = {w: math.log((documents + 1) / (df.get(w, 0) + 1)) + 1 for _, t in templates for w in bag(t)}
         self.other = math.log(documents + 1) + 1
@@ -89,8 +120,27 @@ class Templates:
         return self.names[top], min(1.0, dots[top] / math.sqrt(norm))
 
 
-def vocabulary(templates=TEMPLATES) -> frozenset[bytes]:
-    return frozenset(w for _, t in templates for w in bag(t))
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """Licence id and full text of each file in ``licence_texts``."""
+    return tuple((f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")))
+
+
+def vocabulary(templates=None) -> frozenset[bytes]:
+    return frozenset(w for _, t in (TEMPLATES + full_texts() if templates is None else templates) for w in bag(t))
+
+
+_TITLES = {frozenset(bag(t).items()): i for i, t in TITLES}
+
+
+def title(text: str) -> str | None:
+    """The licence whose title stands at the head of a text."""
+    lines = [w for line in text.split("\n") if (w := words_of(line))][:HEAD]
+    for i in range(len(lines)):
+        for k in range(1, 4):
+            if found := _TITLES.get(frozenset(Counter(sum(lines[i : i + k], [])).items())):
+                return found
+    return None
 
 
 def passages(text: str):
@@ -118,17 +168,26 @@ def own_licence(text: str | None, is_file: bool, templates: Templates, threshold
     """Licence of a text itself, its score, and whether the text is little else."""
     if not text:
         return None, 0.0, False
+    if is_file:
+        if name := title(text):
+            return name, 1.0, True
+        if templates.full:
+            name, s = templates.full.best(bag(text))
+            if s >= FULL_THRESHOLD:
+                return name, s, True
     found, score, share = None, 0.0, 0
-    for p in ([text] if is_file else passages(text)):
+    for p in ([text, *passages(text)] if is_file else passages(text)):
         name, s = templates.best(bag(p))
-        if s > score:
+        # Any licence goes before reserved rights, which most notices mention as well.
+        known, before = ((n is not None and n != RESERVED and x >= threshold) for n, x in ((name, s), (found, score)))
+        if (known, s) > (before, score):
             found, score, share = name, s, len(p.split())
     if score < threshold:
         return None, score, False
     return found, score, is_file or share >= FILE_SHARE * len(text.split())
 
 
-def frequencies(documents: DataFrame, text_col: str = "text", templates=TEMPLATES) -> tuple[dict[bytes, int], int]:
+def frequencies(documents: DataFrame, text_col: str = "text", templates=None) -> tuple[dict[bytes, int], int]:
     """Documents that hold each template word, and all documents: sums before the shuffle, a row a word to the driver."""
     words = vocabulary(templates)
 

@@ -178,6 +178,24 @@ def test_licence_cases():
     assert licences.own_licence("Licensed under CC BY-NC 4.0.", False, t)[2]
 
 
+def test_whole_licence_files():
+    t = licences.Templates({b"the": 90, b"under": 40}, 100)
+    texts = dict(licences.full_texts())
+    for name, text in texts.items():
+        assert licences.own_licence(text, True, t)[::2] == (name, True)
+        # Holders and addresses differ, and title lines are often left out.
+        assert licences.own_licence("Copyright 2020 Some Holder of Rights\n\n" + "\n".join(text.split("\n")[2:]), True, t)[0] == name
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause"} <= set(texts)
+    # Texts that are much like others' are told by their titles.
+    alike = texts["GPL-3.0"].split("\n", 2)[2]
+    assert licences.own_licence(" GNU AFFERO GENERAL PUBLIC LICENSE\n\n Version 3, 19 November 2007\n" + alike, True, t)[0] == "AGPL-3.0"
+    assert licences.own_licence(texts["CC-BY-SA-4.0"].replace("-ShareAlike", ""), True, t)[0] == "CC-BY-4.0"
+    # Passages of files tell too; reserved rights are no licence beside one.
+    assert licences.own_licence("Ours. All rights reserved.\n\n" + "other words here\n" * 9 + "\nLicensed under the MIT License.\n", True, t)[0] == "MIT"
+    assert licences.own_licence("All rights reserved.", True, t)[0] == licences.RESERVED
+    assert licences.own_licence("words that are no licence at all " * 50, True, t)[0] is None
+
+
 @pytest.mark.parametrize("text", ["", None, "one two", "a b c d e f g"])
 def test_shingle_cases(text):
     words = jaccard_join.word_list(text)
