@@ -4,13 +4,16 @@ Passages around licence cues of a whole text become sparse TF-IDF vectors and
 are compared with templates of notices; the inverse document frequencies of the
 templates' words are counted over all documents. A licence file is told by the
 title at its head, else as a whole by the full texts in ``licence_texts``, else
-by its passages and as a whole by the notices, whichever is best. A document
+by its passages and as a whole by the notices, whichever is best. The first
+SPDX line of a text goes before all of these. A document
 without a licence of its own takes that of the licence file in its nearest
 ancestor directory, found by joins on the distinct directories of the corpus.
 
 Defined cases: null and empty texts have no licence of their own and inherit;
 a null path has no directory; equal scores go to the template named first;
-reserved rights count only where no licence is found; of
+reserved rights count only where no licence is found; an SPDX line's score is 1
+and its licence the expression, ids spelt as here (several ids joined by AND, OR
+or WITH); an SPDX line with an unknown id is no SPDX line; of
 several licence files in a directory the best score, then the shortest path decides; repeated rows get the same answer; other columns are ignored.
 """
 
@@ -81,6 +84,16 @@ LINES = 8
 #: A document whose licence passages hold this share of its words is a licence file.
 FILE_SHARE = 0.9
 
+#: Further SPDX ids that a header may name.
+SPDX_IDS = (
+    "0BSD AFL-3.0 AGPL-1.0 Apache-1.0 Apache-1.1 Artistic-1.0 Artistic-2.0 BlueOak-1.0.0 BSD-1-Clause BSD-3-Clause-Clear BSD-4-Clause BSD-Source-Code "
+    "bzip2-1.0.6 CC-BY-1.0 CC-BY-2.0 CC-BY-2.5 CC-BY-3.0 CC-BY-SA-1.0 CC-BY-SA-2.0 CC-BY-SA-2.5 CC-BY-SA-3.0 CC-BY-NC-2.0 CC-BY-NC-3.0 CC-BY-NC-SA-3.0 CC-PDDC CDDL-1.0 CDDL-1.1 "
+    "CDLA-Permissive-1.0 CDLA-Permissive-2.0 CDLA-Sharing-1.0 CECILL-2.1 CECILL-B CECILL-C CPL-1.0 curl ECL-2.0 EFL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 FTL "
+    "GFDL-1.1 HPND ICU IJG ImageMagick IPL-1.0 JSON Libpng libpng-2.0 libtiff MIT-0 MIT-CMU MPL-1.0 MS-PL MS-RL MulanPSL-2.0 NPL-1.1 OpenSSL OSL-3.0 ODbL-1.0 ODC-By-1.0 OGL-UK-3.0 OLDAP-2.8 "
+    "PDDL-1.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Sleepycat SSPL-1.0 TCL Unicode-DFS-2016 UPL-1.0 Vim W3C WTFPL X11 Zend-2.0 Zlib ZPL-2.1 "
+    "Autoconf-exception-3.0 Bison-exception-2.2 Classpath-exception-2.0 Font-exception-2.0 GCC-exception-3.1 Linux-syscall-note LLVM-exception OpenSSL-exception"
+).split()
+
 _CUE = re.compile(r"\b(?:licen[sc]|copyright\b|all rights reserved|public domain|spdx-|permission is hereby|redistribution and use)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?]) +(?=[^\W\d_])")
 _FILE = re.compile(r"(?i)(^|/)(licen[sc]es?|copying|unlicense|notice)([.-][a-z0-9.-]*)?$")
@@ -133,6 +146,48 @@ def vocabulary(templates=None) -> frozenset[bytes]:
 _TITLES = {frozenset(bag(t).items()): i for i, t in TITLES}
 
 
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", re.I)
+_SPDX_PART = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.:-]*\+?")
+_IDS = {i.lower(): i for i in (*SPDX_IDS, *(n for n, _ in TEMPLATES + TITLES + full_texts()))}
+
+
+def spdx_id(part: str) -> str | None:
+    """An id as it is spelt here; later versions and this one only are one licence here."""
+    if re.fullmatch(r"(?:DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]+", part):
+        return part
+    low = part.lower().removesuffix("+")
+    return _IDS.get(low) or _IDS.get(low.removesuffix("-only").removesuffix("-or-later"))
+
+
+def declared(text: str) -> tuple[str, str] | None:
+    """Licence expression of the first SPDX line that has a valid one, and what it is in the text."""
+    for m in _SPDX.finditer(text):
+        out: list[str] = []
+        depth, want, end, fits = 0, True, 0, 0
+        for p in _SPDX_PART.finditer(m[1]):
+            if m[1][end : p.start()].strip():
+                break
+            word = p[0]
+            if word == "(" and want:
+                depth += 1
+            elif word == ")" and not want and depth:
+                depth -= 1
+            elif not want and word.upper() in ("AND", "OR", "WITH"):
+                word, want = f" {word.upper()} ", True
+            elif want and (known := spdx_id(word)):
+                word, want = known, False
+            else:
+                break
+            out.append(word)
+            end = p.end()
+            if not want and not depth:
+                fits = len(out)
+        # An operator without its second id, or an open bracket, makes no expression.
+        if fits and fits == len(out):
+            return "".join(out), m[0][: m.start(1) - m.start() + end]
+    return None
+
+
 def title(text: str) -> str | None:
     """The licence whose title stands at the head of a text."""
     lines = [w for line in text.split("\n") if (w := words_of(line))][:HEAD]
@@ -168,6 +223,8 @@ def own_licence(text: str | None, is_file: bool, templates: Templates, threshold
     """Licence of a text itself, its score, and whether the text is little else."""
     if not text:
         return None, 0.0, False
+    if found := declared(text):
+        return found[0], 1.0, is_file or len(found[1].split()) >= FILE_SHARE * len(text.split())
     if is_file:
         if name := title(text):
             return name, 1.0, True

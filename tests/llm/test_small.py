@@ -196,6 +196,22 @@ def test_whole_licence_files():
     assert licences.own_licence("words that are no licence at all " * 50, True, t)[0] is None
 
 
+def test_spdx_lines():
+    t = licences.Templates({b"the": 90, b"under": 40}, 50_000_000)
+    code = "#!/bin/sh\n{}\nimport this\n" + "some code\n" * 50
+    for i in {n for n, _ in licences.TEMPLATES}:
+        assert licences.own_licence(code.format(f"# SPDX-License-Identifier: {i}"), False, t) == (i, 1.0, False)
+    for line, want in (
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("<!-- spdx-license-identifier: mit -->", "MIT"), ("// SPDX-License-Identifier: ISC", "ISC"),
+        ("# SPDX-License-Identifier: (MIT OR Apache-2.0) AND Zlib", "(MIT OR Apache-2.0) AND Zlib"), ("# SPDX-License-Identifier: GPL-2.0-only WITH Linux-syscall-note", "GPL-2.0 WITH Linux-syscall-note"),
+        ("# SPDX-License-Identifier: LicenseRef-Ours", "LicenseRef-Ours"), ("# SPDX-License-Identifier: see below", None), ("# SPDX-License-Identifier:", None), ("# SPDX-License-Identifier: MIT OR", None), ("# SPDX-License-Identifier: Nothing-1.0", None),
+    ):
+        assert licences.own_licence(code.format(line), False, t)[0] == want
+    # The line goes before other notices, and alone it makes a licence file.
+    assert licences.own_licence("// Copyright. All rights reserved.\n// SPDX-License-Identifier: MIT\n// Licensed under CC BY 4.0.", False, t)[0] == "MIT"
+    assert licences.own_licence("SPDX-License-Identifier: MIT", False, t) == ("MIT", 1.0, True)
+
+
 @pytest.mark.parametrize("text", ["", None, "one two", "a b c d e f g"])
 def test_shingle_cases(text):
     words = jaccard_join.word_list(text)
