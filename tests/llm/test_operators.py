@@ -1,6 +1,7 @@
 """The operators and the pipeline on tables: against SQL, brute force and odd rows."""
 
 import hashlib
+import random
 import zlib
 
 import duckdb
@@ -211,6 +212,34 @@ def test_licences_inherit(spark):
     assert licences.scan(df.where("false")).count() == 0
 
 
+def test_licences_inherit_over_levels(spark):
+    rng = random.Random(8)
+    texts = dict(licences.full_texts())
+    held = {"MIT": "Licensed under the MIT License.", "Apache-2.0": texts["Apache-2.0"], "GPL-2.0": texts["GPL-2.0"], "BSD-3-Clause": texts["BSD-3-Clause"]}
+    dirs = ["/".join(rng.choice("abc") for _ in range(rng.randrange(7))) for _ in range(600)]
+    # A licence file in some of the directories; there are files with and without licences of their own.
+    of = {d: rng.choice(sorted(held)) for d in sorted(set(dirs)) if rng.random() < 0.15}
+    files = [(held[n], f"{d}/COPYING" if d else "COPYING", n) for d, n in of.items()]
+    for i, d in enumerate(dirs):
+        own = "CC-BY-4.0" if rng.random() < 0.1 else None
+        files.append(("a word and\nLicensed under CC BY 4.0.\nsome code code code" if own else "some code code code", f"{d}/{i}.py" if d else f"{i}.py", own))
+    rows = [(i, t, p) for i, (t, p, _) in enumerate(files)]
+    got = {r["doc_id"]: (r["license"], r["license_from"], r["how"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    levels = set()
+    for i, (_, path, own) in enumerate(files):
+        parts = path.split("/")[:-1]
+        near = next((k for k in range(len(parts), -1, -1) if "/".join(parts[:k]) in of), None)
+        if own:
+            want = (own, None, "own")
+        elif near is None:
+            want = (None, None, "none")
+        else:
+            levels.add(len(parts) - near)
+            want = (of["/".join(parts[:near])], "/".join(parts[:near]), "inherited")
+        assert got[i] == want
+    assert len(got) == len(files) and levels >= {0, 1, 2, 3}
+
+
 def test_licence_lines_of_the_table(spark):
     got = {r["doc_id"]: r["own_license"] for r in queries.op8_licences(spark, SMALL).collect()}
     for r in docs(spark):
