@@ -7,8 +7,9 @@ words lies inside an occurrence of a window, and all other words do not.
 
 Defined cases: a null or empty text has no words and no hits; repeated rows are
 judged separately with the same result; an empty item table marks nothing; item
-rows with null or wordless texts take no part; several rows with one item id
-count as one item; other columns are never looked at.
+rows with null or wordless texts take no part; those with a null id mark words
+but are not among the items; several rows with one item id count as one item;
+other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ class Automaton:
     end in a state, ``owners`` the items that hold the state's window.
     """
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
@@ -84,17 +85,21 @@ class Automaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._clone(p, q, c)
         return cur
 
-    def _mark(self, sequences: list[tuple[str, list[int]]]) -> None:
-        """Which items a match tells of: by short whole items, and by windows."""
+    def _mark(self, sequences: list[tuple[str | None, list[int]]]) -> None:
+        """Which items a match tells of: by short whole items, and by windows.
+
+        Items without an id are matched like all others and tell of none."""
         self.owners: dict[int, set[str]] = {}
         self.full: dict[int, tuple[int, set[str]]] = {}
         self.shortest = min([len(s) for _, s in sequences], default=1)
         for item, seq in sequences:
+            if item is None and len(seq) >= self.window:
+                continue
             if len(seq) < self.window:
                 state = 0
                 for c in seq:
                     state = self.next[state][c]
-                self.full.setdefault(state, (len(seq), set()))[1].add(item)
+                self.full.setdefault(state, (len(seq), set()))[1].update(() if item is None else (item,))
                 continue
             state = size = 0
             for c in seq:
@@ -172,7 +177,7 @@ class Automaton:
                     s = state
                     while length[link[s]] >= window:
                         s = link[s]
-                    items |= self.owners.get(s, ())
+                    items.update(self.owners.get(s, ()))
                 if self.any_short:
                     for s in short[state]:
                         k, own = self.full[s]
@@ -194,7 +199,7 @@ def shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     """
     held, size = [], 0
     for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        if row[0] is not None and (ws := words_of(row[1])):
+        if ws := words_of(row[1]):
             if held and size + len(ws) > limit:
                 yield Automaton(held, window)
                 held, size = [], 0

@@ -204,6 +204,18 @@ def test_html_of_odd_rows(spark):
     assert [r["n_chars"] for r in got] == [0, 0, 48, 3000 * 18 + 2999] and html_text.extract(pages.where("false")).count() == 0
 
 
+def test_benchmark_rows_without_an_id(spark):
+    long, short = " ".join(f"w{i}" for i in range(14)), "just four short words"
+    d = spark.createDataFrame([(1, f"before {long} after it all there is more and more of this"), (2, f"x {short} y z and some"), (3, "clean words here")], "doc_id long, text string")
+    b = spark.createDataFrame([(None, long), (None, short), ("a", " ".join(long.split()[:10])), (None, None), (None, "")], "item_id string, text string")
+    for limit in (5, 200_000):
+        got = {r["doc_id"]: r for r in decontaminate.contamination(d, b, limit=limit).collect()}
+        assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3)] == [(14, 1, True), (4, 0, True), (0, 0, False)]
+        assert got[1]["items_sha256"] == hashlib.sha256(b"a").hexdigest()
+        kept = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(d, b, coverage=0.9, limit=limit).collect()}
+        assert kept == {1: "before  after it all there is more and more of this", 2: "x  y z and some", 3: "clean words here"}
+
+
 def test_licences_inherit(spark):
     files = [(1, "Licensed under the MIT License.", "a/LICENSE"), (2, "code", "a/b/x.py"), (3, "code", "a/y.py"), (4, "Licensed under CC BY 4.0.", "a/b/c/COPYING"), (5, "code", "a/b/c/d/z.py"), (6, "code", "q/z.py"), (7, None, None), (8, "code\nLicensed under the Apache License, Version 2.0.\ncode code code", "a/own.py"), (9, "", "top.py")]
     df = spark.createDataFrame(files, "doc_id long, text string, path string").withColumn("license", F.lit(1))
