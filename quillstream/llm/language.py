@@ -3,8 +3,10 @@
 For each language a zstandard raw-content dictionary is made of a bounded
 sample of labelled texts. A text is compressed with each dictionary, in pieces
 of ``PIECE`` bytes so that its own content does not outweigh the dictionary;
-the language of the smallest sum wins. Where the runner-up is nearly as small,
-the text is rejected.
+the language of the smallest sum wins. Sizes are whole bytes, so where they tie
+in a text so short that one byte is more than the margin, the lengths of the
+matches that its places have in the dictionaries decide. Where the runner-up is
+nearly as small, the text is rejected.
 
 Defined cases: a null text and a text without a letter get ``und``, score 0 and
 are rejected; equal sums go to the smaller language name and are rejected; with
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -36,6 +39,8 @@ PIECE = 4_096
 SEARCH = {"compression_level": 3, "strategy": zstandard.STRATEGY_LAZY2, "min_match": 4, "search_log": 4, "hash_log": 16, "chain_log": 16, "window_log": 17, "target_length": 16, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
 #: Least part by which the best must be below the runner-up.
 MARGIN = 0.004
+#: Longest match that is looked for where whole sizes tie.
+MATCH = 8
 UNDETERMINED = "und"
 FOLDS, HELD_OUT = 3, 1
 
@@ -49,6 +54,19 @@ def letters(text: str) -> bytes:
     return b" ".join(text.lower().encode("utf-8", "surrogatepass").translate(_CLEAN).split())
 
 
+def parts(data: bytes, dictionary: bytes) -> float:
+    """Into how many parts a text falls at its matches in a dictionary: at each
+    place the longest match of at most ``MATCH`` bytes counts as its share."""
+    data, dictionary = b" " + data + b" ", b" " + dictionary + b" "
+    total = 0.0
+    for window, n in Counter(data[i : i + MATCH] for i in range(len(data))).items():
+        k = len(window)
+        while k and window[:k] not in dictionary:
+            k -= 1
+        total += n / (k + 1)
+    return total
+
+
 @dataclass
 class Model:
     """Dictionaries by language; compressors are made where they are used."""
@@ -80,6 +98,8 @@ class Model:
         data = letters(text)
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         sizes = sorted((sum(len(f(p)) for p in pieces), lang) for lang, f in self._compressors() if lang is not None)
+        if len(sizes) > 1 and sizes[0][0] == sizes[1][0] and sizes[0][0] * self.margin < 1:
+            sizes = sorted((parts(data, self.dictionaries[lang]), lang) for n, lang in sizes if n == sizes[0][0])
         if len(sizes) == 1:
             plain = sum(len(self._made[1][1](p)) for p in pieces)
             gain = max(0.0, (plain - sizes[0][0]) / plain)

@@ -170,6 +170,13 @@ def test_language_cases():
     assert zlib.crc32(b"12") % 3 == zlib.crc32(str(12).encode()) % 3
 
 
+def test_language_of_short_texts():
+    m = language.Model({"de": "und der die das nicht mit einer auch ".encode() * 30, "en": b"the and that with this have from they " * 30})
+    for text, want in (("This.", "en"), ("They.", "en"), ("Auch!", "de"), ("Nicht.", "de"), ("The that.", "en")):
+        assert m.predict(text)[::2] == (want, False)
+    assert m.predict("qpq")[2] and m.predict("qpq " * 30_000)[2]  # what is in neither stays rejected
+
+
 def test_licence_cases():
     t = licences.Templates({b"the": 90, b"under": 40}, 100)
     for name, notice in licences.TEMPLATES:
