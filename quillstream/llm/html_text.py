@@ -5,7 +5,8 @@ links, tag and containers gives its cost as content and as boilerplate; these
 are the capacities to the two terminals. Neighbouring blocks, and blocks of one
 container, are tied by smoothness edges. The minimum cut labels all blocks of a
 page at once. What stands in a container that is no content by its meaning
-(menus, footers, forms, adverts, reader comments) has an infinite capacity.
+(menus, footers, forms, adverts, reader comments) has an infinite capacity; where
+such a word is only part of a class name it costs ``PARTLY`` and the cut decides.
 
 Defined cases: null and empty pages and pages without text give an empty text;
 markup that is never closed ends with its container; a raw element without an
@@ -21,7 +22,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "object", "select", "button", "canvas", "audio", "video"))
+RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "select", "button", "canvas", "audio", "video"))
 CONTAINERS = frozenset(("html", "head", "body", "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "fieldset", "ul", "ol", "dl", "li", "table", "tbody", "thead", "tfoot", "tr", "td", "th", "blockquote", "figure", "details", "dialog", "menu"))
 BLOCKS = CONTAINERS | frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "address", "dt", "dd", "figcaption", "caption", "hr", "summary", "option", "legend"))
 VOID = frozenset(("hr", "br", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"))
@@ -37,27 +38,31 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 INFINITE = 10**9
 #: Tenths of a nat: ties of neighbours, and of blocks of one container.
 TIE_NEXT, TIE_PARENT = 12, 6
+#: Cost of a class name or id that only holds a word of OUTSIDE_NAMES.
+PARTLY = 20
+#: Containers of all content, whose names tell of the page and not of what they hold.
+WHOLE = frozenset(("html", "body", "main", "article"))
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>)""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
 class Block:
-    __slots__ = ("heading", "inside", "linked", "outside", "parent", "parts", "tag")
+    __slots__ = ("heading", "inside", "linked", "outside", "parent", "partly", "parts", "tag")
 
-    def __init__(self, tag, parent, inside, outside):
-        self.tag, self.parent, self.inside, self.outside = tag, parent, inside, outside
+    def __init__(self, tag, parent, inside, outside, partly=False):
+        self.tag, self.parent, self.inside, self.outside, self.partly = tag, parent, inside, outside, partly
         self.parts, self.linked, self.heading = [], 0, tag in HEADINGS
 
 
 def blocks_of(page: str) -> list[tuple[Block, str]]:
     """Blocks that hold text, in page order, with their text."""
     out: list[tuple[Block, str]] = []
-    # Open containers: (tag, number, inside an article, outside of all content, header)
-    stack = [("", 0, False, False, False)]
+    # Open containers: (tag, number, inside an article, outside of all content, header, partly outside)
+    stack = [("", 0, False, False, False, False)]
     count, at, link, tag = 0, 0, False, ""
     now = Block("", 0, False, False)
 
@@ -68,7 +73,7 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
 
     def fresh(tag: str) -> Block:
         top = stack[-1]
-        return Block(tag, top[1], top[2], top[3] or (top[4] and tag not in HEADINGS))
+        return Block(tag, top[1], top[2], top[3] or (top[4] and tag not in HEADINGS), top[5])
 
     find = _TAG.search
     while True:
@@ -85,7 +90,8 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
         if not name:
             continue
         tag, ends = name.lower(), bool(m[1] or m[4])
-        if tag in RAW:
+        # What stands in for scripts is content in an article only.
+        if tag in RAW and not (tag == "noscript" and stack[-1][2]):
             if not ends and not (m[3] or m[6] or "").endswith("/"):
                 e = _ENDS[tag].search(page, at)
                 at = e.end() if e else len(page)
@@ -110,24 +116,31 @@ def blocks_of(page: str) -> list[tuple[Block, str]]:
                 # An item ends the item before it; so do cells and rows.
                 if tag in ("li", "td", "th", "tr") and stack[-1][0] == tag:
                     stack.pop()
-                _, _, inside, outside, header = stack[-1]
+                _, _, inside, outside, header, partly = stack[-1]
                 attrs = m[3] or m[6] or ""
-                names: set[str] = set()
-                if "=" in attrs or "hidden" in attrs:
-                    for a in _NAMES.finditer(attrs):
-                        value = (a[2] or a[3] or a[4] or "").lower()
-                        if a[1].lower() == "role":
-                            outside = outside or value in OUTSIDE_ROLES
-                        else:
-                            names.update(_WORD.findall(value))
-                    outside = outside or bool(names & OUTSIDE_NAMES) or bool(_HIDDEN.search(attrs))
+                names: set[str] = set()  # whole class names and ids
+                for a in _ATTRIBUTE.finditer(attrs) if attrs else ():
+                    key, value = a[1].lower(), (a[2] or a[3] or a[4] or "").lower()
+                    if key in ("class", "id"):
+                        names.update(value.split())
+                    elif key == "role":
+                        outside = outside or (value in OUTSIDE_ROLES and tag not in WHOLE)
+                    elif (key == "hidden" and value != "false") or (key == "aria-hidden" and value == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+                        # Pages that scripts uncover hide their body at first.
+                        outside = outside or tag not in ("html", "body")
+                words = set(_WORD.findall(" ".join(names)))
+                if tag in WHOLE:
+                    names.clear()
+                else:
+                    outside = outside or bool(names & OUTSIDE_NAMES) or "hidden" in names
+                    partly = partly or bool(words & (OUTSIDE_NAMES | HEADER_NAMES))
                 outside = outside or tag in OUTSIDE
                 if tag == "header" or names & HEADER_NAMES:
                     header, outside = True, outside or not inside
-                inside = inside or tag in ("article", "main") or bool(names & INSIDE_NAMES and not outside)
+                inside = inside or tag in ("article", "main") or bool(words & INSIDE_NAMES and not outside and not partly)
                 count += 1
                 if tag not in VOID and tag != "html":
-                    stack.append((tag, count, inside, outside, header))
+                    stack.append((tag, count, inside, outside, header, partly))
         now = fresh("" if ends else tag)
     close()
     return out
@@ -148,6 +161,8 @@ def cost(block: Block, text: str) -> int:
         score += 4
     if block.inside:
         score += 30
+    if block.partly:
+        score -= PARTLY
     return round(score)
 
 

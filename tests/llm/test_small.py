@@ -128,6 +128,21 @@ def test_html_cases():
     assert html_text.main_text("<article><p>Open <script>never closed") == "Open"
 
 
+@pytest.mark.parametrize("tags", ['body class="has-sidebar"|body', 'main class="with-banner"|main', 'div class="overflow-hidden"|div', 'body style="display: none"|body', 'div data-role="banner"|div', 'article class="no-comments"|article', 'div class="page has-sidebar"|div'])
+def test_html_names_of_wrappers(tags):
+    start, end = tags.split("|")
+    text = "The first sentence of a page stands here and is long enough to be kept by the cut."
+    assert html_text.main_text(f"<{start}><article><p>{text}</p><p>It ends.</p></article></{end}>") == text + "\nIt ends."
+
+
+def test_html_what_stays_outside_and_inside():
+    p = "<p>Some words that would be long enough to be kept here.</p>"
+    for attrs in ("hidden", 'class="hidden"', 'aria-hidden="true"', "style='display:none'", 'role="banner"', 'class="x sidebar"', 'id="footer"'):
+        assert html_text.main_text(f"<div {attrs}>{p}</div>") == ""
+    page = "<noscript>Turn scripts on.</noscript><article><p>Let <math><mi>x</mi><annotation>x_1</annotation></math> be <object data='a'>a plan</object> and <noscript>a picture</noscript> here.</p></article>"
+    assert html_text.main_text(page) == "Let x be a plan and a picture here."
+
+
 def test_packing_rules():
     p = packing.Packer((4, 8, 16), cost=lambda c: c)
     sizes = np.array(sorted([16, 9, 7, 5, 4, 4, 3, 1, 1], reverse=True))
