@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import math
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Separators and lower-casing of the byte-level word rule: words are runs of
@@ -40,7 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the session has none (tests on one machine) a temporary one is set.
+    Where a session on one machine has none, as in tests, a temporary one is set;
+    a cluster without one is an error, since a local folder is not shared there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -48,19 +54,33 @@ def shared_dir(spark: SparkSession) -> str:
         if java.isDefined():
             found = java.get().rsplit("/", 1)[0]
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _at(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that is deleted when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, where = _at(spark, path)
+    fs.deleteOnExit(where)
+    return path
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and
-    an executor that is lost costs nothing but the tasks it was running."""
+    an executor that is lost costs nothing but the tasks it was running.
+
+    forget() deletes the table once nothing reads it; what is left goes with the
+    application."""
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
@@ -73,14 +93,32 @@ def forget(df: DataFrame) -> None:
     """Delete what stored() wrote for df, once nothing reads it any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+        fs, where = _at(df.sparkSession, path)
+        fs.delete(where, True)
+        fs.cancelDeleteOnExit(where)
+
+
+#: Bytes of input for each task of a stage.
+TASK_BYTES = 64 << 20
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Tasks for a stage that holds Python state: the session's setting."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bytes_of(df: DataFrame) -> int:
+    """What the optimizer expects df to hold: of a table, the size of its files; 0 where it can't tell."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 60 else 0
+
+
+def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Partitions for a shuffle of df that feeds Python: as many as its size asks
+    for, and at least the session's setting."""
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(bytes_of(df) / task_bytes))
+
+
+def compact(df: DataFrame, size_of: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """df in no more partitions than the size of its source and the cores ask for,
+    so that a table is not written as very many small files. No shuffle."""
+    size = bytes_of(df if size_of is None else size_of)
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / task_bytes))) if size else df
 
 
 _state: dict = {}
@@ -90,9 +128,21 @@ def worker_state(owner, make):
     """What an operator keeps in a Python worker from task to task, such as a memo.
 
     Workers live on and serve one operator after another; each keeps the state
-    of the last one alone, so that memory does not add up over a pipeline.
+    of the last one alone, and what the others held goes back to the system, so
+    that memory does not add up over a pipeline.
     """
     if owner not in _state:
-        _state.clear()
+        let_go()
         _state[owner] = make()
     return _state[owner]
+
+
+def let_go() -> None:
+    """Drop every operator's state in this worker and hand free memory back."""
+    _state.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import forget, stored
+from quillstream.llm.common import compact, forget, stored
 
 
 def _mark(edges: DataFrame):
@@ -32,18 +32,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, size_of: DataFrame | None = None) -> DataFrame:
     """(a, b) edges to (node, root): every node that has an edge, and the least node it reaches.
 
     The roots themselves are not listed. The number of rounds grows with the
     logarithm of the longest chain; each round ends in a written table.
+    ``size_of`` is a table whose size bounds the edges', for the number of files.
     """
-    now = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    mark = _mark(now)
-    while mark[0]:
-        new = stored(_star(_star(now, True), False), "edges")
+    def written(df):
+        return stored(df if size_of is None else compact(df, size_of), "edges")
+
+    now = edges.select("a", "b").where("a <> b")
+    mark = None
+    while True:
+        new = written(_star(_star(now, True), False))
         forget(now)
         now, before, mark = new, mark, _mark(new)
-        if mark == before:
+        if mark == before or not mark[0]:
             break
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._stored_at = now._stored_at
+    return out

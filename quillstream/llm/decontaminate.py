@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import WORD_TABLE, words_of
+from quillstream.llm.common import WORD_TABLE, words_of, worker_state
 
 #: Words of test items in one automaton (about 1 kB each in Python). More items
 #: than that are dealt over several automata, whose hits are then united.
@@ -263,6 +263,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     autos = [spark.sparkContext.broadcast(a) for a in shards(benchmark, limit=limit, window=window)]
 
     def run(batches):
+        worker_state("decontaminate", bool)  # lets go of other operators' memos
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -303,6 +304,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     at = documents.columns.index("text")
 
     def run(batches):
+        worker_state("decontaminate", bool)  # lets go of other operators' memos
         for batch in batches:
             texts, keep, changed = [], [], False
             for text in batch.column(at):

@@ -28,23 +28,28 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillstream.llm.common import forget, parallelism, stored, words_of, worker_state
+from quillstream.llm.common import compact, forget, stored, tasks_for, words_of, worker_state
 from quillstream.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: 32 bands of 5 values: a pair at 0.8 agrees in none with probability 3e-6.
 BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
+#: A byte of each MinHash value, eight to a column.
+SIG = [f"s{i}" for i in range(HASHES // 8)]
 #: After so many values a pair is judged.
 STEPS = (20, 40, 80, HASHES)
 TOLERANCE = 1e-6
 #: Members of a block of a bucket.
 BLOCK = 512
-#: Words whose hashes a worker remembers.
-MEMO = 300_000
+#: Words whose hashes a worker remembers, about 150 bytes each.
+MEMO = 200_000
 #: Bits of the filter that picks the documents to verify: at most 4 MB.
 FILTER_BITS = 1 << 25
+#: Rows that a task hands on at once.
+ROWS_OUT = 8_192
 #: Cells of a block's incidence matrix (4 bytes each) before sets are met in pairs.
 CELLS = 16_000_000
 
@@ -114,20 +119,36 @@ def signatures(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """id, key and signature of every row; key and signature are null without words."""
+    """doc_id, key (two halves) and signature of every row; null without words."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 lists = [word_list(t) for t in part.column(1).to_pylist()]
-                keys = [key_of(x) for x in lists]
+                none = np.array([not x for x in lists])
                 full = [x for x in lists if x]
-                rows = iter(signatures(*shingles(full, n)) if full else ())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array([next(rows).tobytes() if x else None for x in lists], pa.binary())], names=["doc_id", "key", "sig"])
+                longs = np.zeros((len(lists), 2 + len(SIG)), np.int64)
+                if full:
+                    longs[~none, :2] = np.frombuffer(b"".join(map(key_of, full)), np.int64).reshape(-1, 2)
+                    longs[~none, 2:] = signatures(*shingles(full, n)).view(np.int64)
+                columns = [pa.array(np.ascontiguousarray(c), mask=none) for c in longs.T]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "k1", "k2", *SIG])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, key binary, sig binary")
+    return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, " + ", ".join(f"{c} long" for c in SIG))
+
+
+def bands() -> list:
+    """The bucket of each band as a column: the band's number over its bytes."""
+    out = []
+    for b in range(BANDS):
+        word, bit = divmod(ROWS * 8 * b, 64)
+        code = F.shiftrightunsigned(SIG[word], bit)
+        if bit + 8 * ROWS > 64:
+            code = code.bitwiseOR(F.shiftleft(SIG[word + 1], 64 - bit))
+        out.append(code.bitwiseAND(F.lit((1 << (8 * ROWS)) - 1)).bitwiseOR(F.lit(b << 40).cast("long")))
+    return out
 
 
 @functools.cache
@@ -174,8 +195,37 @@ def groups_of(batches, width: int = 2):
         yield last, held
 
 
-def _column(parts: list[pa.RecordBatch], name: str) -> list:
-    return [x for p in parts for x in p.column(p.schema.get_field_index(name)).to_pylist()]
+def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
+    at = parts[0].schema.get_field_index(name)
+    found = [p.column(at).to_numpy(zero_copy_only=False) for p in parts]
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+class Out:
+    """Rows of many groups, handed on in batches of some size."""
+
+    def __init__(self, names: list[str]):
+        self.names, self.parts, self.rows = names, [], 0
+
+    def add(self, *columns) -> None:
+        self.parts.append(columns)
+        self.rows += len(columns[0])
+
+    def full(self) -> bool:
+        return self.rows >= ROWS_OUT
+
+    def batch(self) -> pa.RecordBatch:
+        """Columns are arrays; a list column is a pair of sizes and values."""
+        arrays = []
+        for column in zip(*self.parts, strict=True):
+            if isinstance(column[0], tuple):
+                sizes, values = (np.concatenate(x) for x in zip(*column, strict=True))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)))
+            else:
+                arrays.append(pa.array(np.concatenate(column)))
+        self.parts, self.rows = [], 0
+        return pa.RecordBatch.from_arrays(arrays, names=self.names)
 
 
 def survivors(sigs: np.ndarray, side: np.ndarray, band: int, floor: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -218,31 +268,25 @@ def survivors(sigs: np.ndarray, side: np.ndarray, band: int, floor: dict[int, in
 
 def _pruned(batches):
     floor = least_matches()
+    out = Out(["bucket", "part", "place", "cid", "copies", "mates"])
     for (bucket, part), rows in groups_of(batches):
-        keys = _column(rows, "key")
-        if len(keys) < 2:
+        ids = _column(rows, "cid")
+        if len(ids) < 2:
             continue
-        sigs = np.frombuffer(b"".join(_column(rows, "sig")), np.uint8).reshape(len(keys), HASHES)
-        side = np.array(_column(rows, "side"), np.int8)
-        i, j = survivors(sigs, side, int(bucket) >> 40, floor)
+        sigs = np.column_stack([_column(rows, c) for c in SIG]).view(np.uint8)
+        i, j = survivors(sigs, _column(rows, "side"), int(bucket) >> 40, floor)
         if not len(i):
             continue
         used = np.unique(np.concatenate([i, j]))
-        copies = _column(rows, "copies")
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
-        lo, hi = np.searchsorted(i, used), np.searchsorted(i, used, side="right")
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(len(used), bucket)),
-                pa.array(np.full(len(used), part)),
-                pa.array(used.astype(np.int32)),
-                pa.array([keys[u] for u in used], pa.binary()),
-                pa.array([copies[u] for u in used], pa.int64()),
-                pa.array([j[a:b] for a, b in zip(lo, hi, strict=True)], pa.list_(pa.int32())),
-            ],
-            names=["bucket", "part", "place", "key", "copies", "mates"],
-        )
+        mates = np.searchsorted(i, used, side="right") - np.searchsorted(i, used)
+        n = len(used)
+        out.add(np.full(n, bucket), np.full(n, part), used.astype(np.int32), ids[used], _column(rows, "copies")[used], (mates, j.astype(np.int32)))
+        if out.full():
+            yield out.batch()
+    if out.rows:
+        yield out.batch()
 
 
 def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -263,28 +307,29 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 
 def _verified(batches):
     limit = Fraction(str(THRESHOLD))
+    out = Out(["cid", "root", "n_links", "n_linked"])
     for _, rows in groups_of(batches):
-        places = _column(rows, "place")
-        at = {p: k for k, p in enumerate(places)}
-        mates = _column(rows, "mates")
-        keys, copies = _column(rows, "key"), _column(rows, "copies")
-        sets = [np.frombuffer(x, np.uint64) for x in _column(rows, "shingles")]
-        i = np.array([k for k, m in enumerate(mates) for _ in m], np.int64)
-        j = np.array([at[x] for m in mates for x in m], np.int64)
-        if not len(i):
+        ids, copies, places = _column(rows, "cid"), _column(rows, "copies"), _column(rows, "place")
+        mates = pa.concat_arrays([p.column(p.schema.get_field_index("mates")) for p in rows])
+        counts = np.diff(mates.offsets.to_numpy())
+        if not counts.any():
             continue
+        order = np.argsort(places)
+        i = np.repeat(np.arange(len(ids)), counts)
+        j = order[np.searchsorted(places, mates.values.to_numpy()[mates.offsets[0].as_py() : mates.offsets[-1].as_py()], sorter=order)]
+        at = rows[0].schema.get_field_index("shingles")
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for p in rows for x in p.column(at)]
         both = overlaps(sets, i, j)
         sizes = np.array([len(s) for s in sets])
         linked = both * limit.denominator >= limit.numerator * (sizes[i] + sizes[j] - both)
         i, j = i[linked], j[linked]
         if not len(i):
             continue
-        links = np.bincount(i, minlength=len(keys)) + np.bincount(j, minlength=len(keys))
-        weight = np.array(copies, np.int64)
-        docs = np.zeros(len(keys), np.int64)
-        np.add.at(docs, i, weight[j])
-        np.add.at(docs, j, weight[i])
-        root = list(range(len(keys)))
+        links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+        docs = np.zeros(len(ids), np.int64)
+        np.add.at(docs, i, copies[j])
+        np.add.at(docs, j, copies[i])
+        root = list(range(len(ids)))
 
         def find(x, root=root):
             while root[x] != x:
@@ -295,104 +340,112 @@ def _verified(batches):
         for a, b in zip(i.tolist(), j.tolist(), strict=True):
             a, b = find(a), find(b)
             if a != b:
-                a, b = (a, b) if keys[a] < keys[b] else (b, a)
+                a, b = (a, b) if ids[a] < ids[b] else (b, a)
                 root[b] = a
         used = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([keys[u] for u in used], pa.binary()), pa.array([keys[find(u)] for u in used.tolist()], pa.binary()), pa.array(links[used].astype(np.int64)), pa.array(docs[used])],
-            names=["key", "root", "n_links", "n_linked"],
-        )
+        out.add(ids[used], ids[[find(u) for u in used.tolist()]], links[used].astype(np.int64), docs[used])
+        if out.full():
+            yield out.batch()
+    if out.rows:
+        yield out.batch()
 
 
-def bit_filter(keys: DataFrame, col: str) -> tuple[np.ndarray, int]:
-    """A Bloom filter of binary keys, as bits; its size is bounded whatever their number."""
+def bit_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of keys (k1, k2), as bits; its size is bounded whatever their number."""
     n = keys.count()
     bits = 1 << 13
     while bits < min(16 * n, FILTER_BITS):
         bits <<= 1
-    h = F.conv(F.substring(F.hex(col), 1, 15), 16, 10).cast("long")
-    at = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 26), F.lit(bits))))
-    words = keys.select(at.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))).alias("bits"))
+    at = F.explode(F.array(*[F.col(k).bitwiseAND(F.lit(bits - 1)) for k in ("k1", "k2")]))
+    words = keys.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
     got = words.toArrow()
     out = np.zeros(bits // 64, np.uint64)
     out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
     return out, bits
 
 
-def in_filter(words: np.ndarray, bits: int, key: bytes) -> bool:
-    h = int.from_bytes(key[:8], "big") >> 4
-    a, b = h % bits, (h >> 26) % bits
-    return bool(int(words[a >> 6]) >> (a & 63) & 1 and int(words[b >> 6]) >> (b & 63) & 1)
+def in_filter(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Which keys (a row of two halves each) may be in the filter."""
+    at = keys & (bits - 1)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+
+
+def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of texts and which texts have none."""
+    found = [key_of(word_list(t.as_py())) for t in texts]
+    none = np.array([k is None for k in found], bool)
+    return np.frombuffer(b"".join(k or bytes(16) for k in found), np.int64).reshape(-1, 2), none
 
 
 def shingle_sets(documents: DataFrame, wanted: DataFrame, text_col: str = "text", n: int = WORDS) -> DataFrame:
-    """key and shingle set of the wanted classes. A filter of bounded size spares
-    the others; what passes it wrongly falls out in an exact join."""
-    words, bits = bit_filter(wanted, "key")
+    """cid and shingle set of the wanted classes (cid, k1, k2). A filter of bounded
+    size spares the others; what passes it wrongly falls out in an exact join."""
+    words, bits = bit_filter(wanted)
     shared = documents.sparkSession.sparkContext.broadcast(words)
 
     def run(batches):
-        table = shared.value
+        table, seen = shared.value, set()
         for batch in batches:
-            keys, sets, seen = [], [], set()
-            for text in batch.column(0):
-                ws = word_list(text.as_py())
-                key = key_of(ws)
-                if key and key not in seen and in_filter(table, bits, key):
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(np.unique(shingles([ws], n)[0]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "shingles"])
-
-    made = documents.select(text_col).mapInArrow(run, "key binary, shingles binary")
-    return made.join(wanted, "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-
-
-def _buckets(batches):
-    band = np.arange(BANDS, dtype=np.int64) << 40
-    power = np.array([1 << (8 * i) for i in range(ROWS)], np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BANDS, ROWS)
-        codes = (sigs.astype(np.int64) * power).sum(axis=2) + band
-        keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
-        yield pa.RecordBatch.from_arrays([pa.array(codes.ravel()), keys], names=["bucket", "key"])
-
-
-def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, info). rows: doc_id and key of each row, as a written table. info, a
-    row a key: copy_id (least id), copies, root (its group's least key), class_id
-    (its group's least id), class_key (the key of that id), n_links, n_linked."""
-    spark = documents.sparkSession
-    tasks = parallelism(spark)
-    rows = stored(signed(documents, id_col, text_col), "signed")
-    reps = stored(rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "reps")
-    dealt = reps.select("key", "sig").mapInArrow(_buckets, "bucket long, key binary")
+            keys, none = keys_of(batch.column(0))
+            used, sets = [], []
+            for at in np.flatnonzero(in_filter(table, bits, keys) & ~none).tolist():
+                if (key := keys[at].tobytes()) in seen:
+                    continue
+                if len(seen) > MEMO:
+                    seen.clear()
+                seen.add(key)
+                used.append(at)
+                sets.append(np.unique(shingles([word_list(batch.column(0)[at].as_py())], n)[0]).tobytes())
+            halves = [pa.array(np.ascontiguousarray(keys[used, i])) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*halves, pa.array(sets, pa.binary())], names=["k1", "k2", "shingles"])
+
+    made = documents.select(text_col).mapInArrow(run, "k1 long, k2 long, shingles binary")
+    return made.join(wanted, ["k1", "k2"]).groupBy("cid").agg(F.first("shingles").alias("shingles"))
+
+
+def classes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, reps, groups), all written tables. rows: doc_id and key (k1, k2) of
+    each row. reps, a row a class of copies: cid, k1, k2, copy_id (least id),
+    copies. groups, a row a linked class: k1, k2, class_id (its group's least id),
+    first (whether it is the class of that id), n_links, n_linked."""
+    tasks = tasks_for(documents)
+    rows = stored(compact(signed(documents, id_col, text_col), documents), "signed")
+    # All copies have the same signature; sums of whole numbers need no sorting.
+    same = [F.min(c).alias(c) for c in SIG]
+    per = rows.where(F.col("k1").isNotNull()).groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), *same)
+    # Written down, the number of a class stays what it is.
+    reps = stored(compact(per.withColumn("cid", F.monotonically_increasing_id()), documents), "reps")
+    dealt = reps.select("cid", F.explode(F.array(*bands())).alias("bucket"))
     full = dealt.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    members = dealt.join(full, "bucket").select("bucket", "key", parts.alias("c"), F.pmod(F.xxhash64("key", F.lit(11)), parts).cast("int").alias("mine"))
+    # A bucket has one row in full, so a large bucket is on the streamed side alone.
+    members = dealt.join(full.hint("shuffle_hash"), "bucket").select("bucket", "cid", parts.alias("c"), F.pmod(F.xxhash64("cid", F.lit(11)), parts).cast("int").alias("mine"))
     other = F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("other")
-    placed = members.select("bucket", "key", "c", "mine", other).select(
-        "bucket", "key", (F.least("mine", "other") * F.col("c") + F.greatest("mine", "other")).cast("long").alias("part"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("byte").alias("side")
+    placed = members.select("bucket", "cid", "c", "mine", other).select(
+        "bucket", "cid", (F.least("mine", "other") * F.col("c") + F.greatest("mine", "other")).cast("long").alias("part"), F.when(F.col("mine") > F.col("other"), 1).otherwise(0).cast("byte").alias("side")
     )
-    ready = placed.join(reps.select("key", "sig", "copies"), "key").select("bucket", "part", "side", "key", "sig", "copies")
-    pruned = stored(
-        ready.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_pruned, "bucket long, part long, place int, key binary, copies long, mates array<int>"), "pruned"
-    )
-    sets = shingle_sets(documents, pruned.select("key").distinct(), text_col)
-    met = pruned.join(sets, "key").select("bucket", "part", "place", "key", "copies", "mates", "shingles")
-    linked = stored(met.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_verified, "key binary, root binary, n_links long, n_linked long"), "linked")
+    ready = placed.join(reps.select("cid", "copies", *SIG), "cid").select("bucket", "part", "side", "cid", "copies", *SIG)
+    left = ready.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_pruned, "bucket long, part long, place int, cid long, copies long, mates array<int>")
+    pruned = stored(compact(left, documents), "pruned")
+    wanted = pruned.select("cid").distinct().join(reps.select("cid", "k1", "k2"), "cid")
+    sets = shingle_sets(documents, wanted, text_col)
+    met = pruned.join(sets, "cid").select("bucket", "part", "place", "cid", "copies", "mates", "shingles")
+    links = met.repartition(tasks, "bucket", "part").sortWithinPartitions("bucket", "part").mapInArrow(_verified, "cid long, root long, n_links long, n_linked long")
+    linked = stored(compact(links, documents), "linked")
     forget(pruned)
-    roots = components(linked.select(F.col("key").alias("a"), F.col("root").alias("b")))
-    counts = linked.groupBy("key").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked").alias("n_linked"))
-    info = reps.select("key", "copy_id", "copies").join(roots.withColumnRenamed("node", "key"), "key", "left").join(counts, "key", "left")
-    info = info.select("key", "copy_id", "copies", F.coalesce("root", "key").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-    info = stored(info, "info")
-    # Straight from the table, so that partial minima come before the shuffle.
-    groups = info.groupBy("root").agg(F.min(F.struct("copy_id", "key")).alias("g"))
-    info = info.join(groups, "root", "left").select("key", "copy_id", "copies", "n_links", "n_linked", F.coalesce("g.copy_id", "copy_id").alias("class_id"), F.coalesce("g.key", "key").alias("class_key"))
-    return rows.select("doc_id", "key"), info
+    found = components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")), documents)
+    roots = found.select(F.col("node").alias("cid"), "root").unionByName(found.select(F.col("root").alias("cid"), "root").distinct())
+    counts = linked.groupBy("cid").agg(F.sum("n_links").alias("n_links"), F.sum("n_linked").alias("n_linked"))
+    inside = roots.join(counts, "cid", "left").join(reps.select("cid", "k1", "k2", "copy_id"), "cid")
+    best = inside.groupBy("root").agg(F.min(F.struct("copy_id", "k1", "k2")).alias("g"))
+    zero = F.lit(0).cast("long")
+    groups = inside.join(best, "root").select(
+        "k1", "k2", F.col("g.copy_id").alias("class_id"), ((F.col("k1") == F.col("g.k1")) & (F.col("k2") == F.col("g.k2"))).alias("first"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_linked", zero).alias("n_linked")
+    )
+    groups = stored(compact(groups, documents), "groups")
+    forget(linked)
+    forget(found)
+    return rows, reps.select("k1", "k2", "copy_id", "copies"), groups
 
 
 def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -400,45 +453,46 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     with, directly or by others), copy_id (least id of its exact copies), n_copies
     (other rows with its words), n_links (other word sequences linked directly),
     n_linked (their rows)."""
-    rows, info = classes(documents, id_col, text_col)
-    found = rows.where(F.col("key").isNotNull()).join(info, "key").select("doc_id", "class_id", "copy_id", (F.col("copies") - 1).alias("n_copies"), "n_links", "n_linked")
+    rows, reps, groups = classes(documents, id_col, text_col)
     zero = F.lit(0).cast("long")
-    bare = rows.where(F.col("key").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), zero.alias("n_copies"), zero.alias("n_links"), zero.alias("n_linked"))
+    info = reps.join(groups, ["k1", "k2"], "left")
+    found = rows.where(F.col("k1").isNotNull()).select("doc_id", "k1", "k2").join(info, ["k1", "k2"])
+    found = found.select("doc_id", F.when(F.col("first").isNull(), F.col("copy_id")).otherwise(F.col("class_id")).alias("class_id"), "copy_id", (F.col("copies") - 1).alias("n_copies"), F.coalesce("n_links", zero).alias("n_links"), F.coalesce("n_linked", zero).alias("n_linked"))
+    bare = rows.where(F.col("k1").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), zero.alias("n_copies"), zero.alias("n_links"), zero.alias("n_linked"))
     return found.unionByName(bare)
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents, all columns, with one row of each group: the one of least id.
 
-    Rows without words stay. Only rows that a bounded filter marks as possibly
-    dropped are shuffled; the others, most of a corpus, pass straight through.
+    Rows without words stay. Only rows that a bounded filter marks as copies or
+    as linked are shuffled; the others, most of a corpus, pass straight through.
     """
-    rows, info = classes(documents, id_col, text_col)
-    per = rows.where(F.col("key").isNotNull()).groupBy("doc_id", "key").agg(F.count("*").alias("times"))
-    judged = per.join(info.select("key", "class_id", "class_key"), "key").select("doc_id", "key", "times", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("key") == F.col("class_key"))).alias("stays"))
-    special = stored(judged.where(~F.col("stays") | (F.col("times") > 1)), "special")
-    words, bits = bit_filter(special.select("key").distinct(), "key")
+    rows, reps, groups = classes(documents, id_col, text_col)
+    # Of each class with copies or links: the id whose row stays, and whether it is in this class.
+    told = reps.join(groups, ["k1", "k2"], "left").where((F.col("copies") > 1) | F.col("first").isNotNull())
+    lone = F.col("first").isNull()
+    told = stored(compact(told.select("k1", "k2", F.when(lone, F.col("copy_id")).otherwise(F.col("class_id")).alias("stays"), (lone | F.col("first")).alias("here")), documents), "special")
+    forget(rows)
+    forget(groups)
+    words, bits = bit_filter(told)
     shared = documents.sparkSession.sparkContext.broadcast(words)
     at = documents.columns.index(text_col)
 
     def run(batches):
+        worker_state("hasher", Hasher)
         table = shared.value
         for batch in batches:
-            keys = []
-            for text in batch.column(at):
-                key = key_of(word_list(text.as_py()))
-                keys.append(key if key and in_filter(table, bits, key) else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], schema=batch.schema.append(pa.field("__key", pa.binary())))
-
-    schema = documents.schema
-    from pyspark.sql.types import BinaryType, StructField, StructType
-
-    marked = documents.mapInArrow(run, StructType([*schema.fields, StructField("__key", BinaryType())]))
-    clear = marked.where(F.col("__key").isNull()).select(*documents.columns)
-    told = special.select(F.col("doc_id").alias("__id"), F.col("key").alias("__of"), "times", "stays").select("__id", "__of", F.col("times").alias("__times"), F.col("stays").alias("__stays"))
-    asked = marked.where(F.col("__key").isNotNull()).join(told, (F.col("__key") == F.col("__of")) & marked[id_col].eqNullSafe(F.col("__id")), "left")
-    out = clear.unionByName(asked.where(F.col("__of").isNull() | (F.col("__stays") & (F.col("__times") == 1))).select(*documents.columns))
-    if special.where(F.col("stays")).limit(1).count():
-        again = asked.where(F.col("__stays") & (F.col("__times") > 1)).dropDuplicates(["__key", "__id"]).select(*documents.columns)
-        out = out.unionByName(again)
-    return out
+            keys, none = keys_of(batch.column(at))
+            none |= ~in_filter(table, bits, keys)
+            halves = [pa.array(np.ascontiguousarray(keys[:, i]), mask=none) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *halves], schema=batch.schema.append(pa.field("__k1", pa.int64())).append(pa.field("__k2", pa.int64())))
+
+    schema = StructType([*documents.schema.fields, StructField("__k1", LongType()), StructField("__k2", LongType())])
+    marked = documents.mapInArrow(run, schema)
+    clear = marked.where(F.col("__k1").isNull()).select(*documents.columns)
+    told = told.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("stays").alias("__stays"), F.col("here").alias("__here"))
+    asked = marked.where(F.col("__k1").isNotNull()).join(told, ["__k1", "__k2"], "left")
+    # What passed the filter wrongly has no copies and stays; of a row that is repeated with its id one stays.
+    stay = asked.where(F.col("__here").isNull() | (F.col("__here") & F.col(id_col).eqNullSafe(F.col("__stays")))).dropDuplicates(["__k1", "__k2"])
+    return compact(clear.unionByName(stay.select(*documents.columns)), documents)

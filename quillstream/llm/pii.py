@@ -23,6 +23,8 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillstream.llm.common import worker_state
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account", "address")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -164,6 +166,7 @@ def personal_data(documents: DataFrame, text_col: str = "text", id_col: str = "d
     """Counts of the base kinds, their digest, and all spans, for every row; no shuffle."""
 
     def run(batches):
+        worker_state("pii", bool)  # lets go of other operators' memos
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -194,6 +197,7 @@ def redact(documents: DataFrame, text_col: str = "text") -> DataFrame:
     at = documents.columns.index(text_col)
 
     def run(batches):
+        worker_state("pii", bool)  # lets go of other operators' memos
         for batch in batches:
             texts, changed = [], False
             for text in batch.column(at):

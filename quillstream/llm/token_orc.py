@@ -8,8 +8,9 @@ and stripes are read in parallel.
 
 Defined cases: a null text counts as empty, so its document holds the end id
 alone; rows that share an id follow each other ordered by their text; rows with
-a null id come first; an empty table gives files without rows; other columns
-are not looked at.
+a null id come first; an empty table gives files without rows; a text of any
+length is encoded whole, and long ones share a batch with fewer others; other
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,12 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import new_path, parallelism, stored, worker_state
+from quillstream.llm.common import new_path, stored, tasks_for, worker_state
 
 END_ID = 0
 #: Pieces of text of which a worker remembers the ids (about 200 bytes each),
 #: twice that at most.
-MEMO = 400_000
+MEMO = 300_000
+#: Token ids that a worker hands on at once, more only where one document has more.
+IDS_OUT = 4_000_000
+#: Bytes of text for a file.
+FILE_BYTES = 256 << 20
 #: Marks that may follow a word without being more than marks.
 MARKS = ".,;:!?*&%$#|-)"
 
@@ -134,7 +139,6 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str | None = None,
     ``tokenizer`` is a file that every executor can open; by default the
     installed byte-level vocabulary, found anew on each executor.
     """
-    spark = documents.sparkSession
 
     def run(batches):
         enc = encoder(tokenizer or vocabulary())
@@ -143,16 +147,19 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str | None = None,
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 data = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                offsets = np.cumsum([0, *(len(x) // 4 for x in data)], dtype=np.int64)
-                if offsets[-1] >= 2**31:
-                    raise OverflowError("over 2**31 token ids in 500 documents")
-                ids = pa.array(np.frombuffer(b"".join(data), dtype="<i4"), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids)], names=["doc_id", "ids"])
+                sizes = np.array([len(x) // 4 for x in data], np.int64)
+                # Documents of many tokens go in smaller batches.
+                group = (np.cumsum(sizes) - sizes) // IDS_OUT
+                cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(data)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    ids = pa.array(np.frombuffer(b"".join(data[a:b]), dtype="<i4"), pa.int32())
+                    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[a:b])]), pa.int32())
+                    yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, ids)], names=["doc_id", "ids"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     (
         documents.select("doc_id", "text")
-        .repartitionByRange(files or parallelism(spark), "doc_id")
+        .repartitionByRange(files or tasks_for(documents, FILE_BYTES), "doc_id")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(run, f"doc_id {kind}, ids array<int>")
         .write.option("compression", "zstd")
