@@ -42,8 +42,9 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
-    return html_text.extract(table(spark, sf_dir, "pages"))
+    """Main text of every page, by a classifier fitted on a sample of them."""
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The operators and the pipeline on tables: against SQL, brute force and odd rows."""
 
 import hashlib
+import html
 import random
+import re
 import zlib
 
 import duckdb
@@ -204,6 +206,25 @@ def test_html_of_odd_rows(spark):
     assert [r["n_chars"] for r in got] == [0, 0, 48, 3000 * 18 + 2999] and html_text.extract(pages.where("false")).count() == 0
 
 
+def test_html_of_repeated_rows_and_other_columns(spark):
+    page = "<nav><a href=x>Menu</a></nav><article><h1>A</h1><p>Some words of the article.</p></article><div>Beside it stands this.</div>"
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "v", "bare text")], "page_id long, url string, html string").withColumns({c: F.lit(c) for c in ("text", "n_chars", "label", "h", "a")})
+    got = sorted((r["page_id"], r["text"]) for r in html_text.extract(pages, html_text.learn(pages)).collect())
+    assert got == [(1, "A\nSome words of the article."), (1, "A\nSome words of the article."), (2, "bare text")]
+    assert html_text.learn(pages.where("false")).table == html_text.Classifier().table
+
+
+def test_html_of_the_table(spark):
+    """The articles of the given pages, and labels that only the cut gives."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
+    got = queries.op7_html(spark, SMALL).collect()
+    assert len(got) == len(pages) and sum(r["n_changed"] for r in got) >= len(got)
+    for r in got:
+        inside = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1]
+        lines = (" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?[bi]>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inside))
+        assert r["text"] == "\n".join(x for x in lines if x) and r["n_chars"] == len(r["text"])
+
+
 def test_benchmark_rows_without_an_id(spark):
     long, short = " ".join(f"w{i}" for i in range(14)), "just four short words"
     d = spark.createDataFrame([(1, f"before {long} after it all there is more and more of this"), (2, f"x {short} y z and some"), (3, "clean words here")], "doc_id long, text string")

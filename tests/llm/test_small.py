@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -143,6 +144,83 @@ def test_html_what_stays_outside_and_inside():
     assert html_text.main_text(page) == "Let x be a plan and a picture here."
 
 
+def brute_text(page, classifier):
+    """The text of least cost over all labellings of the page's graph; of several the one with least content."""
+    blocks, boxes = html_text.parsed(page)
+    if not blocks:
+        return ""
+    g = html_text.graph_of(blocks, boxes, classifier)
+    best = None
+    for mask in range(1 << len(g.costs)):
+        x = [bool(mask >> i & 1) for i in range(len(g.costs))]
+        loss = sum(-c if c < 0 and s else c if c > 0 and not s else 0 for c, s in zip(g.costs, x, strict=True)) + sum(w for a, b, w in g.edges if x[a] != x[b])
+        if best is None or (loss, sum(x)) < best[:2]:
+            best = (loss, sum(x), x)
+    return "\n".join(b.text for b, yes in zip(blocks, best[2], strict=False) if yes)
+
+
+def test_html_is_brute_force():
+    rng = random.Random(11)
+    texts = ["Short.", "a b", "Some words of a longer sentence that goes on for a while here.", "No mark at the end of this line", "x " * 40 + "."]
+    boxes = ["div", "section", 'div class="sidebar"', 'div class="post-related"', "article", "main", "nav", "aside", "ul", 'div class="content"', "form", "header", "footer", 'section class="comments"']
+    leaves = ["p", "h2", "li", "td", 'p class="advert"', "div", "pre"]
+    changed = 0
+
+    def some(depth):
+        out = []
+        for _ in range(rng.randrange(1, 3)):
+            if depth and rng.random() < 0.5:
+                tag = rng.choice(boxes)
+                out.append(f"<{tag}>{some(depth - 1)}</{tag.split()[0]}>")
+            else:
+                tag, text = rng.choice(leaves), rng.choice(texts)
+                out.append(f"<{tag}>" + (f"<a href=x>{text}</a>" if rng.random() < 0.3 else text) + f"</{tag.split()[0]}>")
+        return "".join(out)
+
+    fitted = html_text.Classifier.fitted({(0, 3, 0, 2): (50, 1), (5, 0, 1, 1): (2, 60), (1, 0, 0, 0): (20, 9)})
+    for _ in range(150):
+        page = f"<html><body>{some(3)}{some(2)}</body></html>"
+        blocks, tree = html_text.parsed(page)
+        for c in (html_text.Classifier(), fitted):
+            if blocks and len(html_text.graph_of(blocks, tree, c).costs) <= 13:
+                assert html_text.main_text(page, c) == brute_text(page, c)
+                _, content, alone = html_text.labelled(page, c)
+                changed += content != alone
+    assert changed > 50
+
+
+def test_html_what_the_cut_decides():
+    long = "The first sentence of a page stands here and is long enough to be kept."
+    article = f"<h1>Title</h1><p>{long}</p><p>Yes.</p>"
+    want = f"Title\n{long}\nYes."
+    # Names that only sound like boilerplate, elements without containers, pages without tags.
+    assert html_text.main_text(f'<article>{article}<section class="related-work"><p>{long}</p></section></article>') == f"{want}\n{long}"
+    assert html_text.main_text(f'<article>{article}<p class="advert">{long}</p></article>') == want
+    assert html_text.main_text("Hello world") == "Hello world" and html_text.main_text("<p>Just this.</p>") == "Just this."
+    assert html_text.main_text(f"<div>{long}</div>") == long
+    # What lies beside an article, readers' articles, lists of links; forms only where they hold no article.
+    assert html_text.main_text(f"<body><div>{long}</div><article>{article}</article><p>{long}</p></body>") == want
+    assert html_text.main_text(f'<article>{article}</article><section id="comments"><article><p>{long}</p></article></section>') == want
+    assert html_text.main_text(f'<article>{article}<div class="comment-list"><p>{long}</p></div><div class="related-posts"><ul><li><a href="x">{long}</a></ul></div></article>') == want
+    assert html_text.main_text(f"<form><article>{article}</article></form>") == want and html_text.main_text(f"<form><p>{long}</p></form>") == ""
+    assert html_text.main_text(f"<article>{article}<ul><li>One thing.<li>Another</ul></article>") == f"{want}\nOne thing.\nAnother"
+
+
+def test_html_classifier_moves_little():
+    c = html_text.Classifier.fitted({(0, 0, 0, 0): (10**9, 0), (5, 3, 1, 3): (0, 10**9)})
+    for w, first in zip(c.weights, html_text.Classifier().weights, strict=True):
+        assert np.abs(w - first).max() <= html_text.STEP + 1e-6
+    assert html_text.Classifier.fitted({}).table == html_text.Classifier().table
+
+
+def test_html_of_long_pages():
+    text = "A sentence of words."
+    page = "<article>" + f"<p>{text}</p><ul><li><a href=x>link</a></ul><div class=ad>{text}</div>" * 4_000 + "</article>"
+    began = time.time()
+    got = html_text.main_text(page).split("\n")
+    assert got.count(text) == 4_000 and time.time() - began < 30
+
+
 def test_packing_rules():
     p = packing.Packer((4, 8, 16), cost=lambda c: c)
     sizes = np.array(sorted([16, 9, 7, 5, 4, 4, 3, 1, 1], reverse=True))
