@@ -4,41 +4,48 @@ A dimension is a term; its postings in a shard are the shard's components in
 that dimension, kept as one contiguous list a term. For a query, a term's bound
 in a shard is the largest contribution any posting can make. Terms are ordered
 by bound; the longest tail whose bounds together cannot lift a vector over the
-query's current k-th score is non-essential. Essential postings are traversed
-for a block of queries at once; a vector stays a candidate while its sum and the
-bounds of its unread terms reach the threshold; the non-essential terms are then
-probed for the candidates alone, in descending order of bound, dropping those
-that fall behind. Shards hand in their best k, which are merged.
+query's current k-th score is non-essential. Only the essential postings are
+read; a vector stays a candidate while its sum and the bounds of its unread terms
+reach the threshold; the non-essential terms are then probed for the candidates
+alone, in descending order of bound, dropping those that fall behind. Shards hand
+in their best k, which are merged.
 
 Postings are in blocks of vectors near each other (by their sign pattern), whose
-bounds are tight, and blocks are visited in descending order of bound: once a
-block's whole bound is below the threshold of every query the rest is skipped.
+bounds are tight. A query visits a shard's blocks in descending order of its
+bound and ends at the first block whose bound is below its threshold. Thresholds
+start from the k-th score of each query over ``SEEDS`` vectors of least hash,
+found in a first pass, so that no shard starts from nothing.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite
 components, and rows without an id take no part; vectors of another length than
 a query count as zero in the missing dimensions; rows with the query's id are
 its own; repeated rows are separate candidates; ties go to the smaller id; a
-query with fewer candidates than k gets all; other columns are ignored. Integer
-components are exact up to 2**31 in size.
+query with fewer candidates than k gets all; several rows of one query id are
+one query, which gets the best of all; other columns are ignored, whatever their
+names. Scores are exact; components over 2**31 in size raise an error, as sums
+of their products need not be whole numbers of 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import stored, worker_state
+
 #: Vectors of a shard and queries of a group: what one task holds.
 SHARD, GROUP = 16_384, 2_048
-#: Vectors of a block of postings, queries traversed at once.
-BLOCK, TOGETHER = 1_024, 256
-#: How much of the way from the smallest sum to the threshold the non-essential
-#: terms may cover. At 1 they are as many as MaxScore allows; fewer leave fewer
-#: candidates to probe, which pays as traversal is by blocks.
-UNREAD = 0.1
+#: Vectors of a block of postings.
+BLOCK = 512
+#: Vectors that the first pass looks at.
+SEEDS = 2_048
+#: Cells for each task where there are many.
+CELLS = 64
 LARGEST = 2**31
 
 
@@ -68,87 +75,85 @@ def exact_type(a: int, b: int, terms: int) -> type:
     return np.float64 if max(1, a) * max(1, b) * max(1, terms) < 2**53 else np.int64
 
 
+@dataclass
+class Read:
+    """What a search touched: postings that were there, read and probed; blocks that were there and visited."""
+
+    postings: int = 0
+    read: int = 0
+    probed: int = 0
+    blocks: int = 0
+    visited: int = 0
+
+
 class Best:
-    """The k best of each query so far, by score and then smaller id."""
+    """The k best of a query so far, by score and then smaller id."""
 
-    def __init__(self, n: int, k: int):
-        self.k = k
-        self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * n
-        self.scores: list[np.ndarray] = [np.empty(0, np.int64)] * n
-        self.least = np.full(n, -np.inf)
+    def __init__(self, k: int, least: float = -np.inf):
+        self.k, self.least = k, least
+        self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
+    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(scores) > 4 * self.k:
+            enough = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
+            ids, scores = ids[enough], scores[enough]
+        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
         order = np.lexsort((ids, -scores))[: self.k]
-        self.ids[q], self.scores[q] = ids[order], scores[order]
+        self.ids, self.scores = ids[order], scores[order]
         if len(order) == self.k:
-            self.least[q] = self.scores[q][-1]
-
-
-def search_block(queries: np.ndarray, own: np.ndarray, places: np.ndarray, block, best: Best) -> None:
-    """MaxScore of some queries over one block of postings."""
-    ids, postings, top, low = block
-    bounds = np.where(queries > 0, queries * top, queries * low)  # the most that a term can add
-    least = best.least[places]
-    live = bounds.sum(axis=1) >= least
-    if not live.any():
-        return
-    queries, own, places, bounds, least = queries[live], own[live], places[live], bounds[live], least[live]
-    # Non-essential: the terms of smallest gain over their smallest contribution,
-    # as long as all their gains together leave a vector below the threshold that
+            self.least = max(self.least, self.scores[-1])
+
+
+def search_block(query: np.ndarray, own: int, bounds: np.ndarray, floors: np.ndarray, block, best: Best, read: Read) -> None:
+    """MaxScore of a query over one block of postings; bounds and floors are the
+    most and the least that each term can add in the block."""
+    ids, postings, _, _ = block
+    # Non-essential: the terms of smallest gain over their least contribution, as
+    # long as all their gains together leave a vector below the threshold that
     # gains nothing from the essential ones.
-    floors = np.where(queries > 0, queries * low, queries * top)
     gains = bounds - floors
-    order = np.argsort(gains, axis=1, kind="stable")
-    reach = np.cumsum(np.take_along_axis(gains, order, axis=1), axis=1)
-    tail = (reach < UNREAD * (least - floors.sum(axis=1))[:, None]).sum(axis=1)  # how many terms are non-essential
-    essential = queries.copy()
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
-    skipped = rank < tail[:, None]
-    essential[skipped] = 0
-    unread = np.where(skipped, bounds, 0).sum(axis=1)
-    sums = essential @ postings
-    needed = (least - unread)[:, None]
-    rows, at = np.nonzero((sums >= needed) & (own[:, None] != ids[None, :]))
-    if not len(rows):
-        return
-    scores = sums[rows, at]
-    most = int(tail.max())
-    bound_left = unread[rows].astype(scores.dtype)
-    for j in range(most - 1, -1, -1):  # probing: the non-essential terms of largest gain first
-        todo = j < tail[rows]
-        term = order[rows, j]
-        q = queries[rows, term]
-        scores = np.where(todo, scores + q * postings[term, at], scores)
-        bound_left = np.where(todo, bound_left - bounds[rows, term], bound_left)
-        keep = scores + bound_left >= least[rows]
+    order = np.argsort(gains, kind="stable")
+    tail = int(np.searchsorted(np.cumsum(gains[order]), best.least - floors.sum()))
+    essential, rest = order[tail:], order[:tail]
+    read.visited += 1
+    read.read += len(essential) * len(ids)
+    sums = query[essential] @ postings[essential]
+    left = bounds[rest].sum()
+    at = np.flatnonzero((sums + left >= best.least) & (ids != own))
+    scores = sums[at]
+    for term in rest[::-1]:  # probing: the non-essential terms of largest gain first
+        if not len(at):
+            return
+        read.probed += len(at)
+        scores = scores + query[term] * postings[term, at]
+        left -= bounds[term]
+        keep = scores + left >= best.least
         if not keep.all():
-            rows, at, scores, bound_left = rows[keep], at[keep], scores[keep], bound_left[keep]
-    if not len(rows):
-        return
-    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
-        s, i = scores[a:b].astype(np.int64), ids[at[a:b]]
-        k = best.k
-        if b - a > 4 * k:
-            enough = s >= np.partition(s, len(s) - k)[len(s) - k]
-            s, i = s[enough], i[enough]
-        best.add(places[rows[a]], i, s)
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int, best: Best | None = None) -> Best:
+            at, scores = at[keep], scores[keep]
+    if len(at):
+        best.add(ids[at], scores.astype(np.int64))
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int, least: np.ndarray | None = None, read: Read | None = None) -> list[Best]:
+    """The best of each query in a shard, of which only what reaches ``least`` matters."""
     kind = exact_type(int(np.abs(queries).max(initial=0)), shard.largest, queries.shape[1])
-    best = best or Best(len(query_ids), k)
+    read = Read() if read is None else read
     queries = queries.astype(kind)
     blocks = [(i, p.astype(kind), t.astype(kind), m.astype(kind)) for i, p, t, m in shard.blocks]
-    for lo in range(0, len(query_ids), TOGETHER):
-        q = queries[lo : lo + TOGETHER]
-        places = np.arange(lo, lo + len(q))
-        whole = [np.where(q > 0, q * t, q * m).sum(axis=1).sum() for _, _, t, m in blocks]
-        for b in np.argsort(whole)[::-1]:
-            search_block(q, query_ids[lo : lo + TOGETHER], places, blocks[b], best)
-    return best
+    tops, lows = np.array([b[2] for b in blocks]), np.array([b[3] for b in blocks])
+    out = []
+    for n, (own, q) in enumerate(zip(query_ids, queries, strict=True)):
+        best = Best(k, -np.inf if least is None else least[n])
+        bounds, floors = np.where(q > 0, q * tops, q * lows), np.where(q > 0, q * lows, q * tops)
+        whole = bounds.sum(axis=1)
+        read.postings += len(shard.ids) * len(q)
+        read.blocks += len(blocks)
+        for b in np.argsort(-whole, kind="stable"):
+            if whole[b] < best.least:
+                break
+            search_block(q, own, bounds[b], floors[b], blocks[b], best, read)
+        out.append(best)
+    return out
 
 
 def _matrix(arrays: list[pa.Array], width: int) -> np.ndarray:
@@ -185,25 +190,17 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard: int = SHARD, group: int = GROUP) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of each query.
-
-    Both inputs have id and v (array<long>). Queries are dealt into groups and
-    candidates into shards of bounded size by hash; a cell of the grid is one
-    group over one shard, so no task holds more than that however many rows
-    there are, and nothing is broadcast.
-    """
+def _found(queries: DataFrame, candidates: DataFrame, k: int, shards: int, groups: int) -> DataFrame:
+    """query_id, vec_id, score: the k best of each query (id, v, least) in each shard."""
     spark = candidates.sparkSession
-    shards = candidates.count() // shard + 1
-    groups = queries.count() // group + 1
     of_query = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(groups)).cast("int")
-    of_vector = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(shards)).cast("int")
-    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), of_query.alias("g"), "id", "v", F.lit(True).alias("asks"))
-    right = candidates.select(of_vector.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v", F.lit(False).alias("asks"))
-    both = left.unionByName(right).select((F.col("s").cast("long") * groups + F.col("g")).alias("cell"), "id", "v", "asks")
-    tasks = min(shards * groups, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    of_vector = F.pmod(F.xxhash64("id", "v", F.lit(5)), F.lit(shards)).cast("int")
+    left = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), of_query.alias("g"), "id", "v", F.lit(True).alias("asks"), "least")
+    right = candidates.select(of_vector.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "id", "v", F.lit(False).alias("asks"), F.lit(None).cast("long").alias("least"))
+    both = left.unionByName(right).select((F.col("s").cast("long") * groups + F.col("g")).alias("cell"), "id", "v", "asks", "least")
 
     def run(batches):
+        worker_state("maxscore", bool)  # lets go of other operators' memos
         for cell in _cells(batches):
             cell = cell.combine_chunks()
             asks = cell.column("asks").to_numpy()
@@ -213,12 +210,35 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard: int = S
             v = _matrix(lists, width)
             if not asks.any() or asks.all():
                 continue
-            best = search(ids[asks], v[asks], Shard(ids[~asks], v[~asks]), k)
-            n = [len(x) for x in best.ids]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
+            # Whole numbers up to 2**53 are exact here; a larger threshold is rounded down.
+            least = cell.column("least").to_numpy()[asks].astype(float)
+            least = np.where(np.isnan(least), -np.inf, np.where(np.abs(least) < 2**53, least, np.nextafter(least, -np.inf)))
+            best = search(ids[asks], v[asks], Shard(ids[~asks], v[~asks]), k, least)
+            n = [len(x.ids) for x in best]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(np.concatenate([x.ids for x in best])), pa.array(np.concatenate([x.scores for x in best]))], names=["query_id", "vec_id", "score"])
 
-    found = both.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
+    tasks = min(shards * groups, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), shards * groups // CELLS))
+    return both.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, shard: int = SHARD, group: int = GROUP, seeds: int = SEEDS) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of each query.
 
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    Both inputs have id and v (array<long>). Queries are dealt into groups and
+    candidates into shards of bounded size by hash; a cell of the grid is one
+    group over one shard, so no task holds more than that however many rows
+    there are, and nothing is broadcast.
+    """
+    queries, candidates = queries.select("id", "v"), candidates.select("id", "v")
+    shards = candidates.count() // shard + 1
+    groups = queries.count() // group + 1
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    if shards > 1:
+        few = candidates.orderBy(F.xxhash64("id", "v", F.lit(9)), "id", "v").limit(seeds)
+        first = _found(queries.withColumn("least", F.lit(None).cast("long")), few, k, 1, groups)
+        first = first.withColumn("n", F.row_number().over(order)).where(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+        queries = queries.join(stored(first, "seeds"), "id", "left")
+    else:
+        queries = queries.withColumn("least", F.lit(None).cast("long"))
+    found = _found(queries, candidates, k, shards, groups)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

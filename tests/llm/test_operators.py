@@ -179,6 +179,19 @@ def test_maxscore_of_odd_rows(spark):
     assert maxscore.top_k(v.where("false"), v, 20).count() == 0 and maxscore.top_k(v.where("false"), v.where("false"), 20).count() == 0
 
 
+def test_maxscore_over_shards(spark):
+    """Shards, groups and seeds, repeated ids and vectors, columns with clashing names."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-50, 50, 6).tolist()) for i in rng.integers(0, 300, 400)] + [(1000 + i, [7, 7, 7, -7, 0, 1]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, v array<long>").withColumns({c: F.lit(c) for c in ("cell", "asks", "least", "rank", "score", "query_id", "vec_id", "s", "g")})
+    got = {}
+    for r in maxscore.top_k(df.where("id % 20 = 0"), df, 5, shard=100, group=7, seeds=50).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in {i for i, _ in rows if i % 20 == 0}:
+        scores = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for x, v in rows if x == q for i, w in rows if i != q]
+        assert [(i, -s) for s, i in sorted(scores)[:5]] == [got[q][k] for k in range(1, 6)]
+
+
 def test_url_cases(spark):
     urls = ["http://A.net/x", "http://b.example.net/en/y?q=1", "https://www.example.com/de/", "http://example.com/fr", "ftp://q.org/fr/z", "no scheme", None, "", "http://", "http://net", "http://casino.example.com/en/1.html?utm_source=a", "https://www.casino.example.com/en/1#x", "http://casino-x.example.com/de/2"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("rule", F.lit("x"))

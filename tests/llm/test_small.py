@@ -85,30 +85,42 @@ def test_pii_added_kinds():
 
 def test_maxscore_is_brute_force(monkeypatch):
     rng = np.random.default_rng(0)
+    read = maxscore.Read()
     for _ in range(150):
         n, w = int(rng.integers(1, 200)), int(rng.integers(1, 6))
-        v, ids, q = rng.integers(-3, 4, (n, w)), rng.permutation(1000)[:n], rng.random(n) < 0.3
+        v, ids, q = rng.integers(-3, 4, (n, w)) * int(rng.choice([1, 2**27])), rng.permutation(1000)[:n], rng.random(n) < 0.3
         if not q.any():
             continue
         monkeypatch.setattr(maxscore, "BLOCK", int(rng.integers(2, 50)))
-        monkeypatch.setattr(maxscore, "TOGETHER", 7)
-        monkeypatch.setattr(maxscore, "UNREAD", float(rng.random()))
-        best = maxscore.search(ids[q], v[q], maxscore.Shard(ids, v), 5)
-        for j, i in enumerate(ids[q]):
-            s = v[q][j] @ v.T
-            order = [k for k in np.lexsort((ids, -s)) if ids[k] != i][:5]
-            assert ids[order].tolist() == best.ids[j].tolist() and s[order].tolist() == best.scores[j].tolist()
-
-
-def test_maxscore_prunes():
-    """Non-essential terms are really left unread for most vectors."""
+        scores = v[q] @ v.T
+        want = [[k for k in np.lexsort((ids, -s)) if ids[k] != i][:5] for i, s in zip(ids[q], scores, strict=True)]
+        # Thresholds at the k-th score of some of the vectors, and at the k-th of all.
+        least = np.array([s[o[-1]] if len(o) == 5 and rng.random() < 0.5 else -np.inf for o, s in zip(want, scores.astype(float), strict=True)])
+        for start in (None, least):
+            best = maxscore.search(ids[q], v[q], maxscore.Shard(ids, v), 5, start, read)
+            for o, s, got in zip(want, scores, best, strict=True):
+                assert ids[o].tolist() == got.ids.tolist() and s[o].tolist() == got.scores.tolist()
+    assert read.read < read.postings
+
+
+def test_maxscore_leaves_postings_and_blocks_unread():
     rng = np.random.default_rng(1)
-    v = np.zeros((5000, 16), np.int64)
-    v[:, :2] = rng.integers(0, 100, (5000, 2))
-    v[:, 2:] = rng.integers(0, 2, (5000, 14))
-    best = maxscore.search(np.array([-1]), v[:1], maxscore.Shard(np.arange(5000), v), 20)
-    s = v[:1] @ v.T
-    assert best.scores[0].tolist() == np.sort(s[0])[::-1][:20].tolist()
+    v = np.zeros((8000, 16), np.int64)
+    v[:, :2] = rng.integers(0, 100, (8000, 2))
+    v[:, 2:] = rng.integers(0, 2, (8000, 14))
+    q = np.array([[9, 7] + [1] * 14])
+    read = maxscore.Read()
+    (best,) = maxscore.search(np.array([-1]), q, maxscore.Shard(np.arange(8000), v), 20, None, read)
+    want = np.sort((q @ v.T)[0])[::-1][:20]
+    assert best.scores.tolist() == want.tolist()
+    # In blocks after the first the two large terms alone are essential; of the others only candidates' postings are probed.
+    assert read.read < 0.3 * read.postings and 0 < read.probed < 0.1 * read.postings
+    # From the right threshold on, fewer are read still, and blocks that can't reach it are left out.
+    near, far = maxscore.Shard(np.arange(8000), v), maxscore.Shard(np.arange(8000, 16000), v // 50)
+    for shard, fewer in ((near, read.read), (far, 1)):
+        again = maxscore.Read()
+        maxscore.search(np.array([-1]), q, shard, 20, np.array([float(want[-1])]), again)
+        assert again.read < fewer and (shard is near or again.visited == 0 < again.blocks)
 
 
 def test_minimum_cut_is_brute_force():
