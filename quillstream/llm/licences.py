@@ -14,7 +14,9 @@ a null path has no directory; equal scores go to the template named first;
 reserved rights count only where no licence is found; an SPDX line's score is 1
 and its licence the expression, ids spelt as here (several ids joined by AND, OR
 or WITH); an SPDX line with an unknown id is no SPDX line; of
-several licence files in a directory the best score, then the shortest path decides; repeated rows get the same answer; other columns are ignored.
+several licence files in a directory the best score, then the shortest path
+decides; texts of any length are read whole, cue by cue; repeated rows get the
+same answer; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,6 +58,10 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights. CC0 1.0 Universal, public domain dedication."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
     ("LicenseRef-All-Rights-Reserved", "All rights reserved."),
 )
 RESERVED = "LicenseRef-All-Rights-Reserved"
@@ -77,10 +83,12 @@ TITLES = (
 #: A title is one to three of so many lines with words at a file's head.
 HEAD = 6
 THRESHOLD = 0.6
+#: Reserved rights are a phrase of prose, too: their sentence must say little else.
+RESERVED_THRESHOLD = 0.9
 #: Whole files are held to more against full texts, as these share much of their language.
 FULL_THRESHOLD = 0.9
-#: Lines that follow a cue's line in its passage.
-LINES = 8
+#: Directories with a licence are broadcast up to so many bytes; beyond, files are dealt over so many parts of a directory.
+BROADCAST_BYTES, SALT = 16 << 20, 32
 #: A document whose licence passages hold this share of its words is a licence file.
 FILE_SHARE = 0.9
 
@@ -94,7 +102,7 @@ SPDX_IDS = (
     "Autoconf-exception-3.0 Bison-exception-2.2 Classpath-exception-2.0 Font-exception-2.0 GCC-exception-3.1 Linux-syscall-note LLVM-exception OpenSSL-exception"
 ).split()
 
-_CUE = re.compile(r"\b(?:licen[sc]|copyright\b|all rights reserved|public domain|spdx-|permission is hereby|redistribution and use)", re.I)
+_CUE = re.compile(r"\b(?:licen[sc]|copyright\b|all rights reserved|public domain|spdx-|permission is hereby|permission is granted|permission to use|redistribution and use|free software|source code form)", re.I)
 _SENTENCE = re.compile(r"(?<=[.!?]) +(?=[^\W\d_])")
 _FILE = re.compile(r"(?i)(^|/)(licen[sc]es?|copying|unlicense|notice)([.-][a-z0-9.-]*)?$")
 
@@ -110,6 +118,7 @@ class Templates:
         full = full_texts() if full is None else full
         self.full = Templates(df, documents, full, ()) if full else None
         self.names = [n for n, _ in templates]
+        self.longest = max((len(t.split()) for _, t in templates), default=0)
         self.idf = {w: math.log((documents + 1) / (df.get(w, 0) + 1)) + 1 for _, t in templates for w in bag(t)}
         self.other = math.log(documents + 1) + 1
         self.postings: dict[bytes, list[tuple[int, float]]] = {}
@@ -198,8 +207,10 @@ def title(text: str) -> str | None:
     return None
 
 
-def passages(text: str):
-    """Sentences and blocks of lines at licence cues, over the whole text."""
+def passages(text: str, most: int):
+    """What is compared at each licence cue of a whole text: its sentence, its line,
+    and the lines from it on, in windows that double up to ``most`` words, the
+    longest template's: what a longer window adds is no part of a notice."""
     if not _CUE.search(text):
         return
     lines = text.split("\n")
@@ -210,13 +221,18 @@ def passages(text: str):
             if _CUE.search(s):
                 yield s
         yield line
-        block = [line]
-        for after in lines[i + 1 : i + 1 + LINES]:
-            if not after.strip():
+        held, n, want = [line], len(line.split()), 8
+        for after in lines[i + 1 :]:
+            if n >= most:
                 break
-            block.append(after)
-        if len(block) > 1:
-            yield "\n".join(block)
+            held.append(after)
+            n += len(after.split())
+            if n >= want:
+                yield "\n".join(held)
+                while want <= n:
+                    want *= 2
+        if len(held) > 1:
+            yield "\n".join(held)
 
 
 def own_licence(text: str | None, is_file: bool, templates: Templates, threshold: float = THRESHOLD) -> tuple[str | None, float, bool]:
@@ -233,8 +249,10 @@ def own_licence(text: str | None, is_file: bool, templates: Templates, threshold
             if s >= FULL_THRESHOLD:
                 return name, s, True
     found, score, share = None, 0.0, 0
-    for p in ([text, *passages(text)] if is_file else passages(text)):
+    for p in ([text, *passages(text, templates.longest)] if is_file else passages(text, templates.longest)):
         name, s = templates.best(bag(p))
+        if name == RESERVED and s < RESERVED_THRESHOLD:
+            continue
         # Any licence goes before reserved rights, which most notices mention as well.
         known, before = ((n is not None and n != RESERVED and x >= threshold) for n, x in ((name, s), (found, score)))
         if (known, s) > (before, score):
@@ -282,6 +300,12 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     kind = documents.schema[id_col].dataType.simpleString()
     own = documents.select(id_col, text_col, F.col(path_col).cast("string")).mapInArrow(run, f"doc_id {kind}, path string, own_license string, own_score double, is_file boolean")
     own = stored(own.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1)), "licences")
+    return inherited(own)
+
+
+def inherited(own: DataFrame) -> DataFrame:
+    """Rows (doc_id, path, dir, own_license, own_score, is_file) with what they
+    inherit from the nearest ancestor directory that has a licence file."""
     # One licence a directory that has licence files.
     best = F.max_by("own_license", F.struct(F.col("own_score"), -F.length("path"), F.xxhash64("path"))).alias("found")
     by_dir = own.where("is_file").groupBy(F.col("dir").alias("of")).agg(best)
@@ -290,7 +314,14 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(parts, 1, k), "/")))).alias("of")).distinct()
     nearest = above.join(by_dir, "of").groupBy("dir").agg(F.max_by(F.struct("of", "found"), F.length("of")).alias("n"))
-    out = own.join(nearest.select("dir", F.col("n.of").alias("of"), F.col("n.found").alias("found")), "dir", "left")
+    nearest = stored(nearest.select("dir", F.col("n.of").alias("of"), F.col("n.found").alias("found")), "directories")
+    r = nearest.agg(F.count("*").alias("n"), F.sum(F.length("dir") + F.length("of") + F.length("found") + 96).alias("bytes")).first()
+    if (r["bytes"] or 0) <= BROADCAST_BYTES:
+        out = own.join(F.broadcast(nearest), "dir", "left")
+    else:
+        # A directory may hold very many files: they are dealt over SALT parts, of which each gets the directory's row.
+        salt = F.pmod(F.xxhash64("path", "doc_id"), F.lit(SALT)).alias("salt")
+        out = own.select("*", salt).join(nearest.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")), ["dir", "salt"], "left")
     none = F.col("own_license").isNull()
     inherits = none & F.col("path").isNotNull() & F.col("found").isNotNull()
     return out.select(

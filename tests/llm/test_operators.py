@@ -2,9 +2,11 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -286,6 +288,45 @@ def test_licences_inherit_over_levels(spark):
     assert len(got) == len(files) and levels >= {0, 1, 2, 3}
 
 
+def test_licences_of_a_large_directory(spark, monkeypatch):
+    """One directory holds most files: the same answers when its row is broadcast and when it is dealt out."""
+    rows = [(1, "Licensed under the MIT License.", "big/LICENSE"), (2, "Licensed under CC BY 4.0.", "b/COPYING")] + [(i, "code", f"big/{i % 3}/{i}.py" if i % 4 else f"b/{i}.py") for i in range(3, 200)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string").withColumns({c: F.lit(c) for c in ("dir", "of", "found", "salt", "license")})
+    first = sorted(tuple(r) for r in licences.scan(df).collect())
+    monkeypatch.setattr(licences, "BROADCAST_BYTES", -1)
+    assert sorted(tuple(r) for r in licences.scan(df).collect()) == first and len(first) == len(rows)
+    assert {r[4] for r in first if r[1].startswith("big/")} == {"MIT"} and {r[4] for r in first if r[1].startswith("b/")} == {"CC-BY-4.0"}
+
+
+def test_licence_scores_are_the_cosines(spark):
+    """own_license and own_score of a whole table against plain TF-IDF vectors."""
+    table = docs(spark)
+    words = {w for _, t in licences.TEMPLATES for w in words_of(t)}
+    df = {w: sum(w in set(words_of(r["text"])) for r in table) for w in words}
+    idf = lambda w: math.log((len(table) + 1) / (df[w] + 1)) + 1 if w in df else math.log(len(table) + 1) + 1
+    vector = lambda t: {w: n * idf(w) for w, n in Counter(words_of(t)).items()}
+    cosine = lambda a, b: sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+    templates = [(n, vector(t)) for n, t in licences.TEMPLATES]
+    most = max(len(t.split()) for _, t in licences.TEMPLATES)
+    got = {r["doc_id"]: r for r in queries.op8_licences(spark, SMALL).collect()}
+    found = 0
+    for r in table:
+        best = {}
+        for p in licences.passages(r["text"], most):
+            v = vector(p)
+            for n, t in templates if v else ():
+                if (c := cosine(v, t)) >= (0.9 if n == licences.RESERVED else 0.6):
+                    best[n] = max(best.get(n, 0), c)
+        if len(best) > 1:
+            best.pop(licences.RESERVED, None)
+        g = got[r["doc_id"]]
+        assert (g["own_license"] is None) == (not best)
+        if best:
+            found += 1
+            assert abs(g["own_score"] - max(best.values())) < 1e-9 and best[g["own_license"]] >= g["own_score"] - 1e-9
+    assert found
+
+
 def test_licence_lines_of_the_table(spark):
     got = {r["doc_id"]: r["own_license"] for r in queries.op8_licences(spark, SMALL).collect()}
     for r in docs(spark):

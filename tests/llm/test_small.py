@@ -290,6 +290,25 @@ def test_licence_cases():
     assert licences.own_licence("Licensed under CC BY-NC 4.0.", False, t)[2]
 
 
+def test_licence_passages():
+    t = licences.Templates({b"the": 90, b"under": 40}, 100)
+    # A phrase of prose is no licence; the sentence by itself is.
+    prose = "He had a driving licence. All rights reserved to the king. Nobody may pass."
+    assert licences.own_licence(prose, False, t)[0] is None
+    assert licences.own_licence("code\nCopyright 2020 Someone. All rights reserved.\ncode", False, t)[0] == licences.RESERVED
+    # Notices of any length, broken into many short lines with empty ones between, with code right after them.
+    for name in ("ISC", "GPL-3.0", "Apache-2.0", "AGPL-3.0", "MIT"):
+        notice = max((x for n, x in licences.TEMPLATES if n == name), key=len)
+        lines = [" * " + w for w in re.findall(r"\S+(?:\s+\S+)?(?:\s+\S+)?", notice)]
+        code = "int main() { return 0; }\n" * 300
+        assert len(lines) > 9
+        for sep in ("\n", "\n *\n"):
+            assert licences.own_licence("/*\n" + sep.join(lines) + "\n */\n" + code, False, t)[0] == name
+    # Very many cues in one long text.
+    began = time.time()
+    assert licences.own_licence("a licence of some kind\n" * 5_000 + "Licensed under the MIT License.\n", False, t)[0] == "MIT" and time.time() - began < 20
+
+
 def test_whole_licence_files():
     t = licences.Templates({b"the": 90, b"under": 40}, 100)
     texts = dict(licences.full_texts())
