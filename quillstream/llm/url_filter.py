@@ -10,7 +10,8 @@ hash join with the list, which removes the false positives; all others skip it.
 Defined cases: a null URL and one without ``://`` have an empty host and path,
 fit no rule and are allowed; rows are judged one by one, so repeated rows get
 the same verdict; of equally long rules the first by text wins; a listed URL may
-repeat; an empty list blocks nothing; other columns are ignored.
+repeat; an empty list blocks nothing and an empty table gives an empty result;
+URLs of any length are read whole; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import stored
+
 #: Rules of the query: (host, path, verdict). Fixed values.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Parameters of a query string that do not choose a page.
@@ -95,30 +98,31 @@ def bloom(keys: DataFrame, key: str, blocks: int) -> DataFrame:
 def judge(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict, canonical of every row.
 
-    ``listed`` has canonical URLs in its column ``canonical``.
+    ``listed`` has canonical URLs in its column ``canonical``. While list and
+    filter are small enough to be broadcast, the pages are read once and nothing
+    is shuffled; beyond, only URLs that pass the filter are.
     """
-    listed = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
-    blocks = max(1, listed.count() // KEYS_PER_BLOCK + 1)
+    listed = stored(listed.select("canonical").where(F.col("canonical").isNotNull()).distinct(), "listed")
+    size = listed.agg(F.count("*").alias("n"), F.sum(F.octet_length("canonical") + 64).alias("bytes")).first()
+    blocks = max(1, size["n"] // KEYS_PER_BLOCK + 1)
     filter_ = bloom(listed, "canonical", blocks).select(*[F.col(c).alias(f"__{c}") for c in ("block", *(f"w{i}" for i in range(WORDS)))])
     if blocks * BLOCK_BYTES <= BROADCAST_BYTES:
         filter_ = F.broadcast(filter_)
     url = F.col(url_col)
-    rows = pages.select(F.col(id_col), host(url).alias("host"), path(url).alias("path"), canonical(url).alias("canonical"))
+    rows = pages.select(F.col(id_col).alias("page_id"), host(url).alias("host"), path(url).alias("path"), canonical(url).alias("canonical"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "by_rule": verdict})
-    out = [F.col(id_col).alias("page_id"), "host", "path", "rule"]
-    # A rule decides alone; only the other URLs are looked up.
-    open_ = rows.where(F.col("by_rule").isNull() & F.col("canonical").isNotNull())
-    set_ = rows.where(F.col("by_rule").isNotNull() | F.col("canonical").isNull())
-    probed = open_.join(filter_, _block(F.col("canonical"), blocks) == F.col("__block"), "left")
+    probed = rows.withColumns({"rule": rule, "by_rule": verdict}).join(filter_, _block(F.col("canonical"), blocks) == F.col("__block"), "left")
     passes = F.coalesce(reduce(lambda a, b: a & b, [F.col(f"__w{i}").bitwiseAND(b) != 0 for i, b in enumerate(_bits(F.col("canonical")))]), F.lit(False))
-    exact = listed.withColumn("listed", F.lit(True))
-    possible = probed.where(passes).join(exact, "canonical", "left")
-    return (
-        set_.select(*out, F.coalesce("by_rule", F.lit("allow")).alias("verdict"), "canonical")
-        .unionByName(probed.where(~passes).select(*out, F.lit("allow").alias("verdict"), "canonical"))
-        .unionByName(possible.select(*out, F.when(F.col("listed"), "block").otherwise("allow").alias("verdict"), "canonical"))
-    )
+    # A rule decides alone; of the other URLs those that pass are looked up.
+    asks = F.col("by_rule").isNull() & passes
+    probed = probed.select("page_id", "host", "path", "rule", "by_rule", "canonical", F.when(asks, F.col("canonical")).alias("__ask"))
+    exact = listed.select(F.col("canonical").alias("__listed"))
+    on = F.col("__ask") == F.col("__listed")
+    if (size["bytes"] or 0) <= BROADCAST_BYTES:
+        found = probed.join(F.broadcast(exact), on, "left")
+    else:
+        found = probed.where(F.col("__ask").isNotNull()).join(exact, on, "left").unionByName(probed.where(F.col("__ask").isNull()).withColumn("__listed", F.lit(None).cast("string")))
+    return found.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("__listed").isNotNull(), "block").otherwise("allow")).alias("verdict"), "canonical")
 
 
 def listing(pages: DataFrame, labels: str = LISTED_LABELS, url_col: str = "url") -> DataFrame:

@@ -209,6 +209,25 @@ def test_url_cases(spark):
     assert {r[0]: r[1:5] for r in con.execute(url_filter.SQL).fetchall()} == got
 
 
+def test_urls_of_long_lists_and_odd_tables(spark, monkeypatch):
+    """The same verdicts when list and filter are too large to be broadcast; long URLs, an empty table, clashing columns."""
+    urls = [f"http://{'casino.' if i % 3 else ''}h{i % 40}.example.info/a/{i % 50}" for i in range(600)] + ["http://casino.example.info/" + "x" * 200_000, "http://x.example.info/?" + "&".join(f"p{i}=1" for i in range(5_000)), None, None]
+    names = ("host", "path", "verdict", "canonical", "block", "w0", "listed")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({c: F.lit(c) for c in names})
+    run = lambda p: sorted(tuple(r) for r in url_filter.judge(p, url_filter.listing(p)).collect())
+    first = run(pages)
+    assert len(first) == len(urls) and {r[4] for r in first} == {"block", "allow"} and first[600][4] == "block"
+    assert run(pages.where("false")) == []
+    monkeypatch.setattr(url_filter, "BROADCAST_BYTES", 0)
+    assert run(pages) == first
+
+
+def test_url_plan_reads_the_pages_once(spark):
+    p = spark.read.parquet(f"{SMALL}/pages.parquet")
+    plan = url_filter.judge(p, url_filter.listing(p))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet [page_id") == 1 and "Python" not in plan and "Arrow" not in plan
+
+
 def test_bloom_filter_holds_all_keys(spark):
     keys = spark.range(3000).select(F.col("id").cast("string").alias("k"))
     f = url_filter.bloom(keys, "k", 100)
