@@ -12,12 +12,14 @@ rest, so that nothing is cut off.
 
 Defined cases: a null or empty text is one end mark; repeated rows are packed
 one by one; pieces of equal length keep the order of their ids; an empty table
-gives an empty result; other columns are ignored. Memory is bounded: a task
+gives an empty result; texts of any length are split; other columns are ignored,
+whatever their names. Memory is bounded: a task
 packs at most ``HELD`` pieces at a time.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -103,21 +105,23 @@ def pieces(sized: DataFrame, lengths=LENGTHS) -> DataFrame:
     """doc_id, n_tokens to pieces: doc_id, piece, start, length."""
     most = max(lengths)
     last = F.floor((F.col("n_tokens") - 1) / most).cast("int")
-    cut = sized.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
+    salt = F.col("salt") if "salt" in sized.columns else F.lit(0).cast("long").alias("salt")
+    cut = sized.select("doc_id", "n_tokens", salt, F.explode(F.sequence(F.lit(0), last)).alias("piece"))
     start = F.col("piece").cast("long") * most
-    return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n_tokens") - start).alias("length"))
+    return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n_tokens") - start).alias("length"), "salt")
 
 
 def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD, rows: int | None = None) -> DataFrame:
     """doc_id and n_tokens (1 at least) of each row to its pieces' places: doc_id,
     piece, start, length, bin_id, bin_offset, bin_tokens, bin_length.
 
+    ``salt``, where there is such a column, is a number that tells rows of one id
+    apart; shards depend on ids, pieces and salts, not on how rows are stored.
     ``rows`` is the number of rows where it is known, so that they need not be
     counted."""
-    spark = sized.sparkSession
     shards = (sized.count() if rows is None else rows) // shard + 1
     kind = sized.schema["doc_id"].dataType.simpleString()
-    cut = pieces(sized, lengths).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(shards)))
+    cut = pieces(sized, lengths).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)))
 
     def packed(held: list[pa.RecordBatch], group: int, round_: int):
         rows = pa.Table.from_batches(held).combine_chunks()
@@ -149,22 +153,26 @@ def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD, rows: int | None
             yield from packed(held, group, round_)
 
     schema = f"doc_id {kind}, piece int, start long, length long, bin_id long, bin_offset long, bin_tokens long, bin_length long"
-    dealt = cut.select("doc_id", "piece", "start", "length", "shard").repartition(int(min(shards, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))), "shard")
-    return dealt.sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece").mapInArrow(run, schema)
+    dealt = cut.select("doc_id", "piece", "start", "length", "shard", "salt").repartition(int(shards), "shard")
+    return dealt.sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "salt").mapInArrow(run, schema)
 
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and n_tokens of each row, with its end mark; no shuffle."""
+    """doc_id, n_tokens and salt (a sum of the ids) of each row, with its end mark; no shuffle."""
     from quillstream.llm.token_orc import encoder, vocabulary
 
     def run(batches):
         enc = encoder(tokenizer or vocabulary())
         for batch in batches:
-            n = [len(x) // 4 + 1 for lo in range(0, batch.num_rows, 500) for x in enc.encode(batch.column(1).slice(lo, 500).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+            n, salt = [], []
+            for lo in range(0, batch.num_rows, 500):
+                for x in enc.encode(batch.column(1).slice(lo, 500).to_pylist()):
+                    n.append(len(x) // 4 + 1)
+                    salt.append(zlib.crc32(x))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(salt, pa.int64())], names=["doc_id", "n_tokens", "salt"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long")
+    return documents.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_tokens long, salt long")
 
 
 def character_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
