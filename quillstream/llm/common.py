@@ -8,9 +8,10 @@ import math
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Separators and lower-casing of the byte-level word rule: words are runs of
 #: digits, ASCII letters (lower-cased) and any byte of a non-ASCII character.
@@ -98,8 +99,12 @@ def forget(df: DataFrame) -> None:
         fs.cancelDeleteOnExit(where)
 
 
-#: Bytes of input for each task of a stage.
-TASK_BYTES = 64 << 20
+#: Least bytes of input for each task of a stage; more where the session reads files in larger parts.
+TASK_BYTES = 16 << 20
+
+
+def task_bytes(spark: SparkSession) -> int:
+    return max(TASK_BYTES, int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()))
 
 
 def bytes_of(df: DataFrame) -> int:
@@ -108,17 +113,41 @@ def bytes_of(df: DataFrame) -> int:
     return found if found < 1 << 60 else 0
 
 
-def tasks_for(df: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+def tasks_for(df: DataFrame, each: int | None = None) -> int:
     """Partitions for a shuffle of df that feeds Python: as many as its size asks
     for, and at least the session's setting."""
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(bytes_of(df) / task_bytes))
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(bytes_of(df) / (each or task_bytes(df.sparkSession))))
 
 
-def compact(df: DataFrame, size_of: DataFrame | None = None, task_bytes: int = TASK_BYTES) -> DataFrame:
+def compact(df: DataFrame, size_of: DataFrame | None = None) -> DataFrame:
     """df in no more partitions than the size of its source and the cores ask for,
     so that a table is not written as very many small files. No shuffle."""
     size = bytes_of(df if size_of is None else size_of)
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / task_bytes))) if size else df
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / task_bytes(df.sparkSession)))) if size else df
+
+
+#: Bits of the filter of keys: at most 4 MB.
+FILTER_BITS = 1 << 25
+
+
+def bit_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
+    """A Bloom filter of keys (k1, k2), as bits; its size is bounded whatever their number."""
+    n = keys.count()
+    bits = 1 << 13
+    while bits < min(16 * n, FILTER_BITS):
+        bits <<= 1
+    at = F.explode(F.array(*[F.col(k).bitwiseAND(F.lit(bits - 1)) for k in ("k1", "k2")]))
+    words = keys.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out, bits
+
+
+def in_filter(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
+    """Which keys (a row of two halves each) may be in the filter."""
+    at = keys & (bits - 1)
+    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
 
 
 _state: dict = {}

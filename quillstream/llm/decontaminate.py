@@ -5,11 +5,17 @@ document is streamed through it word by word; the state's length is the longest
 match that ends at that word, so every word of a match of at least ``window``
 words lies inside an occurrence of a window, and all other words do not.
 
+Items of more than ``SHARD_WORDS`` words are dealt over several automata. Each
+then goes over the documents in a pass of its own, so that a worker holds one of
+them, and leaves a row for each text that it hits; these rows are united and
+joined to the documents by the texts' digests. One automaton needs no shuffle.
+
 Defined cases: a null or empty text has no words and no hits; repeated rows are
 judged separately with the same result; an empty item table marks nothing; item
 rows with null or wordless texts take no part; those with a null id mark words
 but are not among the items; several rows with one item id count as one item;
-other columns are never looked at.
+texts of any length are streamed whole; other columns are never looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +23,19 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillstream.llm.common import WORD_TABLE, words_of, worker_state
+from quillstream.llm.common import WORD_TABLE, bit_filter, in_filter, stored, words_of, worker_state
 
-#: Words of test items in one automaton (about 1 kB each in Python). More items
-#: than that are dealt over several automata, whose hits are then united.
-SHARD_WORDS = 200_000
+#: Words of test items in one automaton, about 1 kB each in Python.
+SHARD_WORDS = 100_000
 #: Words in an occurrence.
 WINDOW = 10
 #: With more distinct item words than this, pairs are looked up by search and
@@ -208,9 +216,6 @@ def shards(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
     yield Automaton(held, window)
 
 
-FOUND = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
-
-
 def _found(auto, text: str | None):
     words = words_of(text)
     ids = np.fromiter(map(auto.vocab.get, words, [0] * len(words)), dtype=np.int64, count=len(words))
@@ -218,28 +223,57 @@ def _found(auto, text: str | None):
     return len(words), spans, sorted(items)
 
 
-def find(documents: DataFrame, automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: id, n_words, hit word spans and items, for one automaton.
+def digest_of(text: str | None) -> bytes | None:
+    return None if text is None else hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
 
-    ``automaton`` is a broadcast variable that holds an :class:`Automaton`.
-    """
 
-    def run(batches):
-        auto = automaton.value
-        for batch in batches:
-            n, spans, items = [], [], []
-            for text in batch.column(1):
-                k, s, i = _found(auto, text.as_py())
-                n.append(k)
-                spans.append([{"start": a, "stop": b} for a, b in s])
-                items.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array(items, pa.list_(pa.string()))],
-                names=[id_col, "n_words", "spans", "items"],
-            )
+def _halves(texts) -> list[pa.Array]:
+    """Digests of texts as two columns of whole numbers; null for null."""
+    found = [digest_of(t) for t in texts]
+    none = np.array([d is None for d in found], bool)
+    both = np.frombuffer(b"".join(d or bytes(16) for d in found), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, i]), mask=none) for i in (0, 1)]
+
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, {FOUND}")
+SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+
+def hits(documents: DataFrame, automata: Iterator[Automaton]) -> DataFrame:
+    """k1, k2 (a text's digest), spans and items of each text that some automaton
+    hits; one pass over the documents for each automaton."""
+    spark = documents.sparkSession
+    tables = []
+    for auto in automata:
+        shared = spark.sparkContext.broadcast(auto)
+
+        def run(batches, shared=shared):
+            worker_state("decontaminate", bool)
+            for batch in batches:
+                texts, spans, items = [], [], []
+                for text in batch.column(0):
+                    _, s, i = _found(shared.value, text.as_py())
+                    if s:
+                        texts.append(text.as_py())
+                        spans.append([{"start": a, "stop": b} for a, b in s])
+                        items.append(i)
+                yield pa.RecordBatch.from_arrays([*_halves(texts), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], names=["k1", "k2", "spans", "items"])
+
+        found = documents.select("text").mapInArrow(run, "k1 long, k2 long, spans array<struct<start:int,stop:int>>, items array<string>")
+        tables.append(stored(found.dropDuplicates(["k1", "k2"]), "hits"))
+        shared.destroy()
+    # A text has a row for each automaton at most.
+    every = reduce(DataFrame.unionByName, tables)
+    return every.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+
+
+def few(benchmark: DataFrame, window: int, limit: int) -> tuple[Automaton | None, Iterator[Automaton]]:
+    """The only automaton, or None and all of them."""
+    every = shards(benchmark, limit=limit, window=window)
+    first = next(every)
+    second = next(every, None)
+    if second is None:
+        return first, iter(())
+    return None, chain([first, second], every)
 
 
 def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,35 +287,44 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, limit: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document row.
-
-    With one automaton (the usual case, checked by size) this is one pass with
-    no shuffle. Further automata are chained: each pass carries on the spans and
-    items that the passes before it found.
-    """
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per document row."""
     spark = documents.sparkSession
-    autos = [spark.sparkContext.broadcast(a) for a in shards(benchmark, limit=limit, window=window)]
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    one, more = few(benchmark, window, limit)
+    if one is None:
+        return _contamination_of_many(documents, hits(documents, more), kind)
+    shared = spark.sparkContext.broadcast(one)
 
     def run(batches):
         worker_state("decontaminate", bool)  # lets go of other operators' memos
         for batch in batches:
             rows = []
             for text in batch.column(1):
-                text, spans, items, n = text.as_py(), [], set(), 0
-                for auto in autos:
-                    n, s, i = _found(auto.value, text)
-                    spans += s
-                    items.update(i)
-                hit = sum(b - a for a, b in unite(spans))
-                rows.append((n, hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0))
+                n, spans, items = _found(shared.value, text.as_py())
+                hit = sum(b - a for a, b in spans)
+                rows.append((n, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), hit > 0))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
+def _contamination_of_many(documents: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    def run(batches):
+        worker_state("decontaminate", bool)
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_halves(texts), pa.array([len(words_of(t)) for t in texts], pa.int64())], names=["doc_id", "k1", "k2", "n_words"])
+
+    rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, k1 long, k2 long, n_words long").join(found, ["k1", "k2"], "left")
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], a["end"]))).alias("n"), F.greatest(a["end"], s["stop"]).alias("end"))
+    hit = F.coalesce(F.aggregate("spans", zero, step)["n"], F.lit(0)).cast("long")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return rows.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the words of the spans; what stood between them stays apart."""
     # The word rule is the same on characters as on bytes, after lower-casing.
@@ -293,6 +336,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def _without(batch: pa.RecordBatch, at: int, found: Iterator[tuple[list[tuple[int, int]], int]], coverage: float) -> pa.RecordBatch:
+    """batch without the spans of each text, and without rows that are mostly such; found gives spans and words."""
+    texts, keep, changed = [], [], False
+    for value, (spans, n) in zip(batch.column(at), found, strict=True):
+        keep.append(not spans or sum(b - a for a, b in spans) <= coverage * n)
+        text = value.as_py()
+        if spans and keep[-1]:
+            text, changed = cut(text, spans), True
+        texts.append(text)
+    if changed:
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+    return batch if all(keep) else batch.filter(pa.array(keep))
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.5, limit: int = SHARD_WORDS) -> DataFrame:
     """documents, all columns kept, without contaminated passages.
 
@@ -300,28 +357,48 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     document's words the whole document goes. Clean rows pass untouched.
     """
     spark = documents.sparkSession
-    autos = [spark.sparkContext.broadcast(a) for a in shards(benchmark, limit=limit, window=window)]
     at = documents.columns.index("text")
+    one, more = few(benchmark, window, limit)
+    if one is None:
+        return _decontaminated_of_many(documents, hits(documents, more), at, coverage)
+    shared = spark.sparkContext.broadcast(one)
 
     def run(batches):
         worker_state("decontaminate", bool)  # lets go of other operators' memos
         for batch in batches:
-            texts, keep, changed = [], [], False
-            for text in batch.column(at):
-                text, spans, n = text.as_py(), [], 0
-                for auto in autos:
-                    n, s, _ = _found(auto.value, text)
-                    spans += s
-                spans = unite(spans)
-                keep.append(not spans or sum(b - a for a, b in spans) <= coverage * n)
-                if spans and keep[-1]:
-                    text, changed = cut(text, spans), True
-                texts.append(text)
-            if changed:
-                batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-            yield batch if all(keep) else batch.filter(pa.array(keep))
+            found = (_found(shared.value, text.as_py()) for text in batch.column(at))
+            yield _without(batch, at, ((spans, n) for n, spans, _ in found), coverage)
 
     return documents.mapInArrow(run, documents.schema)
 
 
+def _decontaminated_of_many(documents: DataFrame, found: DataFrame, at: int, coverage: float) -> DataFrame:
+    """As decontaminate(), by hits that are joined by digest; only texts that a
+    bounded filter marks as possibly hit are shuffled."""
+    found = stored(found.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")), "hits")
+    words, bits = bit_filter(found.select(F.col("__k1").alias("k1"), F.col("__k2").alias("k2")))
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+    schema, columns = documents.schema, documents.columns
+
+    def mark(batches):
+        worker_state("decontaminate", bool)
+        for batch in batches:
+            halves = _halves(batch.column(at).to_pylist())
+            keys = np.column_stack([h.fill_null(0).to_numpy() for h in halves]).reshape(-1, 2)
+            out = pa.array(~in_filter(shared.value, bits, keys))
+            halves = [pa.array([None if o else k for o, k in zip(out.to_pylist(), h.to_pylist(), strict=True)], pa.int64()) for h in halves]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *halves], schema=batch.schema.append(pa.field("__k1", pa.int64())).append(pa.field("__k2", pa.int64())))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(at)
+            spans = (unite([(s["start"], s["stop"]) for s in x.as_py() or ()]) for x in batch.column(len(columns)))
+            yield _without(batch.select(columns), at, ((s, len(words_of(t.as_py()))) for s, t in zip(spans, texts, strict=True)), coverage)
+
+    marked = documents.mapInArrow(mark, StructType([*schema.fields, StructField("__k1", LongType()), StructField("__k2", LongType())]))
+    clear = marked.where(F.col("__k1").isNull()).select(*columns)
+    asked = marked.where(F.col("__k1").isNotNull()).join(found, ["__k1", "__k2"], "left").select(*columns, "__spans")
+    return clear.unionByName(asked.mapInArrow(run, schema))
+
+
 assert WORD_TABLE[0x2F] == WORD_TABLE[0x3A] == WORD_TABLE[0x60] == WORD_TABLE[0x7F] == 0x20

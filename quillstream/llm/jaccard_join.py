@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillstream.llm.common import compact, forget, stored, tasks_for, words_of, worker_state
+from quillstream.llm.common import bit_filter, compact, forget, in_filter, stored, tasks_for, words_of, worker_state
 from quillstream.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -46,8 +46,6 @@ TOLERANCE = 1e-6
 BLOCK = 512
 #: Words whose hashes a worker remembers, about 150 bytes each.
 MEMO = 200_000
-#: Bits of the filter that picks the documents to verify: at most 4 MB.
-FILTER_BITS = 1 << 25
 #: Rows that a task hands on at once.
 ROWS_OUT = 8_192
 #: Cells of a block's incidence matrix (4 bytes each) before sets are met in pairs.
@@ -172,33 +170,23 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def groups_of(batches, width: int = 2):
-    """Tables of rows that agree in the first columns; rows arrive sorted by them."""
-    held: list[pa.RecordBatch] = []
-    last = None
+def groups_of(batches, columns):
+    """Arrays of the rows that agree in the first two columns; rows arrive sorted
+    by them, and columns turns a batch into arrays."""
+    held = None
     for batch in batches:
-        ids = [batch.column(i).to_numpy() for i in range(width)]
-        change = np.zeros(max(0, batch.num_rows - 1), bool)
-        for x in ids:
-            change |= x[1:] != x[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if a == b:
-                continue
-            mark = tuple(x[a] for x in ids)
-            if held and mark != last:
-                yield last, held
-                held = []
-            last = mark
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield last, held
-
-
-def _column(parts: list[pa.RecordBatch], name: str) -> np.ndarray:
-    at = parts[0].schema.get_field_index(name)
-    found = [p.column(at).to_numpy(zero_copy_only=False) for p in parts]
-    return found[0] if len(found) == 1 else np.concatenate(found)
+        now = columns(batch)
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        if not len(now[0]):
+            continue
+        cuts = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1])) + 1
+        starts = [0, *cuts.tolist()]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield [x[a:b] for x in now]
+        held = [x[starts[-1] :] for x in now]
+    if held is not None:
+        yield held
 
 
 class Out:
@@ -269,20 +257,22 @@ def survivors(sigs: np.ndarray, side: np.ndarray, band: int, floor: dict[int, in
 def _pruned(batches):
     floor = least_matches()
     out = Out(["bucket", "part", "place", "cid", "copies", "mates"])
-    for (bucket, part), rows in groups_of(batches):
-        ids = _column(rows, "cid")
+
+    def columns(batch):
+        get = lambda name: batch.column(batch.schema.get_field_index(name)).to_numpy()
+        return [*map(get, ("bucket", "part", "cid", "copies", "side")), np.column_stack([get(c) for c in SIG]).view(np.uint8)]
+
+    for bucket, part, ids, copies, side, sigs in groups_of(batches, columns):
         if len(ids) < 2:
             continue
-        sigs = np.column_stack([_column(rows, c) for c in SIG]).view(np.uint8)
-        i, j = survivors(sigs, _column(rows, "side"), int(bucket) >> 40, floor)
+        i, j = survivors(sigs, side, int(bucket[0]) >> 40, floor)
         if not len(i):
             continue
         used = np.unique(np.concatenate([i, j]))
         order = np.argsort(i, kind="stable")
         i, j = i[order], j[order]
         mates = np.searchsorted(i, used, side="right") - np.searchsorted(i, used)
-        n = len(used)
-        out.add(np.full(n, bucket), np.full(n, part), used.astype(np.int32), ids[used], _column(rows, "copies")[used], (mates, j.astype(np.int32)))
+        out.add(bucket[used], part[used], used.astype(np.int32), ids[used], copies[used], (mates, j.astype(np.int32)))
         if out.full():
             yield out.batch()
     if out.rows:
@@ -308,17 +298,23 @@ def overlaps(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray
 def _verified(batches):
     limit = Fraction(str(THRESHOLD))
     out = Out(["cid", "root", "n_links", "n_linked"])
-    for _, rows in groups_of(batches):
-        ids, copies, places = _column(rows, "cid"), _column(rows, "copies"), _column(rows, "place")
-        mates = pa.concat_arrays([p.column(p.schema.get_field_index("mates")) for p in rows])
-        counts = np.diff(mates.offsets.to_numpy())
+
+    def columns(batch):
+        get = lambda name: batch.column(batch.schema.get_field_index(name))
+        lists = [get(name) for name in ("mates", "shingles")]
+        held = [np.empty(batch.num_rows, object) for _ in lists]
+        for place, column in zip(held, lists, strict=True):
+            place[:] = list(column)
+        return [*(get(name).to_numpy() for name in ("bucket", "part", "place", "cid", "copies")), *held]
+
+    for _, _, places, ids, copies, mates, shingles in groups_of(batches, columns):
+        counts = np.array([len(m) for m in mates])
         if not counts.any():
             continue
         order = np.argsort(places)
         i = np.repeat(np.arange(len(ids)), counts)
-        j = order[np.searchsorted(places, mates.values.to_numpy()[mates.offsets[0].as_py() : mates.offsets[-1].as_py()], sorter=order)]
-        at = rows[0].schema.get_field_index("shingles")
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for p in rows for x in p.column(at)]
+        j = order[np.searchsorted(places, np.concatenate([m.values.to_numpy() for m in mates]), sorter=order)]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in shingles]
         both = overlaps(sets, i, j)
         sizes = np.array([len(s) for s in sets])
         linked = both * limit.denominator >= limit.numerator * (sizes[i] + sizes[j] - both)
@@ -350,26 +346,6 @@ def _verified(batches):
         yield out.batch()
 
 
-def bit_filter(keys: DataFrame) -> tuple[np.ndarray, int]:
-    """A Bloom filter of keys (k1, k2), as bits; its size is bounded whatever their number."""
-    n = keys.count()
-    bits = 1 << 13
-    while bits < min(16 * n, FILTER_BITS):
-        bits <<= 1
-    at = F.explode(F.array(*[F.col(k).bitwiseAND(F.lit(bits - 1)) for k in ("k1", "k2")]))
-    words = keys.select(at.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    got = words.toArrow()
-    out = np.zeros(bits // 64, np.uint64)
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return out, bits
-
-
-def in_filter(words: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
-    """Which keys (a row of two halves each) may be in the filter."""
-    at = keys & (bits - 1)
-    return ((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
-
-
 def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Keys of texts and which texts have none."""
     found = [key_of(word_list(t.as_py())) for t in texts]
