@@ -11,6 +11,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -374,6 +375,57 @@ def test_packing_keeps_every_token(spark, odd, none):
     assert packing.pack(packing.character_counts(none)).count() == 0
 
 
+def test_packing_does_not_depend_on_storage(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet").withColumns({c: F.lit(c) for c in ("piece", "start", "length", "bin_id", "shard")})
+    places = lambda docs: sorted(tuple(r) for r in packing.pack(packing.token_counts(docs), shard=40).collect())
+    assert places(d) == places(d.repartition(7, "text")) == places(d.coalesce(1).orderBy(F.desc("doc_id")))
+
+
+def test_language_is_brute_force(spark):
+    """Every prediction against sizes of plain compression with the learned dictionaries."""
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = language.learn(d)
+    fs = {}
+    for lang, data in model.dictionaries.items():
+        held = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        fs[lang] = zstandard.ZstdCompressor(dict_data=held, compression_params=zstandard.ZstdCompressionParameters(**language.SEARCH))
+    text = {r["doc_id"]: r["text"] for r in d.collect()}
+    learned = {r["lang"] for r in d.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1}
+    assert set(fs) == learned
+    for r in language.identify(d, model).collect():
+        letters = "".join(c if ("a" <= c <= "z" or ord(c) >= 0x80) else " " for c in text[r["doc_id"]].lower())
+        data = b" ".join(letters.encode().split())
+        sizes = sorted((sum(len(f.compress(data[i : i + language.PIECE])) for i in range(0, len(data), language.PIECE)), lang) for lang, f in fs.items())
+        if sizes[0][0] < sizes[1][0]:
+            assert r["lang_pred"] == sizes[0][1] and r["rejected"] == ((sizes[1][0] - sizes[0][0]) / sizes[1][0] < language.MARGIN)
+        else:
+            assert r["lang_pred"] in {lang for n, lang in sizes if n == sizes[0][0]}
+
+
+def planted(spark):
+    """Documents of the table with near copies around the threshold, that a plain comparison sorts out."""
+    rng = random.Random(21)
+    rows = [(r["doc_id"], r["text"]) for r in docs(spark)]
+    long = [t for _, t in rows if 60 < len(t.split()) < 400][:40]
+    for k, t in enumerate(long):
+        words = t.split()
+        for n in (1, 2, 3, 4, 6):
+            w = list(words)
+            for _ in range(n * len(w) // 60 + 1):
+                w[rng.randrange(len(w))] = f"changed{rng.randrange(10**6)}"
+            rows.append((10_000 + k * 10 + n, " ".join(w)))
+    return rows
+
+
+def test_join_finds_planted_copies(spark):
+    rows = planted(spark)
+    _, links = brute_links(rows)
+    got = {r["doc_id"]: r for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(bool(x) for x in links.values()) > 60
+    for i, found in links.items():
+        assert got[i]["n_copies"] + got[i]["n_linked"] == len(found)
+
+
 def test_language_accuracy(spark):
     got = queries.op10_language(spark, "/root/testdata/sf0.01").collect()
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -83,6 +83,17 @@ def test_pii_added_kinds():
     assert pii.redacted("x a@b.co y", pii.spans("x a@b.co y")) == "x <EMAIL> y"
 
 
+def test_pii_reaches_to_the_boundaries():
+    kinds = lambda t: {(t[a:b], k) for a, b, k in pii.spans(t) if k not in pii.BASE}
+    long = "Annabella-Wilhelmina-Constantia-Philippa-Maximiliana-Theodora-Eleonora"
+    assert (f"17 {long} {long} Street", "address") in kinds(f"lives at 17 {long} {long} Street.")
+    assert kinds("a 12 Main Street b") == {("12 Main Street", "address")} and kinds("the 12 main street") == kinds("Main Street") == set()
+    assert kinds("1234567 Main Street") == {("34567 Main Street", "address")}
+    iban = "DE89 3704 0044 0532 0130 00"
+    assert kinds(f"{'far from any cue ' * 9}{iban} is it") == {(iban, "account")}
+    assert kinds("DE88 3704 0044 0532 0130 00") == kinds("XDE89370400440532013000") == set()
+
+
 def test_maxscore_is_brute_force(monkeypatch):
     rng = np.random.default_rng(0)
     read = maxscore.Read()
@@ -245,6 +256,33 @@ def test_packing_rules():
     assert len(p.pack(np.array([], np.int64))[0]) == 0
 
 
+def test_packing_is_best_fit_by_brute_force():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        lengths = (8, 16, 32)
+        p = packing.Packer(lengths)
+        sizes = np.sort(rng.integers(1, 33, int(rng.integers(1, 60))))[::-1]
+        bins, offsets, contents, final = p.pack(sizes)
+        capacity, filled = {}, {}
+        for k, (n, b, at) in enumerate(zip(sizes.tolist(), bins.tolist(), offsets.tolist(), strict=True)):
+            rooms = sorted(capacity[x] - filled[x] for x in capacity if capacity[x] - filled[x] >= n)
+            if b in capacity:  # an open bin: the one that is left least room in
+                assert capacity[b] - filled[b] == rooms[0]
+            else:  # none has room: the size of least cost for each token that it is expected to hold
+                assert not rooms
+                later, room, best = sizes[k + 1 :], sum(capacity[x] - filled[x] for x in capacity), None
+                for c in lengths:
+                    if c >= n:
+                        held = n + min(c - n, max(0, min(int(later.sum()), int(later[later <= c - n].sum())) - room))
+                        best = min(best or (packing.cost(c) / held, c), (packing.cost(c) / held, c))
+                capacity[b], filled[b] = best[1], 0
+            assert at == filled[b]
+            filled[b] += n
+            assert filled[b] <= capacity[b]
+        assert contents.tolist() == [filled[b] for b in range(len(filled))]
+        assert final.tolist() == [min(c for c in lengths if c >= n) for n in contents.tolist()]
+
+
 def test_best_fit_beats_one_bin_each():
     rng = np.random.default_rng(0)
     sizes = np.sort(rng.integers(1, 4096, 5000))[::-1]
