@@ -19,7 +19,7 @@ HAN = r"[\x{4e00}-\x{9fa5}]"
 # Words of chapter titles; confidences by element type.
 CHAPTER_WORDS = ("章节", "部分", "章", "节", "引言", "概述", "总结")
 CONFIDENCE = {"heading": 1.0, "code_block": 1.0, "paragraph": 0.95, "list_item": 0.98, "blockquote": 1.0, "table": 0.90}
-TABLE_WORDS = ("表", "表格", "table", "|", "列", "行", "单元格")
+TABLE_WORDS = ("表", "表格", "统计", "数据", "对比", "清单", "明细")
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rstrip: bool = False) -> DataFrame:
@@ -145,7 +145,7 @@ def merge_headings(elements: DataFrame) -> DataFrame:
     out = out.withColumn("grp", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = F.array_sort(F.collect_list(F.struct("element_index", "raw_content", "element_type", "heading_level", "structure_path", "parser_confidence")))
     merged = out.groupBy("doc_id", "grp").agg(parts.alias("p"))
-    first, rest = F.col("p")[0], F.transform(F.slice("p", 2, 1_000_000), lambda x: x["raw_content"])
+    first, rest = F.col("p")[0], F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x["raw_content"])
     text = F.when(F.size("p") > 1, F.concat(first["raw_content"], F.lit("\n\n"), F.array_join(rest, "\n"))).otherwise(first["raw_content"])
     return merged.select("doc_id", first["element_index"].alias("element_index"), first["element_type"].alias("element_type"), text.alias("raw_content"), first["heading_level"].alias("heading_level"), first["structure_path"].alias("structure_path"), first["parser_confidence"].alias("parser_confidence"))
 

@@ -23,27 +23,44 @@ def score(distance: Column) -> Column:
     return F.when(d.isNull() | F.isnan(d), 0.0).otherwise(1 / (1 + F.greatest(d, F.lit(0.0))))
 
 
-def _rows(column: pa.ListArray) -> np.ndarray:
-    return np.stack([np.asarray(x.as_py(), np.float64) for x in column]) if len(column) else np.empty((0, 0))
+def _rows(lists: pa.ListArray) -> np.ndarray:
+    """A matrix of lists of one length."""
+    flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    width = int(at[1] - at[0])
+    return flat[at[0] : at[-1]].reshape(len(lists), width).astype(np.float64)
+
+
+def _nearest(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest of each query, by distance and place.
+
+    One matrix product gives distances up to rounding; those that may be among the
+    k nearest are worked out again, term by term."""
+    rough = (queries**2).sum(axis=1)[:, None] - 2 * queries @ vectors.T + (vectors**2).sum(axis=1)[None, :]
+    kth = np.partition(rough, min(k, len(vectors)) - 1, axis=1)[:, min(k, len(vectors)) - 1]
+    slack = 1e-9 * (1 + (queries**2).sum(axis=1) + (vectors**2).sum(axis=1).max()) + 10.0**-DIGITS
+    out_at, out_d = [], []
+    for n, q in enumerate(queries):
+        at = np.flatnonzero(rough[n] <= kth[n] + slack[n])
+        d = np.round(((vectors[at] - q) ** 2).sum(axis=1), DIGITS)
+        order = np.argsort(d, kind="stable")[:k]
+        out_at.append(at[order])
+        out_d.append(d[order])
+    return out_at, out_d
 
 
 def _grid(k: int):
-    def best(cell: pa.Table):
+    names, kinds = ("query_id", "id", "raw_distance"), (pa.int64(), pa.int64(), pa.float64())
+
+    def best(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+        cell = pa.Table.from_batches(held).combine_chunks()
         asks = cell.column("asks").to_numpy()
         if asks.all() or not asks.any():
             return None
-        ids, v = np.array(cell.column("id").to_pylist(), dtype=object), _rows(cell.column("v").combine_chunks())
-        queries, vectors, qid, vid = v[asks], v[~asks], ids[asks], ids[~asks]
-        out_q, out_v, out_d = [], [], []
-        order_of = np.argsort(vid, kind="stable")
-        vectors, vid = vectors[order_of], vid[order_of]
-        for q, i in zip(queries, qid, strict=True):
-            d = np.round(((vectors - q) ** 2).sum(axis=1), DIGITS)
-            at = np.argsort(d, kind="stable")[:k]
-            out_q += [i] * len(at)
-            out_v += vid[at].tolist()
-            out_d += d[at].tolist()
-        return out_q, out_v, out_d
+        ids, v = cell.column("id").to_numpy(), _rows(cell.column("v").chunk(0))
+        order = np.flatnonzero(~asks)[np.argsort(ids[~asks], kind="stable")]
+        at, d = _nearest(v[asks], v[order], k)
+        columns = np.repeat(ids[asks], [len(x) for x in at]), ids[order][np.concatenate(at)], np.concatenate(d)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -54,12 +71,12 @@ def _grid(k: int):
                 if a == b:
                     continue
                 if held and held[0].column(0)[0].as_py() != cells[a]:
-                    if found := best(pa.Table.from_batches(held)):
-                        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "id", "raw_distance"])
+                    if found := best(held):
+                        yield found
                     held = []
                 held.append(batch.slice(a, b - a))
-        if held and (found := best(pa.Table.from_batches(held))):
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "id", "raw_distance"])
+        if held and (found := best(held)):
+            yield found
 
     return run
 
@@ -69,18 +86,21 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, by: str | None =
 
     queries: query_id, embedding and ``by``; vectors: id, embedding and ``by``.
     Distance is squared Euclidean; ties go to the smaller id. Rows without an
-    id, embedding or collection take no part.
+    id, embedding or collection, and embeddings that are empty or hold a null or a
+    number that is not finite, take no part; vectors of another length than a
+    query's are none of its neighbours.
     """
-    where = F.col("id").isNotNull() & F.col("v").isNotNull()
-    key = F.col(by) if by else F.lit(0)
-    left = queries.select(F.col("query_id").alias("id"), F.col("embedding").alias("v"), key.alias("kb")).where(where & F.col("kb").isNotNull())
-    right = vectors.select("id", F.col("embedding").alias("v"), key.alias("kb")).where(where & F.col("kb").isNotNull())
-    size = right.groupBy("kb").agg((F.floor(F.count("*") / shard) + 1).alias("shards"))
-    asks = left.groupBy("kb").agg((F.floor(F.count("*") / group) + 1).alias("groups"))
-    plan = size.join(asks, "kb")
-    cell = F.xxhash64("kb", "s", "g").alias("cell")
-    l = left.join(plan, "kb").select("kb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("s"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("groups")).alias("g"), "id", "v", F.lit(True).alias("asks"))
-    r = right.join(plan, "kb").select("kb", F.pmod(F.xxhash64("id", F.lit(5)), F.col("shards")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), "id", "v", F.lit(False).alias("asks"))
+    v, key = F.col("embedding"), F.col(by) if by else F.lit(0)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    where = F.col("id").isNotNull() & F.col("kb").isNotNull() & (F.col("width") > 0) & ~F.col("odd")
+    told = lambda df, name: df.select(F.col(name).cast("long").alias("id"), v.cast("array<double>").alias("v"), key.alias("kb"), F.size(v).alias("width"), odd.alias("odd")).where(where).drop("odd")
+    left, right = told(queries, "query_id"), told(vectors, "id")
+    size = right.groupBy("kb", "width").agg((F.floor(F.count("*") / shard) + 1).alias("shards"))
+    asks = left.groupBy("kb", "width").agg((F.floor(F.count("*") / group) + 1).alias("groups"))
+    plan = size.join(asks, ["kb", "width"])
+    cell = F.xxhash64("kb", "width", "s", "g").alias("cell")
+    l = left.join(plan, ["kb", "width"]).select("kb", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("s"), F.pmod(F.xxhash64("id", F.lit(3)), F.col("groups")).alias("g"), "id", "v", F.lit(True).alias("asks"))
+    r = right.join(plan, ["kb", "width"]).select("kb", "width", F.pmod(F.xxhash64("id", F.lit(5)), F.col("shards")).alias("s"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("g"), "id", "v", F.lit(False).alias("asks"))
     both = l.unionByName(r).select(cell, "id", "v", "asks")
     met = both.repartition("cell").sortWithinPartitions("cell").mapInArrow(_grid(k), "query_id long, id long, raw_distance double")
     order = Window.partitionBy("query_id").orderBy("raw_distance", "id")

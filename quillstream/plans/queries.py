@@ -581,7 +581,7 @@ def last_user_query(s, sf):
 # ---------------------------------------------------------------- prompts and answers
 
 BLOCK = "'[' || n || ']' || chr(10) || '来源文档: ' || document_id || chr(10) || '分块序号: ' || chunk_index || chr(10) || '检索方式: keyword' || chr(10) || '内容:' || chr(10) || trim(text, ' ')"
-KEPT = BM25_HITS + f""", h AS (SELECT kw.query_id, kw.id, kw.rank AS n, kw.id // 100 AS document_id, kw.id % 100 AS chunk_index, left(text, 900) AS text FROM kw JOIN documents ON doc_id = kw.id WHERE rank <= 8 AND score > 0
+KEPT = BM25_HITS + f""", h AS (SELECT kw.query_id, kw.id, kw.rank AS n, kw.id // 100 AS document_id, kw.id % 100 AS chunk_index, text FROM kw JOIN documents ON doc_id = kw.id WHERE rank <= 8 AND score > 0
 ), bl AS (SELECT *, {BLOCK} AS block FROM h
 ), us AS (SELECT *, sum(length(block)) OVER (PARTITION BY query_id ORDER BY n) AS used FROM bl
 ), kept AS (SELECT * FROM us WHERE used <= 5000)"""
@@ -589,8 +589,7 @@ KEPT = BM25_HITS + f""", h AS (SELECT kw.query_id, kw.id, kw.rank AS n, kw.id //
 
 def _context_hits(s, sf) -> DataFrame:
     hits = ranking.bm25(d.items(s, sf), d.corpus(s, sf))
-    docs = d.corpus(s, sf).select("id", F.left("text", F.lit(900)).alias("text"))
-    h = hits.join(docs, "id")
+    h = hits.join(d.corpus(s, sf), "id")
     return h.select("query_id", "rank", "id", F.floor(F.col("id") / 100).alias("document_id"), (F.col("id") % 100).alias("chunk_index"), F.lit("keyword").alias("retriever"), F.lit(None).cast("string").alias("source_info"), "text")
 
 

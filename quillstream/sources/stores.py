@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,12 @@ def chunk_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS).json(path, multiLine=True)
 
 
-def relational(spark: SparkSession, url: str, name: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, dbtable=name).load()
+def relational(spark: SparkSession, url: str, name: str, by: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
+    """A table over JDBC, read in ``parts`` by ranges of a numeric column where one is named."""
+    options = {"url": url, "dbtable": name}
+    if by is not None:
+        options |= {"partitionColumn": by, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(**options).load()
 
 
 class VectorStore:
@@ -35,20 +40,31 @@ class VectorStore:
         self.spark, self.path = spark, path
 
     def _exists(self) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+        fs, p = self._path(self.path)
+        return fs.exists(p)
 
     def read(self, kb: str | None = None) -> DataFrame:
         """All vectors, or one knowledge base's by partition pruning; an absent one is empty."""
         df = self.spark.read.schema(VECTORS).parquet(self.path) if self._exists() else self.spark.createDataFrame([], VECTORS)
         return df.where(F.col("knowledge_base_id") == kb) if kb is not None else df
 
+    def dimension(self, kb: str) -> int | None:
+        """How many numbers the embeddings of a knowledge base have; None while it has none."""
+        row = self.read(kb).where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
+        return row["n"] if row else None
+
     def add(self, rows: DataFrame, dimension: int | None = None) -> None:
-        """Append; the last of rows with one id stays out if the table has it already.
-        A wrong dimension raises and nothing is written."""
-        if dimension is not None and rows.where(F.size("embedding") != dimension).limit(1).count():
-            raise ValueError(f"an embedding has not {dimension} numbers")
+        """Append. Of rows with one id the first by chunk and text is kept, and none
+        if the table has the id already. All embeddings of a knowledge base have one
+        length, that of the table or else of the batch, or ``dimension``; any other,
+        and a null id or knowledge base, raises and nothing is written."""
+        if rows.where(F.col("id").isNull() | F.col("knowledge_base_id").isNull()).limit(1).count():
+            raise ValueError("a row has no id or no knowledge base")
+        size = F.size("embedding")
+        for r in rows.groupBy("knowledge_base_id").agg(F.min(size).alias("least"), F.max(size).alias("most"), F.count_if(F.col("embedding").isNull()).alias("none")).toLocalIterator():
+            want = dimension or self.dimension(r["knowledge_base_id"]) or r["most"]
+            if r["none"] or (r["least"], r["most"]) != (want, want):
+                raise ValueError(f"an embedding of {r['knowledge_base_id']} has not {want} numbers")
         first = Window.partitionBy("knowledge_base_id", "id").orderBy("chunk_index", "document")
         rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
         rows = rows.join(self.read().select("id", "knowledge_base_id"), ["id", "knowledge_base_id"], "left_anti")
@@ -68,18 +84,33 @@ class VectorStore:
         if ids is not None:
             gone = gone.join(ids.select("id").distinct(), "id", "left_semi")
         kept = self.read(kb).join(gone.select("id"), "id", "left_anti")
-        self._replace(kept)
-
-    def _replace(self, rows: DataFrame) -> None:
-        staged = f"{self.path}__staged"
-        rows.write.mode("overwrite").partitionBy("knowledge_base_id").parquet(staged)
-        again = self.spark.read.schema(VECTORS).parquet(staged)
-        again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("knowledge_base_id").parquet(self.path)
-        self._remove(staged)
+        self._replace(kb, kept)
+
+    def _replace(self, kb: str, rows: DataFrame) -> None:
+        """Put rows in the place of a knowledge base. They are written beside the table
+        first and take its place by renames, so that a job that fails changes nothing."""
+        staged, old = f"{self.path}__staged/knowledge_base_id={kb}", f"{self.path}__old/knowledge_base_id={kb}"
+        for path in (staged, old):
+            self._remove(path)
+        empty = not rows.limit(1).count()
+        if not empty:
+            rows.drop("knowledge_base_id").write.parquet(staged)
+        fs, place = self._path(f"{self.path}/knowledge_base_id={kb}")
+        if fs.exists(place):
+            fs.mkdirs(self._path(old)[1].getParent())
+            fs.rename(place, self._path(old)[1])
+        if not empty:
+            fs.rename(self._path(staged)[1], place)
+        for name in ("__staged", "__old"):
+            self._remove(self.path + name)
+
+    def _path(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
     def _remove(self, path: str) -> None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = self._path(path)
+        fs.delete(p, True)
 
     def drop(self, kb: str) -> None:
         self._remove(f"{self.path}/knowledge_base_id={kb}")
@@ -100,19 +131,41 @@ def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def vector_rows(chunks: DataFrame, ts: Column) -> DataFrame:
-    """Chunks (document_id, chunk_index, text, embedding, structure_path, bbox, ...) as vector rows."""
+    """Chunks (document_id, chunk_index, text, embedding, structure_path, bbox, ...) as
+    vector rows; custom_metadata, a map or a JSON text, is kept where there is such a column."""
     cid = F.concat_ws("_", "document_id", F.lit("chunk"), F.col("chunk_index").cast("string"), F.substring(F.md5("text"), 1, 8))
+    custom = F.lit(None).cast("string")
+    if "custom_metadata" in chunks.columns:
+        custom = F.col("custom_metadata") if chunks.schema["custom_metadata"].dataType.simpleString() == "string" else F.to_json("custom_metadata")
     return chunks.select(
         cid.alias("id"), "embedding", F.col("text").alias("document"), "document_id", "chunk_index", "source_type", F.array_join("structure_path", " > ").alias("source_info"), "uploader_id",
-        F.lit(1).alias("version"), ts.alias("ts"), F.when(F.size("bbox") >= 4, F.array_join(F.col("bbox").cast("array<string>"), ",")).alias("bbox"), F.lit(None).cast("string").alias("custom_metadata"), "knowledge_base_id",
+        F.lit(1).alias("version"), ts.alias("ts"), F.when(F.size("bbox") >= 4, F.array_join(F.col("bbox").cast("array<string>"), ",")).alias("bbox"), custom.alias("custom_metadata"), "knowledge_base_id",
     )
 
 
 def clash_free(names: DataFrame) -> DataFrame:
     """group_id, name, i to a stored name: the 36 characters of an id before the
-    first underscore go, and names that a group has already get _1, _2, ..."""
+    first underscore go; a name that a group has already gets the least of _1, _2,
+    ... that is free when its turn comes, by i.
+
+    Only names of one family can clash, those alike but for such endings; a family
+    is worked off in order, as each name depends on those before it. Families, not
+    groups, go to one task."""
     bare = F.when(F.instr("name", "_") == 37, F.substring(F.col("name"), F.lit(38), F.length("name"))).otherwise(F.col("name"))
-    rows = names.withColumn("bare", bare)
-    n = F.row_number().over(Window.partitionBy("group_id", "bare").orderBy("i")) - 1
-    stem, ext = F.regexp_replace("bare", r"\.[^.]*$", ""), F.regexp_extract("bare", r"(\.[^.]*)$", 1)
-    return rows.withColumn("n", n).select("group_id", "name", "i", F.when(F.col("n") == 0, F.col("bare")).otherwise(F.concat(stem, F.lit("_"), F.col("n").cast("string"), ext)).alias("stored"))
+    stem, ext = F.regexp_replace("bare", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("bare", r"(?<=.)(\.[^.]*)$", 1)
+    rows = names.withColumn("bare", bare).withColumns({"ext": ext, "stem": stem}).withColumn("family", F.concat(F.regexp_replace("stem", r"(_[0-9]+)+$", ""), "ext"))
+    schema = f"group_id {names.schema['group_id'].dataType.simpleString()}, name string, i {names.schema['i'].dataType.simpleString()}, stored string"
+    return rows.select("group_id", "name", "i", "bare", "stem", "ext", "family").groupBy("group_id", "family").applyInPandas(_free_names, schema)
+
+
+def _free_names(family: pd.DataFrame) -> pd.DataFrame:
+    family = family.sort_values(["i", "name"], kind="stable")
+    taken, following, out = set(), {}, []
+    for bare, stem, ext in family[["bare", "stem", "ext"]].itertuples(index=False, name=None):
+        name, n = bare, following.get(bare, 1)
+        while name in taken:
+            name, n = f"{stem}_{n}{ext}", n + 1
+        following[bare] = n
+        taken.add(name)
+        out.append(name)
+    return family[["group_id", "name", "i"]].assign(stored=out)
