@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillstream.functions.text import strip
+
 
 def used_citations(answer: Column) -> Column:
     """Sorted distinct numbers in square brackets."""
@@ -40,9 +42,20 @@ def quality(answer: Column, n_citations: Column) -> Column:
     )
 
 
-def fallback(message: Column, limit: int = 1200) -> Column:
-    """What is answered where a language model fails."""
-    return F.left(message, F.lit(limit))
+# What is said without a language model, and where one fails. Fixed values.
+FOUND = ("找到了相关资料，但语言模型服务暂不可用。\n\n相关摘要: ", "\n\n请稍后重试或联系管理员配置语言模型服务。")
+NOT_FOUND = "未找到相关资料，且语言模型服务暂不可用。\n\n请确认知识库中有相关内容，或联系管理员配置语言模型服务。"
+FAILED = ("LLM 调用失败，已降级返回检索资料片段。\n错误信息：", "\n\n")
+
+
+def offline(preview: Column) -> Column:
+    """The answer without a language model: what was found, or that nothing was."""
+    return F.when(F.coalesce(preview, F.lit("")) == "", NOT_FOUND).otherwise(F.concat(F.lit(FOUND[0]), preview, F.lit(FOUND[1])))
+
+
+def fallback(error: Column, context: Column, limit: int = 1200) -> Column:
+    """What is answered where a language model fails: the error and the context, cut."""
+    return F.left(strip(F.concat(F.lit(FAILED[0]), F.coalesce(error, F.lit("")), F.lit(FAILED[1]), F.coalesce(context, F.lit("")))), F.lit(limit))
 
 
 def stream_delta(line: Column) -> Column:

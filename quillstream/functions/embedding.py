@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,3 +34,28 @@ def hashed(dimension: int = 64) -> Embedder:
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(run, "array<float>")
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    """What an embedding model is loaded with."""
+
+    name: str
+    path: str
+    device: str = "cpu"
+    batch_size: int = 32
+    normalize: bool = True
+    longest: int = 512
+
+
+#: Models by name; register_model() adds to them. Fixed values.
+MODELS: dict[str, ModelConfig] = {"bge-m3": ModelConfig("bge-m3", "../../model/bge-m3", batch_size=16, longest=8192)}
+
+
+def register_model(config: ModelConfig) -> None:
+    MODELS[config.name] = config
+
+
+def model_config(name: str) -> ModelConfig | None:
+    """The settings of a model, or None where it is not known."""
+    return MODELS.get(name)

@@ -82,7 +82,7 @@ def _final_scores(c: Column, base: Column) -> Column:
 
 def intent(query: Column) -> Column:
     """struct(intent, score, confidence, signals, language): the best intent, ties
-    by declaration; signals are the three best with a score."""
+    by declaration; signals map the three best with a score to it."""
 
     def told(c: Column, ranked: Column) -> Column:
         empty, best = c == "", ranked[0]
@@ -90,7 +90,7 @@ def intent(query: Column) -> Column:
             intent=F.when(empty, "unknown").otherwise(best["name"]),
             score=F.when(empty, 0.0).otherwise(-best["neg"]),
             confidence=F.when(empty, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.2), -best["neg"] / 2))),
-            signals=F.when(empty, F.array().cast("array<string>")).otherwise(F.transform(F.filter(F.slice(ranked, 1, 3), lambda x: x["neg"] < 0), lambda x: x["name"])),
+            signals=F.map_from_entries(F.transform(F.filter(F.slice(ranked, 1, 3), lambda x: (x["neg"] < 0) & ~empty), lambda x: named(key=x["name"], value=-x["neg"]))),
             language=F.when(empty, "unknown").otherwise(language(c)),
         )
 
@@ -176,10 +176,24 @@ def rewrite(query: Column, kb: Column | None = None, kind: Column | None = None)
     )
 
 
-def tokens(c: Column) -> Column:
-    """Distinct lower-case tokens in order; single characters only if digits."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(f"({TOKEN})"), 1)
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$")))
+def bigrams(c: Column) -> Column:
+    """Runs of Chinese characters as overlapping pairs; a lone character is itself.
+    The segmenter that needs no dictionary; tokens() takes any other."""
+    runs = F.regexp_extract_all(c, F.lit(r"([\x{4e00}-\x{9fff}]+)"), 1)
+    pairs = lambda r: F.when(F.length(r) < 2, F.array(r)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2))))
+    return F.flatten(F.transform(runs, pairs))
+
+
+def tokens(c: Column, segment=bigrams) -> Column:
+    """Distinct lower-case tokens in order, Chinese ones first; single characters only
+    if digits or Chinese. ``segment`` makes words of a lower-case text's Chinese."""
+
+    def split(low: Column) -> Column:
+        found = F.regexp_extract_all(low, F.lit(f"({TOKEN})"), 1)
+        latin = F.filter(found, lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
+        return F.array_distinct(F.when(low.rlike(r"[\x{4e00}-\x{9fff}]"), F.concat(segment(low), latin)).otherwise(latin))
+
+    return let(F.lower(F.coalesce(c, F.lit(""))), split)
 
 
 __all__ = ["expand", "intent", "language", "rewrite", "synonyms", "tokens"]

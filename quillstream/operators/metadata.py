@@ -8,7 +8,7 @@ favorites(id, user_id, qa_id, created_at).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.filetype import UPLOAD_LIMIT
@@ -109,3 +109,50 @@ def export(record: DataFrame) -> DataFrame:
     md = F.concat(F.lit("# 问题\n\n"), F.col("question"), F.lit("\n\n# 回答\n\n"), F.col("answer"), F.lit("\n"))
     txt = F.concat(F.lit("问题: "), F.col("question"), F.lit("\n回答: "), F.col("answer"))
     return record.select("id", js.alias("json"), md.alias("markdown"), txt.alias("text"))
+
+
+def numbered(rows: DataFrame, by: str, *order: str) -> Column:
+    """rows with place: their number from 1 by ``by`` and then ``order``, in two steps,
+    so that only a count for each value of ``by`` is summed up in one place."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("__n"))
+    before = counts.select(by, (F.sum("__n").over(Window.orderBy(by)) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    return rows.withColumn("__k", inside).join(before, by).withColumn("place", F.col("__before") + F.col("__k")).drop("__k", "__before")
+
+
+def created_groups(groups: DataFrame, members: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """groups and members after requests (actor_id, name): each makes a group, which the
+    actor owns and administers. Requests without an actor or a name make none."""
+    ok = wanted.where(F.col("actor_id").isNotNull() & (F.trim("name") != "")).select("actor_id", "name")
+    last = groups.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__last"))
+    new = numbered(ok, "actor_id", "name").crossJoin(F.broadcast(last)).select((F.col("__last") + F.col("place")).alias("id"), "name", F.col("actor_id").alias("owner_id"))  # one row is broadcast
+    return groups.select("id", "name", "owner_id").unionByName(new), members.select("group_id", "user_id", "role").unionByName(new.select(F.col("id").alias("group_id"), F.col("owner_id").alias("user_id"), F.lit("admin").alias("role")))
+
+
+def allowed(asks: DataFrame, members: DataFrame, group: str = "kb") -> DataFrame:
+    """asks (user_id, a group) with allowed: no group, or one that the user is a member of."""
+    inside = members.select(F.col("group_id").cast("string").alias("__group"), F.col("user_id").alias("__user"), F.lit(True).alias("__in")).distinct()
+    met = asks.join(inside, (F.col(group).cast("string") == F.col("__group")) & (F.col("user_id") == F.col("__user")), "left")
+    return met.withColumn("allowed", F.col(group).isNull() | F.coalesce("__in", F.lit(False))).drop("__group", "__user", "__in")
+
+
+def recorded(records: DataFrame, members: DataFrame, answered: DataFrame) -> DataFrame:
+    """records after answered questions (id, user_id, group_id, question, answer,
+    created_at): those that their user may ask in the group, or ask in none."""
+    columns = ("id", "user_id", "group_id", "question", "answer", "created_at")
+    return records.select(*columns).unionByName(allowed(answered, members, "group_id").where("allowed").select(*columns))
+
+
+def call_metrics(calls: DataFrame, by: str, ok: Column, took: str, order: str, last: int = 10) -> DataFrame:
+    """Of each value of ``by``: calls, how many succeeded and failed, their share in
+    percent, the mean time, and the last times in order."""
+    calls = calls.withColumn("__ok", F.coalesce(ok, F.lit(False)))
+    sums = calls.groupBy(by).agg(F.count("*").alias("n"), F.count_if("__ok").alias("n_ok"), F.count_if(~F.col("__ok")).alias("n_failed"), F.avg(took).alias("mean"))
+    late = calls.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))).where(F.col("__n") <= last)
+    lists = late.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("__n"), took))), lambda x: x[took]).alias("last"))
+    return sums.join(lists, by).withColumn("success_rate", F.col("n_ok") / F.col("n") * 100)
+
+
+def queue_status(tasks: DataFrame, status: str = "status") -> DataFrame:
+    """One row: how many tasks are pending, running, completed and failed."""
+    return tasks.agg(*[F.count_if(F.col(status) == s).alias(s) for s in ("pending", "running", "completed", "failed")])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstream.functions.answer import offline
 from quillstream.operators.templates import TEMPLATES
 
 CHUNKS, CHARS = 8, 5000
@@ -77,8 +78,12 @@ def prompts(queries: DataFrame, context: DataFrame) -> DataFrame:
     return j.select("query_id", F.when(notice != "", F.concat(system, F.lit("\n\n"), notice)).otherwise(system).alias("system_prompt"), _by_intent(intent, user).alias("user_prompt"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"))
 
 
-def offline_answer(hits: DataFrame, most: int = 3, limit: int = 200) -> DataFrame:
-    """query_id, answer: the first texts joined and cut, without a language model."""
+def offline_answer(hits: DataFrame, most: int = 3, limit: int = 200, asked: DataFrame | None = None) -> DataFrame:
+    """query_id, answer without a language model: the first texts joined and cut. With
+    ``asked`` (query_id) queries without a hit are told so, otherwise they are left out."""
     texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), " ")
-    out = hits.where(F.col("rank") <= most).groupBy("query_id").agg(texts.alias("t"))
-    return out.select("query_id", F.when(F.length("t") > limit, F.concat(F.left("t", F.lit(limit)), F.lit("..."))).otherwise(F.col("t")).alias("answer"))
+    out = hits.where((F.col("rank") <= most) & (F.coalesce("text", F.lit("")) != "")).groupBy("query_id").agg(texts.alias("t"))
+    if asked is not None:
+        out = asked.select("query_id").distinct().join(out, "query_id", "left")
+    cut = F.when(F.length("t") > limit, F.concat(F.left("t", F.lit(limit)), F.lit("..."))).otherwise(F.col("t"))
+    return out.select("query_id", offline(cut).alias("answer"))

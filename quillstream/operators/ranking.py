@@ -24,26 +24,37 @@ def postings(docs: DataFrame) -> DataFrame:
     return t.select("id", F.size("t").alias("dl"), F.explode("t").alias("token"))
 
 
-def idf(post: DataFrame) -> DataFrame:
-    """token, df, idf and avgdl; a negative idf becomes a quarter of the mean one."""
-    df = post.groupBy("token").agg(F.count("*").alias("df"))
-    total = post.groupBy("id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    raw = df.crossJoin(F.broadcast(total)).withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))  # one row is broadcast
+def statistics(docs: DataFrame) -> DataFrame:
+    """token, df, size of a corpus (id, text) in one pass: df documents hold the token;
+    the empty token stands for all documents, size is what they hold together."""
+    t = docs.select(tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    marked = t.select(F.explode(F.concat(F.array(F.lit("")), "t")).alias("token"), F.size("t").alias("dl"))
+    return marked.groupBy("token").agg(F.count("*").alias("df"), F.sum("dl").alias("size"))
+
+
+def idf(stats: DataFrame) -> DataFrame:
+    """token, df, idf and avgdl of statistics(); a negative idf becomes a quarter of the mean one."""
+    whole = F.col("token") == ""
+    total = stats.agg(F.max(F.when(whole, F.col("df"))).alias("n"), (F.max(F.when(whole, F.col("size"))) / F.max(F.when(whole, F.col("df")))).alias("avgdl"))
+    raw = stats.crossJoin(F.broadcast(total)).withColumn("raw", F.when(~whole, F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))))  # one row is broadcast
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
+    return raw.crossJoin(F.broadcast(mean)).where(~whole).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"), "avgdl")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
     """query_id and question against id and text: query_id, id, score, rank.
 
-    A document's tokens count once. Rows without a common token never meet: the
-    join is on tokens, and sums are made in part before the shuffle.
+    A document's tokens count once. Statistics take one pass over the corpus and
+    scores another. A document's tokens meet the weights of the queries' tokens:
+    while these are few they are broadcast (adaptive execution checks their size)
+    and a document's sums are made where it is; beyond, the join is on tokens,
+    whose hot ones it splits. Rows without a common token never meet.
     """
     post = postings(docs)
     asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token"))
-    weights = asked.join(idf(post), "token")
+    weights = asked.join(idf(statistics(docs)), "token").select("query_id", "token", "idf", "avgdl")
     part = F.col("idf") * (K1 + 1) / (1 + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = weights.join(post, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    scores = post.join(weights, "token").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > 0))
 

@@ -107,6 +107,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, by: str | None =
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("score", score(F.col("raw_distance")))
 
 
+def hit_fields(bbox: Column, chunk_index: Column | None = None) -> Column:
+    """struct(y_top, y_bottom, chunk_index) of a stored hit: the second and fourth
+    numbers of its box, and its chunk's number; null where they are none."""
+    parts = F.split(bbox, ",")
+    number = lambda i: F.trim(F.get(parts, F.lit(i))).try_cast("double")
+    chunk = F.lit(None).cast("int") if chunk_index is None else F.trim(chunk_index.cast("string")).try_cast("int")
+    return F.struct(number(1).alias("y_top"), number(3).alias("y_bottom"), chunk.alias("chunk_index"))
+
+
 def filtered(vectors: DataFrame, kb: str | int | None = None, uploader=None, document=None, source_type=None, contains: str | None = None, extra: dict | None = None) -> DataFrame:
     """Conjunction of the equalities that are given, and of a text's containment; pushed down to the scan."""
     wanted = {"kb": kb, "uploader_id": uploader, "document_id": document, "source_type": source_type} | (extra or {})

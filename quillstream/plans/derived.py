@@ -58,11 +58,31 @@ def corpus(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def marked(s, d):
+    """Documents whose lines that begin with T, I and A are headings and list items."""
+    t = F.concat(F.lit("\n"), "text")
+    for start, mark in MARKS:
+        t = F.replace(t, F.lit(f"\n{start}"), F.lit(f"\n{mark}{start}"))
+    return table(s, d, "documents").select("doc_id", F.substring(t, F.lit(2), F.length(t)).alias("text"))
+
+
 def items(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+MARKS = (("T", "## "), ("I", "### "), ("W", "# "), ("A", "\n- "), ("O", "\n\n  1. "))
+
+
+def _marked_sql() -> str:
+    sql = "chr(10) || text"
+    for start, mark in MARKS:
+        new = " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in f"\n{mark}{start}")
+        sql = f"replace({sql}, chr(10) || '{start}', {new})"
+    return f"SELECT doc_id, substr({sql}, 2) AS text FROM documents"
+
+
 SQL = {
+    "marked": _marked_sql(),
     "users": "SELECT c_custkey AS id, c_name AS name FROM customer",
     "groups": "SELECT n_nationkey AS id, n_name AS name, (SELECT min(c_custkey) FROM customer WHERE c_nationkey = n_nationkey) AS owner_id FROM nation",
     "members": "SELECT c_nationkey AS group_id, c_custkey AS user_id, CASE WHEN c_custkey % 7 = 0 THEN 'admin' ELSE 'member' END AS role FROM customer",
@@ -76,5 +96,5 @@ SQL = {
 
 def with_tables(*names: str) -> str:
     """A WITH list of derived tables, those that others need included."""
-    order = [n for n in ("users", "groups", "members", "records", "favorites", "files", "vectors") if n in names or (n == "records" and "favorites" in names)]
+    order = [n for n in ("marked", "users", "groups", "members", "records", "favorites", "files", "vectors") if n in names or (n == "records" and "favorites" in names)]
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in order)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import answer, chunk, filetype, text, understanding
 from quillstream.functions.embedding import Embedder, hashed
-from quillstream.operators import parsing, prompting, ranking, vector
+from quillstream.operators import metadata, parsing, prompting, ranking, vector
 from quillstream.sources import stores
 
 Parser = Callable[[DataFrame], DataFrame]
@@ -49,24 +49,36 @@ def chunks(docs: DataFrame, how: text.Cleaning = text.DEFAULT, elements: DataFra
     )
 
 
-def vectors(chunked: DataFrame, kb: Column, uploader: Column, source_type: Column, ts: Column, embed: Embedder | None = None) -> DataFrame:
-    """Chunks as vector rows, ready for :class:`VectorStore`."""
-    rows = chunked.select(F.col("doc_id").cast("string").alias("document_id"), "chunk_index", "text", (embed or hashed())(F.col("text")).alias("embedding"), "structure_path", F.lit(None).cast("array<int>").alias("bbox"), source_type.alias("source_type"), uploader.alias("uploader_id"), kb.alias("knowledge_base_id"))
+def vectors(chunked: DataFrame, kb: Column, uploader: Column, source_type: Column, ts: Column, embed: Embedder | None = None, custom: Column | None = None) -> DataFrame:
+    """Chunks as vector rows, ready for :class:`VectorStore`; ``custom`` is a map or a JSON text of one's own for each."""
+    rows = chunked.select(F.col("doc_id").cast("string").alias("document_id"), "chunk_index", "text", (embed or hashed())(F.col("text")).alias("embedding"), "structure_path", (F.col("bbox") if "bbox" in chunked.columns else F.lit(None)).cast("array<int>").alias("bbox"), (custom if custom is not None else F.lit(None).cast("string")).alias("custom_metadata"), source_type.alias("source_type"), uploader.alias("uploader_id"), kb.alias("knowledge_base_id"))
     return stores.vector_rows(rows, ts)
 
 
-def ask(questions: DataFrame, stored: DataFrame, k: int = 8, threshold: float | None = None, embed: Embedder | None = None) -> DataFrame:
+def ask(questions: DataFrame, stored: DataFrame, k: int = 8, threshold: float | None = None, embed: Embedder | None = None, members: DataFrame | None = None) -> DataFrame:
     """questions (query_id, question, kb) against vector rows: both prompts, the
-    offline answer and its quality, for any number of questions at once."""
-    q = questions.select("query_id", "question", "kb", understanding.expand(F.col("question"))["expanded"].alias("expanded"), (embed or hashed())(F.col("question")).alias("embedding"))
+    offline answer and its quality, for any number of questions at once. With
+    ``members`` (group_id, user_id) and user_id of the questions only members of a
+    knowledge base are answered: the others have no hits and allowed is false."""
+    questions = questions.withColumn("allowed", F.lit(True)) if members is None else metadata.allowed(questions, members)
+    q = questions.select("query_id", "question", "kb", "allowed", understanding.expand(F.col("question"))["expanded"].alias("expanded"), (embed or hashed())(F.col("question")).alias("embedding"))
     q = q.withColumns({"intent": understanding.intent(F.col("expanded"))["intent"], "rewritten": understanding.rewrite(F.col("expanded"), F.col("kb"))["rewritten"]})
     rows = stored.where("id <> '' AND trim(document) <> ''").withColumn("n", F.xxhash64("knowledge_base_id", "id"))
-    hits = vector.nearest(q, rows.select(F.col("n").alias("id"), "embedding", F.col("knowledge_base_id").alias("kb")), k)
+    hits = vector.nearest(q.where("allowed"), rows.select(F.col("n").alias("id"), "embedding", F.col("knowledge_base_id").alias("kb")), k)
     if threshold is not None:
         hits = hits.where(F.col("score") >= threshold)
-    full = hits.join(rows.select(F.col("n").alias("id"), F.col("document").alias("text"), "document_id", "chunk_index", "source_info", F.get(F.split("bbox", ","), F.lit(1)).try_cast("double").alias("y_top")), "id")
+    full = hits.join(rows.select(F.col("n").alias("id"), F.col("document").alias("text"), "document_id", "chunk_index", "source_info", vector.hit_fields(F.col("bbox"))["y_top"].alias("y_top")), "id")
     full = full.join(q.select("query_id", "rewritten"), "query_id")
     best = ranking.rerank(full, "rewritten", k).drop("rank").withColumnRenamed("new_rank", "rank").withColumn("retriever", F.lit("vector"))
     prompt = prompting.prompts(q.select("query_id", "question", "intent"), prompting.contexts(prompting.budgeted(best)))
-    out = prompt.join(prompting.offline_answer(best), "query_id", "left")
+    out = prompt.join(prompting.offline_answer(best, asked=q), "query_id", "left")
+    out = out.join(q.select("query_id", "allowed"), "query_id")
     return out.withColumn("quality", answer.quality(F.col("answer"), F.col("n_citations")))
+
+
+def upload_result(documents: DataFrame, elements: DataFrame, chunked: DataFrame) -> DataFrame:
+    """doc_id, status, n_elements and n_chunks of each document; one without a chunk is empty."""
+    count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))
+    out = documents.select("doc_id").distinct().join(count(elements, "n_elements"), "doc_id", "left").join(count(chunked, "n_chunks"), "doc_id", "left")
+    zero = F.lit(0).cast("long")
+    return out.select("doc_id", F.when(F.col("n_chunks") > 0, "success").otherwise("empty").alias("status"), F.coalesce("n_elements", zero).alias("n_elements"), F.coalesce("n_chunks", zero).alias("n_chunks"))

@@ -39,6 +39,11 @@ def literal(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in esc)}) AS t({columns})")
 
 
+def sql_text(value: str) -> str:
+    """A text with line ends as an SQL expression."""
+    return " || chr(10) || ".join("'" + part.replace("'", "''") + "'" for part in value.split("\n"))
+
+
 # ---------------------------------------------------------------- vectors
 
 DIST = "round(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)) * (CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))), 9)"
@@ -206,9 +211,16 @@ def parse_strategy(s, sf):
     return d.table(s, sf, "documents").select("doc_id", st.alias("strategy")).select("doc_id", "strategy", filetype.settings(F.col("strategy"))["timeout"].alias("timeout"))
 
 
-@query("""SELECT page_id, CASE WHEN url LIKE '%.html' THEN 'other' ELSE 'other' END AS category, CASE WHEN url LIKE '%.html' THEN 'plain_text' ELSE 'plain_text' END AS parser FROM pages""")
+ENDINGS = (".pdf", ".jpeg", ".mp4", ".mp3", ".md", "", ".txt", ".html", ".PNG", ".wav", ".docx")
+
+
+@query(f"""SELECT page_id, CASE WHEN e IN ('.pdf', '.md', '.txt', '.docx') THEN 'document' WHEN e IN ('.jpeg', '.png') THEN 'image' WHEN e = '.mp4' THEN 'video' WHEN e IN ('.mp3', '.wav') THEN 'audio' ELSE 'other' END AS category,
+CASE WHEN e = '.md' THEN 'markdown' WHEN e IN ('.jpeg', '.png') THEN 'image' WHEN e = '.pdf' THEN 'rejected' WHEN e = '.docx' THEN 'rejected' ELSE 'plain_text' END AS parser
+FROM (SELECT page_id, lower(list_extract({list(ENDINGS)!r}, CAST(page_id % {len(ENDINGS)} AS INTEGER) + 1)) AS e FROM pages)""")
 def file_category(s, sf):
-    return d.table(s, sf, "pages").select("page_id", filetype.category(F.col("url")).alias("category"), filetype.parser_of(F.col("url")).alias("parser"))
+    """Pages as files of many kinds, by an ending that their number chooses."""
+    name = F.concat(F.lit("page"), F.get(F.array(*map(F.lit, ENDINGS)), (F.col("page_id") % len(ENDINGS)).cast("int")))
+    return d.table(s, sf, "pages").select("page_id", filetype.category(name).alias("category"), filetype.parser_of(name).alias("parser"))
 
 
 NAMES = [("a.PDF", "document", "rejected"), ("b.jpeg", "image", "image"), ("c.mp4", "video", "plain_text"), ("d.mp3", "audio", "plain_text"), ("e.md", "document", "markdown"), ("f", "other", "plain_text"), ("g.txt", "document", "plain_text")]
@@ -269,12 +281,6 @@ def parse_markdown_elements(s, sf):
     return e.select("element_index", "element_type", "raw_content", F.array_join("structure_path", ">").alias("path"))
 
 
-@query()
-def parse_markdown_documents(s, sf):
-    """Every document through the Markdown parser."""
-    return parsing.markdown_elements(d.table(s, sf, "documents")).groupBy("doc_id", "element_type").agg(F.count("*").alias("n"), F.sum(F.length("raw_content")).alias("chars"))
-
-
 MERGE = [(0, "heading", 2, 0), (1, "paragraph", None, 0), (2, "heading", 3, 0), (3, "list_item", None, 0), (4, "heading", 1, 1), (5, "paragraph", None, 1), (6, "code_block", None, 2), (7, "paragraph", None, 3), (8, "heading", 2, 4)]
 
 
@@ -408,20 +414,24 @@ def embed_chunks(s, sf):
 
 # ---------------------------------------------------------------- keyword search and fusion
 
-BM25_SQL = """src AS (SELECT doc_id AS id, text FROM documents), tok AS (SELECT id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))) AS t FROM src
-), post AS (SELECT id, len(t) AS dl, unnest(t) AS token FROM tok WHERE len(t) > 0
-), df AS (SELECT token, count(*) AS df FROM post GROUP BY token
-), tot AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok WHERE len(t) > 0
-), raw AS (SELECT token, df, ln((n - df + 0.5) / (df + 0.5)) AS raw, avgdl FROM df, tot
-), idf AS (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf, avgdl FROM raw)"""
-BM25_HITS = BM25_SQL + """, qt AS (SELECT item_id AS query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$')))) AS token FROM benchmark
+HAN_RUNS = r"regexp_extract_all(lower(text), '[\x{4e00}-\x{9fff}]+')"
+HAN_PAIRS = f"flatten(list_transform({HAN_RUNS}, lambda r: CASE WHEN length(r) < 2 THEN [r] ELSE list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) END))"
+TOKENS = f"list_distinct(list_concat({HAN_PAIRS}, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))))"
+BM25_SQL = f"""tok AS MATERIALIZED (SELECT doc_id AS id, {TOKENS} AS t FROM documents
+), post AS MATERIALIZED (SELECT id, len(t) AS dl, unnest(t) AS token FROM tok WHERE len(t) > 0
+), df AS MATERIALIZED (SELECT token, count(*) AS df FROM post GROUP BY token
+), tot AS MATERIALIZED (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok WHERE len(t) > 0
+), raw AS MATERIALIZED (SELECT token, df, ln((n - df + 0.5) / (df + 0.5)) AS raw, avgdl FROM df, tot
+), mean AS MATERIALIZED (SELECT avg(raw) AS mean FROM raw
+), idf AS MATERIALIZED (SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf, avgdl FROM raw, mean)"""
+BM25_HITS = BM25_SQL + f""", qt AS (SELECT item_id AS query_id, unnest({TOKENS}) AS token FROM benchmark
 ), sc AS (SELECT query_id, id, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (token) JOIN post USING (token) GROUP BY query_id, id
 ), kw AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc)"""
 
 
 @query("WITH " + BM25_SQL + " SELECT token, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(s, sf):
-    return ranking.idf(ranking.postings(d.corpus(s, sf))).select("token", "df", F.round("idf", 6).alias("idf"))
+    return ranking.idf(ranking.statistics(d.corpus(s, sf))).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("WITH " + BM25_HITS + " SELECT query_id, id, score, rank FROM kw WHERE rank <= 8 AND score > 0")
@@ -430,15 +440,14 @@ def bm25_topk(s, sf):
     return ranking.bm25(d.items(s, sf), d.corpus(s, sf))
 
 
-@query(r"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (
-SELECT doc_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$'))) AS t FROM documents)""")
+@query(f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""")
 def tokenize(s, sf):
     t = understanding.tokens(F.col("text"))
     return d.table(s, sf, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(F.array_sort(t), " ")).alias("digest"))
 
 
 HYBRID = BM25_SQL + f""", vectors AS ({d.SQL["vectors"]}), qs AS (SELECT v.id AS query_id, text FROM vectors v JOIN documents ON doc_id = v.id WHERE v.id % 50 = 0
-), qt AS (SELECT query_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*'), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]$')))) AS token FROM qs
+), qt AS (SELECT query_id, unnest({TOKENS}) AS token FROM qs
 ), sc AS (SELECT query_id, id, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM qt JOIN idf USING (token) JOIN post USING (token) GROUP BY query_id, id
 ), kw AS (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM sc
 ), m AS (SELECT q.id AS query_id, v.id, {DIST} AS dist FROM vectors q JOIN vectors v ON true WHERE q.id % 50 = 0
@@ -497,7 +506,8 @@ def intent_cases(s, sf):
     return literal(s, "id, q, intent, score, confidence, language", ASKED).select("id", i.alias("i")).select("id", "i.intent", "i.score", F.round("i.confidence", 6).alias("confidence"), "i.language")
 
 
-def _intent_sql() -> str:
+def intent_scores(source: str, keys: str, where: str) -> str:
+    """SQL of every intent's score (and the sum of the first, f0) of the texts of a table."""
     def hits(name: str) -> str:
         parts = [f"CASE WHEN contains(lower(q), '{k.replace(chr(39), chr(39) * 2)}') THEN {w} ELSE 0 END" for i, w, ks in understanding.LEXICON if i == name for k in ks]
         return " + ".join(parts) or "0"
@@ -509,15 +519,17 @@ def _intent_sql() -> str:
     short = {n: "".join(dict.fromkeys(c)) for n, c in understanding.SHORT}
     add = {n: f" + CASE WHEN length(q) <= 5 AND regexp_matches(q, '[{c}]') THEN 0.3 ELSE 0 END" for n, c in short.items()}
     final = ", ".join((f"(CASE WHEN tot = 0 AND ({words}) THEN 0.5 WHEN tot = 0 AND length(q) > 5 THEN 0.3 ELSE s0 + x END) + CASE WHEN length(q) <= 5 AND regexp_matches(q, '[0-9]') THEN 0.2 ELSE 0 END" if n == "fact_qa" else f"s{i}") + add.get(n, "") + f" AS f{i}" for i, n in enumerate(names))
-    ranked = " UNION ALL ".join(f"SELECT conv_id, turn, '{n}' AS intent, {i} AS ord, round(CAST(f{i} AS DOUBLE), 6) AS score FROM c" for i, n in enumerate(names))
-    return rf"""WITH u AS (SELECT conv_id, turn, regexp_replace(text, '^{SP}+|{SP}+$', '', 'g') AS q FROM conversations WHERE role = 'user'
-), a AS (SELECT conv_id, turn, q, {base}, CASE WHEN length(q) <= 10 THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(q, '[?？]') THEN 0.3 ELSE 0 END AS x FROM u
-), b AS (SELECT *, {total} + x AS tot FROM a), c AS (SELECT conv_id, turn, {final} FROM b), r AS ({ranked}
-), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ord) AS n FROM r)
+    ranked = " UNION ALL ".join(f"SELECT {keys}, '{n}' AS intent, {i} AS ord, round(CAST(f{i} AS DOUBLE), 6) AS score, greatest({', '.join(f'f{k}' for k in range(len(names)))}) AS f0 FROM c" for i, n in enumerate(names))
+    return rf"""WITH u AS (SELECT {keys}, regexp_replace(text, '^{SP}+|{SP}+$', '', 'g') AS q FROM {source} WHERE {where}
+), a AS (SELECT {keys}, q, {base}, CASE WHEN length(q) <= 10 THEN 0.4 ELSE 0 END + CASE WHEN regexp_matches(q, '[?？]') THEN 0.3 ELSE 0 END AS x FROM u
+), b AS (SELECT *, {total} + x AS tot FROM a), c AS (SELECT {keys}, {final} FROM b) {ranked}"""
+
+
+INTENT_SQL = f"""WITH r AS ({intent_scores("conversations", "conv_id, turn", "role = 'user'")}), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ord) AS n FROM r)
 SELECT conv_id, turn, intent, score, round(least(1.0, greatest(0.2, score / 2)), 6) AS confidence FROM o WHERE n = 1"""
 
 
-@query(_intent_sql())
+@query(INTENT_SQL)
 def intent_classify(s, sf):
     """Intent of every user turn."""
     t = d.table(s, sf, "conversations").where("role = 'user'").select("conv_id", "turn", understanding.intent(F.col("text")).alias("i"))
@@ -610,13 +622,6 @@ def doc_source_notice(s, sf):
     return prompting.contexts(prompting.budgeted(_context_hits(s, sf))).select("query_id", F.md5("notice").alias("notice"))
 
 
-@query()
-def prompt_assemble(s, sf):
-    """Both prompts of every benchmark item as a question."""
-    q = d.items(s, sf).withColumn("intent", understanding.intent(F.col("question"))["intent"])
-    return prompting.prompts(q, prompting.contexts(prompting.budgeted(_context_hits(s, sf))))
-
-
 ANSWERS = [(1, "x[1] y[3]", 2, "1,3", "2", False), (2, "none", 2, "", "1,2", False), (3, "[2] and [1] and [2]", 2, "1,2", "", True), (4, None, 1, "", "1", False)]
 
 
@@ -653,7 +658,8 @@ ASK = d.with_tables("vectors") + f""", m AS (SELECT q.id AS query_id, v.id, v.kb
 ), h AS (SELECT query_id, id, rank, text FROM r JOIN documents ON doc_id = id WHERE rank <= 8 AND trim(text) <> ''
 ), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM h
 ), a AS (SELECT query_id, string_agg(text, ' ' ORDER BY k) AS t FROM n WHERE k <= 3 GROUP BY query_id)
-SELECT query_id, CASE WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END AS answer FROM a"""
+SELECT q.id AS query_id, CASE WHEN t IS NULL THEN {sql_text(answer.NOT_FOUND)} ELSE {sql_text(answer.FOUND[0])} || CASE WHEN length(t) > 200 THEN left(t, 200) || '...' ELSE t END || {sql_text(answer.FOUND[1])} END AS answer
+FROM vectors q LEFT JOIN a ON a.query_id = q.id WHERE q.id % 50 = 0"""
 
 
 @query(ASK)
@@ -661,7 +667,7 @@ def ask_offline(s, sf):
     """Questions (vectors) to answers: search in the knowledge base, texts of the hits, budget, offline answer."""
     hits = vector.nearest(d.vector_queries(s, sf), d.vectors(s, sf)).join(d.corpus(s, sf), "id").where(F.trim("text") != "")
     order = Window.partitionBy("query_id").orderBy("rank")
-    return prompting.offline_answer(hits.withColumn("rank", F.row_number().over(order)))
+    return prompting.offline_answer(hits.withColumn("rank", F.row_number().over(order)), asked=d.vector_queries(s, sf))
 
 
 # ---------------------------------------------------------------- metadata
@@ -703,9 +709,9 @@ def export_qa(s, sf):
     return metadata.export(d.records(s, sf)).select("id", "markdown", "text")
 
 
-@query(d.with_tables("records") + """ SELECT id, json_extract_string(j, '$.question') AS question FROM (SELECT id, to_json({'id': id, 'question': question, 'answer': answer}) AS j FROM records)""")
+@query(d.with_tables("records") + """ SELECT id, json_extract_string(j, '$.question') AS question, json_extract_string(j, '$.answer') AS answer, CAST(json_extract(j, '$.id') AS BIGINT) AS json_id FROM (SELECT id, to_json({'id': id, 'question': question, 'answer': answer}) AS j FROM records)""")
 def export_qa_json(s, sf):
-    return metadata.export(d.records(s, sf)).select("id", F.get_json_object("json", "$.question").alias("question"))
+    return metadata.export(d.records(s, sf)).select("id", F.get_json_object("json", "$.question").alias("question"), F.get_json_object("json", "$.answer").alias("answer"), F.get_json_object("json", "$.id").cast("long").alias("json_id"))
 
 
 @query(d.with_tables("members") + """, w AS (SELECT c_custkey AS actor_id, c_nationkey AS group_id, c_custkey % 1000 + 1 AS user_id FROM customer), ok AS (SELECT DISTINCT w.group_id, w.user_id FROM w JOIN members a ON a.group_id = w.group_id AND a.user_id = w.actor_id AND a.role = 'admin'
@@ -782,9 +788,3 @@ def chunk_store_append(s, sf):
     """Documents and then benchmark items twice, each id kept once."""
     new = d.items(s, sf).select((F.col("query_id") + 1_000_000_000).alias("id"), F.col("question").alias("text"))
     return stores.appended(d.corpus(s, sf), new.unionByName(new))
-
-
-@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, CAST(sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive FROM events GROUP BY event_type")
-def call_metrics(s, sf):
-    """Counts, averages and shares of calls, from the events."""
-    return d.table(s, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.sum(F.when(F.col("value") > 0, 1).otherwise(0)).alias("positive"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillstream.functions import answer
 from quillstream.plans import ingest
 from quillstream.streaming.ingest import last_turns
 
@@ -19,7 +20,7 @@ def test_files_to_answers(spark):
     asked = spark.createDataFrame([(1, "what is solar power from panels?", "kb"), (2, "anything", "absent")], "query_id long, question string, kb string")
     got = {r["query_id"]: r for r in ingest.ask(asked, rows.unionByName(other)).collect()}
     assert "Panels" in got[1]["answer"] and got[1]["n_citations"] > 0 and "[1]" in got[1]["user_prompt"]
-    assert got[2]["answer"] is None and "（无可用参考资料）" in got[2]["user_prompt"] and got[2]["n_citations"] == 0
+    assert got[2]["answer"] == answer.NOT_FOUND and got[1]["answer"].startswith(answer.FOUND[0]) and "（无可用参考资料）" in got[2]["user_prompt"] and got[2]["n_citations"] == 0
 
 
 def test_last_turns(spark, tmp_path):

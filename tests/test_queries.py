@@ -5,6 +5,7 @@ import re
 import pytest
 
 from quillstream.functions import chunk
+from quillstream.plans import more_queries  # noqa: F401
 from quillstream.plans import queries as q
 from tests.helpers import SMALL, check, connection
 
