@@ -2,19 +2,20 @@
 
 A dimension is a term; its postings in a shard are the shard's components in
 that dimension, kept as one contiguous list a term. For a query, a term's bound
-in a shard is the largest contribution any posting can make. Terms are ordered
-by bound; the longest tail whose bounds together cannot lift a vector over the
-query's current k-th score is non-essential. Only the essential postings are
-read; a vector stays a candidate while its sum and the bounds of its unread terms
-reach the threshold; the non-essential terms are then probed for the candidates
-alone, in descending order of bound, dropping those that fall behind. Shards hand
-in their best k, which are merged.
+in a block of postings is the largest contribution any posting can make, and its
+gain that over the least one. Terms are in the order of their mean gain for the
+queries at hand; the longest tail whose gains together cannot lift a vector to
+the query's current k-th score is non-essential. Only the essential postings are
+read, ``STEP`` terms at a time, each for the queries that need it; a vector stays
+a candidate while its sum and the bounds of its unread terms reach the threshold;
+the non-essential terms are then probed for the candidates alone, dropping those
+that fall behind. Shards hand in their best k, which are merged.
 
 Postings are in blocks of vectors near each other (by their sign pattern), whose
-bounds are tight. A query visits a shard's blocks in descending order of its
-bound and ends at the first block whose bound is below its threshold. Thresholds
-start from the k-th score of each query over ``SEEDS`` vectors of least hash,
-found in a first pass, so that no shard starts from nothing.
+bounds are tight; blocks are visited in descending order of bound, each by the
+queries whose threshold its bound reaches. Thresholds start from the k-th score
+of each query over ``SEEDS`` vectors of least hash, found in a first pass, so
+that no shard starts from nothing.
 
 Defined cases: vectors that are null or empty, or hold null or non-finite
 components, and rows without an id take no part; vectors of another length than
@@ -40,8 +41,11 @@ from quillstream.llm.common import stored, worker_state
 
 #: Vectors of a shard and queries of a group: what one task holds.
 SHARD, GROUP = 16_384, 2_048
-#: Vectors of a block of postings.
-BLOCK = 512
+#: Vectors of a block of postings, queries that visit it together, terms that are read at once.
+BLOCK, TOGETHER, STEP = 1_024, 256, 8
+#: Candidates are probed once they are at most one of so many vectors; while they are
+#: more, the next terms are read like essential ones, which costs less than probing.
+FEW = 4
 #: Vectors that the first pass looks at.
 SEEDS = 2_048
 #: Cells for each task where there are many.
@@ -72,7 +76,8 @@ class Shard:
 
 
 def exact_type(a: int, b: int, terms: int) -> type:
-    return np.float64 if max(1, a) * max(1, b) * max(1, terms) < 2**53 else np.int64
+    most = max(1, a) * max(1, b) * max(1, terms)
+    return np.float32 if most < 2**23 else np.float64 if most < 2**52 else np.int64
 
 
 @dataclass
@@ -87,73 +92,116 @@ class Read:
 
 
 class Best:
-    """The k best of a query so far, by score and then smaller id."""
+    """The k best of each query so far, by score and then smaller id; only what reaches ``least`` matters."""
 
-    def __init__(self, k: int, least: float = -np.inf):
-        self.k, self.least = k, least
-        self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64)
+    def __init__(self, n: int, k: int, least: np.ndarray | None = None):
+        self.k = k
+        self.ids: list[np.ndarray] = [np.empty(0, np.int64)] * n
+        self.scores: list[np.ndarray] = [np.empty(0, np.int64)] * n
+        self.least = np.full(n, -np.inf) if least is None else least.astype(float)
 
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
         if len(scores) > 4 * self.k:
             enough = scores >= np.partition(scores, len(scores) - self.k)[len(scores) - self.k]
             ids, scores = ids[enough], scores[enough]
-        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores])
+        ids, scores = np.concatenate([self.ids[q], ids]), np.concatenate([self.scores[q], scores])
         order = np.lexsort((ids, -scores))[: self.k]
-        self.ids, self.scores = ids[order], scores[order]
+        self.ids[q], self.scores[q] = ids[order], scores[order]
         if len(order) == self.k:
-            self.least = max(self.least, self.scores[-1])
-
-
-def search_block(query: np.ndarray, own: int, bounds: np.ndarray, floors: np.ndarray, block, best: Best, read: Read) -> None:
-    """MaxScore of a query over one block of postings; bounds and floors are the
-    most and the least that each term can add in the block."""
-    ids, postings, _, _ = block
-    # Non-essential: the terms of smallest gain over their least contribution, as
-    # long as all their gains together leave a vector below the threshold that
-    # gains nothing from the essential ones.
+            self.least[q] = max(self.least[q], below(self.scores[q][-1:])[0])
+
+
+def below(scores: np.ndarray) -> np.ndarray:
+    """Whole numbers as floats that are not above them."""
+    out = scores.astype(float)
+    return np.where(np.abs(out) < 2**52, out, np.nextafter(out, -np.inf))
+
+
+def search_block(queries: np.ndarray, own: np.ndarray, places: np.ndarray, block, best: Best, read: Read) -> None:
+    """MaxScore of some queries over one block of postings."""
+    ids, postings, top, low = block
+    read.blocks += len(queries)
+    read.postings += queries.size * len(ids)
+    bounds = np.where(queries > 0, queries * top, queries * low)  # the most that a term can add
+    live = bounds.sum(axis=1) >= best.least[places]
+    if not live.any():
+        return
+    queries, own, places, bounds = queries[live], own[live], places[live], bounds[live]
+    floors = np.where(queries > 0, queries * low, queries * top)
+    least = best.least[places]
     gains = bounds - floors
-    order = np.argsort(gains, kind="stable")
-    tail = int(np.searchsorted(np.cumsum(gains[order]), best.least - floors.sum()))
-    essential, rest = order[tail:], order[:tail]
-    read.visited += 1
-    read.read += len(essential) * len(ids)
-    sums = query[essential] @ postings[essential]
-    left = bounds[rest].sum()
-    at = np.flatnonzero((sums + left >= best.least) & (ids != own))
-    scores = sums[at]
-    for term in rest[::-1]:  # probing: the non-essential terms of largest gain first
-        if not len(at):
-            return
-        read.probed += len(at)
-        scores = scores + query[term] * postings[term, at]
-        left -= bounds[term]
-        keep = scores + left >= best.least
-        if not keep.all():
-            at, scores = at[keep], scores[keep]
-    if len(at):
-        best.add(ids[at], scores.astype(np.int64))
-
-
-def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int, least: np.ndarray | None = None, read: Read | None = None) -> list[Best]:
+    order = np.argsort(-gains.mean(axis=0), kind="stable")
+    # reach[:, j]: what the terms from the j-th on can gain together.
+    reach = np.cumsum(gains[:, order[::-1]], axis=1, dtype=float)[:, ::-1]
+    tail = (reach < (least - floors.sum(axis=1))[:, None]).sum(axis=1)
+    essential = queries.shape[1] - tail
+    queries, bounds = queries[:, order], bounds[:, order]
+    width, ends = queries.shape[1], np.concatenate([np.zeros((len(bounds), 1)), np.cumsum(bounds, axis=1, dtype=float)], axis=1)
+    needed = least[:, None] - (ends[:, -1:] - ends)  # by the first j terms, to stay a candidate
+    read.visited += len(queries)
+    sums = np.zeros((len(queries), len(ids)), postings.dtype)
+    reading = np.arange(len(queries))  # queries whose postings are read for all vectors
+    rows, at, scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, postings.dtype)
+    for j in range(0, width, STEP):
+        upto, terms = min(j + STEP, width), order[j : j + STEP]
+        if len(rows):  # probing, for the candidates alone
+            scores = scores + (queries[rows, j:upto] * postings[terms[None, :], at[:, None]]).sum(axis=1)
+            read.probed += len(rows) * len(terms)
+            keep = scores >= needed[rows, upto]
+            rows, at, scores = rows[keep], at[keep], scores[keep]
+        if len(reading):
+            sums[reading] += queries[reading, j:upto] @ postings[terms]
+            read.read += len(reading) * len(terms) * len(ids)
+            # Past the essential terms a query whose candidates are few goes over to probing them.
+            past = reading[essential[reading] <= upto]
+            if len(past):
+                alive = sums[past] >= needed[past, upto][:, None]
+                few = alive.sum(axis=1) <= (len(ids) if upto == width else len(ids) // FEW)
+                r, a = np.nonzero(alive[few])
+                r = past[few][r]
+                keep = own[r] != ids[a]
+                rows, at = np.concatenate([rows, r[keep]]), np.concatenate([at, a[keep]])
+                scores = np.concatenate([scores, sums[r[keep], a[keep]]])
+                reading = np.setdiff1d(reading, past[few], assume_unique=True)
+    order = np.argsort(rows, kind="stable")
+    rows, at, scores = rows[order], at[order], scores[order]
+    if len(rows):
+        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(rows)], strict=True):
+            best.add(places[rows[a]], ids[at[a:b]], scores[a:b].astype(np.int64))
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, shard: Shard, k: int, least: np.ndarray | None = None, read: Read | None = None) -> Best:
     """The best of each query in a shard, of which only what reaches ``least`` matters."""
     kind = exact_type(int(np.abs(queries).max(initial=0)), shard.largest, queries.shape[1])
-    read = Read() if read is None else read
+    best, read = Best(len(query_ids), k, least), Read() if read is None else read
     queries = queries.astype(kind)
     blocks = [(i, p.astype(kind), t.astype(kind), m.astype(kind)) for i, p, t, m in shard.blocks]
-    tops, lows = np.array([b[2] for b in blocks]), np.array([b[3] for b in blocks])
-    out = []
-    for n, (own, q) in enumerate(zip(query_ids, queries, strict=True)):
-        best = Best(k, -np.inf if least is None else least[n])
-        bounds, floors = np.where(q > 0, q * tops, q * lows), np.where(q > 0, q * lows, q * tops)
-        whole = bounds.sum(axis=1)
-        read.postings += len(shard.ids) * len(q)
-        read.blocks += len(blocks)
-        for b in np.argsort(-whole, kind="stable"):
-            if whole[b] < best.least:
-                break
-            search_block(q, own, bounds[b], floors[b], blocks[b], best, read)
-        out.append(best)
-    return out
+    for lo in range(0, len(query_ids), TOGETHER):
+        q = queries[lo : lo + TOGETHER]
+        places = np.arange(lo, lo + len(q))
+        whole = [np.where(q > 0, q * t, q * m).sum() for _, _, t, m in blocks]
+        for b in np.argsort(whole)[::-1]:
+            search_block(q, query_ids[lo : lo + TOGETHER], places, blocks[b], best, read)
+    return best
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of each cell together; they arrive sorted by cell."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cells = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            part = batch.slice(a, b - a)
+            if held and held[0].column(0)[0].as_py() != cells[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _matrix(arrays: list[pa.Array], width: int) -> np.ndarray:
@@ -210,12 +258,11 @@ def _found(queries: DataFrame, candidates: DataFrame, k: int, shards: int, group
             v = _matrix(lists, width)
             if not asks.any() or asks.all():
                 continue
-            # Whole numbers up to 2**53 are exact here; a larger threshold is rounded down.
-            least = cell.column("least").to_numpy()[asks].astype(float)
-            least = np.where(np.isnan(least), -np.inf, np.where(np.abs(least) < 2**53, least, np.nextafter(least, -np.inf)))
+            known = cell.column("least")
+            least = np.where(known.is_null().to_numpy()[asks], -np.inf, below(known.fill_null(0).to_numpy()[asks]))
             best = search(ids[asks], v[asks], Shard(ids[~asks], v[~asks]), k, least)
-            n = [len(x.ids) for x in best]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(np.concatenate([x.ids for x in best])), pa.array(np.concatenate([x.scores for x in best]))], names=["query_id", "vec_id", "score"])
+            n = [len(x) for x in best.ids]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[asks], n)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
 
     tasks = min(shards * groups, max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), shards * groups // CELLS))
     return both.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(run, "query_id long, vec_id long, score long")

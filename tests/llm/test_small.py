@@ -103,27 +103,30 @@ def test_maxscore_is_brute_force(monkeypatch):
         if not q.any():
             continue
         monkeypatch.setattr(maxscore, "BLOCK", int(rng.integers(2, 50)))
+        monkeypatch.setattr(maxscore, "TOGETHER", 7)
+        monkeypatch.setattr(maxscore, "STEP", int(rng.integers(1, 4)))
         scores = v[q] @ v.T
         want = [[k for k in np.lexsort((ids, -s)) if ids[k] != i][:5] for i, s in zip(ids[q], scores, strict=True)]
         # Thresholds at the k-th score of some of the vectors, and at the k-th of all.
         least = np.array([s[o[-1]] if len(o) == 5 and rng.random() < 0.5 else -np.inf for o, s in zip(want, scores.astype(float), strict=True)])
         for start in (None, least):
             best = maxscore.search(ids[q], v[q], maxscore.Shard(ids, v), 5, start, read)
-            for o, s, got in zip(want, scores, best, strict=True):
-                assert ids[o].tolist() == got.ids.tolist() and s[o].tolist() == got.scores.tolist()
+            for o, s, got_ids, got_scores in zip(want, scores, best.ids, best.scores, strict=True):
+                assert ids[o].tolist() == got_ids.tolist() and s[o].tolist() == got_scores.tolist()
     assert read.read < read.postings
 
 
-def test_maxscore_leaves_postings_and_blocks_unread():
+def test_maxscore_leaves_postings_and_blocks_unread(monkeypatch):
     rng = np.random.default_rng(1)
     v = np.zeros((8000, 16), np.int64)
     v[:, :2] = rng.integers(0, 100, (8000, 2))
     v[:, 2:] = rng.integers(0, 2, (8000, 14))
     q = np.array([[9, 7] + [1] * 14])
     read = maxscore.Read()
-    (best,) = maxscore.search(np.array([-1]), q, maxscore.Shard(np.arange(8000), v), 20, None, read)
+    monkeypatch.setattr(maxscore, "STEP", 2)
+    best = maxscore.search(np.array([-1]), q, maxscore.Shard(np.arange(8000), v), 20, None, read)
     want = np.sort((q @ v.T)[0])[::-1][:20]
-    assert best.scores.tolist() == want.tolist()
+    assert best.scores[0].tolist() == want.tolist()
     # In blocks after the first the two large terms alone are essential; of the others only candidates' postings are probed.
     assert read.read < 0.3 * read.postings and 0 < read.probed < 0.1 * read.postings
     # From the right threshold on, fewer are read still, and blocks that can't reach it are left out.
