@@ -1,10 +1,16 @@
 """Every query of the engine against its SQL, and those without against plain Python."""
 
+import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.functions import chunk
+from quillstream.functions import text as t
+from quillstream.operators import structure
+from quillstream.plans import derived as d
+from quillstream.plans import ingest
 from quillstream.plans import more_queries  # noqa: F401
 from quillstream.plans import queries as q
 from tests.helpers import SMALL, check, connection
@@ -20,13 +26,80 @@ def test_sql(spark, con, name):
     check(spark, con, q.QUERIES[name], q.SQL[name])
 
 
-WITHOUT = sorted(set(q.QUERIES) - set(q.SQL))
-
-
-@pytest.mark.parametrize("name", WITHOUT)
-def test_runs(spark, name):
-    df = q.QUERIES[name](spark, SMALL)
-    assert df.columns and len(df.take(5)) >= 0
+def plain_chunks(text):
+    """(type, chunk) of a document by plain rules: lines, cleaned, headings with what follows them, chunks, overlaps."""
+    space = r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+    lines = [re.sub(space + "+$", "", x) for x in text.split("\n")]
+    elements = []
+    for n, line in enumerate(lines):
+        if not re.sub(space, "", line):
+            continue
+        following = re.sub(f"^{space}+|{space}+$", "", lines[n + 1]) if n + 1 < len(lines) else ""
+        m, numbered = re.match(r"(#{1,6})\s+(.+)$", line), re.match(r"([0-9]+\.[0-9]*)\s+(.+)$", line)
+        level = None
+        if m:
+            level = len(m[1])
+        elif numbered and not re.match(r"[0-9]+\.[0-9]*\s+.+$", following) and len(numbered[2]) > 20:
+            level = min(6, len([x for x in numbered[1].split(".") if x]))
+        stripped = re.sub(f"^{space}+", "", line)
+        kind = "heading" if level else "list_item" if re.match(r"\s*([*+-]|[0-9]+\.)\s+", stripped) else "paragraph"
+        c = re.sub(space + "+", " ", line).strip(" ").translate(str.maketrans(t.WIDE + t.ACCENTED, t.NARROW + t.PLAIN))
+        elements.append((kind, level, c.replace("…", "...").translate(str.maketrans(t.CJK_MARKS, t.ASCII_MARKS))))
+    merged = []
+    for kind, level, c in elements:
+        lowest = merged[-1][3] if merged and merged[-1][3] is not None else None
+        if lowest is None or (kind == "heading" and level <= lowest):
+            merged.append([kind, c, [], level if kind == "heading" else None])
+        else:
+            merged[-1][2].append(c)
+    out = []
+    for kind, c, rest, _ in merged:
+        whole = c + ("\n\n" + "\n".join(rest) if rest else "")
+        parts = paragraph(whole) if kind == "paragraph" else fixed(whole)
+        out += [(kind, (parts[i - 1][-50:] if i else "") + p) for i, p in enumerate(parts)]
+    return out
+
+
+def fixed(text, limit=500):
+    out, n = [], 0
+    for w in text.split():
+        if not out or n + len(w) + 1 > limit:
+            out.append([])
+            n = 0
+        out[-1].append(w)
+        n += len(w) + 1
+    return [" ".join(x) for x in out]
+
+
+def test_chunk_pipeline_is_plain_rules(spark):
+    """The three queries over the ingest plan, and the marked documents, which have headings and lists."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    kinds = {"heading": "heading", "list_item": "list", "paragraph": "text"}
+    want = {i: plain_chunks(x) for i, x in docs.items()}
+    got = {}
+    for r in q.QUERIES["chunk_pipeline"](spark, SMALL).collect():
+        got[r["doc_id"], r["chunk_index"]] = (r["chunk_type"], r["digest"])
+    assert got == {(i, n): (kinds[k], hashlib.md5(c.encode()).hexdigest()) for i, x in want.items() for n, (k, c) in enumerate(x)}
+    hist = {r["chunk_type"]: (r["n"], r["documents"]) for r in q.QUERIES["chunk_type_hist"](spark, SMALL).collect()}
+    assert hist == {v: (sum(k == a for x in want.values() for a, _ in x), sum(any(k == a for a, _ in x) for x in want.values())) for k, v in kinds.items() if any(k == a for x in want.values() for a, _ in x)}
+    ids = {r["id"]: r["dimension"] for r in q.QUERIES["embed_chunks"](spark, SMALL).collect()}
+    assert ids == {f"doc_{i}_chunk_{n}_{hashlib.md5(c.encode()).hexdigest()[:8]}": 32 for i, x in want.items() for n, (_, c) in enumerate(x)}
+    marked = d.marked(spark, SMALL)
+    for r in ingest.chunks(marked).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_type", "text"))).alias("c")).join(marked, "doc_id").collect():
+        assert [(c["chunk_type"], c["text"]) for c in r["c"]] == [(kinds[k], c) for k, c in plain_chunks(r["text"])]
+
+
+def test_structured_chunks_are_whole(spark):
+    """Chunks by structure hold every word of the marked documents, in order."""
+    marked = {r["doc_id"]: r["text"] for r in d.marked(spark, SMALL).collect()}
+    rows = structure.structured_elements(d.marked(spark, SMALL)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("element_index", "raw_content"))).alias("c")).collect()
+    assert {r["doc_id"]: " ".join(x["raw_content"] for x in r["c"]).split() for r in rows} == {i: x.split() for i, x in marked.items()}
+    n = {r["doc_id"]: r["n"] for r in q.QUERIES["chunk_structured"](spark, SMALL).groupBy("doc_id").agg((F.max("chunk_index") + 1 - F.count("*")).alias("n")).collect()}
+    assert set(n) == set(marked) and set(n.values()) == {0}
+
+
+def test_all_queries_without_sql_are_tested_here():
+    assert set(q.QUERIES) - set(q.SQL) == {"chunk_pipeline", "chunk_type_hist", "embed_chunks", "chunk_structured"}
 
 
 def sentences(text):
@@ -70,17 +143,10 @@ def code(text, limit=2000, most=10):
 @pytest.mark.parametrize(("column", "plain"), [(chunk.paragraph, paragraph), (chunk.code, code)])
 def test_chunkers(spark, column, plain):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    from pyspark.sql import functions as F
-
     for r in docs.select("text", column(F.col("text")).alias("c")).collect():
         assert r["c"] == plain(r["text"])
 
 
-def test_chunk_numbers_are_dense(spark):
-    rows = q.QUERIES["chunk_pipeline"](spark, SMALL).groupBy("doc_id").agg({"chunk_index": "max", "digest": "count"}).collect()
-    assert rows and all(r["max(chunk_index)"] + 1 == r["count(digest)"] for r in rows)
-
-
 def test_plans_stay_in_the_engine(spark):
     for name in ("clean_basic", "bm25_topk", "neighbor_expand", "prompt_context", "intent_classify", "chunk_fixed"):
         plan = q.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
