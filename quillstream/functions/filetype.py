@@ -125,7 +125,9 @@ def document_id(content: Column) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    out = F.format_string("%.2f TB", n / float(1 << 40))
+    """A size with two digits, halves to the even one, in the largest unit that it fills."""
+    shown = lambda unit, shift: F.format_string(f"%.2f {unit}", F.bround(n / float(1 << shift), 2))
+    out = shown("TB", 40)
     for unit, shift in (("GB", 30), ("MB", 20), ("KB", 10)):
-        out = F.when(n < float(1 << (shift + 10)), F.format_string(f"%.2f {unit}", n / float(1 << shift))).otherwise(out)
+        out = F.when(n < float(1 << (shift + 10)), shown(unit, shift)).otherwise(out)
     return F.when(n < 1024, F.format_string("%.2f B", n.cast("double"))).otherwise(out)

@@ -95,8 +95,9 @@ def fences(lines: Column) -> Column:
 
 def markdown_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, element_index, element_type, raw_content, heading_level, heading_id, structure_path, parser_confidence."""
-    parts = F.split(F.coalesce(text_col, F.lit("")), "\n", -1)
-    rows = docs.select(F.col(id_col).alias("doc_id"), fences(parts).alias("codes"), F.posexplode(parts).alias("i", "line"))
+    # Code blocks are found before the lines come apart: what stands beside a generator is worked out for each of its rows.
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(text_col, F.lit("")), "\n", -1).alias("lines"))
+    rows = whole.withColumn("codes", fences(F.col("lines"))).select("doc_id", "codes", F.posexplode("lines").alias("i", "line"))
     line = F.col("line")
     code = F.filter("codes", lambda c: (c["from"] <= F.col("i")) & (F.col("i") <= c["to"]))
     at = F.when(F.size(code) > 0, F.get(code, F.lit(0))["from"])
