@@ -76,6 +76,10 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+#: Bytes of a row group of a stored table, which a task holds before it is written.
+ROW_GROUP = 32 << 20
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there and
     an executor that is lost costs nothing but the tasks it was running.
@@ -84,7 +88,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     application."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    # Such tables hold hashes and texts, seldom the same value twice: dictionaries
+    # would only be built up and thrown away, a few MB for each column and task.
+    df.write.option("parquet.enable.dictionary", "false").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
