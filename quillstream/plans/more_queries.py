@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from quillstream.plans import ingest
 from quillstream.plans import queries as q
 from quillstream.plans.queries import KEPT, SP, query, sql_text
 from quillstream.sources import stores
+from quillstream.streaming import ingest as streaming
 
 # ---------------------------------------------------------------- structure
 
@@ -401,3 +405,148 @@ def vector_dimensions(s, sf):
     """Lengths of all stored embeddings."""
     return d.table(s, sf, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("dimension"))
 
+
+
+# ---------------------------------------------------------------- texts of every kind
+
+q.SQL["parse_plain_marked"] = d.with_tables("marked") + ", " + q.SQL["parse_plain_elements"].removeprefix("WITH ").replace("FROM documents", "FROM marked")
+
+
+@query(q.SQL["parse_plain_marked"])
+def parse_plain_marked(s, sf):
+    """Elements of every marked document read as plain text, with headings and lists."""
+    e = parsing.plain_elements(d.marked(s, sf))
+    return e.select("doc_id", "element_index", "element_type", F.md5("raw_content").alias("digest"), "parser_confidence")
+
+
+@query(rf"""WITH p AS (SELECT doc_id, {SENTENCES_SQL} AS p FROM documents
+), g AS (SELECT doc_id, list_filter(CASE WHEN len(p) > 1 AND NOT regexp_matches(p[-1], '[.!?。！？]$') THEN list_append(p[1:len(p) - 2], p[len(p) - 1] || p[len(p)]) ELSE p END, lambda x: regexp_replace(x, '{SP}', '', 'g') <> '') AS p FROM p)
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n, md5(array_to_string(p, chr(1))) AS digest FROM g""")
+def sentence_documents(s, sf):
+    """Sentences of every document."""
+    p = chunk.sentences(F.col("text"))
+    return d.table(s, sf, "documents").select("doc_id", F.size(p).alias("n"), F.md5(F.array_join(p, "\x01")).alias("digest"))
+
+
+@query(d.with_tables("marked") + ", " + MD_LINES + " SELECT doc_id, CAST(idx AS INTEGER) AS element_index, CASE kind WHEN 'heading' THEN 'heading' WHEN 'list_item' THEN 'list' ELSE 'text' END AS chunk_type FROM el")
+def chunk_type_elements(s, sf):
+    """Chunk types of the elements of every marked document."""
+    e = parsing.markdown_elements(d.marked(s, sf))
+    return e.select("doc_id", "element_index", chunk.chunk_type(F.col("element_type")).alias("chunk_type"))
+
+
+WIDE_SQL = "replace(replace(replace(text, ' the ', '　ＡＢ９，'), ' of ', ' “Ça” …  '), ' and ', '（ñ）。')"
+q.SQL["clean_wide"] = q.clean_sql(q.text.DEFAULT).replace("(text,", f"({WIDE_SQL},")
+
+
+@query(q.SQL["clean_wide"])
+def clean_wide(s, sf):
+    """Every document with wide letters, accents and Chinese marks in it, cleaned."""
+    c = F.col("text")
+    for old, new in ((" the ", "　ＡＢ９，"), (" of ", " “Ça” …  "), (" and ", "（ñ）。")):
+        c = F.replace(c, F.lit(old), F.lit(new))
+    c = q.text.clean(c)
+    return d.table(s, sf, "documents").select("doc_id", F.md5(c).alias("digest"), F.length(c).cast("long").alias("n"))
+
+
+MD_LINE = "CASE i % 4 WHEN 0 THEN '##' || line || ' ##' WHEN 1 THEN '[ ' || line || ' ]( http://x ) end' WHEN 2 THEN '  * ' || line ELSE '+ ' || line END"
+
+
+@query(rf"""WITH l AS (SELECT doc_id, i, {MD_LINE} AS line FROM (SELECT doc_id, i, parts[i + 1] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), range(0, len(parts)) r(i)) WHERE NOT regexp_matches(line, '[\[\]()#*+-]') AND regexp_matches(line, '^\S.*\S$'))
+SELECT doc_id, CAST(i AS INTEGER) AS i, CASE i % 4 WHEN 0 THEN regexp_replace(regexp_replace(line, '^##', '## '), ' ##$', '') WHEN 1 THEN replace(replace(line, '[ ', '['), ' ]( http://x )', '](http://x)') WHEN 2 THEN '  - ' || substr(line, 5) ELSE '- ' || substr(line, 3) END AS cleaned FROM l""")
+def clean_markdown_lines(s, sf):
+    """Lines of all documents as headings, links and list items, cleaned."""
+    lines = parsing.lines_of(d.table(s, sf, "documents")).where(~F.col("line").rlike(r"[\[\]()#*+-]") & F.col("line").rlike(r"^\S.*\S$"))
+    kind, line = F.col("i") % 4, F.col("line")
+    made = F.when(kind == 0, F.concat(F.lit("##"), line, F.lit(" ##"))).when(kind == 1, F.concat(F.lit("[ "), line, F.lit(" ]( http://x ) end"))).when(kind == 2, F.concat(F.lit("  * "), line)).otherwise(F.concat(F.lit("+ "), line))
+    cleaned = F.when(kind == 0, q.text.markdown_heading(made)).when(kind == 1, q.text.markdown_links(made)).otherwise(q.text.markdown_lists(made))
+    return lines.select("doc_id", "i", cleaned.alias("cleaned"))
+
+
+@query("SELECT conv_id, turn, '机器' || conv_id || '学习' || turn || '年hello' AS glued FROM conversations")
+def clean_ocr_turns(s, sf):
+    """Recognised labels of all turns, with the spaces and digits that recognition puts in."""
+    label = F.concat(F.lit("机 器 "), F.regexp_replace(F.col("conv_id").cast("string"), "(?<=.)(?=.)", " "), F.lit(" 学  习 "), F.col("turn").cast("string"), F.lit(" 年 he1lo"))
+    return d.table(s, sf, "conversations").select("conv_id", "turn", q.text.ocr_letters(q.text.ocr_glue(label)).alias("glued"))
+
+
+PLAIN_TURN = "NOT regexp_matches(lower(left(text, 30)), 'rag|chroma|embedding|api|jwt|orm|llm|qa')"
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace('请问  ' || left(text, 30) || '，谢谢？', '^{SP}+|{SP}+$', '', 'g') AS a FROM conversations WHERE {PLAIN_TURN}
+), b AS (SELECT *, trim(regexp_replace(a, '{SP}+', ' ', 'g'), ' ') AS b FROM t), c AS (SELECT *, translate(b, '，。？', ',.?') AS c FROM b)
+SELECT conv_id, turn, trim(regexp_replace(replace(replace(c, '请问', ''), '谢谢', ''), '{SP}+', ' ', 'g'), ' ') || ' (kb:k1)' AS rewritten, 'normalize_whitespace,normalize_punctuation,remove_fillers,append_hints' AS rules FROM c""")
+def rewrite_turns(s, sf):
+    """Every turn as a polite question, rewritten."""
+    asked = F.concat(F.lit("请问  "), F.left("text", F.lit(30)), F.lit("，谢谢？"))
+    t = d.table(s, sf, "conversations").where(~F.lower(F.left("text", F.lit(30))).rlike("rag|chroma|embedding|api|jwt|orm|llm|qa"))
+    r = t.select("conv_id", "turn", understanding.rewrite(asked, F.lit("k1")).alias("r"))
+    return r.select("conv_id", "turn", "r.rewritten", F.array_join("r.rules", ",").alias("rules"))
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 30), '^{SP}+|{SP}+$', '', 'g') AS q FROM conversations WHERE {PLAIN_TURN} AND length(text) > 20)
+SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '应用程序编程接口 ' || q WHEN 1 THEN '前端 ' || q || ' 前端技术' ELSE q END AS expanded, CASE conv_id % 3 WHEN 2 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM t""")
+def expand_turns(s, sf):
+    """Every turn with an abbreviation, a keyword or neither, expanded."""
+    kind = F.col("conv_id") % 3
+    asked = F.concat(F.when(kind == 0, "API ").when(kind == 1, "前端 ").otherwise(""), F.trim(F.left("text", F.lit(30))))
+    t = d.table(s, sf, "conversations").where(~F.lower(F.left("text", F.lit(30))).rlike("rag|chroma|embedding|api|jwt|orm|llm|qa") & (F.length("text") > 20))
+    return t.select("conv_id", "turn", understanding.expand(asked).alias("e")).select("conv_id", "turn", "e.expanded", "e.confidence")
+
+
+@query("""WITH f AS (SELECT page_id, list_extract(['.pdf', '.gif', '.html'], CAST(page_id % 3 AS INTEGER) + 1) AS e, list_extract(['application/pdf', 'image/gif', 'text/html'], CAST(page_id % 3 AS INTEGER) + 1) AS by_name,
+  list_extract(['application/pdf', 'image/gif', 'text/html', NULL], CAST(page_id % 4 AS INTEGER) + 1) AS by_bytes FROM pages)
+SELECT page_id, coalesce(by_bytes, by_name) AS mime, e AS extension, CASE WHEN by_bytes = by_name THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence FROM f""")
+def filetype_contents(s, sf):
+    """Kinds of all pages behind other signatures and names, of which some agree."""
+    p = F.col("page_id")
+    start = F.when(p % 4 == 0, "%PDF-1.7 ").when(p % 4 == 1, "GIF89a").when(p % 4 == 2, "").otherwise("zzz ")
+    name = F.concat(F.lit("f"), F.when(p % 3 == 0, ".pdf").when(p % 3 == 1, ".gif").otherwise(".html"))
+    f = filetype.identify(name, F.concat(start, F.col("html")).cast("binary"))
+    return d.table(s, sf, "pages").select("page_id", f.alias("f")).select("page_id", "f.mime", "f.extension", "f.confidence")
+
+
+# ---------------------------------------------------------------- files and streams
+
+def _scratch(spark, label: str) -> str:
+    """A path in the folder of ``spark.checkpoint.dir``, or a temporary one on a single machine; it goes with the application."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillstream-")
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+@query("SELECT conv_id, turn, length(text) AS n FROM conversations")
+def stream_ingest(s, sf):
+    """All turns as files that land in a folder, through the streaming ingest, run twice: nothing comes twice."""
+    source, sink, marks = (_scratch(s, x) for x in ("landing", "sink", "marks"))
+    d.table(s, sf, "conversations").select("conv_id", "turn", "text").write.parquet(source)
+    for _ in range(2):
+        streaming.ingest(s, source, "conv_id long, turn long, text string", lambda df: df.select("conv_id", "turn", F.length("text").cast("long").alias("n")), sink, marks).awaitTermination()
+    return s.read.parquet(sink).select("conv_id", "turn", "n")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest, source FROM documents")
+def chunk_store_read(s, sf):
+    """All documents as a store of chunks in JSON arrays, a file for each part, read again."""
+    path = _scratch(s, "chunks")
+    rows = d.table(s, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("source"), "source").alias("metadata"))
+    rows.write.json(path)
+    return s.read.schema(stores.CHUNKS).json(path).select("id", F.md5("text").alias("digest"), F.col("metadata")["source"].alias("source"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
+def text_file_lines(s, sf):
+    """Ids of all documents written as text and read as whole files: as many lines as documents."""
+    path = _scratch(s, "texts")
+    d.table(s, sf, "documents").select(F.col("doc_id").cast("string")).write.text(path)
+    t = stores.text_files(s, path)
+    b = stores.binary_files(s, f"{path}/*.txt")
+    lines = t.select((F.size(F.split("text", "\n", -1)) - 1).alias("n")).agg(F.sum("n").alias("n"))
+    same = b.select((F.size(F.split(F.col("content").cast("string"), "\n", -1)) - 1).alias("n")).agg(F.sum("n").alias("n"))
+    return lines.join(same, "n").select(F.col("n").cast("long").alias("n"))

@@ -122,7 +122,7 @@ def distance_score(s, sf):
 SP = text.SPACE
 
 
-def _clean_sql(how: text.Cleaning) -> str:
+def clean_sql(how: text.Cleaning) -> str:
     c = f"trim(regexp_replace(text, '{SP}+', ' ', 'g'), ' ')"
     if how.width:
         c = f"translate({c}, '{text.WIDE}', '{text.NARROW}')"
@@ -139,17 +139,17 @@ def _cleaned(s, sf, how):
     return d.table(s, sf, "documents").select("doc_id", F.md5(c).alias("digest"), F.length(c).cast("long").alias("n"))
 
 
-@query(_clean_sql(text.DEFAULT))
+@query(clean_sql(text.DEFAULT))
 def clean_basic(s, sf):
     return _cleaned(s, sf, text.DEFAULT)
 
 
-@query(_clean_sql(text.LIGHT))
+@query(clean_sql(text.LIGHT))
 def clean_light(s, sf):
     return _cleaned(s, sf, text.LIGHT)
 
 
-@query(_clean_sql(text.AGGRESSIVE))
+@query(clean_sql(text.AGGRESSIVE))
 def clean_aggressive(s, sf):
     return _cleaned(s, sf, text.AGGRESSIVE)
 
