@@ -83,4 +83,35 @@ WITH e AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op6_url_filter": url_filter.SQL,
+    "op3_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
+), i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM benchmark
+), n AS (SELECT item, w, least(len(w), 10) AS k FROM i WHERE len(w) > 0
+), win AS MATERIALIZED (SELECT DISTINCT item, k, array_to_string(w[j:j + k - 1], ' ') AS g FROM n, range(1, len(w) - k + 2) t(j)
+), ks AS (SELECT DISTINCT k FROM win
+), dg AS (SELECT doc_id, k, j, array_to_string(w[j:j + k - 1], ' ') AS g FROM d, ks, range(1, len(w) - k + 2) t(j)
+), met AS MATERIALIZED (SELECT doc_id, j, k, item FROM dg JOIN win USING (k, g)
+), hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM met) GROUP BY doc_id
+), own AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS items FROM met WHERE item IS NOT NULL GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.doc_id = d.doc_id LEFT JOIN own ON own.doc_id = d.doc_id
+""",
+    "op4_jaccard": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
+), k AS (SELECT doc_id, w, array_to_string(w, ' ') AS key FROM d
+), c AS MATERIALIZED (SELECT key, any_value(w) AS w, min(doc_id) AS copy_id, count(*) AS copies FROM k WHERE key <> '' GROUP BY key
+), s AS MATERIALIZED (SELECT DISTINCT copy_id, array_to_string(w[j:j + 4], ' ') AS g FROM c, range(1, greatest(len(w) - 4, 1) + 1) t(j)
+), z AS (SELECT copy_id, count(*) AS n FROM s GROUP BY copy_id
+), p AS MATERIALIZED (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.copy_id < b.copy_id GROUP BY ALL
+), l AS MATERIALIZED (SELECT a, b FROM p JOIN z x ON x.copy_id = a JOIN z y ON y.copy_id = b WHERE 5 * p.n >= 4 * (x.n + y.n - p.n)
+), e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(a, b) AS (SELECT copy_id, copy_id FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b
+), g AS (SELECT a, min(b) AS class_id FROM r GROUP BY a
+), m AS (SELECT a, count(*) AS n_links, sum(copies) AS n_linked FROM e JOIN c ON c.copy_id = e.b GROUP BY a)
+SELECT k.doc_id, coalesce(class_id, k.doc_id) AS class_id, coalesce(c.copy_id, k.doc_id) AS copy_id, coalesce(copies - 1, 0) AS n_copies, coalesce(n_links, 0) AS n_links, CAST(coalesce(n_linked, 0) AS BIGINT) AS n_linked
+FROM k LEFT JOIN c ON c.key = k.key LEFT JOIN g ON g.a = c.copy_id LEFT JOIN m ON m.a = c.copy_id
+""",
 }
