@@ -69,11 +69,12 @@ def _at(spark: SparkSession, path: str):
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    fs, where = _at(spark, path)
+    """A path in the shared folder, below one that is deleted when the application ends."""
+    root = f"{shared_dir(spark)}/quillstream-{spark.sparkContext.applicationId}"
+    fs, where = _at(spark, root)
+    fs.mkdirs(where)
     fs.deleteOnExit(where)
-    return path
+    return f"{root}/{label}-{uuid.uuid4().hex}"
 
 
 #: Bytes of a row group of a stored table, which a task holds before it is written.
@@ -102,7 +103,6 @@ def forget(df: DataFrame) -> None:
     if path:
         fs, where = _at(df.sparkSession, path)
         fs.delete(where, True)
-        fs.cancelDeleteOnExit(where)
 
 
 #: Least bytes of input for each task of a stage; more where the session reads files in larger parts.
