@@ -6,6 +6,8 @@ the chunks are then sliced out, so a fold's state stays small.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,9 +103,21 @@ def table(c: Column, split_rows: bool = True, most: int = TABLE_ROWS) -> Column:
     return F.when(c.rlike(rf"(?m)^{SPACE}*\|"), whole).otherwise(fixed_size(c))
 
 
+Chunker = Callable[[Column], Column]
+#: Chunkers by element type, others by fixed size; register_chunker() adds to them.
+CHUNKERS: dict[str, Chunker] = {"code_block": code, "table": table, "paragraph": paragraph}
+
+
+def register_chunker(kind: str, chunker: Chunker) -> None:
+    """A chunker of one's own for an element type: a text column to an array of chunks."""
+    CHUNKERS[kind.lower()] = chunker
+
+
 def by_element(c: Column, kind: Column) -> Column:
-    k = F.lower(kind)
-    return F.when(k == "code_block", code(c)).when(k == "table", table(c)).when(k == "paragraph", paragraph(c)).otherwise(fixed_size(c))
+    k, out = F.lower(kind), fixed_size(c)
+    for name, chunker in CHUNKERS.items():
+        out = F.when(k == name, chunker(c)).otherwise(out)
+    return out
 
 
 def chunk_type(kind: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -31,6 +32,8 @@ class Cleaning:
     most_newlines: int = 2
 
 
+#: A cleaner of one's own: a text column to a text column.
+Cleaner = Callable[[Column], Column]
 DEFAULT = Cleaning()
 AGGRESSIVE = Cleaning(most_newlines=1)
 LIGHT = Cleaning(width=False, accents=False, punctuation=False)
@@ -56,7 +59,10 @@ def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
-def clean(c: Column, how: Cleaning = DEFAULT) -> Column:
+def clean(c: Column, how: Cleaning | Cleaner = DEFAULT) -> Column:
+    """c cleaned by settings, or by a function of one's own."""
+    if not isinstance(how, Cleaning):
+        return how(c)
     if how.whitespace:
         c = collapse(c)
     if how.width:

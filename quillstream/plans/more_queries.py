@@ -506,6 +506,13 @@ def filetype_contents(s, sf):
     return d.table(s, sf, "pages").select("page_id", f.alias("f")).select("page_id", "f.mime", "f.extension", "f.confidence")
 
 
+@query(rf"""SELECT doc_id, md5(array_to_string(list_transform(p, lambda x, i: CASE WHEN i = 1 OR i = len(p) THEN regexp_replace(x, '^{SP}+|{SP}+$', '', 'g') ELSE x END), chr(10))) AS digest FROM (SELECT doc_id, string_split('  ' || text || chr(9), chr(10)) AS p FROM documents)""")
+def clean_code_documents(s, sf):
+    """Every document as a code block, its first and last line trimmed."""
+    c = q.text.markdown_code(F.concat(F.lit("  "), "text", F.lit("\t")))
+    return d.table(s, sf, "documents").select("doc_id", F.md5(c).alias("digest"))
+
+
 # ---------------------------------------------------------------- files and streams
 
 def _scratch(spark, label: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Protocol
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,6 +35,17 @@ def relational(spark: SparkSession, url: str, name: str, by: str | None = None,
     return spark.read.format("jdbc").options(**options).load()
 
 
+class Vectors(Protocol):
+    """What a store of vectors can do; another one may take the Parquet table's place."""
+
+    def read(self, kb: str | None = None) -> DataFrame: ...
+    def add(self, rows: DataFrame, dimension: int | None = None) -> None: ...
+    def count(self, kb: str | None = None) -> int: ...
+    def delete(self, kb: str, ids: DataFrame | None = None, where: Column | None = None) -> None: ...
+    def drop(self, kb: str) -> None: ...
+    def reset(self) -> None: ...
+
+
 class VectorStore:
     """A Parquet table partitioned by knowledge base."""
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.functions import embedding, filetype, text
+from quillstream.functions import chunk, embedding, filetype, text
 from quillstream.operators import vector
 from quillstream.sources.stores import VectorStore, appended, binary_files, chunk_store, clash_free, text_files, vector_rows
 from quillstream.streaming import ingest as streaming
@@ -106,6 +106,16 @@ def test_chunk_store_and_binary_files(spark, tmp_path):
     assert [(r["length"], bytes(r["content"])) for r in binary_files(spark, str(tmp_path / "x.bin")).collect()] == [(3, b"abc")]
 
 
+def test_chunkers_and_cleaners_of_ones_own(spark):
+    chunk.register_chunker("Halves", lambda c: F.array(F.left(c, F.lit(2)), F.substring(c, F.lit(3), F.length(c))))
+    try:
+        df = spark.createDataFrame([("halves", "abcdef"), ("other", "ab cd")], "kind string, t string")
+        assert [r["c"] for r in df.select(chunk.by_element(F.col("t"), F.col("kind")).alias("c")).collect()] == [["ab", "cdef"], ["ab cd"]]
+        assert [r["c"] for r in df.select(text.clean(F.col("t"), F.upper).alias("c")).collect()] == ["ABCDEF", "AB CD"]
+    finally:
+        del chunk.CHUNKERS["halves"]
+
+
 def test_models_by_name():
     assert embedding.model_config("bge-m3").longest == 8192 and embedding.model_config("none") is None
     embedding.register_model(embedding.ModelConfig("own", "/m"))
