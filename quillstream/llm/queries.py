@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.llm import decontaminate, html_text, jaccard_join, language, licences, maxscore, packing, pii, token_orc, url_filter
+from quillstream.llm import decontaminate, fill_middle, html_text, jaccard_join, language, licences, maxscore, order_packing, packing, phrases, pii, token_orc, url_filter
 from quillstream.llm.common import table
 
 
@@ -66,7 +66,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, language.learn(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_maxscore, op2_token_orc, op3_decontamination, op4_jaccard, op5_pii, op6_url_filter, op7_html, op8_licences, op9_packing, op10_language)}
+def op11_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 1,024 tokens, in the order of ids."""
+    return order_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of two and three words of each language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and put together again, as digests."""
+    cut = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    again = fill_middle.restored(F.col("output"), F.col("form"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_maxscore, op2_token_orc, op3_decontamination, op4_jaccard, op5_pii, op6_url_filter, op7_html, op8_licences, op9_packing, op10_language, op11_order_packing, op12_phrases, op13_fill_middle)}
 
 #: DuckDB SQL of the queries that SQL can express.
 SQL: dict[str, str] = {
@@ -83,6 +100,8 @@ WITH e AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """,
     "op6_url_filter": url_filter.SQL,
+    "op12_phrases": phrases.SQL,
+    "op13_fill_middle": fill_middle.SQL,
     "op3_decontamination": r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{2F}\x{3A}-\x{60}\x{7B}-\x{7F}]+') AS w FROM documents
