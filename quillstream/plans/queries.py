@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions import answer, chunk, embedding, filetype, text, understanding
-from quillstream.operators import metadata, parsing, prompting, ranking, vector
+from quillstream.operators import keyword_index, metadata, parsing, prompting, ranking, vector
 from quillstream.plans import derived as d
 from quillstream.plans import ingest
 from quillstream.sources import stores
@@ -437,7 +437,7 @@ def bm25_idf(s, sf):
 @query("WITH " + BM25_HITS + " SELECT query_id, id, score, rank FROM kw WHERE rank <= 8 AND score > 0")
 def bm25_topk(s, sf):
     """Eight best documents for every benchmark item."""
-    return ranking.bm25(d.items(s, sf), d.corpus(s, sf))
+    return keyword_index.bm25(d.items(s, sf), d.corpus(s, sf))
 
 
 @query(f"""SELECT doc_id, CAST(len(t) AS INTEGER) AS n, md5(array_to_string(list_sort(t), ' ')) AS digest FROM (SELECT doc_id, {TOKENS} AS t FROM documents)""")
@@ -463,7 +463,7 @@ def rrf_fusion(s, sf):
     """Vector hits and keyword hits of the same queries: a vector and the document with its id."""
     q, docs = d.vector_queries(s, sf), d.corpus(s, sf)
     asked = q.select("query_id").join(docs.select(F.col("id").alias("query_id"), F.col("text").alias("question")), "query_id")
-    return ranking.fuse(vector.nearest(q, d.vectors(s, sf), by=None), ranking.bm25(asked, docs))
+    return ranking.fuse(vector.nearest(q, d.vectors(s, sf), by=None), keyword_index.bm25(asked, docs))
 
 
 def _keyed(df: DataFrame) -> DataFrame:
@@ -481,7 +481,7 @@ UNION ALL SELECT query_id, document_id, chunk_index, round(greatest(score * 0.85
 def neighbor_expand(s, sf):
     c = d.corpus(s, sf)
     store = c.select(F.floor(F.col("id") / 100).alias("document_id"), (F.col("id") % 100).alias("chunk_index"))
-    out = ranking.with_neighbours(_keyed(ranking.bm25(d.items(s, sf), c)), store)
+    out = ranking.with_neighbours(_keyed(keyword_index.bm25(d.items(s, sf), c)), store)
     return out.select("query_id", "document_id", "chunk_index", F.round("score", 6).alias("score"), "retriever")
 
 
@@ -490,7 +490,7 @@ def neighbor_expand(s, sf):
 ), o AS (SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos DESC, spec DESC, lvl DESC, rank) AS INTEGER) AS new_rank FROM f) SELECT * FROM o WHERE new_rank <= 8""")
 def rerank_structural(s, sf):
     """BM25 hits reranked with their source and a position derived from their id."""
-    hits = ranking.bm25(d.items(s, sf), d.corpus(s, sf)).join(d.items(s, sf), "query_id")
+    hits = keyword_index.bm25(d.items(s, sf), d.corpus(s, sf)).join(d.items(s, sf), "query_id")
     docs = d.table(s, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("source_info"), (F.col("doc_id") % 1600).cast("double").alias("y_top"))
     return ranking.rerank(hits.join(docs, "id")).select("query_id", "id", "new_rank")
 
@@ -600,7 +600,7 @@ KEPT = BM25_HITS + f""", h AS (SELECT kw.query_id, kw.id, kw.rank AS n, kw.id //
 
 
 def _context_hits(s, sf) -> DataFrame:
-    hits = ranking.bm25(d.items(s, sf), d.corpus(s, sf))
+    hits = keyword_index.bm25(d.items(s, sf), d.corpus(s, sf))
     h = hits.join(d.corpus(s, sf), "id")
     return h.select("query_id", "rank", "id", F.floor(F.col("id") / 100).alias("document_id"), (F.col("id") % 100).alias("chunk_index"), F.lit("keyword").alias("retriever"), F.lit(None).cast("string").alias("source_info"), "text")
 
