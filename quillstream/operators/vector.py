@@ -48,11 +48,28 @@ def _nearest(queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarr
     return out_at, out_d
 
 
+def by_cell(batches, work):
+    """Rows sorted by their first column, a cell's number, to what ``work`` makes of each cell's table."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        cells = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[0].column(0)[0].as_py() != cells[a]:
+                if (found := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+                    yield found
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held and (found := work(pa.Table.from_batches(held).combine_chunks())) is not None:
+        yield found
+
+
 def _grid(k: int):
     names, kinds = ("query_id", "id", "raw_distance"), (pa.int64(), pa.int64(), pa.float64())
 
-    def best(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        cell = pa.Table.from_batches(held).combine_chunks()
+    def best(cell: pa.Table) -> pa.RecordBatch | None:
         asks = cell.column("asks").to_numpy()
         if asks.all() or not asks.any():
             return None
@@ -62,23 +79,15 @@ def _grid(k: int):
         columns = np.repeat(ids[asks], [len(x) for x in at]), ids[order][np.concatenate(at)], np.concatenate(d)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            cells = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(cells[1:] != cells[:-1]) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if held and held[0].column(0)[0].as_py() != cells[a]:
-                    if found := best(held):
-                        yield found
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held and (found := best(held)):
-            yield found
-
-    return run
+    return lambda batches: by_cell(batches, best)
+
+
+def searchable(df: DataFrame, name: str, by: str | None) -> DataFrame:
+    """id, v, kb, width of the rows that can take part in a search."""
+    v, key = F.col("embedding"), F.col(by) if by else F.lit(0)
+    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    where = F.col("id").isNotNull() & F.col("kb").isNotNull() & (F.col("width") > 0) & ~F.col("odd")
+    return df.select(F.col(name).cast("long").alias("id"), v.cast("array<double>").alias("v"), key.alias("kb"), F.size(v).alias("width"), odd.alias("odd")).where(where).drop("odd")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, by: str | None = "kb", shard: int = SHARD, group: int = GROUP) -> DataFrame:
@@ -90,11 +99,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8, by: str | None =
     number that is not finite, take no part; vectors of another length than a
     query's are none of its neighbours.
     """
-    v, key = F.col("embedding"), F.col(by) if by else F.lit(0)
-    odd = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    where = F.col("id").isNotNull() & F.col("kb").isNotNull() & (F.col("width") > 0) & ~F.col("odd")
-    told = lambda df, name: df.select(F.col(name).cast("long").alias("id"), v.cast("array<double>").alias("v"), key.alias("kb"), F.size(v).alias("width"), odd.alias("odd")).where(where).drop("odd")
-    left, right = told(queries, "query_id"), told(vectors, "id")
+    left, right = searchable(queries, "query_id", by), searchable(vectors, "id", by)
     size = right.groupBy("kb", "width").agg((F.floor(F.count("*") / shard) + 1).alias("shards"))
     asks = left.groupBy("kb", "width").agg((F.floor(F.count("*") / group) + 1).alias("groups"))
     plan = size.join(asks, ["kb", "width"])

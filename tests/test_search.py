@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstream.operators import keyword_index, ranking
 from quillstream.operators.keyword_index import KeywordIndex
+from quillstream.operators.pivots import PivotIndex
 
 
 def plain_bm25(queries, docs, k):
@@ -69,3 +70,46 @@ def test_empty_index(spark, tmp_path):
     index = KeywordIndex.build(none, f"{tmp_path}/index")
     assert index.search(spark.createDataFrame([(1, "w1")], "query_id long, question string")).count() == 0
     assert keyword_index.bm25(none.select(F.col("id").alias("query_id"), F.col("text").alias("question")), spark.createDataFrame([(1, "w1")], "id long, text string")).count() == 0
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+
+def plain_nearest(queries, vectors, k):
+    out = []
+    for q, v, kb in queries:
+        near = sorted((round(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)), 9), i) for i, w, other in vectors if other == kb and len(w or ()) == len(v))
+        out += [(q, i, r + 1) for r, (_, i) in enumerate(near[:k])]
+    return sorted(out)
+
+
+def clustered(seed, n, clusters=8, width=6):
+    rng = random.Random(seed)
+    centres = [[rng.uniform(-20, 20) for _ in range(width)] for _ in range(clusters)]
+    return [(i, [float(x + rng.gauss(0, 0.5)) for x in rng.choice(centres)], i % 3 // 2) for i in range(n)]
+
+
+@pytest.mark.parametrize("per", [20, 10_000])
+def test_pivots_are_brute_force(spark, tmp_path, per):
+    rows = clustered(1, 600) + [(1_000 + i, [1.0] * 6, 0) for i in range(60)] + [(2_000, [1.0, 2.0], 0), (2_001, [1.0, 2.5], 0)]
+    odd = [(3_000, None, 0), (3_001, [], 0), (3_002, [float("nan")] * 6, 0), (None, [1.0] * 6, 0), (3_003, [1.0] * 6, None)]
+    df = spark.createDataFrame([(i, v, kb, 1) for i, v, kb in rows + odd], "id long, embedding array<double>, kb int, part int")
+    index = PivotIndex.build(df, f"{tmp_path}/index", per=per, shard=50)
+    asked = [r for r in rows if r[0] % 7 == 0] + [(5_000, [1.0] * 6, 0), (5_001, [100.0] * 6, 1), (5_002, [1.0, 2.0], 0), (5_003, [1.0] * 6, 9)]
+    queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, kb int")
+    got = sorted((r.query_id, r.id, r.rank) for r in index.nearest(queries, 5).collect())
+    assert got == plain_nearest(asked, rows, 5)
+
+
+def test_most_cells_of_clusters_are_left_out(spark, tmp_path):
+    rows = clustered(2, 3_000, clusters=25)
+    df = spark.createDataFrame(rows, "id long, embedding array<double>, kb int")
+    index = PivotIndex.build(df, f"{tmp_path}/index", per=60)
+    seen = index.visited(df.where("id % 50 = 0").withColumnRenamed("id", "query_id"), 8).first()
+    assert seen.visited < seen.cells / 4
+
+
+def test_empty_pivot_index(spark, tmp_path):
+    none = spark.createDataFrame([], "id long, embedding array<double>, kb int")
+    index = PivotIndex.build(none, f"{tmp_path}/index")
+    assert index.nearest(spark.createDataFrame([(1, [1.0], 0)], "query_id long, embedding array<double>, kb int")).count() == 0
