@@ -2,16 +2,16 @@
 
 Where a text may be cut is worked out once for each distinct text. Texts are
 grouped by their SHA-256; that a group holds one text alone is verified by
-comparing contents: its least text must be its greatest. The index has a row a
-group: the text and its boundary list, in Elias-Fano form, some five bits a
-boundary, of which one is selected without decoding the others. Documents come
-back to their text by a join, and each selects the two boundaries that its own
-seed names.
+contents: the group is the set of its texts, which must have one member.
+Documents come back to their text by a join; they follow each other where their
+text is, so its boundary list is made once for them, in Elias-Fano form, some five
+bits a boundary, of which each document selects the two that its own seed names
+without decoding the others.
 
 A text that very many documents share is one row of the index; the documents of
-such a text are dealt over slices, each with a copy of the row, so that no task
-has them all. The others join where their index row lies: the text of the index
-is shuffled once, documents go as ids and keys.
+such a text are dealt over slices, each with a copy of the row and a boundary list
+of its own, so that no task has them all. The others join where their index row
+lies: the text of the index is shuffled once, documents go as ids and keys.
 
 Units are runs of white space with the word after them; white space at the end
 of a text is one more. The seed of a document is the SHA-256 of ``seed:doc_id``.
@@ -30,8 +30,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType
 
 from quillstream.llm.common import stored
 
@@ -129,11 +127,6 @@ def arrange(text: str, form: str, prefix: int | None, middle: int | None) -> str
 
 # ---------------------------------------------------------------- tables
 
-@pandas_udf(BinaryType())
-def _packed(texts):
-    return texts.map(lambda t: Boundaries.of(boundaries(t)).packed)
-
-
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text (never null) and its SHA-256."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -141,10 +134,11 @@ def keyed(documents: DataFrame) -> DataFrame:
 
 
 def index(documents: DataFrame) -> DataFrame:
-    """key, text, slices, where (its boundary list): a row for each distinct text."""
-    groups = keyed(documents).groupBy("key").agg(F.min("text").alias("least"), F.max("text").alias("most"), F.count("*").alias("copies"))
-    text = F.when(F.col("least") == F.col("most"), F.col("most")).otherwise(F.raise_error(F.lit("two texts have one SHA-256")).cast("string"))
-    return groups.select("key", text.alias("text"), F.ceil(F.col("copies") / SLICE).alias("slices")).withColumn("where", _packed("text"))
+    """key, text, slices: a row for each distinct text. Texts of one key are compared as
+    they are added up, before the shuffle and after it."""
+    groups = keyed(documents).groupBy("key").agg(F.collect_set("text").alias("texts"), F.count("*").alias("copies"))
+    text = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("two texts have one SHA-256")).cast("string"))
+    return groups.select("key", text.alias("text"), F.ceil(F.col("copies") / SLICE).alias("slices"))
 
 
 def _slices(keys: DataFrame, few: int) -> DataFrame:
@@ -169,20 +163,22 @@ def fill_middle(documents: DataFrame, seed: int = SEED, few: int = FEW) -> DataF
     # Ids and keys are written once: they are counted, then joined.
     keys = stored(keyed(documents).select("doc_id", "key", F.monotonically_increasing_id().alias("salt")), "middle")
     asks = _slices(keys, few)
-    alone = asks.where("slices = 1").select("doc_id", "key").join(texts.where("slices = 1").select("key", "text", "where"), "key")
-    copies = texts.where("slices > 1").select("key", "text", "where", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
+    alone = asks.where("slices = 1").select("doc_id", "key").join(texts.where("slices = 1").select("key", "text"), "key")
+    copies = texts.where("slices > 1").select("key", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
     shared = asks.where("slices > 1").select("doc_id", "key", "slice").join(copies, ["key", "slice"])
-    columns = ("doc_id", "text", "where")
+    columns = ("doc_id", "text", "key")
     id_type = spark.createDataFrame([], f"doc_id {kind}").toArrow().schema.field(0).type
     types = {"doc_id": id_type, "n": pa.int64(), "form": pa.string(), "prefix_chars": pa.int64(), "middle_chars": pa.int64(), "output": pa.string()}
 
     def run(batches):
+        at, where = None, None
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
                 out = []
-                for doc_id, text, packed in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    where = Boundaries(packed)
+                for doc_id, text, key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    if key != at:  # documents of one text follow each other, as the join leaves them
+                        at, where = key, Boundaries.of(boundaries(text))
                     form, prefix, middle = plan(doc_id, text, where, seed)
                     out.append((doc_id, len(where), form, prefix, middle, arrange(text, form, prefix, middle)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.values(), strict=True)], names=list(types))
