@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quillstream.llm.common import tasks_for
-from quillstream.llm.token_orc import END_ID, encoder, vocabulary
+from quillstream.llm.common import tasks_for, worker_state
+from quillstream.llm.token_orc import END_ID, Encoder, vocabulary
 
 #: Tokens of a sequence, a power of two.
 WIDTH = 1_024
@@ -55,15 +55,18 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH, fin
     the cheapest place within a width of it is. Neighbouring places must not lie
     further apart than ``width``."""
     at, pen, m = places.tolist(), penalties.tolist(), len(places)
-    # Pairs (j, i) of places that are a power of two apart.
-    pairs = []
+    # Pairs (j, i) of places that are a power of two apart, by a table of what is at each token.
+    index_of = np.full(at[-1] + width + 1, -1, np.int32)
+    index_of[places + width] = np.arange(m, dtype=np.int32)
+    js, is_ = [], []
     for k in range(width.bit_length()):
-        i = np.minimum(np.searchsorted(places, places - (1 << k)), m - 1)
-        j = np.flatnonzero((places >= 1 << k) & (places[i] == places - (1 << k)))
-        pairs.append(np.stack([j, i[j]], axis=1))
-    pairs = np.concatenate(pairs)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    exact_j, exact_i = [*pairs[:, 0].tolist(), m], [*pairs[:, 1].tolist(), 0]
+        i = index_of[places + (width - (1 << k))]
+        j = np.flatnonzero(i >= 0)
+        js.append(j)
+        is_.append(i[j])
+    js, is_ = np.concatenate(js), np.concatenate(is_)
+    order = np.argsort(js, kind="stable")
+    exact_j, exact_i = [*js[order].tolist(), m], [*is_[order].tolist(), 0]
     cost, back = [0] * m, [0] * m
     queue, keys, head, e = [0] * m, [0] * m, 0, 0
     tail = 0  # the queue is what lies from head to tail
@@ -118,20 +121,19 @@ class Marks:
 
 
 def allowed(ends: np.ndarray, sentences: np.ndarray, fill: int = FILL) -> tuple[np.ndarray, np.ndarray]:
-    """Places of allowed cuts from 0 on and their penalties, from the ends of documents
-    (the last of them may be the end of a part) and of sentences."""
-    places = np.unique(np.concatenate([[0], ends, sentences]))
+    """Places of allowed cuts from 0 on and their penalties, from the ends of documents, in
+    order (the last of them may be the end of a part), and of sentences before it."""
+    at = np.zeros(int(ends[-1]) + 1, np.int64)
+    at[sentences], at[ends], at[0] = SENTENCE + 1, 1, 1
+    places = np.flatnonzero(at)
     gaps = np.diff(places)
     more = (gaps - 1) // fill
     base = np.repeat(places[:-1], more)
     step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
     extra = base + step * fill
-    every = np.concatenate([places, extra])
-    penalties = np.full(len(every), INSIDE, np.int64)
-    penalties[: len(places)] = np.where(np.isin(places, ends), 0, SENTENCE)
-    penalties[0] = 0
-    order = np.argsort(every, kind="stable")
-    return every[order], penalties[order]
+    at[extra] = INSIDE + 1
+    every = np.flatnonzero(at)
+    return every, at[every] - 1
 
 
 class Stream:
@@ -177,28 +179,26 @@ class Stream:
         return self._pieces(cuts.tolist(), ids)
 
     def _pieces(self, cuts: list[int], ids: np.ndarray) -> dict:
-        out: dict[str, list] = {name: [] for name in self.NAMES}
+        out: list[tuple] = []
         data, at, done = ids.tobytes(), 0, 0
-        doc_id, tokens, left, start = self.docs[0]
+        doc_id, tokens, _, start = self.docs[0]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             at = lo
             while at < hi:
-                n = min(hi - at, len(left))
-                row = (doc_id, start, n, zlib.crc32(data[4 * at : 4 * (at + n)]), tokens, self.sequence, at - lo)
-                for name, value in zip(self.NAMES, row, strict=True):
-                    out[name].append(value)
+                n = min(hi - at, tokens - start)
+                out.append((doc_id, start, n, zlib.crc32(data[4 * at : 4 * (at + n)]), tokens, self.sequence, at - lo))
                 at += n
-                left, start = left[n:], start + n
-                if not len(left):
+                start += n
+                if start == tokens:
                     done += 1
                     if done < len(self.docs):
-                        doc_id, tokens, left, start = self.docs[done]
+                        doc_id, tokens, _, start = self.docs[done]
             self.sequence += 1
         self.docs = self.docs[done:]
         if self.docs:
-            self.docs[0] = (doc_id, tokens, left, start)
+            self.docs[0] = (doc_id, tokens, self.docs[0][2][start - self.docs[0][3] :], start)
         self.held -= at
-        return out
+        return dict(zip(self.NAMES, zip(*out, strict=True), strict=True))
 
 
 def pack(documents: DataFrame, tokenizer: str | None = None, width: int = WIDTH, files: int | None = None) -> DataFrame:
@@ -213,7 +213,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, width: int = WIDTH,
 
     def run(batches):
         path = tokenizer or vocabulary()
-        enc, marks = encoder(path), Marks(path)
+        enc, marks = worker_state(("order_packing", path), lambda: (Encoder(path), Marks(path)))
         stream = Stream(marks, TaskContext.get().partitionId() << 40, width)
         end = np.array([END_ID], dtype="<u4")
 
