@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-VECTORS = "id string, embedding array<float>, document string, document_id string, chunk_index int, source_type string, source_info string, uploader_id string, version int, ts timestamp, bbox string, custom_metadata string, knowledge_base_id string"
+from quillstream.sources.snapshots import SnapshotStore
+
 CHUNKS = "id string, text string, metadata map<string,string>"
 
 
@@ -36,7 +37,7 @@ def relational(spark: SparkSession, url: str, name: str, by: str | None = None,
 
 
 class Vectors(Protocol):
-    """What a store of vectors can do; another one may take the Parquet table's place."""
+    """What a store of vectors can do; another one may take the place of :class:`SnapshotStore`."""
 
     def read(self, kb: str | None = None) -> DataFrame: ...
     def add(self, rows: DataFrame, dimension: int | None = None) -> None: ...
@@ -46,90 +47,8 @@ class Vectors(Protocol):
     def reset(self) -> None: ...
 
 
-class VectorStore:
-    """A Parquet table partitioned by knowledge base."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def _exists(self) -> bool:
-        fs, p = self._path(self.path)
-        return fs.exists(p)
-
-    def read(self, kb: str | None = None) -> DataFrame:
-        """All vectors, or one knowledge base's by partition pruning; an absent one is empty."""
-        df = self.spark.read.schema(VECTORS).parquet(self.path) if self._exists() else self.spark.createDataFrame([], VECTORS)
-        return df.where(F.col("knowledge_base_id") == kb) if kb is not None else df
-
-    def dimension(self, kb: str) -> int | None:
-        """How many numbers the embeddings of a knowledge base have; None while it has none."""
-        row = self.read(kb).where(F.col("embedding").isNotNull()).select(F.size("embedding").alias("n")).first()
-        return row["n"] if row else None
-
-    def add(self, rows: DataFrame, dimension: int | None = None) -> None:
-        """Append. Of rows with one id the first by chunk and text is kept, and none
-        if the table has the id already. All embeddings of a knowledge base have one
-        length, that of the table or else of the batch, or ``dimension``; any other,
-        and a null id or knowledge base, raises and nothing is written."""
-        if rows.where(F.col("id").isNull() | F.col("knowledge_base_id").isNull()).limit(1).count():
-            raise ValueError("a row has no id or no knowledge base")
-        size = F.size("embedding")
-        for r in rows.groupBy("knowledge_base_id").agg(F.min(size).alias("least"), F.max(size).alias("most"), F.count_if(F.col("embedding").isNull()).alias("none")).toLocalIterator():
-            want = dimension or self.dimension(r["knowledge_base_id"]) or r["most"]
-            if r["none"] or (r["least"], r["most"]) != (want, want):
-                raise ValueError(f"an embedding of {r['knowledge_base_id']} has not {want} numbers")
-        first = Window.partitionBy("knowledge_base_id", "id").orderBy("chunk_index", "document")
-        rows = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
-        rows = rows.join(self.read().select("id", "knowledge_base_id"), ["id", "knowledge_base_id"], "left_anti")
-        names = [f.name for f in self.spark.createDataFrame([], VECTORS).schema]
-        rows.select(*names).write.mode("append").partitionBy("knowledge_base_id").parquet(self.path)
-
-    def count(self, kb: str | None = None) -> int:
-        return self.read(kb).count()
-
-    def delete(self, kb: str, ids: DataFrame | None = None, where: Column | None = None) -> None:
-        """Rewrite one partition without the rows that both conditions name."""
-        gone = self.read(kb)
-        if ids is None and where is None:
-            raise ValueError("nothing says what to delete")
-        if where is not None:
-            gone = gone.where(where)
-        if ids is not None:
-            gone = gone.join(ids.select("id").distinct(), "id", "left_semi")
-        kept = self.read(kb).join(gone.select("id"), "id", "left_anti")
-        self._replace(kb, kept)
-
-    def _replace(self, kb: str, rows: DataFrame) -> None:
-        """Put rows in the place of a knowledge base. They are written beside the table
-        first and take its place by renames, so that a job that fails changes nothing."""
-        staged, old = f"{self.path}__staged/knowledge_base_id={kb}", f"{self.path}__old/knowledge_base_id={kb}"
-        for path in (staged, old):
-            self._remove(path)
-        empty = not rows.limit(1).count()
-        if not empty:
-            rows.drop("knowledge_base_id").write.parquet(staged)
-        fs, place = self._path(f"{self.path}/knowledge_base_id={kb}")
-        if fs.exists(place):
-            fs.mkdirs(self._path(old)[1].getParent())
-            fs.rename(place, self._path(old)[1])
-        if not empty:
-            fs.rename(self._path(staged)[1], place)
-        for name in ("__staged", "__old"):
-            self._remove(self.path + name)
-
-    def _path(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _remove(self, path: str) -> None:
-        fs, p = self._path(path)
-        fs.delete(p, True)
-
-    def drop(self, kb: str) -> None:
-        self._remove(f"{self.path}/knowledge_base_id={kb}")
-
-    def reset(self) -> None:
-        self._remove(self.path)
+#: The store that the engine uses.
+VectorStore = SnapshotStore
 
 
 def appended(store: DataFrame, new: DataFrame) -> DataFrame:
