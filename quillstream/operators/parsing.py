@@ -2,6 +2,10 @@
 
 Lines are classified by expressions; runs become elements by gaps and islands
 over one partitioning by document, which the heading paths reuse.
+
+Rows get a number of their own, ``row_id``, before their lines come apart, and all
+that follows goes by it: rows that share a doc_id, or have none, stay apart. A
+null text is empty; an empty one has no elements.
 """
 
 from __future__ import annotations
@@ -23,8 +27,9 @@ TABLE_WORDS = ("表", "表格", "统计", "数据", "对比", "清单", "明细"
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rstrip: bool = False) -> DataFrame:
-    """id, i, line."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n", -1)).alias("i", "line"))
+    """row_id, doc_id, i, line: row_id tells rows apart whatever their ids."""
+    whole = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    out = whole.select("row_id", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
     return out.withColumn("line", F.regexp_replace("line", f"{SPACE}+$", "")) if rstrip else out
 
 
@@ -47,8 +52,8 @@ def slug(title: Column) -> Column:
 
 
 def plain_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, element_index, element_type, raw_content, heading_level, structure_path, parser_confidence."""
-    order = Window.partitionBy("doc_id").orderBy("i")
+    """row_id, doc_id, element_index, element_type, raw_content, heading_level, structure_path, parser_confidence."""
+    order = Window.partitionBy("row_id").orderBy("i")
     line, title = F.col("line"), F.regexp_extract("line", NUMBERED, 2)
     rows = lines_of(docs, id_col, text_col, rstrip=True).withColumn("next", strip(F.lead("line").over(order))).where(strip(line) != "")
     han = title.rlike(HAN)
@@ -60,7 +65,7 @@ def plain_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digits = F.size(F.filter(F.split(F.regexp_extract(line, NUMBERED, 1), r"\."), lambda x: x != ""))
     level = F.when(hashed, F.length(F.regexp_extract(line, HEADING, 1))).when(is_title, F.least(digits, F.lit(6)))
     rows = rows.select(
-        "doc_id", "i", "line",
+        "row_id", "doc_id", "i", "line",
         level.cast("int").alias("heading_level"),
         F.when(hashed, F.regexp_extract(line, HEADING, 2)).otherwise(title).alias("title"),
         F.when(level.isNotNull(), "heading").when(strip(line).rlike(LIST_ITEM), "list_item").otherwise("paragraph").alias("element_type"),
@@ -68,6 +73,7 @@ def plain_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.select(
+        "row_id",
         "doc_id",
         (F.row_number().over(order) - 1).alias("element_index"),
         "element_type",
@@ -78,40 +84,42 @@ def plain_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def fences(lines: Column) -> Column:
-    """Closed code blocks as struct(from, to) of line numbers."""
-    marks = F.filter(F.transform(lines, lambda x, i: named(i=i, any=strip(x).startswith("```"), start=x.startswith("```"))), lambda m: m["any"])
-    last = F.coalesce(F.array_max(F.transform(marks, lambda m: m["i"])), F.lit(-1))
-    zero = F.struct(F.array().cast("array<struct<from:int,to:int>>").alias("done"), F.lit(-1).alias("open"))
-
-    def step(a, m):
-        opens = (a["open"] < 0) & m["start"] & (m["i"] < last)
-        closes = a["open"] >= 0
-        pair = named(**{"from": a["open"], "to": m["i"]})
-        return named(done=F.when(closes, F.concat(a["done"], F.array(pair))).otherwise(a["done"]), open=F.when(closes, -1).when(opens, m["i"]).otherwise(a["open"]))
+def with_code(rows: DataFrame) -> DataFrame:
+    """Lines (row_id, i, line) with code: the number of the line that opened the closed code
+    block a line is in, or null.
 
-    return F.aggregate(marks, zero, step)["done"]
+    A mark that starts its line opens a block, any mark closes it, and what nothing
+    closes is no block. After a mark that does not start its line no block is open,
+    so whether one is depends on whether the starting marks since then are odd."""
+    order = Window.partitionBy("row_id").orderBy("i")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    mark, starts = strip(F.col("line")).startswith("```"), F.col("line").startswith("```")
+    rows = rows.withColumns({"__total": F.sum(starts.cast("int")).over(so_far), "__last": F.max(F.when(mark, F.col("i"))).over(Window.partitionBy("row_id"))})
+    since = F.coalesce(F.last(F.when(mark & ~starts, F.col("__total")), ignorenulls=True).over(before), F.lit(0))
+    rows = rows.withColumn("__open", (F.coalesce(F.lag("__total").over(order), F.lit(0)) - since) % 2 == 1)
+    opened = F.last(F.when(starts & ~F.col("__open") & (F.col("i") < F.col("__last")), F.col("i")), ignorenulls=True).over(so_far)
+    closed = F.last(F.when(mark & F.col("__open"), F.col("i")), ignorenulls=True).over(before)
+    rows = rows.withColumns({"__from": opened, "__to": closed})
+    inside = F.col("__from").isNotNull() & (F.col("__to").isNull() | (F.col("__to") < F.col("__from")))
+    return rows.withColumn("code", F.when(inside, F.col("__from"))).drop("__total", "__last", "__open", "__from", "__to")
 
 
 def markdown_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, element_index, element_type, raw_content, heading_level, heading_id, structure_path, parser_confidence."""
-    # Code blocks are found before the lines come apart: what stands beside a generator is worked out for each of its rows.
-    whole = docs.select(F.col(id_col).alias("doc_id"), F.split(F.coalesce(text_col, F.lit("")), "\n", -1).alias("lines"))
-    rows = whole.withColumn("codes", fences(F.col("lines"))).select("doc_id", "codes", F.posexplode("lines").alias("i", "line"))
-    line = F.col("line")
-    code = F.filter("codes", lambda c: (c["from"] <= F.col("i")) & (F.col("i") <= c["to"]))
-    at = F.when(F.size(code) > 0, F.get(code, F.lit(0))["from"])
+    """row_id, doc_id, element_index, element_type, raw_content, heading_level, heading_id, structure_path, parser_confidence."""
+    order = Window.partitionBy("row_id").orderBy("i")
+    rows, line = lines_of(docs, id_col, text_col), F.col("line")
+    rows = with_code(rows)
+    at = F.col("code")
     kind = (
         F.when(at.isNotNull(), "code_block").when(strip(line) == "", "blank").when(line.rlike(HEADING), "heading").when(line.startswith("> "), "blockquote")
         .when(line.rlike(LIST_ITEM), "list_item").when(line.rlike(TABLE_ROW), "table").otherwise("paragraph")
     )
-    rows = rows.select("doc_id", "i", "line", at.alias("code"), kind.alias("kind"))
-    order = Window.partitionBy("doc_id").orderBy("i")
+    rows = rows.select("row_id", "doc_id", "i", "line", "code", kind.alias("kind"))
     alone = F.col("kind").isin("heading", "list_item", "paragraph")
     fresh = alone | ~F.col("kind").eqNullSafe(F.lag("kind").over(order)) | ~F.col("code").eqNullSafe(F.lag("code").over(order))
     rows = rows.withColumn("run", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("kind <> 'blank'")
     text = F.when(F.col("kind") == "list_item", strip(line)).when(F.col("kind") == "blockquote", F.substring(line, F.lit(3), F.length(line))).otherwise(line)
-    runs = rows.groupBy("doc_id", "run", "kind").agg(F.min("i").alias("i"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
+    runs = rows.groupBy("row_id", "doc_id", "run", "kind").agg(F.min("i").alias("i"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", text.alias("t")))), lambda x: x["t"]), "\n").alias("body"))
     head = F.col("kind") == "heading"
     level, title = F.when(head, F.length(F.regexp_extract("body", HEADING, 1))), F.when(head, F.regexp_extract("body", HEADING, 2))
     confidence = F.lit(None).cast("double")
@@ -120,6 +128,7 @@ def markdown_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     none = F.array().cast("array<string>")
     return runs.select(
+        "row_id",
         "doc_id",
         (F.row_number().over(order) - 1).alias("element_index"),
         F.col("kind").alias("element_type"),
@@ -131,13 +140,19 @@ def markdown_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
+def whose(elements: DataFrame) -> list[str]:
+    """The columns that tell whose elements these are: parsers of one's own may give a doc_id alone."""
+    return [c for c in ("row_id", "doc_id") if c in elements.columns]
+
+
 def merge_headings(elements: DataFrame) -> DataFrame:
     """A heading takes in the deeper headings, list items and paragraphs after it,
     up to another type or a heading of its own or a smaller level."""
-    order = Window.partitionBy("doc_id").orderBy("element_index")
+    own = whose(elements)
+    order = Window.partitionBy(*own).orderBy("element_index")
     kind = F.col("element_type")
     out = elements.withColumn("seg", F.sum(F.when(kind.isin("heading", "list_item", "paragraph"), 0).otherwise(1)).over(order))
-    inside = Window.partitionBy("doc_id", "seg").orderBy("element_index").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*own, "seg").orderBy("element_index").rowsBetween(Window.unboundedPreceding, -1)
     breaker = ~kind.isin("heading", "list_item", "paragraph")
     lowest = F.coalesce(F.min(F.when(kind == "heading", F.col("heading_level"))).over(inside), F.lit(99))
     starts = (kind == "heading") & (F.col("heading_level") <= lowest)
@@ -145,16 +160,16 @@ def merge_headings(elements: DataFrame) -> DataFrame:
     out = out.withColumn("new", (starts | alone).cast("int"))
     out = out.withColumn("grp", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     parts = F.array_sort(F.collect_list(F.struct("element_index", "raw_content", "element_type", "heading_level", "structure_path", "parser_confidence")))
-    merged = out.groupBy("doc_id", "grp").agg(parts.alias("p"))
+    merged = out.groupBy(*own, "grp").agg(parts.alias("p"))
     first, rest = F.col("p")[0], F.transform(F.slice("p", F.lit(2), F.size("p")), lambda x: x["raw_content"])
     text = F.when(F.size("p") > 1, F.concat(first["raw_content"], F.lit("\n\n"), F.array_join(rest, "\n"))).otherwise(first["raw_content"])
-    return merged.select("doc_id", first["element_index"].alias("element_index"), first["element_type"].alias("element_type"), text.alias("raw_content"), first["heading_level"].alias("heading_level"), first["structure_path"].alias("structure_path"), first["parser_confidence"].alias("parser_confidence"))
+    return merged.select(*own, first["element_index"].alias("element_index"), first["element_type"].alias("element_type"), text.alias("raw_content"), first["heading_level"].alias("heading_level"), first["structure_path"].alias("structure_path"), first["parser_confidence"].alias("parser_confidence"))
 
 
 def boundaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, position (in characters), kind, level, title of each structural line,
     with the path of the nearest heading at or before it."""
-    order = Window.partitionBy("doc_id").orderBy("i")
+    order = Window.partitionBy("row_id").orderBy("i")
     rows = lines_of(docs, id_col, text_col)
     before = F.sum(F.length("line") + 1).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("line") - 1
     line = F.col("line")
@@ -162,7 +177,7 @@ def boundaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumns({"position": before.cast("int"), "kind": kind})
     level, title = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", HEADING, 1))), F.when(F.col("kind") == "heading", F.concat_ws(" ", F.regexp_extract("line", HEADING, 1), F.regexp_extract("line", HEADING, 2)))
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select("doc_id", "position", "kind", level.cast("int").alias("level"), title.alias("title"), heading_path(level, title, so_far).alias("structure_path")).where(F.col("kind").isNotNull())
+    return rows.select("row_id", "doc_id", "position", "kind", level.cast("int").alias("level"), title.alias("title"), heading_path(level, title, so_far).alias("structure_path")).where(F.col("kind").isNotNull())
 
 
 # Recognised regions of images: region is struct(box array<array<double>>, text, confidence).

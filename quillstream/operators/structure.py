@@ -1,12 +1,15 @@
 """Texts cut at structural boundaries, and images as elements.
 
-A document's boundaries are an array in its row, so elements are slices of its
-own text and nothing is shuffled; chunk numbers then take one window a document.
+Boundaries lie where lines start. A row's lines take one partitioning by the row:
+what stands before a line (its position, blank lines, open headings) comes from
+running sums and last values over them, and elements are what lies between
+boundaries, so the work grows with the lines and not with their square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,108 +17,76 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import chunk
 from quillstream.functions.text import let, named, strip
-from quillstream.operators.parsing import HEADING, TABLE_WORDS, inside, region_boxes, region_table, region_title
+from quillstream.operators.parsing import HEADING, TABLE_WORDS, heading_path, inside, lines_of, region_boxes, region_table, region_title
 
 BULLET = r"^(\s*)([*+-]|[0-9]+\.)\s+"
-#: Order of kinds at one position, of each detector.
-MARKDOWN, GENERIC = ("heading", "code_block", "list", "table"), ("paragraph", "list", "section", "custom")
-BOUNDARY = "array<struct<position:int,kind:string,level:int,title:string,stop:int>>"
-
-
-def _lines(text: Column) -> Column:
-    """struct(line, at, blank, gap): each line, where it starts, whether it is blank, and
-    where the blank lines right before it start, or it itself."""
-    parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    zero = F.struct(F.array().cast("array<struct<line:string,at:int,blank:boolean,gap:int,run:int>>").alias("out"), F.lit(0).alias("at"), F.lit(0).alias("gap"), F.lit(0).alias("run"))
-
-    def step(a, line):
-        blank = strip(line) == ""
-        row = named(line=line, at=a["at"], blank=blank, gap=a["gap"], run=a["run"])
-        after = a["at"] + F.length(line) + 1
-        return named(out=F.concat(a["out"], F.array(row)), at=after, gap=F.when(blank, a["gap"]).otherwise(after), run=F.when(blank, a["run"] + 1).otherwise(0))
-
-    return F.aggregate(parts, zero, step)["out"]
-
-
-def _boundary(position: Column, kind: str, line: Column, head: bool = False) -> Column:
-    none = F.lit(None)
-    level = F.length(F.regexp_extract(line["line"], HEADING, 1)) if head else none.cast("int")
-    title = F.regexp_extract(line["line"], HEADING, 2) if head else none.cast("string")
-    return named(position=position.cast("int"), order=F.lit((MARKDOWN if kind in MARKDOWN else GENERIC).index(kind)), kind=F.lit(kind), level=level, title=title, stop=(line["at"] + F.length(line["line"])).cast("int"))
-
-
-def _sorted(found: Column) -> Column:
-    return F.transform(F.array_sort(F.array_compact(F.flatten(found))), lambda b: named(position=b["position"], kind=b["kind"], level=b["level"], title=b["title"], stop=b["stop"]))
-
-
-def markdown_boundaries(text: Column) -> Column:
-    """Headings, fences, list items and table rows as an array by position. A list item
-    or table row begins with the blank lines before it, as its pattern takes them in."""
-    return let(
-        _lines(text),
-        lambda lines: _sorted(
-            F.transform(
-                lines,
-                lambda x: F.array(
-                    F.when(x["line"].rlike(HEADING), _boundary(x["at"], "heading", x, head=True)),
-                    F.when(x["line"].rlike(r"^(`{3,}|~{3,})"), _boundary(x["at"], "code_block", x)),
-                    F.when(x["line"].rlike(BULLET), _boundary(x["gap"], "list", x)),
-                    F.when(x["line"].rlike(r"^\s*\|.*\|\s*$"), _boundary(x["gap"], "table", x)),
-                ),
-            )
-        ),
-    )
-
-
-def generic_boundaries(text: Column) -> Column:
-    """Gaps between paragraphs, list items, indents and line ends as an array by position."""
-    last = lambda lines: F.element_at(lines, -1)
+#: A detector: kinds in the order they have at one position, each with what a line must be
+#: (of the columns line, i, most, blank, run) and where the boundary lies: ``at`` the line or
+#: at the ``gap``, where the blank lines right before it start. Kind ``heading`` is a line of its own.
+Detector = Callable[[], list[tuple[str, Column, str]]]
 
-    def gaps(lines: Column) -> Column:
-        """What follows two line ends with nothing but white space between."""
-        def one(x, i):
-            first = i - x["run"] == 0  # the run of blank lines begins the text
-            ends = ~x["blank"] & (x["run"] >= F.when(first, 2).otherwise(1))
-            # A run that ends the text ends where its last line starts.
-            tail = x["blank"] & (x["at"] == last(lines)["at"]) & (i >= 1) & (x["run"] >= F.when(first, 2).otherwise(1))
-            return F.when(ends | tail, _boundary(x["at"], "paragraph", x))
 
-        return F.transform(lines, one)
+def markdown_boundaries() -> list[tuple[str, Column, str]]:
+    """Headings, fences, list items and table rows. A list item or table row begins with
+    the blank lines before it, as its pattern takes them in."""
+    line = F.col("line")
+    return [("heading", line.rlike(HEADING), "at"), ("code_block", line.rlike(r"^(`{3,}|~{3,})"), "at"), ("list", line.rlike(BULLET), "gap"), ("table", line.rlike(r"^\s*\|.*\|\s*$"), "gap")]
 
-    def others(lines: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                lines,
-                lambda x, i: F.array(
-                    F.when(x["line"].rlike(BULLET), _boundary(x["gap"], "list", x)),
-                    F.when(x["line"].rlike(r"^( {2,}|\t+)"), _boundary(x["at"], "section", x)),
-                    F.when(i > 0, _boundary(x["at"], "custom", x)),
-                ),
-            )
-        )
 
-    return let(_lines(text), lambda lines: _sorted(F.array(gaps(lines), others(lines))))
+def generic_boundaries() -> list[tuple[str, Column, str]]:
+    """Gaps between paragraphs, list items, indents and line ends."""
+    line, i, run = F.col("line"), F.col("i"), F.col("run")
+    # Two line ends with nothing but white space between; a run that begins the text has one more line.
+    enough = run >= F.when(i == run, 2).otherwise(1)
+    # A run that ends the text ends where its last line starts.
+    tail = F.col("blank") & (i == F.col("most")) & (i >= 1)
+    return [("paragraph", (~F.col("blank") | tail) & enough, "at"), ("list", line.rlike(BULLET), "gap"), ("section", line.rlike(r"^( {2,}|\t+)"), "at"), ("custom", i > 0, "at")]
 
 
-DETECTORS: dict[str, Callable[[Column], Column]] = {"markdown": markdown_boundaries, "md": markdown_boundaries}
+DETECTORS: dict[str, Detector] = {"markdown": markdown_boundaries, "md": markdown_boundaries}
 
 
-def detector(file_type: str) -> Callable[[Column], Column]:
+def detector(file_type: str) -> Detector:
     """Boundaries by file type; the generic ones where no detector is registered."""
     return DETECTORS.get(file_type.lower(), generic_boundaries)
 
 
-def paths_at(boundaries: Column) -> Column:
-    """struct(position, path) of each heading: its own line after those of smaller levels."""
-    kind = "array<struct<position:int,path:array<string>>>"
-    zero = F.struct(F.array().cast(kind).alias("out"), F.array().cast("array<string>").alias("open"))
-
-    def step(a, b):
-        line = F.concat(F.repeat(F.lit("#"), b["level"]), F.lit(" "), b["title"])
-        now = F.concat(F.slice(a["open"], F.lit(1), b["level"] - 1), F.array(line))
-        return named(out=F.concat(a["out"], F.array(named(position=b["position"], path=now))), open=now)
-
-    return F.aggregate(F.filter(boundaries, lambda b: b["kind"] == "heading"), zero, step)["out"]
+def _measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Lines with at (where each starts), blank, run (blank lines right before it), gap (where
+    these start, or the line itself) and most (the number of the last line)."""
+    order = Window.partitionBy("row_id").orderBy("i")
+    so_far, before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), order.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.length("line")
+    rows = lines_of(docs, id_col, text_col).withColumns({"blank": strip(F.col("line")) == "", "at": (F.sum(n + 1).over(so_far) - n - 1).cast("int"), "most": F.max("i").over(Window.partitionBy("row_id"))})
+    written = F.max(F.when(~F.col("blank"), F.struct(F.col("i").alias("i"), (F.col("at") + n + 1).alias("end")))).over(before)
+    rows = rows.withColumn("__before", written)
+    return rows.withColumns({"run": F.col("i") - 1 - F.coalesce("__before.i", F.lit(-1)), "gap": F.coalesce("__before.end", F.lit(0)).cast("int")}).drop("__before")
+
+
+def boundaries(docs: DataFrame, file_type: str = "markdown", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """row_id, doc_id, position, kind, level, title of every boundary."""
+    heading = F.col("b.kind") == "heading"
+    found = F.array(*[F.when(test, named(position=F.col(where), kind=F.lit(kind))) for kind, test, where in detector(file_type)()])
+    rows = _measured(docs, id_col, text_col).select("row_id", "doc_id", "line", F.explode(F.array_compact(found)).alias("b"))
+    return rows.select("row_id", "doc_id", "b.position", "b.kind", F.when(heading, F.length(F.regexp_extract("line", HEADING, 1))).alias("level"), F.when(heading, F.regexp_extract("line", HEADING, 2)).alias("title"))
+
+
+def _with_paths(rows: DataFrame) -> DataFrame:
+    """Lines (row_id, i, line, head) with path: the open headings at each line, its own included.
+
+    A heading of level n leaves n - 1 of the open ones and comes after them. So its
+    depth is one more than that of the heading before, or n if that is less: its
+    number among the headings, less the largest lead that any of them had over its
+    own level. The open heading of a depth is the last one of it, if it came after
+    the last of every smaller depth."""
+    order = Window.partitionBy("row_id").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    head, level = F.col("head"), F.length(F.regexp_extract("line", HEADING, 1))
+    rows = rows.withColumn("__k", F.sum(head.cast("int")).over(so_far))
+    lead = F.min(F.when(head, level - F.col("__k"))).over(so_far)
+    rows = rows.withColumn("__depth", F.when(head, F.col("__k") + F.least(lead, F.lit(0))))
+    title = F.concat(F.regexp_extract("line", HEADING, 1), F.lit(" "), F.regexp_extract("line", HEADING, 2))
+    return rows.withColumn("path", heading_path(F.col("__depth"), title, so_far)).drop("__k", "__depth")
 
 
 def inferred_type(content: Column) -> Column:
@@ -125,47 +96,49 @@ def inferred_type(content: Column) -> Column:
 
 
 def structured_elements(docs: DataFrame, file_type: str = "markdown", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, element_index, element_type, raw_content, structure_path, parser_confidence:
-    what stands between boundaries, and the line of each heading.
+    """row_id, doc_id, element_index, element_type, raw_content, structure_path,
+    parser_confidence: what stands between boundaries, and the line of each heading.
 
     A stretch has the path of the nearest heading at or before its start; headings
-    themselves have none. Null and blank texts without a boundary are one paragraph."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    none = F.array().cast("array<string>")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("b", detector(file_type)(text)).withColumn("paths", paths_at(F.col("b")))
-
-    def path(start: Column) -> Column:
-        before = F.filter(F.col("paths"), lambda h: h["position"] <= start)
-        return F.when(F.size(before) > 0, F.element_at(before, -1)["path"]).otherwise(none)
-
-    def stretch(start: Column, stop: Column, kind: Callable[[Column], Column]) -> Column:
-        content = F.substring(F.col("text"), start + 1, stop - start)
-        return F.when((stop > start) & (strip(content) != ""), named(type=kind(content), content=content, path=path(start), confidence=F.lit(0.9)))
-
-    def start_of(i: Column) -> Column:
-        before = F.get(F.col("b"), i - 1)
-        return F.when(i == 0, 0).otherwise(F.when(before["kind"] == "heading", before["stop"]).otherwise(before["position"]))
-
-    def at(b: Column, i: Column) -> Column:
-        head = named(type=F.lit("heading"), content=F.substring(F.col("text"), b["position"] + 1, b["stop"] - b["position"]), path=none, confidence=F.lit(1.0))
-        return F.array(stretch(start_of(i), b["position"], inferred_type), F.when(b["kind"] == "heading", head))
-
-    whole = F.array(named(type=F.lit("paragraph"), content=F.col("text"), path=none, confidence=F.lit(1.0)))
-    rest = stretch(start_of(F.size("b")), F.length("text"), lambda _: F.lit("paragraph"))
-    parts = F.array_compact(F.concat(F.flatten(F.transform("b", at)), F.array(rest)))
-    return rows.select("doc_id", F.posexplode(F.when(F.size("b") == 0, whole).otherwise(parts)).alias("element_index", "e")).select(
-        "doc_id", "element_index", F.col("e.type").alias("element_type"), F.col("e.content").alias("raw_content"), F.col("e.path").alias("structure_path"), F.col("e.confidence").alias("parser_confidence")
-    )
+    themselves have none. Null and blank texts without a boundary are one paragraph.
+    Rows that share an id, or have none, stay apart."""
+    found = detector(file_type)()
+    any_of = lambda tests: F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+    rows = _measured(docs, id_col, text_col)
+    # A boundary at a gap lies where blank lines start, before the line that makes it.
+    rows = rows.withColumns({"head": any_of([t for kind, t, _ in found if kind == "heading"]), "__own": any_of([t for _, t, where in found if where == "at"]), "__gap": any_of([t for _, t, where in found if where == "gap"])})
+    back = Window.partitionBy("row_id").orderBy(F.desc("i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    follows = F.last(F.when(~F.col("blank"), F.col("__gap")), ignorenulls=True).over(back)
+    first = (F.col("run") == 0) & F.coalesce(follows, F.lit(False))
+    rows = rows.withColumn("cut", F.col("__own") | first).withColumn("any", F.max("cut").over(Window.partitionBy("row_id")))
+    order = Window.partitionBy("row_id").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The line end of a heading belongs to what follows, unless a boundary lies between.
+    after = F.coalesce(F.lag("head").over(order), F.lit(False)) & ~F.col("cut")
+    rows = _with_paths(rows).withColumn("after", after)
+    rows = rows.withColumn("part", F.sum((F.col("cut") | F.col("after")).cast("int")).over(so_far))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
+    parts = rows.groupBy("row_id", "doc_id", "part").agg(F.min("i").alias("i"), F.max("i").alias("to"), F.max("most").alias("most"), F.max("any").alias("any"), F.max("head").alias("head"), F.min_by("after", "i").alias("after"), F.min_by("path", "i").alias("path"), body.alias("body"))
+    last = F.col("to") == F.col("most")
+    # A stretch starts right after the heading before it and ends where the next line starts.
+    stretch = F.concat(F.when(F.col("after"), "\n").otherwise(""), "body", F.when(last, "").otherwise("\n"))
+    content = F.when(F.col("head") | ~F.col("any"), F.col("body")).otherwise(stretch)
+    kind = F.when(F.col("head"), "heading").when(~F.col("any") | last, "paragraph").otherwise(inferred_type(content))
+    sure = F.when(F.col("head") | ~F.col("any"), 1.0).otherwise(0.9)
+    path = F.when(F.col("head") | ~F.col("any"), F.array().cast("array<string>")).otherwise(F.col("path"))
+    out = parts.select("row_id", "doc_id", "i", "any", "head", kind.alias("element_type"), content.alias("raw_content"), path.alias("structure_path"), sure.alias("parser_confidence"))
+    out = out.where(F.col("head") | ~F.col("any") | (strip(F.col("raw_content")) != ""))
+    return out.select("row_id", "doc_id", (F.row_number().over(order) - 1).alias("element_index"), "element_type", "raw_content", "structure_path", "parser_confidence")
 
 
 def chunked_by_structure(docs: DataFrame, file_type: str = "markdown", overlap: int = chunk.OVERLAP) -> DataFrame:
     """Documents (doc_id, text) to chunks of their structured elements, numbered through, with overlaps inside an element."""
     e = structured_elements(docs, file_type)
-    cut = e.select("doc_id", "element_index", "element_type", "structure_path", "parser_confidence", F.posexplode(chunk.by_element(F.col("raw_content"), F.col("element_type"))).alias("local", "t"))
-    w = Window.partitionBy("doc_id", "element_index").orderBy("local")
-    cut = cut.withColumn("prefix", F.coalesce(F.right(F.lag("t").over(w), F.lit(overlap)), F.lit("")))
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("element_index", "local")) - 1
-    return cut.select("doc_id", number.alias("chunk_index"), F.concat("prefix", "t").alias("text"), "element_type", chunk.chunk_type(F.col("element_type")).alias("chunk_type"), "structure_path", F.col("parser_confidence").alias("confidence"))
+    cut = e.select("row_id", "doc_id", "element_index", "element_type", "structure_path", "parser_confidence", F.posexplode(chunk.by_element(F.col("raw_content"), F.col("element_type"))).alias("local", "t"))
+    order = Window.partitionBy("row_id").orderBy("element_index", "local")
+    before = F.when(F.col("local") > 0, F.lag("t").over(order))
+    cut = cut.withColumn("prefix", F.coalesce(F.right(before, F.lit(overlap)), F.lit("")))
+    return cut.select("row_id", "doc_id", (F.row_number().over(order) - 1).alias("chunk_index"), F.concat("prefix", "t").alias("text"), "element_type", chunk.chunk_type(F.col("element_type")).alias("chunk_type"), "structure_path", F.col("parser_confidence").alias("confidence"))
 
 
 # ---------------------------------------------------------------- chunks as JSON

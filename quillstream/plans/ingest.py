@@ -29,7 +29,7 @@ def routed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     out = None
     for name, parser in PARSERS.items():
         part = parser(told.where(F.col("parser") == name).select("doc_id", "text"))
-        out = part if out is None else out.unionByName(part)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)  # a parser of one's own may give no row_id
     return out, told.where(~F.col("parser").isin(*PARSERS)).select("doc_id", "name", F.col("parser").alias("reason"))
 
 
@@ -37,12 +37,16 @@ def chunks(docs: DataFrame, how: text.Cleaning = text.DEFAULT, elements: DataFra
     """Documents (doc_id, text), or their elements, cleaned, merged and chunked, with overlaps."""
     e = (parsing.plain_elements(docs) if elements is None else elements).withColumn("raw_content", text.clean(F.col("raw_content"), how))
     e = parsing.merge_headings(e)
-    cut = e.select("doc_id", "element_index", "element_type", "structure_path", "parser_confidence", F.posexplode(chunk.by_element(F.col("raw_content"), F.col("element_type"))).alias("local", "t"))
-    w = Window.partitionBy("doc_id", "element_index").orderBy("local")
-    prefix = F.coalesce(F.right(F.lag("t").over(w), F.lit(chunk.OVERLAP)), F.lit(""))
-    suffix = F.when(F.col("local") == 0, "").otherwise(F.coalesce(F.left(F.lead("t").over(w), F.lit(chunk.OVERLAP)), F.lit("")))
-    cut = cut.withColumns({"overlap_prefix": prefix, "overlap_suffix": suffix})
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("element_index", "local")) - 1
+    own = parsing.whose(e)
+    # An element's chunks are in its row, and so is what overlaps.
+    parts = e.select(*own, "element_index", "element_type", "structure_path", "parser_confidence", chunk.by_element(F.col("raw_content"), F.col("element_type")).alias("parts"))
+    near = F.transform("parts", lambda t, i: text.named(
+        t=t, prefix=F.coalesce(F.right(F.get(F.col("parts"), i - 1), F.lit(chunk.OVERLAP)), F.lit("")),
+        suffix=F.when(i == 0, "").otherwise(F.coalesce(F.left(F.get(F.col("parts"), i + 1), F.lit(chunk.OVERLAP)), F.lit(""))),
+    ))
+    cut = parts.select(*own, "element_index", "element_type", "structure_path", "parser_confidence", F.posexplode(near).alias("local", "c"))
+    cut = cut.select("*", F.col("c.t").alias("t"), F.col("c.prefix").alias("overlap_prefix"), F.col("c.suffix").alias("overlap_suffix"))
+    number = F.row_number().over(Window.partitionBy(*own).orderBy("element_index", "local")) - 1
     return cut.select(
         "doc_id", number.alias("chunk_index"), F.concat("overlap_prefix", "t").alias("text"), "element_type", chunk.chunk_type(F.col("element_type")).alias("chunk_type"), "structure_path",
         "overlap_prefix", "overlap_suffix", (F.col("overlap_prefix") != "").alias("has_overlap"), F.length("t").alias("original_size"), F.col("parser_confidence").alias("confidence"),

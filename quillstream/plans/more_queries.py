@@ -31,8 +31,7 @@ BULLET = r"regexp_matches(line, '^(\s*)([*+-]|[0-9]+\.)\s+')"
 UNION ALL SELECT doc_id, gap, 'list' FROM ln WHERE {BULLET} UNION ALL SELECT doc_id, pos, 'section' FROM ln WHERE regexp_matches(line, '^( {{2,}}|\t+)') UNION ALL SELECT doc_id, pos, 'custom' FROM ln WHERE i > 1""")
 def boundaries_generic(s, sf):
     """Boundaries of plain text in every marked document."""
-    b = d.marked(s, sf).select("doc_id", F.explode(structure.generic_boundaries(F.col("text"))).alias("b"))
-    return b.select("doc_id", "b.position", "b.kind")
+    return structure.boundaries(d.marked(s, sf), "txt").select("doc_id", "position", "kind")
 
 
 BOUNDS = rf"""bd AS (

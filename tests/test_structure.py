@@ -3,11 +3,16 @@
 import json
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
 from quillstream.functions import answer
-from quillstream.operators import completion, structure
+from quillstream.operators import completion, parsing, structure
+from quillstream.plans import ingest
+
+
+MARKDOWN, GENERIC = ("heading", "code_block", "list", "table"), ("paragraph", "list", "section", "custom")
 
 
 def texts():
@@ -35,10 +40,14 @@ def generic(text):
 def test_boundaries_are_the_patterns(spark):
     every = texts()
     df = spark.createDataFrame(list(enumerate(every)), "doc_id int, text string")
-    rows = df.select("doc_id", structure.markdown_boundaries(F.col("text")).alias("m"), structure.generic_boundaries(F.col("text")).alias("g")).collect()
-    for r in rows:
-        assert [(b["position"], b["kind"], b["level"], b["title"]) for b in r["m"]] == [(p, k, n, t) for p, _, k, n, t in markdown(every[r["doc_id"]])]
-        assert [(b["position"], b["kind"]) for b in r["g"]] == [(p, k) for p, _, k in generic(every[r["doc_id"]])]
+    got = {}
+    for kind in ("md", "txt"):
+        for r in structure.boundaries(df, kind).collect():
+            got.setdefault((kind, r["doc_id"]), []).append((r["position"], r["kind"], r["level"], r["title"]))
+    key = lambda b: (b[0], [*MARKDOWN, *GENERIC].index(b[1]))
+    for i, text in enumerate(every):
+        assert sorted(got.get(("md", i), []), key=key) == [(p, k, n, t) for p, _, k, n, t in markdown(text)]
+        assert [b[:2] for b in sorted(got.get(("txt", i), []), key=key)] == [(p, k) for p, _, k in generic(text)]
 
 
 def guess(content):
@@ -77,6 +86,71 @@ def test_structured_elements_are_slices(spark):
         assert got.get(i, []) == want
 
 
+def test_generic_elements_are_lines(spark):
+    every = texts()
+    got = {}
+    for r in structure.structured_elements(spark.createDataFrame(list(enumerate(every)), "doc_id int, text string"), "txt").orderBy("doc_id", "element_index").collect():
+        got.setdefault(r["doc_id"], []).append((r["element_type"], r["raw_content"], r["parser_confidence"]))
+    for i, text in enumerate(every):
+        bounds, want, start = generic(text), [], 0
+        for p, _, _ in bounds:
+            if p > start and text[start:p].strip():
+                want.append((guess(text[start:p]), text[start:p], 0.9))
+            start = p
+        if not bounds:
+            want.append(("paragraph", text, 1.0))
+        elif text[start:].strip():
+            want.append(("paragraph", text[start:], 0.9))
+        assert got.get(i, []) == want
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    """Repeated rows, null ids and columns with the names that parsers use."""
+    rows = [(1, "# A\na1\n- a2"), (1, "# B\nb1\n- b2"), (None, "# C\nc1"), (None, "# D\nd1"), (1, "# B\nb1\n- b2"), (2, None), (3, "")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id int, text string, i int, line int, row_id int")
+    for parse, join in ((structure.structured_elements, ""), (parsing.plain_elements, "\n"), (parsing.markdown_elements, "\n")):
+        e = parse(df)
+        whole = [(r["doc_id"], r["t"]) for r in e.groupBy("row_id", "doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("element_index", "raw_content"))), lambda x: x["raw_content"]), join).alias("t")).collect()]
+        assert sorted(whole, key=repr) == sorted(((i, t or "") for i, t in rows if t or parse is structure.structured_elements), key=repr)
+    merged = parsing.merge_headings(parsing.markdown_elements(df)).collect()
+    assert sorted(r["raw_content"] for r in merged) == ["# A\n\na1\n- a2", "# B\n\nb1\n- b2", "# B\n\nb1\n- b2", "# C\n\nc1", "# D\n\nd1"]
+    chunks = ingest.chunks(df).collect()
+    assert sorted((str(r["doc_id"]), r["chunk_index"]) for r in chunks) == sorted([("1", 0)] * 3 + [("None", 0)] * 2)
+    bounds = parsing.boundaries(df).where("kind = 'heading'").collect()
+    assert [r["position"] for r in bounds] == [0] * 5
+
+
+def test_code_blocks_are_a_fold(spark):
+    rng = random.Random(4)
+    every = ["\n".join(rng.choice(["```", "```py", "  ```", "text", "", "# h"]) for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    got = {}
+    for r in parsing.with_code(parsing.lines_of(spark.createDataFrame(list(enumerate(every)), "doc_id int, text string"))).collect():
+        got[r["doc_id"], r["i"]] = r["code"]
+    for i, text in enumerate(every):
+        lines, open_, code = text.split("\n"), None, {}
+        marks = [n for n, x in enumerate(lines) if x.strip().startswith("```")]
+        for n in marks:
+            if open_ is not None:
+                code |= dict.fromkeys(range(open_, n + 1), open_)
+                open_ = None
+            elif lines[n].startswith("```") and n < marks[-1]:
+                open_ = n
+        assert [got[i, n] for n in range(len(lines))] == [code.get(n) for n in range(len(lines))]
+
+
+def test_long_documents_take_linear_time(spark):
+    """100,000 lines of one document, and ten times as many take not much more than ten times as long."""
+    bits = ["# Head", "## Sub", "word and word", "- item", "", "| a | b |", "    indented"]
+    took = []
+    for n in (10_000, 100_000):
+        df = spark.createDataFrame([(1, "\n".join(bits[(i * i + i // 7) % 7] for i in range(n)))], "doc_id int, text string")
+        started = time.perf_counter()
+        assert structure.structured_elements(df).agg(F.count("*")).first()[0] > n / 2
+        assert structure.boundaries(df, "txt").agg(F.count("*")).first()[0] >= n - 1
+        took.append(time.perf_counter() - started)
+    assert took[1] < 30 * max(took[0], 1.0), took
+
+
 def test_chunks_by_structure_are_numbered(spark):
     df = spark.createDataFrame([(1, "# A\n" + "A long sentence stands here. " * 60), (2, "x")], "doc_id int, text string")
     rows = structure.chunked_by_structure(df).orderBy("doc_id", "chunk_index").collect()
