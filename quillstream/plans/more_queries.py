@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +12,7 @@ from quillstream.plans import derived as d
 from quillstream.plans import ingest
 from quillstream.plans import queries as q
 from quillstream.plans.queries import KEPT, SP, query, sql_text
-from quillstream.sources import stores
+from quillstream.sources import scratch, stores
 from quillstream.streaming import ingest as streaming
 
 # ---------------------------------------------------------------- structure
@@ -223,23 +220,39 @@ def tokenize_han(s, sf):
     return d.table(s, sf, "documents").select("doc_id", F.size(t).alias("n"), F.md5(F.array_join(F.array_sort(t), " ")).alias("digest"))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'RAG ' || left(text, 20) WHEN 1 THEN left(text, 20) || '向量' ELSE 'my chroma' END AS q FROM conversations)
-SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN replace(q, 'RAG', '检索增强生成') || '|' || replace(q, 'RAG', 'Retrieval Augmented Generation') WHEN 1 THEN replace(q, '向量', 'embedding') ELSE replace(q, 'chroma', 'ChromaDB') END AS variants FROM t WHERE NOT regexp_matches(lower(left(q, 20)), 'rag.*rag|chroma.*chroma|embedding')""")
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _synonyms_sql(q_: str) -> str:
+    """A list of all variants of a query, in order and each once."""
+    out = []
+    for key, others in understanding.SYNONYMS:
+        has = f"contains(lower({q_}), {_quoted(key.lower())})"
+        out += [f"CASE WHEN {has} THEN replace({q_}, {_quoted(key)}, {_quoted(s)}) END" for s in others]
+        out += [f"CASE WHEN NOT {has} AND contains(lower({q_}), {_quoted(s.lower())}) THEN replace({q_}, {_quoted(s)}, {_quoted(key)}) END" for s in others]
+    return f"list_filter([{', '.join(out)}], lambda x: x IS NOT NULL)"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN 'RAG ' || text WHEN 1 THEN text || '向量' ELSE 'my chroma ' || text END AS q FROM conversations
+), v AS (SELECT conv_id, turn, {_synonyms_sql("q")} AS v FROM t)
+SELECT conv_id, turn, CAST(least(len(u), 5) AS INTEGER) AS n, md5(array_to_string(u[1:5], '|')) AS digest FROM (SELECT conv_id, turn, list_filter(v, lambda x, i: list_position(v, x) = i) AS u FROM v)""")
 def synonym_turns(s, sf):
     """Variants of every turn with a word that has synonyms."""
-    short = F.left("text", F.lit(20))
-    asked = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("RAG "), short)).when(F.col("conv_id") % 3 == 1, F.concat(short, F.lit("向量"))).otherwise("my chroma")
-    t = d.table(s, sf, "conversations").select("conv_id", "turn", asked.alias("q")).where(~F.lower(F.left("q", F.lit(20))).rlike("rag.*rag|chroma.*chroma|embedding"))
-    return t.select("conv_id", "turn", F.array_join(understanding.synonyms(F.col("q")), "|").alias("variants"))
+    kind = F.col("conv_id") % 3
+    asked = F.when(kind == 0, F.concat(F.lit("RAG "), "text")).when(kind == 1, F.concat("text", F.lit("向量"))).otherwise(F.concat(F.lit("my chroma "), "text"))
+    t = d.table(s, sf, "conversations").select("conv_id", "turn", understanding.synonyms(asked).alias("v"))
+    return t.select("conv_id", "turn", F.size("v").alias("n"), F.md5(F.array_join("v", "|")).alias("digest"))
 
 
-@query("SELECT conv_id, turn, CASE WHEN f0 > 0 THEN 'yes' ELSE 'no' END AS any_signal FROM (" + q.intent_scores("conversations", "conv_id, turn", "role = 'user'") + ") WHERE ord = 0")
+@query("WITH r AS (" + q.intent_scores("conversations", "conv_id, turn", "role = 'user'") + """), o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ord) AS n FROM r)
+SELECT conv_id, turn, coalesce(string_agg(CASE WHEN n <= 3 AND score > 0 THEN intent || ':' || CAST(round(score * 1000000) AS BIGINT) END, ',' ORDER BY n), '') AS signals FROM o GROUP BY conv_id, turn""")
 def intent_signals(s, sf):
-    """Whether the best three intents of every user turn have a score: the signals are a map."""
+    """The best three intents of every user turn with their scores in millionths: a map as text."""
     i = understanding.intent(F.col("text"))["signals"]
     t = d.table(s, sf, "conversations").where("role = 'user'").select("conv_id", "turn", i.alias("m"))
-    best = F.array_max(F.map_values("m"))
-    return t.select("conv_id", "turn", F.when(F.coalesce(best, F.lit(0.0)) > 0, "yes").otherwise("no").alias("any_signal"))
+    told = F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit(":"), F.round(e["value"] * 1_000_000).cast("long").cast("string")))
+    return t.select("conv_id", "turn", F.array_join(told, ",").alias("signals"))
 
 
 # ---------------------------------------------------------------- prompts and answers
@@ -292,25 +305,29 @@ def completion_fallback(s, sf):
     return completion.completed(p, _flaky, F.col("user_prompt")).select("query_id", "answer", "error")
 
 
-@query("""SELECT doc_id, u AS used, CASE doc_id % 4 WHEN 1 THEN '2' WHEN 2 THEN '1' ELSE '1,2' END AS unused, valid FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '' ELSE CAST(doc_id % 4 AS VARCHAR) END AS u, doc_id % 4 IN (1, 2) AS valid FROM documents WHERE NOT regexp_matches(text, '\\[[0-9]+\\]'))""".replace("\\\\", "\\"))
+USED = r"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(t, '\[([0-9]+)\]', 1), lambda x: TRY_CAST(x AS INTEGER)), lambda x: x IS NOT NULL)))"
+
+
+@query(f"""WITH a AS (SELECT doc_id, coalesce(text || CASE doc_id % 4 WHEN 0 THEN '' ELSE ' [' || doc_id % 4 || ']' END, '') AS t FROM documents), u AS (SELECT doc_id, {USED} AS u FROM a)
+SELECT doc_id, array_to_string(u, ',') AS used, array_to_string(list_filter([1, 2], lambda x: NOT list_contains(u, x)), ',') AS unused, len(u) > 0 AND len(list_filter(u, lambda x: x NOT IN (1, 2))) = 0 AS valid FROM u""")
 def citation_checks(s, sf):
     """Citations of every document as an answer that names one of two known numbers, an unknown one or none."""
-    t = d.table(s, sf, "documents").where(~F.col("text").rlike(r"\[[0-9]+\]"))
     n = F.col("doc_id") % 4
     a = F.concat("text", F.when(n > 0, F.concat(F.lit(" ["), n.cast("string"), F.lit("]"))).otherwise(""))
-    c = t.select("doc_id", answer.citation_check(a, F.array(F.lit(1), F.lit(2))).alias("c"))
+    c = d.table(s, sf, "documents").select("doc_id", answer.citation_check(a, F.array(F.lit(1), F.lit(2))).alias("c"))
     return c.select("doc_id", F.array_join(F.col("c.used").cast("array<string>"), ",").alias("used"), F.array_join(F.col("c.unused").cast("array<string>"), ",").alias("unused"), "c.valid")
 
 
-@query(d.with_tables("records") + """, a AS (SELECT id, answer || CASE WHEN id % 2 = 0 THEN ' [1]' ELSE '' END AS t, id % 2 = 0 AS cites, id % 4 AS n FROM records WHERE NOT regexp_matches(answer, '\\[[0-9]+\\]')
-), m AS (SELECT id, CASE WHEN cites THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS grounded, CASE WHEN n > 0 AND cites THEN 1.0::DOUBLE / n ELSE 0.0::DOUBLE END AS coverage, length(t) AS l FROM a
+@query(d.with_tables("records") + f""", a AS (SELECT id, answer || CASE WHEN id % 2 = 0 THEN ' [1]' ELSE '' END AS t, id % 4 AS n FROM records
+), u AS (SELECT id, t, n, length(t) AS l, len({USED}) AS k FROM a
+), m AS (SELECT *, CASE WHEN n > 0 THEN CAST(k AS DOUBLE) / n ELSE 0.0::DOUBLE END AS coverage FROM u
 ), c AS (SELECT *, least(least(l / 300, 1.0) + least(coverage * 0.5, 0.5), 1.0) AS completeness FROM m)
-SELECT id, grounded, round(coverage, 6) AS coverage, round(CAST(completeness AS DOUBLE), 6) AS completeness, CASE WHEN coverage < 0.3 AND completeness < 0.4 THEN '引用使用较少；回答可能不够完整' WHEN coverage < 0.3 THEN '引用使用较少' WHEN completeness < 0.4 THEN '回答可能不够完整' ELSE '评估正常' END AS comments FROM c""".replace("\\\\", "\\"))
+SELECT id, CASE WHEN t = '' THEN 0.0::DOUBLE WHEN k > 0 THEN 1.0::DOUBLE ELSE 0.3::DOUBLE END AS grounded, CASE WHEN t <> '' THEN round(coverage, 6) END AS coverage, CASE WHEN t <> '' THEN round(CAST(completeness AS DOUBLE), 6) END AS completeness,
+  CASE WHEN t = '' THEN '回答为空' WHEN coverage < 0.3 AND completeness < 0.4 THEN '引用使用较少；回答可能不够完整' WHEN coverage < 0.3 THEN '引用使用较少' WHEN completeness < 0.4 THEN '回答可能不够完整' ELSE '评估正常' END AS comments FROM c""")
 def answer_qualities(s, sf):
     """Quality of every recorded answer, half of them with a citation."""
-    r = d.records(s, sf).where(~F.col("answer").rlike(r"\[[0-9]+\]"))
     a = F.concat("answer", F.when(F.col("id") % 2 == 0, " [1]").otherwise(""))
-    return r.select("id", answer.quality(a, F.col("id") % 4).alias("q")).select("id", "q.grounded", "q.coverage", "q.completeness", "q.comments")
+    return d.records(s, sf).select("id", answer.quality(a, F.col("id") % 4).alias("q")).select("id", "q.grounded", "q.coverage", "q.completeness", "q.comments")
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 10 <> 8 THEN 'turn ' || turn END AS delta FROM conversations")
@@ -385,11 +402,15 @@ def file_guards(s, sf):
     return d.table(s, sf, "documents").select("doc_id", filetype.sanitized(F.col("source")).alias("name"), filetype.document_id(F.col("text").cast("binary")).alias("document_id"))
 
 
-@query("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.2f B', CAST(n AS DOUBLE)) ELSE printf('%.2f KB', n / 1024.0) END AS size FROM (SELECT doc_id, strlen(text) AS n FROM documents) WHERE n < 1048576")
+SHOWN = "CASE WHEN n < 1024 THEN printf('%.2f B', CAST(n AS DOUBLE)) " + " ".join(f"WHEN n < {1 << (k + 10)} THEN printf('%.2f {u}', round_even(n / {1 << k}.0, 2))" for u, k in (("KB", 10), ("MB", 20), ("GB", 30))) + f" ELSE printf('%.2f TB', round_even(n / {1 << 40}.0, 2)) END"
+
+
+@query(f"WITH s AS (SELECT doc_id, strlen(text) AS n FROM documents), a AS (SELECT doc_id, k, n * CAST(pow(1000, k) AS BIGINT) AS n FROM s, range(0, 4) t(k)) SELECT doc_id, CAST(k AS INTEGER) AS k, {SHOWN} AS size FROM a")
 def format_sizes(s, sf):
-    """Sizes of all documents as they are shown."""
-    n = F.octet_length("text")
-    return d.table(s, sf, "documents").where(n < 1 << 20).select("doc_id", filetype.format_bytes(n).alias("size"))
+    """Sizes of all documents as they are shown, and of thousands, millions and billions of each."""
+    n = F.octet_length("text").cast("long") * F.pow(F.lit(1000), F.col("k")).cast("long")
+    t = d.table(s, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    return t.select("doc_id", "k", filetype.format_bytes(n).alias("size"))
 
 
 @query("SELECT doc_id, CAST(len(w) AS INTEGER) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace(text, '" + SP + "+', ' ', 'g'), ' '), ' '), lambda x: x <> '') AS w FROM documents)")
@@ -469,28 +490,49 @@ def clean_ocr_turns(s, sf):
     return d.table(s, sf, "conversations").select("conv_id", "turn", q.text.ocr_letters(q.text.ocr_glue(label)).alias("glued"))
 
 
-PLAIN_TURN = "NOT regexp_matches(lower(left(text, 30)), 'rag|chroma|embedding|api|jwt|orm|llm|qa')"
+def _unfilled(c: str) -> str:
+    for f in understanding.FILLERS:
+        c = f"replace({c}, '{f}', '')"
+    return c
 
 
-@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace('请问  ' || left(text, 30) || '，谢谢？', '^{SP}+|{SP}+$', '', 'g') AS a FROM conversations WHERE {PLAIN_TURN}
-), b AS (SELECT *, trim(regexp_replace(a, '{SP}+', ' ', 'g'), ' ') AS b FROM t), c AS (SELECT *, translate(b, '，。？', ',.?') AS c FROM b)
-SELECT conv_id, turn, trim(regexp_replace(replace(replace(c, '请问', ''), '谢谢', ''), '{SP}+', ' ', 'g'), ' ') || ' (kb:k1)' AS rewritten, 'normalize_whitespace,normalize_punctuation,remove_fillers,append_hints' AS rules FROM c""")
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace('请问  ' || text || '，谢谢？', '^{SP}+|{SP}+$', '', 'g') AS a FROM conversations
+), b AS (SELECT *, trim(regexp_replace(a, '{SP}+', ' ', 'g'), ' ') AS b FROM t), c AS (SELECT *, translate(b, '，。？', ',.?') AS c FROM b
+), e AS (SELECT *, trim(regexp_replace({_unfilled("c")}, '{SP}+', ' ', 'g'), ' ') AS e, {_synonyms_sql("a")} AS m FROM c)
+SELECT conv_id, turn, md5(e || ' (kb:k1)') AS rewritten, array_to_string(list_filter([CASE WHEN b <> a THEN 'normalize_whitespace' END, CASE WHEN c <> b THEN 'normalize_punctuation' END, CASE WHEN e <> c THEN 'remove_fillers' END, 'append_hints', CASE WHEN len(m) > 0 THEN 'synonym_expansion' END], lambda x: x IS NOT NULL), ',') AS rules,
+  CAST(least(len(list_distinct(m)), 5) AS INTEGER) AS n_expansions FROM e""")
 def rewrite_turns(s, sf):
     """Every turn as a polite question, rewritten."""
-    asked = F.concat(F.lit("请问  "), F.left("text", F.lit(30)), F.lit("，谢谢？"))
-    t = d.table(s, sf, "conversations").where(~F.lower(F.left("text", F.lit(30))).rlike("rag|chroma|embedding|api|jwt|orm|llm|qa"))
-    r = t.select("conv_id", "turn", understanding.rewrite(asked, F.lit("k1")).alias("r"))
-    return r.select("conv_id", "turn", "r.rewritten", F.array_join("r.rules", ",").alias("rules"))
-
-
-@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(left(text, 30), '^{SP}+|{SP}+$', '', 'g') AS q FROM conversations WHERE {PLAIN_TURN} AND length(text) > 20)
-SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN '应用程序编程接口 ' || q WHEN 1 THEN '前端 ' || q || ' 前端技术' ELSE q END AS expanded, CASE conv_id % 3 WHEN 2 THEN 0.3::DOUBLE ELSE 0.5::DOUBLE END AS confidence FROM t""")
+    asked = F.concat(F.lit("请问  "), "text", F.lit("，谢谢？"))
+    r = d.table(s, sf, "conversations").select("conv_id", "turn", understanding.rewrite(asked, F.lit("k1")).alias("r"))
+    return r.select("conv_id", "turn", F.md5("r.rewritten").alias("rewritten"), F.array_join("r.rules", ",").alias("rules"), F.size("r.expansions").alias("n_expansions"))
+
+
+def _expand_sql() -> str:
+    """c to l (the first abbreviation written out), then its phrases, then what is made of them."""
+    has = lambda k: f"contains(c, {_quoted(k)})"
+    long_ = "CASE " + " ".join(f"WHEN {has(k)} THEN replace(c, {_quoted(k)}, {_quoted(v)})" for k, v in understanding.ABBREVIATIONS) + " ELSE c END"
+    any_ = " OR ".join(has(k) for k, _ in understanding.ABBREVIATIONS)
+    # XX stands for the text with its keyword as XX.
+    full = [(k, "replace({}, 'XX', replace(l, {}, 'XX'))".format(_quoted(p), _quoted(k))) for k, p in understanding.EXPANSIONS]
+    found = ", ".join(f"CASE WHEN contains(lower(l), {_quoted(k.lower())}) AND {f} <> l THEN {f} END" for k, f in full)
+    chars = lambda x: "".join(dict.fromkeys(x))
+    return rf"""l AS (SELECT *, {long_} AS l, {any_} AS short FROM t
+), f AS (SELECT *, list_filter([{found}], lambda x: x IS NOT NULL) AS f FROM l
+), v AS (SELECT *, CASE WHEN length(c) <= 10 AND len(f) = 0 THEN CASE WHEN regexp_matches(c, '[{chars(understanding.DEFINITION_CHARS)}]') THEN [c || '的相关定义', c || '的具体含义'] WHEN regexp_matches(c, '[{chars(understanding.HOW_CHARS)}]') THEN ['关于' || c || '的操作方法', c || '的实现步骤']
+  WHEN NOT regexp_matches(c, '[?？]') THEN [c || '是什么', c || '有什么', c || '如何', c || '的作用'] END END AS v FROM f
+), x AS (SELECT *, list_concat(f, coalesce(v, [])) AS p, CAST(short AS INTEGER) + len(f) + CAST(v IS NOT NULL AS INTEGER) AS terms FROM v)"""
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, regexp_replace(CASE conv_id % 3 WHEN 0 THEN 'API ' WHEN 1 THEN '前端 ' ELSE '' END || CASE WHEN turn % 5 = 4 THEN left(text, turn) ELSE text END, '^{SP}+|{SP}+$', '', 'g') AS c FROM conversations), {_expand_sql()}
+SELECT conv_id, turn, md5(CASE WHEN c = '' THEN c ELSE regexp_replace(CASE WHEN len(p) > 0 THEN l || ' ' || array_to_string(p, ' ') ELSE l END, '^{SP}+|{SP}+$', '', 'g') END) AS expanded, CASE WHEN c = '' THEN 0.0::DOUBLE ELSE round(least(0.9, 0.3 + 0.2 * terms), 6)::DOUBLE END AS confidence FROM x""")
 def expand_turns(s, sf):
-    """Every turn with an abbreviation, a keyword or neither, expanded."""
+    """Every whole turn with an abbreviation, a keyword or neither, expanded; every fifth one as a short question."""
     kind = F.col("conv_id") % 3
-    asked = F.concat(F.when(kind == 0, "API ").when(kind == 1, "前端 ").otherwise(""), F.trim(F.left("text", F.lit(30))))
-    t = d.table(s, sf, "conversations").where(~F.lower(F.left("text", F.lit(30))).rlike("rag|chroma|embedding|api|jwt|orm|llm|qa") & (F.length("text") > 20))
-    return t.select("conv_id", "turn", understanding.expand(asked).alias("e")).select("conv_id", "turn", "e.expanded", "e.confidence")
+    text = F.when(F.col("turn") % 5 == 4, F.left("text", F.col("turn").cast("int"))).otherwise(F.col("text"))
+    asked = F.concat(F.when(kind == 0, "API ").when(kind == 1, "前端 ").otherwise(""), text)
+    t = d.table(s, sf, "conversations").select("conv_id", "turn", understanding.expand(asked).alias("e"))
+    return t.select("conv_id", "turn", F.md5("e.expanded").alias("expanded"), "e.confidence")
 
 
 @query("""WITH f AS (SELECT page_id, list_extract(['.pdf', '.gif', '.html'], CAST(page_id % 3 AS INTEGER) + 1) AS e, list_extract(['application/pdf', 'image/gif', 'text/html'], CAST(page_id % 3 AS INTEGER) + 1) AS by_name,
@@ -514,25 +556,10 @@ def clean_code_documents(s, sf):
 
 # ---------------------------------------------------------------- files and streams
 
-def _scratch(spark, label: str) -> str:
-    """A path in the folder of ``spark.checkpoint.dir``, or a temporary one on a single machine; it goes with the application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quillstream-")
-    root = f"{base.rstrip('/')}/quillstream-{spark.sparkContext.applicationId}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(where)
-    fs.deleteOnExit(where)
-    return f"{root}/{label}-{uuid.uuid4().hex}"
-
-
 @query("SELECT conv_id, turn, length(text) AS n FROM conversations")
 def stream_ingest(s, sf):
     """All turns as files that land in a folder, through the streaming ingest, run twice: nothing comes twice."""
-    source, sink, marks = (_scratch(s, x) for x in ("landing", "sink", "marks"))
+    source, sink, marks = (scratch.new_path(s, x) for x in ("landing", "sink", "marks"))
     d.table(s, sf, "conversations").select("conv_id", "turn", "text").write.parquet(source)
     for _ in range(2):
         streaming.ingest(s, source, "conv_id long, turn long, text string", lambda df: df.select("conv_id", "turn", F.length("text").cast("long").alias("n")), sink, marks).awaitTermination()
@@ -541,20 +568,23 @@ def stream_ingest(s, sf):
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS id, md5(text) AS digest, source FROM documents")
 def chunk_store_read(s, sf):
-    """All documents as a store of chunks in JSON arrays, a file for each part, read again."""
-    path = _scratch(s, "chunks")
+    """All documents as stores of chunks, a JSON array in each file, read as stores. Writes a table while it is built."""
+    path = scratch.new_path(s, "chunks")
     rows = d.table(s, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.create_map(F.lit("source"), "source").alias("metadata"))
-    rows.write.json(path)
-    return s.read.schema(stores.CHUNKS).json(path).select("id", F.md5("text").alias("digest"), F.col("metadata")["source"].alias("source"))
+    stores.write_chunk_store(rows, path)
+    return stores.chunk_store(s, path).select("id", F.md5("text").alias("digest"), F.col("metadata")["source"].alias("source"))
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS n FROM documents")
+@query("SELECT doc_id, md5(text) AS digest, md5(text) AS digest_of_bytes FROM documents")
 def text_file_lines(s, sf):
-    """Ids of all documents written as text and read as whole files: as many lines as documents."""
-    path = _scratch(s, "texts")
-    d.table(s, sf, "documents").select(F.col("doc_id").cast("string")).write.text(path)
-    t = stores.text_files(s, path)
-    b = stores.binary_files(s, f"{path}/*.txt")
-    lines = t.select((F.size(F.split("text", "\n", -1)) - 1).alias("n")).agg(F.sum("n").alias("n"))
-    same = b.select((F.size(F.split(F.col("content").cast("string"), "\n", -1)) - 1).alias("n")).agg(F.sum("n").alias("n"))
-    return lines.join(same, "n").select(F.col("n").cast("long").alias("n"))
+    """All documents written into text files, a line each, and read again as whole texts and as bytes. Writes a table while it is built."""
+    path = scratch.new_path(s, "texts")
+    d.table(s, sf, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit("\t"), F.to_json(F.struct("text"))).alias("line")).write.text(path)
+
+    def told(files, column: str) -> DataFrame:
+        lines = files.select(F.explode(F.split(F.rtrim(F.col(column).cast("string")), "\n", -1)).alias("line"))
+        parts = F.split("line", "\t", 2)
+        return lines.where("line <> ''").select(F.get(parts, F.lit(0)).cast("long").alias("doc_id"), F.md5(F.get_json_object(F.get(parts, F.lit(1)), "$.text")).alias("digest"))
+
+    texts, raw = told(stores.text_files(s, path), "text"), told(stores.binary_files(s, f"{path}/*.txt"), "content")
+    return texts.join(raw.withColumnRenamed("digest", "digest_of_bytes"), "doc_id").select("doc_id", "digest", "digest_of_bytes")

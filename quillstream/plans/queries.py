@@ -27,6 +27,20 @@ def query(sql: str | None = None):
     return register
 
 
+#: Small fixed cases: tests hold them against their SQL, and nobody registers them.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASES_SQL: dict[str, str] = {}
+
+
+def case(sql: str):
+    def keep(f):
+        CASES[f.__name__] = f
+        CASES_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
 def values(columns: str, rows: list[tuple]) -> str:
     """Literal rows as a query that both engines run."""
     lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
@@ -112,7 +126,7 @@ def where_filter(s, sf):
     return vector.filtered(v, kb=3, contains=" the ".strip()).select("id", "kb", F.col("id").alias("document_id"))
 
 
-@query(values("id, distance", [(1, 0.0), (2, 1.0), (3, None), (4, -1.0)]).replace("SELECT *", "SELECT id, CASE WHEN distance IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 / (1 + greatest(distance, 0)) AS DOUBLE) END AS score"))
+@case(values("id, distance", [(1, 0.0), (2, 1.0), (3, None), (4, -1.0)]).replace("SELECT *", "SELECT id, CASE WHEN distance IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 / (1 + greatest(distance, 0)) AS DOUBLE) END AS score"))
 def distance_score(s, sf):
     return literal(s, "id, distance", [(1, 0.0), (2, 1.0), (3, None), (4, -1.0)]).select("id", vector.score(F.col("distance")).alias("score"))
 
@@ -157,7 +171,7 @@ def clean_aggressive(s, sf):
 CLEAN_CASES = [(1, "  全角空格　　和ＡＢＣ字符  ", "全角空格 和ABC字符"), (2, "你好，世界。（测试）…", "你好,世界.(测试)..."), (3, "a\r\nb\n\n\n\nc", "a b c"), (4, "Ça Ñandú über", "Ca Nandú uber"), (5, "", "")]
 
 
-@query(values("id, raw, cleaned", CLEAN_CASES).replace("SELECT *", "SELECT id, cleaned"))
+@case(values("id, raw, cleaned", CLEAN_CASES).replace("SELECT *", "SELECT id, cleaned"))
 def clean_cases(s, sf):
     return literal(s, "id, raw, cleaned", CLEAN_CASES).select("id", text.clean(F.col("raw")).alias("cleaned"))
 
@@ -165,7 +179,7 @@ def clean_cases(s, sf):
 MD_CASES = [(1, "##Title ##", "## Title"), (2, "# A", "# A"), (3, "###x", "### x")]
 
 
-@query(values("id, raw, cleaned", MD_CASES).replace("SELECT *", "SELECT id, cleaned"))
+@case(values("id, raw, cleaned", MD_CASES).replace("SELECT *", "SELECT id, cleaned"))
 def clean_markdown_heading(s, sf):
     return literal(s, "id, raw, cleaned", MD_CASES).select("id", text.markdown_heading(F.col("raw")).alias("cleaned"))
 
@@ -173,7 +187,7 @@ def clean_markdown_heading(s, sf):
 MD_BLOCKS = [(1, "[ a ]( b ) and [c](d)", "[a](b) and [c](d)"), (2, "* x\n  + y\n- z", "- x\n  - y\n- z")]
 
 
-@query(values("id, raw, cleaned", MD_BLOCKS).replace("SELECT *", "SELECT id, cleaned"))
+@case(values("id, raw, cleaned", MD_BLOCKS).replace("SELECT *", "SELECT id, cleaned"))
 def clean_markdown_inline(s, sf):
     return literal(s, "id, raw, cleaned", MD_BLOCKS).select("id", text.markdown_lists(text.markdown_links(F.col("raw"))).alias("cleaned"))
 
@@ -181,7 +195,7 @@ def clean_markdown_inline(s, sf):
 OCR_CASES = [(1, "机 器 学 习", "机器学习"), (2, "a b c", "abc"), (3, "机 a", "机a"), (4, "1 2 年", "12年"), (5, "hel1o", "hello"), (6, "w0rd", "word"), (7, "2024", "2024"), (8, "c1ass1c", "classlc")]
 
 
-@query(values("id, raw, cleaned", OCR_CASES).replace("SELECT *", "SELECT id, cleaned"))
+@case(values("id, raw, cleaned", OCR_CASES).replace("SELECT *", "SELECT id, cleaned"))
 def clean_ocr(s, sf):
     return literal(s, "id, raw, cleaned", OCR_CASES).select("id", text.ocr_letters(text.ocr_glue(F.col("raw"))).alias("cleaned"))
 
@@ -198,7 +212,7 @@ def filetype_signature(s, sf):
 KINDS = [("x.md", "# a", "text/markdown", 1.0), ("x.txt", "- a", "text/markdown", 0.8), ("x.txt", "BMW", "image/bmp", 0.8), ("x.pdf", "%PDF-1.4", "application/pdf", 1.0), ("x.xyz", "hello", "application/octet-stream", 0.8), ("x.txt", "hello", "text/plain", 0.8), ("a.webp", "RIFFxxxxWEBP", "image/webp", 1.0)]
 
 
-@query(values("name, body, mime, confidence", KINDS).replace("SELECT *", "SELECT name, body, mime, CAST(confidence AS DOUBLE) AS confidence"))
+@case(values("name, body, mime, confidence", KINDS).replace("SELECT *", "SELECT name, body, mime, CAST(confidence AS DOUBLE) AS confidence"))
 def filetype_cases(s, sf):
     f = filetype.identify(F.col("name"), F.col("body").cast("binary"))
     return literal(s, "name, body, mime, confidence", KINDS).select("name", "body", f["mime"].alias("mime"), f["confidence"].alias("confidence"))
@@ -226,7 +240,7 @@ def file_category(s, sf):
 NAMES = [("a.PDF", "document", "rejected"), ("b.jpeg", "image", "image"), ("c.mp4", "video", "plain_text"), ("d.mp3", "audio", "plain_text"), ("e.md", "document", "markdown"), ("f", "other", "plain_text"), ("g.txt", "document", "plain_text")]
 
 
-@query(values("name, category, parser", NAMES))
+@case(values("name, category, parser", NAMES))
 def file_category_cases(s, sf):
     return literal(s, "name, category, parser", NAMES).select("name", filetype.category(F.col("name")).alias("category"), filetype.parser_of(F.col("name")).alias("parser"))
 
@@ -252,7 +266,7 @@ def parse_plain_elements(s, sf):
 HEADS = [(1, "heading", 1, "a", "a"), (2, "heading", 3, "b", "a>b"), (3, "heading", 2, "c", "a>c"), (4, "heading", 3, "d", "a>c>d"), (5, "heading", 1, "e", "e")]
 
 
-@query(values("i, kind, level, title, path", HEADS).replace("SELECT *", "SELECT i, title, path"))
+@case(values("i, kind, level, title, path", HEADS).replace("SELECT *", "SELECT i, title, path"))
 def heading_paths(s, sf):
     order = Window.partitionBy("doc").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     h = literal(s, "i, kind, level, title, path", HEADS).withColumn("doc", F.lit(1))
@@ -262,7 +276,7 @@ def heading_paths(s, sf):
 NUMBERED = [(1, "1. 引言", "list_item", None), (2, "3.1 Introduction to retrieval systems", "heading", 2), (3, "1. a\n2. b", "list_item", None), (4, "2. 概述以及本系统的总体目标和主要组成部分的说明", "heading", 1)]
 
 
-@query(values("doc_id, raw, kind, level", NUMBERED).replace("SELECT *", "SELECT doc_id, kind, level"))
+@case(values("doc_id, raw, kind, level", NUMBERED).replace("SELECT *", "SELECT doc_id, kind, level"))
 def numbered_heading(s, sf):
     e = parsing.plain_elements(literal(s, "doc_id, raw, kind, level", NUMBERED), text_col="raw").where("element_index = 0")
     return e.select("doc_id", F.col("element_type").alias("kind"), F.col("heading_level").alias("level"))
@@ -275,7 +289,7 @@ MARKDOWN_ROWS = [
 ]
 
 
-@query(values("element_index, element_type, raw_content, path", MARKDOWN_ROWS))
+@case(values("element_index, element_type, raw_content, path", MARKDOWN_ROWS))
 def parse_markdown_elements(s, sf):
     e = parsing.markdown_elements(literal(s, "doc_id, text", [(1, MARKDOWN)]))
     return e.select("element_index", "element_type", "raw_content", F.array_join("structure_path", ">").alias("path"))
@@ -284,7 +298,7 @@ def parse_markdown_elements(s, sf):
 MERGE = [(0, "heading", 2, 0), (1, "paragraph", None, 0), (2, "heading", 3, 0), (3, "list_item", None, 0), (4, "heading", 1, 1), (5, "paragraph", None, 1), (6, "code_block", None, 2), (7, "paragraph", None, 3), (8, "heading", 2, 4)]
 
 
-@query("SELECT * FROM (VALUES (0, 'e0' || chr(10) || chr(10) || 'e1' || chr(10) || 'e2' || chr(10) || 'e3'), (4, 'e4' || chr(10) || chr(10) || 'e5'), (6, 'e6'), (7, 'e7'), (8, 'e8')) t(element_index, raw_content)")
+@case("SELECT * FROM (VALUES (0, 'e0' || chr(10) || chr(10) || 'e1' || chr(10) || 'e2' || chr(10) || 'e3'), (4, 'e4' || chr(10) || chr(10) || 'e5'), (6, 'e6'), (7, 'e7'), (8, 'e8')) t(element_index, raw_content)")
 def merge_headings(s, sf):
     e = literal(s, "element_index, element_type, heading_level, grp", MERGE).select(F.lit(1).alias("doc_id"), "element_index", "element_type", "heading_level", F.concat(F.lit("e"), F.col("element_index").cast("string")).alias("raw_content"), F.array().cast("array<string>").alias("structure_path"), F.lit(1.0).alias("parser_confidence"))
     return parsing.merge_headings(e).select("element_index", "raw_content")
@@ -303,7 +317,7 @@ REGION = "array<struct<box:array<array<double>>,text:string,confidence:double>>"
 REGIONS = "[" + ", ".join(f'{{"box": [[{x}, {y}], [{x2}, {y}], [{x2}, {y + 20}], [{x}, {y + 20}]], "text": "{t}", "confidence": {c}}}' for x, x2, y, t, c in ((10, 60, 10, "a", 0.98765), (100, 160, 12, "b", 1.5), (10, 60, 60, "c", 0.5), (100, 160, 58, "d", 0.4), (10, 60, 300, "e", 0.9))) + "]"
 
 
-@query("SELECT * FROM (VALUES ('a', true, 0.988::DOUBLE), ('b', true, 1.0), ('c', true, 0.5), ('d', true, 0.4), ('e', false, 0.9)) t(text, in_table, confidence)")
+@case("SELECT * FROM (VALUES ('a', true, 0.988::DOUBLE), ('b', true, 1.0), ('c', true, 0.5), ('d', true, 0.4), ('e', false, 0.9)) t(text, in_table, confidence)")
 def ocr_table(s, sf):
     """Recognised regions in order, and whether they lie in the table found among them."""
     r = s.range(1).select(F.from_json(F.lit(REGIONS), REGION).alias("r")).select(parsing.region_boxes(F.col("r")).alias("b")).select(parsing.region_table(F.col("b")).alias("t"), F.explode("b").alias("r"))
@@ -346,7 +360,7 @@ def chunk_table(s, sf):
 CHUNK_CASES = [(1, "aa bbb cccc dd eeeee f", "aa bbb|cccc dd|eeeee f"), (2, "abcdefghijkl x y", "abcdefghijkl|x y"), (3, "", "")]
 
 
-@query(values("id, raw, chunks", CHUNK_CASES).replace("SELECT *", "SELECT id, chunks"))
+@case(values("id, raw, chunks", CHUNK_CASES).replace("SELECT *", "SELECT id, chunks"))
 def chunk_fixed_cases(s, sf):
     return literal(s, "id, raw, chunks", CHUNK_CASES).select("id", F.array_join(chunk.fixed_size(F.col("raw"), 8), "|").alias("chunks"))
 
@@ -354,7 +368,7 @@ def chunk_fixed_cases(s, sf):
 SENTENCES = [(1, "x!! Y. z", "x!!| Y. z"), (2, "A. B! c? d", "A.| B!| c? d"), (3, "没有空格。的中文！句子", "没有空格。的中文！句子"), (4, "one", "one")]
 
 
-@query(values("id, raw, parts", SENTENCES).replace("SELECT *", "SELECT id, parts"))
+@case(values("id, raw, parts", SENTENCES).replace("SELECT *", "SELECT id, parts"))
 def sentence_cases(s, sf):
     return literal(s, "id, raw, parts", SENTENCES).select("id", F.array_join(chunk.sentences(F.col("raw")), "|").alias("parts"))
 
@@ -387,7 +401,7 @@ def chunk_overlap_semantic(s, sf):
 TYPES = [("blockquote", "code"), ("code_block", "code"), ("list_item", "list"), ("table", "table"), ("text_region", "text"), ("heading", "heading"), ("paragraph", "text")]
 
 
-@query(values("kind, chunk_type", TYPES))
+@case(values("kind, chunk_type", TYPES))
 def chunk_types(s, sf):
     return literal(s, "kind, chunk_type", TYPES).select("kind", chunk.chunk_type(F.col("kind")).alias("chunk_type"))
 
@@ -500,7 +514,7 @@ def rerank_structural(s, sf):
 ASKED = [(1, "什么是机器学习？", "fact_qa", 0.7, 0.35, "zh"), (2, "深度学习和机器学习有什么区别？", "compare", 2.0, 1.0, "zh"), (3, "", "unknown", 0.0, 0.0, "unknown"), (4, "how to setup the guide", "howto", 5.4, 1.0, "en"), (5, "RAG是什么", "definition", 1.6, 0.8, "mixed"), (6, "12345678901", "fact_qa", 0.3, 0.2, "unknown"), (7, None, "unknown", 0.0, 0.0, "unknown")]
 
 
-@query(values("id, q, intent, score, confidence, language", ASKED).replace("SELECT *", "SELECT id, intent, CAST(score AS DOUBLE) AS score, CAST(confidence AS DOUBLE) AS confidence, language"))
+@case(values("id, q, intent, score, confidence, language", ASKED).replace("SELECT *", "SELECT id, intent, CAST(score AS DOUBLE) AS score, CAST(confidence AS DOUBLE) AS confidence, language"))
 def intent_cases(s, sf):
     i = understanding.intent(F.col("q"))
     return literal(s, "id, q, intent, score, confidence, language", ASKED).select("id", i.alias("i")).select("id", "i.intent", "i.score", F.round("i.confidence", 6).alias("confidence"), "i.language")
@@ -545,7 +559,7 @@ def detect_language(s, sf):
 EXPAND = [(1, "API", "应用程序编程接口 API是什么 API有什么 API如何 API的作用", 0.7), (2, "前端", "前端 前端技术", 0.5), (3, "什么意思", "什么意思 XX的意思".replace("XX", "什么XX"), 0.5), (4, "how are things going", "how are things going", 0.3), (5, "", "", 0.0)]
 
 
-@query(values("id, q, expanded, confidence", EXPAND).replace("SELECT *", "SELECT id, expanded, CAST(confidence AS DOUBLE) AS confidence"))
+@case(values("id, q, expanded, confidence", EXPAND).replace("SELECT *", "SELECT id, expanded, CAST(confidence AS DOUBLE) AS confidence"))
 def query_expand(s, sf):
     return literal(s, "id, q, expanded, confidence", EXPAND).select("id", understanding.expand(F.col("q")).alias("e")).select("id", "e.expanded", "e.confidence")
 
@@ -553,7 +567,7 @@ def query_expand(s, sf):
 REWRITE = [(1, "请问  API，怎么用？", "API,怎么用? (kb:k1)", "normalize_whitespace,normalize_punctuation,remove_fillers,append_hints"), (2, "RAG", "RAG (kb:k1)", "append_hints,synonym_expansion"), (3, "", "", "")]
 
 
-@query(values("id, q, rewritten, rules", REWRITE).replace("SELECT *", "SELECT id, rewritten, rules"))
+@case(values("id, q, rewritten, rules", REWRITE).replace("SELECT *", "SELECT id, rewritten, rules"))
 def query_rewrite(s, sf):
     r = literal(s, "id, q, rewritten, rules", REWRITE).select("id", understanding.rewrite(F.col("q"), F.lit("k1")).alias("r"))
     return r.select("id", "r.rewritten", F.array_join("r.rules", ",").alias("rules"))
@@ -562,7 +576,7 @@ def query_rewrite(s, sf):
 SYN = [(1, "RAG原理", "检索增强生成原理|Retrieval Augmented Generation原理"), (2, "向量", "embedding"), (3, "plain", ""), (4, "chroma", "ChromaDB")]
 
 
-@query(values("id, q, variants", SYN).replace("SELECT *", "SELECT id, variants"))
+@case(values("id, q, variants", SYN).replace("SELECT *", "SELECT id, variants"))
 def synonyms(s, sf):
     return literal(s, "id, q, variants", SYN).select("id", F.array_join(understanding.synonyms(F.col("q")), "|").alias("variants"))
 
@@ -625,7 +639,7 @@ def doc_source_notice(s, sf):
 ANSWERS = [(1, "x[1] y[3]", 2, "1,3", "2", False), (2, "none", 2, "", "1,2", False), (3, "[2] and [1] and [2]", 2, "1,2", "", True), (4, None, 1, "", "1", False)]
 
 
-@query(values("id, a, n, used, unused, valid", ANSWERS).replace("SELECT *", "SELECT id, used, unused, valid"))
+@case(values("id, a, n, used, unused, valid", ANSWERS).replace("SELECT *", "SELECT id, used, unused, valid"))
 def citation_validate(s, sf):
     c = answer.citation_check(F.col("a"), F.sequence(F.lit(1), F.col("n")))
     r = literal(s, "id, a, n, used, unused, valid", ANSWERS).select("id", c.alias("c"))
@@ -640,7 +654,7 @@ def citations_used(s, sf):
 QUALITY = [(1, "123456789012345678901234567[1]", 2, 1.0, 0.5, 0.35, "回答可能不够完整"), (2, "short", 3, 0.3, 0.0, 0.016667, "引用使用较少；回答可能不够完整"), (3, "", 1, 0.0, None, None, "回答为空")]
 
 
-@query(values("id, a, n, grounded, coverage, completeness, comments", QUALITY).replace("SELECT *", "SELECT id, CAST(grounded AS DOUBLE) AS grounded, CAST(coverage AS DOUBLE) AS coverage, CAST(completeness AS DOUBLE) AS completeness, comments"))
+@case(values("id, a, n, grounded, coverage, completeness, comments", QUALITY).replace("SELECT *", "SELECT id, CAST(grounded AS DOUBLE) AS grounded, CAST(coverage AS DOUBLE) AS coverage, CAST(completeness AS DOUBLE) AS completeness, comments"))
 def answer_quality(s, sf):
     return literal(s, "id, a, n, grounded, coverage, completeness, comments", QUALITY).select("id", answer.quality(F.col("a"), F.col("n")).alias("q")).select("id", "q.grounded", "q.coverage", "q.completeness", "q.comments")
 
@@ -648,7 +662,7 @@ def answer_quality(s, sf):
 SSE = [(1, 'data: {"choices":[{"delta":{"content":"hi"}}]}', "hi"), (2, "data: [DONE]", None), (3, ": ping", None)]
 
 
-@query(values("id, line, delta", SSE).replace("SELECT *", "SELECT id, delta"))
+@case(values("id, line, delta", SSE).replace("SELECT *", "SELECT id, delta"))
 def stream_deltas(s, sf):
     return literal(s, "id, line, delta", SSE).select("id", answer.stream_delta(F.col("line")).alias("delta"))
 
@@ -778,7 +792,7 @@ def priority_order(s, sf):
 STORED = [(1, 0, "a.txt", "a.txt"), (1, 1, "a.txt", "a_1.txt"), (1, 2, "b", "b"), (1, 3, "b", "b_1"), (2, 0, "a.txt", "a.txt"), (2, 1, "123456789012345678901234567890123456_a.txt", "a_1.txt")]
 
 
-@query(values("group_id, i, name, stored", STORED).replace("SELECT *", "SELECT group_id, i, stored"))
+@case(values("group_id, i, name, stored", STORED).replace("SELECT *", "SELECT group_id, i, stored"))
 def stored_names(s, sf):
     return stores.clash_free(literal(s, "group_id, i, name, stored", STORED)).select("group_id", "i", "stored")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +29,20 @@ def chunk_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHUNKS).json(path, multiLine=True)
 
 
+def write_chunk_store(rows: DataFrame, path: str) -> None:
+    """Chunks (id, text, metadata) as JSON arrays, one in each file, as chunk_store() reads them."""
+
+    def arrays(batches):
+        first = True
+        for batch in batches:
+            lines = ["[" if first and i == 0 else "," for i in range(batch.num_rows)]
+            first = first and not batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([m + j for m, j in zip(lines, batch.column(0).to_pylist(), strict=True)], pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if first else "]"])], names=["value"])
+
+    rows.select(F.to_json(F.struct("id", "text", "metadata")).alias("value")).mapInArrow(arrays, "value string").write.text(path)
+
+
 def relational(spark: SparkSession, url: str, name: str, by: str | None = None, low: int = 0, high: int = 0, parts: int = 1) -> DataFrame:
     """A table over JDBC, read in ``parts`` by ranges of a numeric column where one is named."""
     options = {"url": url, "dbtable": name}

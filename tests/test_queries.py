@@ -26,6 +26,11 @@ def test_sql(spark, con, name):
     check(spark, con, q.QUERIES[name], q.SQL[name])
 
 
+@pytest.mark.parametrize("name", sorted(q.CASES))
+def test_cases(spark, con, name):
+    check(spark, con, q.CASES[name], q.CASES_SQL[name])
+
+
 def plain_chunks(text):
     """(type, chunk) of a document by plain rules: lines, cleaned, headings with what follows them, chunks, overlaps."""
     space = r"[\t-\r \x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
