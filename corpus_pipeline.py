@@ -59,7 +59,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is one end mark; repeated rows are packed one by one."""
     small_batches(spark)
-    return packing.pack(packing.token_counts(docs), rows=docs.count())
+    return packing.pack(packing.token_counts(docs))
 
 
 STAGES = [
