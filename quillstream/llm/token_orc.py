@@ -21,7 +21,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import new_path, stored, tasks_for, worker_state
@@ -181,6 +181,12 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     return read_tokens(spark, path).where(F.col("doc_id").isin(list(doc_ids)))
 
 
+def file_number(file: Column) -> Column:
+    """The number of the partition that wrote a file, which Spark gives in its name: ranges
+    have this order. Names do not, once numbers have more than five digits."""
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).cast("long")
+
+
 def digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files.
 
@@ -199,9 +205,9 @@ def digests(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
     rows = read_tokens(spark, path, kind).select("doc_id", "ids", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
     # Two sums follow; written down, the digests spare a second reading of the ids.
     rows = stored(rows.mapInArrow(run, f"doc_id {kind}, file string, row long, n_tokens long, ids_crc32 long"), "digests")
-    # Spark names part files by the partition that wrote them, so names have the ranges' order.
+    # A row a file: what stands in the files before it.
     totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    before = totals.select("file", (F.sum("total").over(Window.orderBy("file")) - F.col("total")).alias("before"))
+    before = totals.select("file", (F.sum("total").over(Window.orderBy(file_number(F.col("file")))) - F.col("total")).alias("before"))
     inside = Window.partitionBy("file").orderBy("doc_id", "row")
     return rows.withColumn("upto", F.sum("n_tokens").over(inside)).join(before, "file").select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32")
 
