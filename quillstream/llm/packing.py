@@ -13,8 +13,8 @@ rest, so that nothing is cut off.
 Defined cases: a null or empty text is one end mark; repeated rows are packed
 one by one; pieces of equal length keep the order of their ids; an empty table
 gives an empty result; texts of any length are split; other columns are ignored,
-whatever their names. Memory is bounded: a task
-packs at most ``HELD`` pieces at a time.
+whatever their names. A task packs a shard at a time, of ``SHARD`` pieces or so;
+shards depend on ids, pieces and texts alone, so rows alike in all of them share one.
 """
 
 from __future__ import annotations
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import stored
+
 #: Permitted sequence lengths in tokens.
 LENGTHS = (512, 1_024, 2_048, 4_096)
 #: What opening a bin costs beside its length, in tokens.
 OVERHEAD = 16
-#: Rows of a shard, and pieces that a task packs at once.
-SHARD, HELD = 50_000, 200_000
+#: Pieces of a shard, which a task packs at once.
+SHARD = 50_000
 
 
 def cost(length: int) -> float:
@@ -111,46 +113,42 @@ def pieces(sized: DataFrame, lengths=LENGTHS) -> DataFrame:
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n_tokens") - start).alias("length"), "salt")
 
 
-def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD, rows: int | None = None) -> DataFrame:
+def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD) -> DataFrame:
     """doc_id and n_tokens (1 at least) of each row to its pieces' places: doc_id,
     piece, start, length, bin_id, bin_offset, bin_tokens, bin_length.
 
     ``salt``, where there is such a column, is a number that tells rows of one id
     apart; shards depend on ids, pieces and salts, not on how rows are stored.
-    ``rows`` is the number of rows where it is known, so that they need not be
-    counted."""
-    shards = (sized.count() if rows is None else rows) // shard + 1
+    Lengths are written down once: their pieces are counted, then dealt."""
+    sized = stored(sized, "lengths")
+    last = F.floor((F.col("n_tokens") - 1) / max(lengths))
+    shards = (sized.agg(F.sum(last + 1).alias("n")).first()["n"] or 0) // shard + 1
     kind = sized.schema["doc_id"].dataType.simpleString()
     cut = pieces(sized, lengths).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)))
 
-    def packed(held: list[pa.RecordBatch], group: int, round_: int):
+    def packed(held: list[pa.RecordBatch], group: int):
         rows = pa.Table.from_batches(held).combine_chunks()
         bins, offsets, contents, final = Packer(lengths).pack(rows.column("length").to_numpy())
-        ids = (group << 40) + (round_ << 20) + bins
+        ids = (group << 40) + bins
         out = [rows.column(c) for c in ("doc_id", "piece", "start", "length")]
         table = pa.Table.from_arrays([*out, pa.array(ids), pa.array(offsets), pa.array(contents[bins]), pa.array(final[bins])], names=["doc_id", "piece", "start", "length", "bin_id", "bin_offset", "bin_tokens", "bin_length"])
         yield from table.to_batches(max_chunksize=20_000)
 
     def run(batches):
-        held, n, group, round_ = [], 0, None, 0
+        held, group = [], None
         for batch in batches:
             shard_of = batch.column(4).to_numpy()
             cuts = [0, *(np.flatnonzero(shard_of[1:] != shard_of[:-1]) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                mine = int(shard_of[a])
-                if held and (mine != group or n + b - a > HELD):
-                    yield from packed(held, group, round_)
-                    round_ = round_ + 1 if mine == group else 0
-                    held, n = [], 0
-                elif mine != group:
-                    round_ = 0
-                group = mine
+                if held and int(shard_of[a]) != group:
+                    yield from packed(held, group)
+                    held = []
+                group = int(shard_of[a])
                 held.append(batch.slice(a, b - a))
-                n += b - a
         if held:
-            yield from packed(held, group, round_)
+            yield from packed(held, group)
 
     schema = f"doc_id {kind}, piece int, start long, length long, bin_id long, bin_offset long, bin_tokens long, bin_length long"
     dealt = cut.select("doc_id", "piece", "start", "length", "shard", "salt").repartition(int(shards), "shard")
