@@ -76,6 +76,9 @@ MARKS, MARK_WEIGHTS = ".!?…:;\"'”»)。！？", (0, 5)
 TAGS, TAG_WEIGHTS = ("other", "text", "item", "heading"), (0, 5, -3, 4)
 BASE = 12
 SIZES = (len(WORD_WEIGHTS), len(LINK_WEIGHTS), len(MARK_WEIGHTS), len(TAG_WEIGHTS))
+#: Form fields; words for each field, and one more, from which a form is a wrapper of text;
+#: words of a notice of rights at most.
+FIELDS, FIELD_WORDS, LEGAL_WORDS = frozenset(("input", "select", "textarea", "button")), 25, 20
 #: Pages in the sample, and how far fitting may move a weight.
 SAMPLE, STEP = 512, 3.0
 
@@ -83,6 +86,9 @@ _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*>|(/?)([a-zA-Z][a-zA-Z0-9:-]
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
+_UNSEEN = re.compile(r"type\s*=\s*[\"']?hidden", re.I)
+#: Notices of rights, such as stand at the foot of pages without an article.
+_LEGAL = re.compile(r"\W*(?:copyright\b|©|\(c\)|all rights reserved)", re.I)
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 _KIND = {"p": 1, "pre": 1, "blockquote": 1, "dd": 1, "li": 2, "dt": 2, "option": 2, **dict.fromkeys(HEADINGS, 3)}
 
@@ -107,7 +113,7 @@ def by_name(names: set[str]) -> int:
 class Box:
     """A container: its parent's number, its cost for each block, what it is."""
 
-    __slots__ = ("article", "cost", "form", "hidden", "holds", "outside", "parent", "tag")
+    __slots__ = ("article", "cost", "form", "hidden", "holds", "inputs", "outside", "parent", "tag")
 
     def __init__(self, tag: str, parent: int, above: "Box | None"):
         self.tag, self.parent, self.cost = tag, parent, 0
@@ -115,6 +121,7 @@ class Box:
         self.hidden = bool(above and above.hidden)
         self.article = bool(above and above.article)
         self.form = self.holds = False
+        self.inputs = 0
 
 
 class Block:
@@ -178,6 +185,8 @@ def parsed(page: str) -> tuple[list[Block], list[Box]]:
         if not name:
             continue
         tag, ends = name.lower(), bool(m[1] or m[4])
+        if tag in FIELDS and not ends and not _UNSEEN.search(m[3] or m[6] or ""):
+            boxes[stack[-1]].inputs += 1
         # What stands in for scripts is content in an article only.
         if tag in RAW and not (tag == "noscript" and boxes[stack[-1]].article):
             if not ends and not (m[3] or m[6] or "").endswith("/"):
@@ -223,9 +232,19 @@ def parsed(page: str) -> tuple[list[Block], list[Box]]:
             boxes.append(box)
         now = fresh("" if ends else tag)
     close()
-    # Forms that do not hold an article take no part, nor does what they hold.
-    for box in boxes[1:]:
-        box.form = box.form and not box.holds or boxes[box.parent].form
+    # Forms take no part, nor does what they hold; a form that holds an article, or has
+    # many words for each of its fields, is but the page's wrapper.
+    words = [0] * len(boxes)
+    for b in out:
+        words[b.parent] += b.text.count(" ") + 1
+    for i in range(len(boxes) - 1, 0, -1):  # what a container holds comes after it
+        words[boxes[i].parent] += words[i]
+        boxes[boxes[i].parent].inputs += boxes[i].inputs
+    for i, box in enumerate(boxes[1:], 1):
+        box.form = (box.form and not box.holds and words[i] < FIELD_WORDS * (box.inputs + 1)) or boxes[box.parent].form
+    for b in out:
+        if _LEGAL.match(b.text) and b.text.count(" ") < LEGAL_WORDS:
+            b.own = min(b.own, BESIDE)
     return [b for b in out if not boxes[b.parent].form], boxes
 
 

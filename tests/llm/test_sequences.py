@@ -239,3 +239,40 @@ def test_fill_middle_is_brute_force(spark, monkeypatch, few):
     assert sorted((str(r.doc_id), r.again) for r in out) == sorted((str(i), t or "") for i, t in rows)
     assert {r.form for r in out} == {"plain", "psm", "spm"}
     assert fill_middle.fill_middle(df.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- earlier operators
+
+
+def test_files_are_ordered_by_their_numbers(spark):
+    """Beyond 99,999 files names have more digits and another order than numbers."""
+    from quillstream.llm.token_orc import file_number
+
+    names = ["file:/x/part-99999-a-c000.snappy.orc", "file:/x/part-100000-a-c000.snappy.orc", "file:/part-7/part-00012-a.orc"]
+    got = spark.createDataFrame([(n,) for n in names], "file string").orderBy(file_number(F.col("file"))).collect()
+    assert [r["file"] for r in got] == [names[2], names[0], names[1]] and sorted(names[:2]) != names[:2]
+
+
+def test_a_form_round_the_page_is_its_wrapper():
+    from quillstream.llm.html_text import main_text
+
+    body = "".join(f"<p>Sentence number {i} tells something that a reader of this page may want to know, and it ends here.</p>" for i in range(8))
+    page = f"<html><body><form id='aspnetForm'><input type='hidden' name='__VIEWSTATE' value='x'><input name='q'><div>{body}</div></form><div id='ft'>Copyright 2020 Someone</div></body></html>"
+    text = main_text(page)
+    assert text.count("Sentence number") == 8 and "Copyright" not in text
+    small = f"<html><body><article>{body}</article><form><p>Sign up for our letter and get news each week.</p><input name='mail'><button>Go</button></form></body></html>"
+    assert "Sign up" not in main_text(small) and main_text(small).count("Sentence number") == 8
+
+
+def test_bins_do_not_depend_on_how_rows_are_stored(spark):
+    """Shards follow the number of pieces; storage, batches and partitions change nothing."""
+    from quillstream.llm import packing
+
+    rows = [(i, 1 + i * i % 900 + (20_000 if i % 50 == 0 else 0)) for i in range(3_000)]
+    seen = []
+    for parts, batch in ((1, 1_000), (7, 37)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        df = spark.createDataFrame(rows[:: 1 if parts == 1 else -1], "doc_id long, n_tokens long").repartition(parts)
+        seen.append(sorted(tuple(r) for r in packing.pack(df, shard=500).collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen[0] == seen[1] and len({r[4] >> 40 for r in seen[0]}) > 5
