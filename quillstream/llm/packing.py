@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import stored
+from quillstream.llm.common import worker_state
 
 #: Permitted sequence lengths in tokens.
 LENGTHS = (512, 1_024, 2_048, 4_096)
@@ -35,6 +35,10 @@ LENGTHS = (512, 1_024, 2_048, 4_096)
 OVERHEAD = 16
 #: Pieces of a shard, which a task packs at once.
 SHARD = 50_000
+#: Bytes of a token, by which pieces are expected.
+TOKEN_BYTES = 3
+#: Parts of texts that a worker remembers while it counts tokens; fewer than where ids are kept.
+MEMO = 100_000
 
 
 def cost(length: int) -> float:
@@ -113,16 +117,23 @@ def pieces(sized: DataFrame, lengths=LENGTHS) -> DataFrame:
     return cut.select("doc_id", "piece", start.alias("start"), F.least(F.lit(most).cast("long"), F.col("n_tokens") - start).alias("length"), "salt")
 
 
-def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD) -> DataFrame:
+def expected_pieces(documents: DataFrame, lengths=LENGTHS, text_col: str = "text") -> int:
+    """About how many pieces the documents' texts make, by their bytes; one pass, no Python."""
+    tokens = F.coalesce(F.octet_length(text_col), F.lit(0)) / TOKEN_BYTES + 1
+    return documents.agg(F.sum(F.ceil(tokens / max(lengths))).alias("n")).first()["n"] or 0
+
+
+def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD, expected: int | None = None) -> DataFrame:
     """doc_id and n_tokens (1 at least) of each row to its pieces' places: doc_id,
     piece, start, length, bin_id, bin_offset, bin_tokens, bin_length.
 
     ``salt``, where there is such a column, is a number that tells rows of one id
     apart; shards depend on ids, pieces and salts, not on how rows are stored.
-    Lengths are written down once: their pieces are counted, then dealt."""
-    sized = stored(sized, "lengths")
-    last = F.floor((F.col("n_tokens") - 1) / max(lengths))
-    shards = (sized.agg(F.sum(last + 1).alias("n")).first()["n"] or 0) // shard + 1
+    Their number follows that of the pieces, ``expected`` or else counted."""
+    if expected is None:
+        last = F.floor((F.col("n_tokens") - 1) / max(lengths))
+        expected = sized.agg(F.sum(last + 1).alias("n")).first()["n"] or 0
+    shards = expected // shard + 1
     kind = sized.schema["doc_id"].dataType.simpleString()
     cut = pieces(sized, lengths).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards)))
 
@@ -157,10 +168,11 @@ def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD) -> DataFrame:
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and salt (a sum of the ids) of each row, with its end mark; no shuffle."""
-    from quillstream.llm.token_orc import encoder, vocabulary
+    from quillstream.llm.token_orc import Encoder, vocabulary
 
     def run(batches):
-        enc = encoder(tokenizer or vocabulary())
+        path = tokenizer or vocabulary()
+        enc = worker_state(("packing", path), lambda: Encoder(path, MEMO))
         for batch in batches:
             n, salt = [], []
             for lo in range(0, batch.num_rows, 500):

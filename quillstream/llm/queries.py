@@ -56,7 +56,8 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in sequences of the permitted lengths."""
-    return packing.pack(packing.token_counts(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_counts(docs), expected=packing.expected_pieces(docs))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
