@@ -196,4 +196,11 @@ def tokens(c: Column, segment=bigrams) -> Column:
     return let(F.lower(F.coalesce(c, F.lit(""))), split)
 
 
+def segmented_tokens(c: Column, segment) -> Column:
+    """tokens() by a segmenter that is a Python function, which may not stand inside a lambda."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    latin = F.filter(F.regexp_extract_all(low, F.lit(f"({TOKEN})"), 1), lambda t: (F.length(t) > 1) | t.rlike("^[0-9]$"))
+    return F.array_distinct(F.concat(segment(low), latin))
+
+
 __all__ = ["expand", "intent", "language", "rewrite", "synonyms", "tokens"]

@@ -28,6 +28,7 @@ bounds are upper ones, so results are those of scoring every document.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,8 +54,8 @@ def tier(block: Column) -> Column:
 class KeywordIndex:
     """An index in a folder."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, tokens: Callable[[Column], Column] = tokens):
+        self.spark, self.path, self.tokens = spark, path.rstrip("/"), tokens
         about = self._read("about", "n long, avgdl double, block int").first()
         self.n, self.avgdl, self.block = about["n"], about["avgdl"], about["block"]
 
@@ -77,8 +78,9 @@ class KeywordIndex:
         return self.spark.read.parquet(f"{self.path}/forward").schema["id"].dataType.simpleString()
 
     @classmethod
-    def build(cls, docs: DataFrame, path: str, block: int = BLOCK, shard: int = SHARD) -> KeywordIndex:
-        """An index of docs (id, text) in a new folder. Documents without an id or a token are left out."""
+    def build(cls, docs: DataFrame, path: str, block: int = BLOCK, shard: int = SHARD, tokens: Callable[[Column], Column] = tokens) -> KeywordIndex:
+        """An index of docs (id, text) in a new folder. Documents without an id or a token are left out.
+        ``tokens`` makes distinct tokens of a text, of documents and questions alike."""
         spark, path = docs.sparkSession, path.rstrip("/")
         told = docs.select("id", tokens(F.col("text")).alias("tokens")).where(F.col("id").isNotNull() & (F.size("tokens") > 0))
         told.select("id", F.size("tokens").alias("dl"), "tokens").write.parquet(f"{path}/forward")
@@ -100,7 +102,7 @@ class KeywordIndex:
         cut = lists.select("token", "shard", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("p", i * block + 1, F.lit(block)))).alias("block", "b"))
         rows = cut.select("token", "shard", "block", F.get("b", F.lit(0))["dl"].alias("least"), F.transform("b", lambda x: x["id"]).alias("ids"), F.transform("b", lambda x: x["dl"]).alias("dls"), tier(F.col("block")).alias("tier"))
         rows.sortWithinPartitions("tier", "token").write.partitionBy("tier").parquet(f"{path}/postings")
-        return cls(spark, path)
+        return cls(spark, path, tokens)
 
     # ------------------------------------------------------------ search
 
@@ -115,7 +117,7 @@ class KeywordIndex:
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query_id, token, idf, df, least, whole: the query's tokens that occur, and all their idf together."""
-        asked = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("token"))
+        asked = queries.select("query_id", F.explode(self.tokens(F.col("question"))).alias("token"))
         met = asked.join(self.stats, "token")
         return met.withColumn("whole", F.sum(F.greatest("idf", F.lit(0.0))).over(Window.partitionBy("query_id")))
 

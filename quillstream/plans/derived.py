@@ -70,6 +70,16 @@ def items(s, d):
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 
 
+#: Letters as Chinese characters, so that words become runs without gaps between them.
+HAN = "的一是不了人我在有他这中大来上国个到说们为子和你地出"
+
+
+def han(s, d):
+    """Documents in Chinese characters: a letter is one, and no space is left between words."""
+    t = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", HAN)
+    return table(s, d, "documents").select("doc_id", F.replace(t, F.lit(" "), F.lit("")).alias("text"))
+
+
 MARKS = (("T", "## "), ("I", "### "), ("W", "# "), ("A", "\n- "), ("O", "\n\n  1. "))
 
 

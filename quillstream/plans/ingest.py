@@ -80,6 +80,15 @@ def ask(questions: DataFrame, stored: DataFrame, k: int = 8, threshold: float |
     return out.withColumn("quality", answer.quality(F.col("answer"), F.col("n_citations")))
 
 
+def counted(documents: DataFrame, size: int = 500) -> DataFrame:
+    """What upload_result() tells of documents (doc_id, text) as they are parsed and cut by default, in one
+    pass over them: lines that are not blank, and slices of ``size`` characters."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    n_elements = F.size(F.filter(lines, lambda x: text.strip(x) != "")).cast("long")
+    n_chunks = F.ceil(F.length(F.coalesce("text", F.lit(""))) / size).cast("long")
+    return documents.select("doc_id", F.when(n_chunks > 0, "success").otherwise("empty").alias("status"), n_elements.alias("n_elements"), n_chunks.alias("n_chunks"))
+
+
 def upload_result(documents: DataFrame, elements: DataFrame, chunked: DataFrame) -> DataFrame:
     """doc_id, status, n_elements and n_chunks of each document; one without a chunk is empty."""
     count = lambda df, name: df.groupBy("doc_id").agg(F.count("*").alias(name))

@@ -151,8 +151,7 @@ def chunk_envelope_read(s, sf):
 ) SELECT d.doc_id, CASE WHEN length(text) > 0 THEN 'success' ELSE 'empty' END AS status, coalesce(n, 0) AS n_elements, CAST(ceil(length(text) / 500) AS BIGINT) AS n_chunks FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id""")
 def upload_counts(s, sf):
     """Elements and stored chunks of every document."""
-    docs = d.table(s, sf, "documents")
-    return ingest.upload_result(docs, parsing.plain_elements(docs), docs.select("doc_id", F.explode(chunk.slices(F.col("text"), 500)).alias("t")))
+    return ingest.counted(d.table(s, sf, "documents"), 500)
 
 
 # ---------------------------------------------------------------- images
