@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import chunk
 from quillstream.functions import text as t
-from quillstream.operators import structure
+from quillstream.operators import segment, structure
 from quillstream.plans import derived as d
 from quillstream.plans import ingest
 from quillstream.plans import more_queries  # noqa: F401
 from quillstream.plans import queries as q
+from quillstream.plans import service_queries  # noqa: F401
 from tests.helpers import SMALL, check, connection
 
 
@@ -94,17 +95,39 @@ def test_chunk_pipeline_is_plain_rules(spark):
         assert [(c["chunk_type"], c["text"]) for c in r["c"]] == [(kinds[k], c) for k, c in plain_chunks(r["text"])]
 
 
-def test_structured_chunks_are_whole(spark):
-    """Chunks by structure hold every word of the marked documents, in order."""
-    marked = {r["doc_id"]: r["text"] for r in d.marked(spark, SMALL).collect()}
-    rows = structure.structured_elements(d.marked(spark, SMALL)).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("element_index", "raw_content"))).alias("c")).collect()
-    assert {r["doc_id"]: " ".join(x["raw_content"] for x in r["c"]).split() for r in rows} == {i: x.split() for i, x in marked.items()}
-    n = {r["doc_id"]: r["n"] for r in q.QUERIES["chunk_structured"](spark, SMALL).groupBy("doc_id").agg((F.max("chunk_index") + 1 - F.count("*")).alias("n")).collect()}
-    assert set(n) == set(marked) and set(n.values()) == {0}
+def test_structured_chunks(spark):
+    """Chunks by structure against plain rules: each element's type, text, path, overlap and number."""
+    kinds = {r["k"]: r["c"] for r in spark.createDataFrame([(k,) for k in ("heading", "paragraph", "list_item", "code_block", "table")], "k string").select("k", chunk.chunk_type(F.col("k")).alias("c")).collect()}
+    want = {}
+    for r in structure.structured_elements(d.marked(spark, SMALL)).collect():
+        kind, body = r["element_type"], r["raw_content"]
+        parts = paragraph(body) if kind == "paragraph" else code(body) if kind == "code_block" else table(body) if kind == "table" else fixed(body)
+        for i, p in enumerate(parts):
+            want[r["doc_id"], r["element_index"], i] = (kind, kinds[kind], (parts[i - 1][-50:] if i else "") + p, tuple(r["structure_path"]), r["parser_confidence"])
+    rows = structure.chunked_by_structure(d.marked(spark, SMALL)).collect()
+    got = {(r["doc_id"], r["chunk_index"]): (r["element_type"], r["chunk_type"], r["text"], tuple(r["structure_path"]), r["confidence"]) for r in rows}
+    number, told = {}, {}
+    for key in sorted(want):
+        n = number.get(key[0], 0)
+        number[key[0]], told[key[0], n] = n + 1, want[key]
+    assert got == told and len(rows) == len(got) and {k for k, *_ in got.values()} >= {"heading", "list_item", "paragraph"}
+    digests = {(r["doc_id"], r["chunk_index"]): (r["element_type"], r["digest"]) for r in q.QUERIES["chunk_structured"](spark, SMALL).collect()}
+    assert digests == {k: (v[0], hashlib.md5(v[2].encode()).hexdigest()) for k, v in told.items()}
+
+
+def test_han_words_are_the_likeliest_cuts(spark):
+    """The words of all documents against plain cuts by the same lexicon; nothing is lost."""
+    docs = d.han(spark, SMALL)
+    s = segment.Segmenter({r["word"]: r["n"] for r in segment.lexicon(docs).collect()})
+    assert s.longest > 1
+    got = {r["doc_id"]: (r["n"], r["digest"]) for r in q.QUERIES["han_words"](spark, SMALL).collect()}
+    for r in docs.collect():
+        words = [w for run in re.findall("[一-鿿]+", r["text"].lower()) for w in s.cut(run)]
+        assert got[r["doc_id"]] == (len(words), hashlib.md5(" ".join(words).encode()).hexdigest())
 
 
 def test_all_queries_without_sql_are_tested_here():
-    assert set(q.QUERIES) - set(q.SQL) == {"chunk_pipeline", "chunk_type_hist", "embed_chunks", "chunk_structured"}
+    assert set(q.QUERIES) - set(q.SQL) == {"chunk_pipeline", "chunk_type_hist", "embed_chunks", "chunk_structured", "han_words"}
 
 
 def sentences(text):
@@ -131,6 +154,13 @@ def paragraph(text, limit=500):
     return out + ([cur.strip()] if cur.strip() else [])
 
 
+def table(text, most=20):
+    if not re.search(r"(?m)^\s*\|", text):
+        return fixed(text)
+    rows = [r for r in text.split("\n") if r.strip()]
+    return ["\n".join(rows[i : i + most]) for i in range(0, max(1, len(rows)), most)]
+
+
 def code(text, limit=2000, most=10):
     lines = text.split("\n")
     if len(text) <= limit or len(lines) <= most:
