@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.filetype import UPLOAD_LIMIT
-from quillstream.sources import scratch
+from quillstream.sources.numbering import numbered
 
 ROLES = ("admin", "member")
 
@@ -112,27 +112,6 @@ def export(record: DataFrame) -> DataFrame:
     return record.select("id", js.alias("json"), md.alias("markdown"), txt.alias("text"))
 
 
-def numbered(rows: DataFrame, by: str, *order: str) -> DataFrame:
-    """rows with place: their number from 1 by ``by`` and then ``order``.
-
-    Rows are dealt over tasks by ranges of these columns and sorted there; a row's
-    place is its place in its range and what the ranges before hold, of which a
-    count a range comes to the driver. No task sees all rows, and not all of one
-    value either: what rows that are alike in all columns come in is of no matter,
-    so their own number spreads them. Writes the sorted rows down once."""
-    ranged = rows.withColumn("__row", F.monotonically_increasing_id())
-    ranged = ranged.repartitionByRange(by, *order, "__row").sortWithinPartitions(by, *order, "__row").drop("__row")
-    # The number that Spark gives has the partition in its upper bits and the place in it below.
-    held = scratch.stored(ranged.withColumn("__at", F.monotonically_increasing_id()), "ranges")
-    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    before, upto = [], 0
-    for r in held.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
-        before += [F.lit(r["part"]), F.lit(upto)]
-        upto += r["n"]
-    start = F.element_at(F.create_map(*before), part) if before else F.lit(0)
-    return held.withColumn("place", (start + inside + 1).cast("long")).drop("__at")
-
-
 def created_groups(groups: DataFrame, members: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     """groups and members after requests (actor_id, name): each makes a group, which the
     actor owns and administers. Requests without an actor or a name make none."""

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillstream.sources.numbering import ranked
 from quillstream.sources.snapshots import SnapshotStore
 
 CHUNKS = "id string, text string, metadata map<string,string>"
@@ -95,14 +96,22 @@ def clash_free(names: DataFrame) -> DataFrame:
     first underscore go; a name that a group has already gets the least of _1, _2,
     ... that is free when its turn comes, by i.
 
-    Only names of one family can clash, those alike but for such endings; a family
-    is worked off in order, as each name depends on those before it. Families, not
-    groups, go to one task."""
+    Only names of one family can clash, those alike but for such endings. In most
+    families all names are the same, and the n-th of them just gets n - 1: these
+    are numbered by ranges, so that a family of any size is the work of many tasks.
+    Where names of a family differ, each depends on those before it, and such a
+    family is worked off in order."""
     bare = F.when(F.instr("name", "_") == 37, F.substring(F.col("name"), F.lit(38), F.length("name"))).otherwise(F.col("name"))
     stem, ext = F.regexp_replace("bare", r"(?<=.)\.[^.]*$", ""), F.regexp_extract("bare", r"(?<=.)(\.[^.]*)$", 1)
-    rows = names.withColumn("bare", bare).withColumns({"ext": ext, "stem": stem}).withColumn("family", F.concat(F.regexp_replace("stem", r"(_[0-9]+)+$", ""), "ext"))
+    rows = names.select("group_id", "name", "i", bare.alias("bare")).withColumns({"ext": ext, "stem": stem}).withColumn("family", F.concat(F.regexp_replace("stem", r"(_[0-9]+)+$", ""), "ext"))
+    # A row for each family whose names differ.
+    mixed = rows.groupBy("group_id", "family").agg((F.min("bare") != F.max("bare")).alias("mixed")).where("mixed")
+    told = rows.join(mixed.withColumnsRenamed({"group_id": "__g", "family": "__f"}), F.col("group_id").eqNullSafe(F.col("__g")) & F.col("family").eqNullSafe(F.col("__f")), "left").drop("__g", "__f")
     schema = f"group_id {names.schema['group_id'].dataType.simpleString()}, name string, i {names.schema['i'].dataType.simpleString()}, stored string"
-    return rows.select("group_id", "name", "i", "bare", "stem", "ext", "family").groupBy("group_id", "family").applyInPandas(_free_names, schema)
+    alike = ranked(told.where(F.col("mixed").isNull()).drop("mixed"), ["group_id", "bare"], ["i", "name"])
+    free = F.when(F.col("place") == 1, F.col("bare")).otherwise(F.concat("stem", F.lit("_"), (F.col("place") - 1).cast("string"), "ext"))
+    rest = told.where("mixed").drop("mixed").groupBy("group_id", "family").applyInPandas(_free_names, schema)
+    return alike.select("group_id", "name", "i", free.alias("stored")).unionByName(rest)
 
 
 def _free_names(family: pd.DataFrame) -> pd.DataFrame:

@@ -12,9 +12,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import understanding
-from quillstream.operators import keyword_index, metadata, segment
+from quillstream.operators import keyword_index, segment
 from quillstream.plans import capture, derived, metrics, service_queries
-from quillstream.sources import office
+from quillstream.sources import numbering, office
+from quillstream.sources.stores import clash_free
 from quillstream.streaming import queue
 from tests.helpers import SMALL
 
@@ -225,15 +226,41 @@ def test_numbers_are_dense_and_in_order(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(5), rng.choice("xyz"), i) for i in range(400)] + [(3, "x", -1)] * 30
     df = spark.createDataFrame(rows, "by int, name string, place int").repartition(5)
-    got = metadata.numbered(df.drop("place"), "by", "name").collect()
+    got = numbering.numbered(df.drop("place"), "by", "name").collect()
     assert [r["place"] for r in sorted(got, key=lambda r: r["place"])] == list(range(1, len(rows) + 1))
     in_order = [(r["by"], r["name"]) for r in sorted(got, key=lambda r: r["place"])]
     assert in_order == sorted(in_order)
-    assert metadata.numbered(df.drop("place").limit(0), "by", "name").count() == 0
-    plan = metadata.numbered(df.drop("place"), "by", "name")._jdf.queryExecution().executedPlan().toString()
+    assert numbering.numbered(df.drop("place").limit(0), "by", "name").count() == 0
+    plan = numbering.numbered(df.drop("place"), "by", "name")._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan
 
 
+def test_ranks_inside_hot_values(spark):
+    """A third of all rows have one value: it lies in many ranges, and is ranked through."""
+    rng = random.Random(3)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 == 0 else f"v{i % 7}", rng.randrange(50), i) for i in range(2_000)]
+    df = spark.createDataFrame(rows, "v string, at int, place int").repartition(6)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = numbering.ranked(df, ["v"], ["at", "place"]).drop("at").toDF("v", "id", "place").collect()
+        parts = numbering._ranged(df, "v", "at").where("v = 'hot'").select("__part").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = {}
+    for v, at, i in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        want.setdefault(v, []).append(i)
+    assert {(r["v"], r["id"]): r["place"] for r in got} == {(v, i): n for v, ids in want.items() for n, i in enumerate(ids, 1)} and parts > 1
+
+
+def test_names_of_one_family_need_no_group(spark):
+    """Families of one name are numbered; only those whose names differ go through Python."""
+    df = spark.createDataFrame([(g, i, n) for g in (1, None) for i, n in enumerate(["a.txt"] * 40 + ["b.txt", "b_1.txt", "b.txt"])], "group_id long, i int, name string")
+    got = {(r["group_id"], r["i"]): r["stored"] for r in clash_free(df).collect()}
+    for g in (1, None):
+        assert [got[g, i] for i in range(40)] == ["a.txt", *[f"a_{n}.txt" for n in range(1, 40)]]
+        assert [got[g, i] for i in range(40, 43)] == ["b.txt", "b_1.txt", "b_2.txt"]
+
+
 # ---------------------------------------------------------------- Word files
 
 
