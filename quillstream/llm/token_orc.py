@@ -68,37 +68,38 @@ class Encoder:
         hidden = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in shown)}
         self.as_chars = {b: chr(hidden.get(b, b)) for b in range(256)}
         self.space = self.as_chars[0x20]
+        # Each id as four bytes.
+        self.four = [i.to_bytes(4, "little") for i in range(max(self.tokenizer.get_vocab().values()) + 1)]
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """A space and letters: one pre-token, which goes straight to the library's model."""
-        # ASCII letters stand for themselves.
-        chars = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.as_chars))
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(chars)]).tobytes()
-
     def _learn(self, parts: set[str]) -> None:
         """After this, every part is in young; parts that may not stand alone as None."""
         if len(self.young) > self.memo:
             self.old, self.young = self.young, {}
         young, old, marks, new = self.young, self.old, self.marks, []
+        tokenize, four, space = self.tokenizer.model.tokenize, self.four, self.space
         for p in parts:
             if p in young:
                 continue
             if p in old:
                 young[p] = old[p]
-            elif p.isalpha() and (p.isascii() or max(p) < "\u0180"):
-                young[p] = self._letters(p)
-            elif (stem := p.rstrip(MARKS)).isalpha() and (p.isascii() or max(stem) < "\u0180"):
-                # Letters and the marks after them are two pre-tokens.
-                if (ids := young.get(stem)) is None:
-                    ids = young[stem] = self._letters(stem)
-                if (tail := marks.get(end := p[len(stem) :])) is None:
-                    if len(marks) > 10_000:
-                        marks.clear()
-                    tail = marks[end] = self._whole(end)
-                young[p] = ids + tail
+                continue
+            stem = p if p.isalpha() else p.rstrip(MARKS)
+            if stem.isalpha() and ((ascii_ := stem.isascii()) or max(stem) < "\u0180"):
+                # A space and letters are one pre-token, which goes straight to the library's
+                # model. ASCII letters stand for themselves.
+                if stem is p or (ids := young.get(stem)) is None:
+                    chars = space + (stem if ascii_ else stem.encode().decode("latin-1").translate(self.as_chars))
+                    ids = young[stem] = b"".join([four[t.id] for t in tokenize(chars)])
+                if stem is not p:
+                    # Letters and the marks after them are two pre-tokens.
+                    if (tail := marks.get(end := p[len(stem) :])) is None:
+                        if len(marks) > 10_000:
+                            marks.clear()
+                        tail = marks[end] = self._whole(end)
+                    young[p] = ids + tail
             elif not p or _loose(p[0]) or _loose(p[-1]):
                 young[p] = None
             else:
