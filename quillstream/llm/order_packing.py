@@ -43,7 +43,7 @@ SENTENCE, INSIDE = 4, 32
 #: What a sequence costs beside its padding, so that of equal paddings fewer sequences win.
 OPENING = 1
 #: Tokens without a sentence end after which a cut is allowed all the same.
-FILL = 64
+FILL = 128
 #: Tokens that a task decides on at once, and those at their end that wait for what follows.
 BLOCK, WAIT = 1 << 20, 16 * WIDTH
 
@@ -67,25 +67,33 @@ def best_cuts(places: np.ndarray, penalties: np.ndarray, width: int = WIDTH, fin
     js, is_ = np.concatenate(js), np.concatenate(is_)
     order = np.argsort(js, kind="stable")
     exact_j, exact_i = [*js[order].tolist(), m], [*is_[order].tolist(), 0]
-    cost, back = [0] * m, [0] * m
-    queue, keys, head, e = [0] * m, [0] * m, 0, 0
-    tail = 0  # the queue is what lies from head to tail
+    cost, back = [0], [0]
+    # The queue: indices, places and keys of what may still be the best, from head on.
+    queue, lies, keys, head, e = [], [], [], 0, 0
+    c, p = 0, at[0]
+    nearest = exact_j[0]
     for j in range(1, m):
+        key = c + p
+        while len(keys) > head and keys[-1] > key:
+            keys.pop()
+            lies.pop()
+            queue.pop()
+        queue.append(j - 1)
+        lies.append(p)
+        keys.append(key)
         p = at[j]
-        key = cost[j - 1] + at[j - 1]
-        while tail > head and keys[tail - 1] > key:
-            tail -= 1
-        queue[tail], keys[tail] = j - 1, key
-        tail += 1
-        while at[queue[head]] < p - width:
+        while lies[head] < p - width:
             head += 1
-        best, i = keys[head] + width - p, queue[head]
-        while exact_j[e] == j:
-            if cost[exact_i[e]] < best:
+        c, i = keys[head] + width - p, queue[head]
+        while nearest == j:
+            if cost[exact_i[e]] < c:
                 i = exact_i[e]
-                best = cost[i]
+                c = cost[i]
             e += 1
-        cost[j], back[j] = best + pen[j] + OPENING, i
+            nearest = exact_j[e]
+        c += pen[j] + OPENING
+        cost.append(c)
+        back.append(i)
     j = m - 1
     if not final:
         last = [i for i in range(1, m) if at[i] > at[-1] - width]
