@@ -13,10 +13,12 @@ that no word covers stand alone. Time is linear in the run.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +31,8 @@ from quillstream.sources import scratch
 LONGEST, LEAST, COHESION, BRANCH = 4, 5, 1.5, 0.8
 #: Words of a lexicon that is taken to all tasks, the most frequent ones: some 20 MB.
 WORDS = 200_000
+#: Characters of texts whose words a task holds at once, beside a longer text.
+HELD = 1 << 18
 RUN = r"([\x{4e00}-\x{9fff}]+)"
 
 
@@ -89,13 +93,14 @@ class Segmenter:
         back = [0]
         cost, unknown = self.cost, self.unknown
         for i in range(1, len(run) + 1):
-            found = None
+            found = told = None
             for j in range(max(0, i - self.longest), i):
                 c = cost.get(run[j:i], unknown if i - j == 1 else None)
                 if c is not None:
                     way = (best[j][0] + c, best[j][1] + 1)
-                    if found is None or (round(way[0], 9), way[1]) < (round(found[0], 9), found[1]):
-                        found, at = way, j
+                    key = (round(way[0], 9), way[1])
+                    if found is None or key < told:
+                        found, told, at = way, key, j
             best.append(found)
             back.append(at)
         out, i = [], len(run)
@@ -105,6 +110,13 @@ class Segmenter:
         return out[::-1]
 
 
+def pieces(texts: pd.Series, most: int = HELD) -> Iterator[pd.Series]:
+    """A batch's texts in order, in parts of some ``most`` characters or of one longer text."""
+    part = texts.str.len().fillna(0).to_numpy().cumsum() // most
+    for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]):
+        yield texts.iloc[a:b]
+
+
 def segmenter(found: DataFrame) -> Callable[[Column], Column]:
     """A function from a text column to its Chinese words in order, for segmented_tokens(), by
     a lexicon (word, n) of bounded size, which is taken to all tasks."""
@@ -112,9 +124,12 @@ def segmenter(found: DataFrame) -> Callable[[Column], Column]:
     shared = found.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in rows})
     runs = re.compile(r"[一-鿿]+")
 
-    @pandas_udf(ArrayType(StringType()))
-    def words(texts: pd.Series) -> pd.Series:
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         s = Segmenter(shared.value)
-        return texts.map(lambda t: [w for run in runs.findall(t or "") for w in s.cut(run)])
+        for batch in batches:
+            # Words take many times the room of their text: a part's are handed on before the next part is cut.
+            for texts in pieces(batch):
+                yield texts.map(lambda t: [w for run in runs.findall(t or "") for w in s.cut(run)])
 
-    return words
+    cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return pandas_udf(cut, ArrayType(StringType()))

@@ -8,6 +8,7 @@ import re
 import zipfile
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,6 +101,16 @@ def test_words_of_a_language_are_found(spark):
     assert right / told > 0.9 and right / wanted > 0.9
 
 
+def test_words_of_a_batch_are_handed_on_in_parts(spark):
+    """A batch of any number of texts never has all its words in memory."""
+    words = segment.segmenter(spark.createDataFrame([("机器", 9), ("学习", 9)], "word string, n long"))
+    texts = pd.Series(["机器学习" * 5_000, None, "", "x"] * 60)
+    parts = list(words.func(iter([texts])))
+    assert max(sum(map(len, p)) for p in parts) <= segment.HELD and len(parts) > 3
+    assert [len(w) for p in parts for w in p] == [10_000, 0, 0, 0] * 60
+    assert [len(p) for p in segment.pieces(pd.Series(["aaaa", "b", "cc", None]), 2)] == [2, 2] and [len(p) for p in segment.pieces(pd.Series([], dtype=str))] == [0]
+
+
 def test_words_are_searched(spark, tmp_path):
     """An index by words finds what holds the word, not what holds its characters by chance."""
     segments = segment.segmenter(spark.createDataFrame([("机器", 9), ("学习", 9), ("器学", 1), ("大", 3)], "word string, n long"))
