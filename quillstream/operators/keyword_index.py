@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.functions.understanding import tokens
-from quillstream.operators import ranking
+from quillstream.operators import keyword_scan, ranking
 from quillstream.sources import scratch
 
 #: Postings of a block, documents of a shard.
@@ -189,6 +189,6 @@ class KeywordIndex:
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 8) -> DataFrame:
-    """The k best of docs (id, text) for each of the queries (query_id, question) by an
-    index that is made for them: query_id, id, score, rank."""
-    return KeywordIndex.build(docs, scratch.new_path(docs.sparkSession, "index")).search(queries, k)
+    """The k best of docs (id, text) for each of the queries (query_id, question): query_id, id, score, rank.
+    One search does not pay for an index of its own, so the documents are scanned."""
+    return keyword_scan.bm25(queries, docs, k)

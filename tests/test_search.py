@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators import keyword_index, ranking
+from quillstream.operators import keyword_index, keyword_scan, ranking
 from quillstream.operators.keyword_index import KeywordIndex
 from quillstream.operators.pivots import PivotIndex
 
@@ -51,6 +51,24 @@ def test_index_is_brute_force(spark, tmp_path, seed):
     assert close(got, plain_bm25(queries, docs, 5)) and len(got) > 30
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_scan_is_brute_force_and_shuffles_no_pairs(spark, monkeypatch, seed):
+    """Small cells, rounds and sums: the same hits, of documents in any number of tasks."""
+    for name, value in (("GROUP", 3), ("DOCS", 40), ("SUMS", 50), ("DENSE", 0.2)):
+        monkeypatch.setattr(keyword_scan, name, value)
+    rng = random.Random(seed)
+    words = [f"w{int(rng.paretovariate(0.9))}" for _ in range(400)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for i in range(250)] + [(900, None), (901, ""), (None, "w1 w2"), (902, "w1"), (903, "w1")] + [(i, "w1 w2 w3") for i in range(1_000, 1_090)]
+    queries = [(q, " ".join(rng.choice(words) for _ in range(rng.randrange(1, 12)))) for q in range(12)] + [(50, "unknown"), (51, ""), (52, "w1 w2 w3")]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(3)
+    hits = keyword_scan.bm25(spark.createDataFrame(queries, "query_id long, question string"), df, 5, most=20)
+    got = sorted(tuple(r) for r in hits.select("query_id", "id", "score", "rank").collect())
+    assert close(got, plain_bm25(queries, docs, 5)) and len(got) > 30
+    # Before, keyword_index.bm25 shuffled what each query and each document share.
+    plan = keyword_index.bm25(df.select(F.col("id").alias("query_id"), F.col("text").alias("question")), df)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
+
+
 def test_most_blocks_stay_unread(spark, tmp_path):
     """Frequent words are left aside and long documents are not looked at once a few short ones hold the rare words."""
     n = 4_000
