@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,18 @@ def test_plans_stay_in_the_engine(spark):
 def test_filters_reach_the_scan(spark):
     plan = q.QUERIES["where_filter"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(label,3)" in plan
+
+
+def test_reranking_by_level_and_technique_is_in_its_sql(spark, tmp_path):
+    """Hits of one position: those with a decimal, a heading or a source of two parts come first, then those with more techniques."""
+    texts = ["alpha one", "alpha version 2.0 one", "# alpha\n### one two", "alpha 3. one", "alpha 2024年 one", "alpha 机器学习 one", "alpha 机器学习 深度学习 one", "alpha one two"]
+    docs = [(1500 + 1600 * i, t, "en", s, len(t)) for i, (t, s) in enumerate(zip(texts, ["src1", "src1", "src2", None, "src3", "", None, "a > b > c"], strict=True))]
+    docs += [(10 + 1600 * i, f"beta {t}", "en", "1. x" if i % 2 else "src", 9) for i, t in enumerate(texts)] + [(90_000 + i, f"gamma {i} other", "en", "src", 9) for i in range(40)]
+    items = [(1, "alpha"), (2, "beta"), (3, "beta 技术"), (4, "alpha 技术 历史"), (5, "alpha beta")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").toPandas().to_parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = sorted(tuple(r) for r in q.QUERIES["rerank_structural"](spark, str(tmp_path)).collect())
+    assert len(got) == 40 and got == sorted(con.execute(q.SQL["rerank_structural"]).fetchall())
