@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: White space as Unicode text tools see it, control separators included; the
 #: same class in Java's and RE2's notation.
 SPACE = r"[\t-\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters for trimming, which takes no pattern and looks at the ends alone.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_OTHER = r"[\t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 # Character maps.
 WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
@@ -51,12 +54,17 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def strip_end(c: Column) -> Column:
+    return F.rtrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
     """Runs of white space, line ends included, to one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    # A single blank, the most frequent case, is left as it is.
+    return F.trim(F.regexp_replace(c, f" {SPACE}+|{_OTHER}{SPACE}*", " "))
 
 
 def clean(c: Column, how: Cleaning | Cleaner = DEFAULT) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstream.functions.text import SPACE, named, strip
+from quillstream.functions.text import named, strip, strip_end
 
 HEADING = r"^(#{1,6})\s+(.+)$"
 LIST_ITEM = r"^(\s*)([*+-]|[0-9]+\.)\s+(.*)"
@@ -30,7 +30,7 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rs
     """row_id, doc_id, i, line: row_id tells rows apart whatever their ids."""
     whole = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     out = whole.select("row_id", "doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "line"))
-    return out.withColumn("line", F.regexp_replace("line", f"{SPACE}+$", "")) if rstrip else out
+    return out.withColumn("line", strip_end(F.col("line"))) if rstrip else out
 
 
 def heading_path(level: Column, title: Column, window) -> Column:

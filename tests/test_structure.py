@@ -7,7 +7,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from quillstream.functions import answer
+from quillstream.functions import answer, text
 from quillstream.operators import completion, parsing, structure
 from quillstream.plans import ingest
 
@@ -203,3 +203,18 @@ def test_failed_calls_get_the_context(spark):
     assert got[1] == ("s:u", None) and got[3] == (":", None) and got[2][1] == "down"
     assert got[2][0] == (answer.FAILED[0] + "down" + answer.FAILED[1] + "c" * 3000)[:1200] and got[4][0] == answer.FAILED[0] + "down"
     assert completion.completed(p.select("query_id", "system_prompt", "user_prompt")).count() == 4
+
+
+def test_white_space_is_trimmed_without_patterns(spark):
+    """Every white space at both ends, alone and in runs, as the patterns took it; no pattern looks at each line."""
+    ends = ["", *text.SPACES, " \u0085", "  \n", "\r\n ", " x ", " \u3000", "\u3000 "]
+    rows = [(a + "b" + m + "c" + z,) for a in ends for m in ("", " ", "  ", " \t", "\t ", "\u0085") for z in ends] + [(None,), ("",), (" ",), ("\n",), ("\u200b",)]
+    v, space = F.col("v"), text.SPACE
+    df = spark.createDataFrame(rows, "v string").select(
+        text.strip(v).eqNullSafe(F.regexp_replace(v, f"^{space}+|{space}+$", "")).alias("a"),
+        text.strip_end(v).eqNullSafe(F.regexp_replace(v, f"{space}+$", "")).alias("b"),
+        text.collapse(v).eqNullSafe(F.trim(F.regexp_replace(v, f"{space}+", " "))).alias("c"),
+    )
+    assert df.where("NOT (a AND b AND c)").count() == 0
+    plan = spark.createDataFrame(rows, "v string").select(text.strip(v))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
