@@ -230,6 +230,70 @@ def test_tasks_that_wait_too_long_expire(spark, tmp_path):
     assert sorted(got) == [("a", 1, 2, "taken"), ("a", 2, 1, "expired")]
 
 
+def test_tables_of_queues_are_plain_heaps(spark, tmp_path):
+    """Random micro-batches, each of them run twice: tasks alike, null queues and priorities, requests
+    beyond what waits, tables that are written together every third time and deleted."""
+    rng, path = random.Random(4), str(tmp_path)
+    waiting, want, place = defaultdict(list), [], Counter()
+    for number in range(8):
+        rows = []
+        for q in ("a", "b", None):
+            for _ in range(rng.randrange(0, 7)):
+                p, t = rng.choice([None, 0, 1, 2]), rng.randrange(9)
+                rows.append((q, t, p, t % 4, None))
+                waiting[q].append((9 if p is None else -p, t % 4, t))
+            if number % 3 != 1:
+                takes = [rng.randrange(0, 4), rng.choice([None, 2])]
+                rows += [(q, None, None, None, n) for n in takes]
+                waiting[q].sort()
+                n = sum(x or 0 for x in takes)
+                for t in waiting[q][:n]:
+                    place[q] += 1
+                    want.append((q, place[q], t[2], None if t[0] == 9 else -t[0]))
+                del waiting[q][:n]
+        df = spark.createDataFrame(rows, queue.ROWS).repartition(3)
+        for _ in range(2):
+            queue.Queues(spark, path, every=3).batch(df, number)
+    got = [(r["queue"], r["place"], r["task_id"], r["priority"]) for r in queue.Queues(spark, path).taken().collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 20
+    assert sorted(x.name for x in (tmp_path / "came").iterdir()) == ["batch=6", "batch=7"] and [x.name for x in (tmp_path / "base").iterdir()] == ["batch=5"]
+
+
+def test_a_long_queue_is_many_tasks_work(spark, tmp_path):
+    """One queue: its tasks are written once, and they leave by ranges of its order."""
+    source, queues = f"{tmp_path}/in", queue.Queues(spark, f"{tmp_path}/q")
+    run = lambda: queues.follow(stream_of(spark, source), f"{tmp_path}/cp").awaitTermination()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for k in range(3):
+            put(spark, source, [("a", i, i % 5, i % 7, None) for i in range(k, 3_000, 3)])
+            run()
+        for n in (1_000, 5_000):
+            put(spark, source, [("a", None, None, None, n)])
+            run()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    got = sorted((r["place"], r["task_id"]) for r in queues.taken().collect())
+    assert got == list(enumerate(sorted(range(3_000), key=lambda i: (-(i % 5), i % 7, i)), 1))
+    assert spark.read.parquet(f"{tmp_path}/q/came").count() == 3_000
+    files = spark.read.parquet(f"{tmp_path}/q/taken").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 4 and max(r["count"] for r in files) < 1_500
+
+
+def test_tasks_that_come_do_not_read_the_state():
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def appendList(self, rows):
+            self.held += rows
+
+    one = queue.PriorityQueue()
+    one.waiting = State()
+    came = pd.DataFrame({"task_id": [1, 2], "priority": [1, 1], "submitted": [1, 2], "take": [None, None]})
+    assert not list(one.handleInputRows(("a",), iter([came]), None)) and [t[2] for t in one.waiting.held] == [1, 2]
+
+
 # ---------------------------------------------------------------- numbering
 
 
