@@ -9,6 +9,7 @@ import zipfile
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow.fs as pfs
 import pytest
 from pyspark.sql import functions as F
 
@@ -364,3 +365,39 @@ def test_word_files_of_every_kind(spark, tmp_path):
 def test_word_files_are_dealt_by_size():
     reader = office.DocxReader("/x", [(f"/x/{i}.docx", office.PART_BYTES // 3) for i in range(10)])
     assert sorted(p for f in reader.partitions() for p in f.paths) == sorted(p for p, _ in reader.files) and len(reader.partitions()) == 4
+
+
+def test_packs_of_word_files_are_read_as_files(spark, tmp_path, monkeypatch):
+    good = service_queries.docx(["Head", "a", "b"])
+    packs = office.Packer(str(tmp_path / "in"), limit=2 * len(good))
+    for i in range(5):
+        packs.add(f"{i}.docx", good)
+    packs.add("cut.docx", good[:-40])
+    packs.add("not.txt", b"x")
+    packs.close()
+    (tmp_path / "in" / "7.docx").write_bytes(good)
+    whole = tmp_path / "in" / "pack-00000-00001.tar"
+    (tmp_path / "in" / "torn.tar").write_bytes(whole.read_bytes()[: 512 + len(good) // 2])
+    assert len(list((tmp_path / "in").iterdir())) == 5
+    office.register(spark)
+    by = defaultdict(list)
+    for r in spark.read.format("docx").option("path", str(tmp_path / "in")).load().orderBy("path", "element_index").collect():
+        by[r["path"].rsplit("/", 1)[1]].append((r["element_type"], r["raw_content"]))
+    want = [("heading", "Head"), ("paragraph", "a"), ("paragraph", "b")]
+    assert {k: v for k, v in by.items() if k[0].isdigit()} == {f"{i}.docx": want for i in (0, 1, 2, 3, 4, 7)}
+    assert {k: v[-1][0] for k, v in by.items() if not k[0].isdigit()} == {"cut.docx": "error", "torn.tar": "error"}
+    # A large file is held on disk, and batches are cut: the same rows.
+    monkeypatch.setattr(office, "HELD_BYTES", 10)
+    monkeypatch.setattr(office, "BATCH_CHARS", 150)
+    got = list(office.DocxReader(str(tmp_path), []).read(office.Files([str(whole)])))
+    assert len(got) == 3 and sum(x.num_rows for x in got) == 6
+
+
+def test_documents_become_few_files(spark):
+    """Not a file a document: as many files as their bytes ask for."""
+    path = service_queries.scratch.new_path(spark, "office-test")
+    service_queries._docx_folder(derived.table(spark, SMALL, "documents"), path)
+    fs, root = office.file_system(path)
+    made = fs.get_file_info(pfs.FileSelector(root))
+    assert 0 < len(made) <= 8 and all(f.path.endswith(".tar") for f in made)
+
