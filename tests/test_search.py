@@ -3,10 +3,12 @@
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream.operators import keyword_index, keyword_scan, ranking
+from quillstream.operators import keyword_index, keyword_scan, pivots, ranking, vector
 from quillstream.operators.keyword_index import KeywordIndex
 from quillstream.operators.pivots import PivotIndex
 
@@ -131,3 +133,21 @@ def test_empty_pivot_index(spark, tmp_path):
     none = spark.createDataFrame([], "id long, embedding array<double>, kb int")
     index = PivotIndex.build(none, f"{tmp_path}/index")
     assert index.nearest(spark.createDataFrame([(1, [1.0], 0)], "query_id long, embedding array<double>, kb int")).count() == 0
+
+
+def test_searches_work_out_a_bounded_number_of_pairs_at_once(monkeypatch):
+    """The same pivots and neighbours, and no matrix larger than is allowed."""
+    rng = np.random.default_rng(5)
+    v, q = rng.normal(size=(400, 6)), rng.normal(size=(90, 6))
+    n = len(v) + 50
+    rows = {"cell": [1] * n, "kb": [0] * n, "width": [6] * n, "id": range(n), "v": [*v.tolist(), *v[:50].tolist()], "pivot": [False] * len(v) + [True] * 50}
+    table = pa.table({k: list(x) for k, x in rows.items()})
+    dealt = lambda: pa.Table.from_batches(list(vector.by_cell(table.to_batches(max_chunksize=70), pivots._to_pivots))).to_pydict()
+    asked, plain = [], pivots._distances
+    monkeypatch.setattr(pivots, "_distances", lambda a, b: asked.append(len(a) * len(b)) or plain(a, b))
+    want, near = dealt(), vector._nearest(q, v, 5)
+    monkeypatch.setattr(vector, "PAIRS", 1_000)
+    asked.clear()
+    got = vector._nearest(q, v, 5)
+    assert dealt() == want and len(asked) == 20 and max(asked) <= 1_000
+    assert all((a == b).all() for x, y in zip(got, near, strict=True) for a, b in zip(x, y, strict=True)) and len(got[0]) == 90
