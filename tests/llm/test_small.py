@@ -6,6 +6,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillstream.llm import html_text, jaccard_join, language, licences, maxscore, packing, pii, token_orc
@@ -52,6 +53,50 @@ def test_encoder_is_the_librarys():
             assert np.frombuffer(got, "<u4").tolist() == enc.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_encoder_of_arrow_groups(monkeypatch):
+    monkeypatch.setattr(token_orc, "GROUP_BYTES", 40)
+    enc = token_orc.Encoder(token_orc.vocabulary(), memo=3)
+    texts = ["no", None, "A first.\nThen, a Second\nline é", "", "x\n\ny", "\nlead", "end\n", "tab\tand  two", "naïve\nÉté!\n字 's 'll\n's", "a\rb\r\nc", "<|endoftext|>\n<|endoftext|> x", "long " * 40 + "\nlast"]
+    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for column in (pa.array(texts), pa.array(["cut", *texts, "cut"], pa.large_string()).slice(1, len(texts))):
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(column)] == want
+    assert enc.encode([]) == enc.encode(pa.array([], pa.string())) == []
+    rows = [pa.RecordBatch.from_pydict({"text": texts[a : a + 2]}) for a in range(0, len(texts), 2)]
+    met = list(token_orc.grouped(iter([*rows, rows[0].slice(0, 0)])))
+    assert [t for b in met for t in b.column(0).to_pylist()] == texts and all(b.num_rows for b in met)
+
+
+def test_encoder_asks_the_library_once_a_word():
+    asked = []
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner, self.model = inner, self
+
+        def tokenize(self, chars):
+            asked.append(chars)
+            return self.inner.model.tokenize(chars)
+
+        def encode(self, text, **options):
+            asked.append(text)
+            return self.inner.encode(text, **options)
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.inner.encode_batch_fast(texts, **options)
+
+    enc = token_orc.Encoder(token_orc.vocabulary())
+    plain = enc.tokenizer
+    enc.tokenizer = Spy(plain)
+    words = [f"{a}{b}" for a in ("sol", "wind", "pé", "strom") for b in ("ar", "en", "tion", "ly", "es")]
+    texts = [f"{a} {b}.\n{c} {a}, {b}" for a in words for b in words for c in words[:5]]
+    got = enc.encode(texts)
+    # Each word after a space, and after a line end or at the beginning of a text, and the two marks:
+    # sentences that meet at a line end are no words of their own, nor are the texts' first words.
+    assert len(asked) <= 2 * len(words) + 2
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": pii.IP.pattern, "card": pii.CARD.pattern, "phone": pii.PHONE.pattern}
 
 
