@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from quillstream.llm.common import tasks_for, worker_state
-from quillstream.llm.token_orc import END_ID, Encoder, grouped, vocabulary
+from quillstream.llm.token_orc import END_ID, Encoder, vocabulary
 
 #: Tokens of a sequence, a power of two.
 WIDTH = 1_024
@@ -229,7 +229,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, width: int = WIDTH,
             table = pa.table({name: pa.array(values, types.get(name, pa.int64())) for name, values in pieces.items()})
             yield from table.to_batches(max_chunksize=20_000)
 
-        for part in grouped(batches):
+        for part in batches:
             for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1)), strict=True):
                 for pieces in stream.add(doc_id, np.concatenate([np.frombuffer(ids, dtype="<u4"), end])):
                     yield from rows(pieces)

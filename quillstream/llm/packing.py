@@ -168,16 +168,17 @@ def pack(sized: DataFrame, lengths=LENGTHS, shard: int = SHARD, expected: int |
 
 def token_counts(documents: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens and salt (a sum of the ids) of each row, with its end mark; no shuffle."""
-    from quillstream.llm.token_orc import Encoder, grouped, vocabulary
+    from quillstream.llm.token_orc import Encoder, vocabulary
 
     def run(batches):
         path = tokenizer or vocabulary()
         enc = worker_state(("packing", path), lambda: Encoder(path, MEMO))
-        for batch in grouped(batches):
+        for batch in batches:
             n, salt = [], []
-            for x in enc.encode(batch.column(1)):
-                n.append(len(x) // 4 + 1)
-                salt.append(zlib.crc32(x))
+            for lo in range(0, batch.num_rows, 500):
+                for x in enc.encode(batch.column(1).slice(lo, 500)):
+                    n.append(len(x) // 4 + 1)
+                    salt.append(zlib.crc32(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(salt, pa.int64())], names=["doc_id", "n_tokens", "salt"])
 
     kind = documents.schema[id_col].dataType.simpleString()

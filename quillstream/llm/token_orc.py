@@ -206,6 +206,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str | None = None,
                 ids = pa.array(np.frombuffer(end.join([*data[a:b], b""]), dtype="<i4"), pa.int32())
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes[a:b])]), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, ids)], names=["doc_id", "ids"])
+            # Gone before the next group is there.
+            del part, data, ids, offsets
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     (
