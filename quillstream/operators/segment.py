@@ -15,14 +15,15 @@ from __future__ import annotations
 
 import itertools
 import math
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import ArrayType, StringType
 
 from quillstream.sources import scratch
@@ -33,23 +34,99 @@ LONGEST, LEAST, COHESION, BRANCH = 4, 5, 1.5, 0.8
 WORDS = 200_000
 #: Characters of texts whose words a task holds at once, beside a longer text.
 HELD = 1 << 18
+#: Characters of texts whose strings are counted at once.
+COUNTED = 1 << 21
+#: The first Chinese character, and how many there are.
+FIRST, HAN = 0x4E00, 0x5200
+#: Entries of a table of steps between beginnings of words; beyond, steps are searched.
+TABLE = 1 << 22
+#: Stretches that are cut one by one if no more are as long.
+FEW = 24
 RUN = r"([\x{4e00}-\x{9fff}]+)"
 
 
+def _characters(texts: Iterable[str | None]) -> np.ndarray:
+    """The texts' characters as numbers from the first Chinese one, with a line end before, between and after texts."""
+    joined = "\n".join(["", *(t or "" for t in texts), ""])
+    return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) - FIRST  # others wrap around to large numbers
+
+
+def _strings(chars: np.ndarray, lengths: np.ndarray) -> pa.StringArray:
+    """Strings of some lengths out of their characters in a row, which take three bytes each but for marks of ends."""
+    data = chars.astype("<u4").tobytes().decode("utf-32-le").encode()
+    bytes_ = np.append(0, np.where(chars < 128, 1, 3).cumsum())
+    ends = np.append(0, lengths.cumsum())
+    return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(bytes_[ends].astype(np.int32)), pa.py_buffer(data))
+
+
+def windows(texts: Iterable[str | None], longest: int) -> tuple[pa.StringArray, np.ndarray]:
+    """What runs of the texts hold, with ^ before and $ after each: every character and the
+    ``longest`` that follow it, as far as the run goes, and how often."""
+    c = _characters(texts)
+    han = c < HAN
+    present = np.flatnonzero(np.bincount(c[han], minlength=HAN))
+    rank = np.zeros(HAN + 1, np.int64)
+    rank[present] = np.arange(1, len(present) + 1)
+    s = np.append(rank[np.minimum(c, HAN)], np.zeros(longest, np.int64))
+    starts = np.flatnonzero(np.append(han[:-1] | han[1:], han[-1:]))
+    base = len(present) + 1
+    if base ** (longest + 1) < 1 << 63:
+        # A window is a number whose digits are its characters; 0 is an end, and all after one.
+        code, open_ = s[starts], True
+        for k in range(1, longest + 1):
+            at = s[starts + k] * open_
+            code = code * base + at
+            open_ = at > 0
+        code.sort()
+        new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
+        n, code = np.diff(np.append(new, len(code))), code[new]
+        digits = np.empty((len(code), longest + 1), np.int64)
+        for k in range(longest, -1, -1):
+            code, digits[:, k] = np.divmod(code, base)
+        return _strings(*_marked(digits, np.append(0, present + FIRST))), n
+    names, parts = np.append(0, present + FIRST), []
+    for i in range(0, len(starts), 1 << 18):
+        digits = s[starts[i : i + (1 << 18), None] + np.arange(longest + 1)]
+        parts.append(_strings(*_marked(digits, names)))
+    told = pc.value_counts(pa.chunked_array(parts, pa.string()))
+    return told.field("values"), told.field("counts").to_numpy()
+
+
+def _marked(digits: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters in a row, and lengths, of windows up to their first 0 after the start, which is the end."""
+    ends = digits[:, 1:] == 0
+    lengths = np.where(ends.any(1), ends.argmax(1) + 2, digits.shape[1])
+    chars = names[digits]
+    chars[digits[:, 0] == 0, 0] = ord("^")
+    chars[chars == 0] = ord("$")
+    return chars[np.arange(digits.shape[1]) < lengths[:, None]], lengths
+
+
 def _grams(docs: DataFrame, longest: int) -> DataFrame:
-    """gram, side, char, n: what stands before (0) and after (1) each string, ends of runs as ^ and $.
+    """gram, side, n: of what stands before (0) and after (1) each string, ends of runs among it,
+    one row for each character that does.
 
-    Runs come apart into windows of the longest string and a character on both
-    sides, which are counted first, so that what recurs is looked into once."""
-    runs = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), 1)).alias("run"))
-    chars = runs.select(F.split(F.concat(F.lit("^"), "run", F.lit("$")), "").alias("c"))
-    windows = chars.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 2), lambda i: F.array_join(F.slice("c", i, F.lit(longest + 2)), ""))).alias("w"))
-    counted = windows.groupBy("w").agg(F.count("*").alias("n"))
-    each = counted.select("w", "n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("w") - 2))).alias("k"))
-    part = lambda a, k: F.substring(F.col("w"), a, k)
-    sides = F.array(F.struct(F.lit(0).alias("side"), part(F.lit(1), F.lit(1)).alias("char")), F.struct(F.lit(1).alias("side"), part(F.col("k") + 2, F.lit(1)).alias("char")))
-    told = each.select(part(F.lit(2), F.col("k")).alias("gram"), "n", F.explode(sides).alias("s"))
-    return told.groupBy("gram", "s.side", "s.char").agg(F.sum("n").alias("n"))
+    Windows of a string and a character beside it are counted where the texts lie;
+    their beginnings are all strings with what stands beside them."""
+
+    def count(batches):
+        held, size = [], 0
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                held.append(t)
+                size += len(t or "") + 1
+                if size >= COUNTED:
+                    w, n = windows(held, longest)
+                    held, size = [], 0
+                    yield from pa.table({"w": w, "n": n.astype(np.int64)}).to_batches(1 << 16)
+        w, n = windows(held, longest)
+        yield from pa.table({"w": w, "n": n.astype(np.int64)}).to_batches(1 << 16)
+
+    counted = docs.select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    begun = counted.select(F.explode(F.transform(F.sequence(F.lit(2), F.length("w")), lambda k: F.substring(F.col("w"), F.lit(1), k))).alias("p"), "n")
+    begun = begun.groupBy("p").agg(F.sum("n").alias("n"))
+    part = lambda a, side: F.struct(F.expr(f"substring(p, {a}, length(p) - 1)").alias("gram"), F.lit(side).alias("side"))
+    return begun.select(F.explode(F.array(part(2, 0), part(1, 1))).alias("g"), "n").select("g.gram", "g.side", "n").where(~F.col("gram").rlike("[$^]"))
 
 
 def statistics(docs: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -78,7 +155,10 @@ def lexicon(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, cohesio
 
 
 class Segmenter:
-    """The likeliest cut of runs of Chinese characters."""
+    """The likeliest cut of runs of Chinese characters.
+
+    Costs within 1e-9 count as equal. Where no word lies across a place every way
+    is cut there, and costs begin anew."""
 
     def __init__(self, counts: dict[str, int]):
         total = sum(counts.values()) or 1
@@ -86,29 +166,137 @@ class Segmenter:
         self.longest = max(map(len, counts), default=1)
         #: Of a character that no word covers: rarer than any word.
         self.unknown = math.log(total) + math.log(2)
+        self._tree()
+
+    def _tree(self) -> None:
+        """The beginnings of words of Chinese characters as numbered nodes, for words(): 0 is none."""
+        self.single = np.full(HAN + 1, self.unknown)
+        words = [w for w in self.cost if len(w) > 1 and all(0 <= ord(x) - FIRST < HAN for x in w)]
+        for w in self.cost:
+            if len(w) == 1 and 0 <= ord(w) - FIRST < HAN:
+                self.single[ord(w) - FIRST] = self.cost[w]
+        letters = sorted(set("".join(words)))
+        self.letter = np.zeros(HAN + 1, np.int64)
+        self.letter[[ord(x) - FIRST for x in letters]] = np.arange(1, len(letters) + 1)
+        number = {x: i for i, x in enumerate(letters, 1)}
+        nodes, self.letters = {}, len(letters) + 1
+        self.first, steps = np.zeros(self.letters, np.int64), {}
+        for w in words:
+            at = nodes.setdefault(w[0], len(nodes) + 1)
+            self.first[number[w[0]]] = at
+            for k in range(2, len(w) + 1):
+                key = at * self.letters + number[w[k - 1]]
+                at = steps[key] = nodes.setdefault(w[:k], len(nodes) + 1)
+        self.node_cost = np.full(len(nodes) + 1, math.inf)
+        self.node_cost[[nodes[w] for w in words]] = [self.cost[w] for w in words]
+        self.deepest = max(map(len, words), default=1)
+        self.keys = np.sort(np.fromiter(steps, np.int64, len(steps)))
+        self.to = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.table = None
+        if (len(nodes) + 1) * self.letters <= TABLE:
+            self.table = np.zeros((len(nodes) + 1) * self.letters, np.int32)
+            self.table[self.keys] = self.to
+
+    def _next(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = node * self.letters + letter
+        if self.table is not None:
+            return self.table[key]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[found] == key, self.to[found], 0)
 
     def cut(self, run: str) -> list[str]:
         """Words of a run: of least cost, of these the fewest, of these the one whose last words are longest."""
-        best: list[tuple[float, int]] = [(0.0, 0)]
-        back = [0]
-        cost, unknown = self.cost, self.unknown
-        for i in range(1, len(run) + 1):
-            found = told = None
-            for j in range(max(0, i - self.longest), i):
+        n = len(run)
+        best: list[tuple[float, int, int, int] | None] = [(0, 0, 0.0, 0)] + [None] * n
+        cost, unknown, reach = self.cost, self.unknown, 0
+        for j in range(n):
+            _, words, base, _ = best[j]
+            if reach <= j:
+                words, base = 0, 0.0
+            for i in range(j + 1, min(n, j + self.longest) + 1):
                 c = cost.get(run[j:i], unknown if i - j == 1 else None)
                 if c is not None:
-                    way = (best[j][0] + c, best[j][1] + 1)
-                    key = (round(way[0], 9), way[1])
-                    if found is None or key < told:
-                        found, told, at = way, key, j
-            best.append(found)
-            back.append(at)
-        out, i = [], len(run)
+                    reach = max(reach, i)
+                    way = (round((base + c) * 1e9), words + 1, base + c, j)
+                    if best[i] is None or way[:2] < best[i][:2]:
+                        best[i] = way
+        out, i = [], n
         while i:
-            out.append(run[back[i] : i])
-            i = back[i]
+            out.append(run[best[i][3] : i])
+            i = best[i][3]
         return out[::-1]
 
+    def words(self, texts: Iterable[str | None]) -> pa.ListArray:
+        """Words of texts by the same rule, all runs at once."""
+        texts = [t or "" for t in texts]
+        c = _characters(texts)
+        n, han = len(c), c < HAN
+        index = np.minimum(c, HAN).astype(np.int32)
+        letter = np.append(self.letter[index], np.zeros(self.deepest, np.int64))
+        # ends[k][p]: cost of the word of k + 2 characters that ends before place p.
+        ends, across = [], np.zeros(n + self.deepest + 1, np.int32)
+        node = self.first[letter[:n]]
+        at = np.flatnonzero(node)
+        node = node[at]
+        for k in range(2, self.deepest + 1):
+            node = self._next(node, letter[at + k - 1])
+            at, node = at[node > 0], node[node > 0]
+            is_word = np.isfinite(self.node_cost[node])
+            found = at[is_word]
+            ends.append(np.full(n + 1, math.inf))
+            ends[-1][found + k] = self.node_cost[node[is_word]]
+            across[found + 1] += 1
+            across[found + k] -= 1
+        cuts = across[: n + 1].cumsum() == 0
+        places = np.flatnonzero(cuts)
+        self._cut_between(places[:-1], places[1:], c, self.single[index], ends, cuts)
+        # Each Chinese character takes three bytes.
+        stops = np.flatnonzero(cuts[1:] & han) + 1
+        data = (c[han] + np.uint32(FIRST)).astype("<u4").tobytes().decode("utf-32-le").encode()
+        offsets = np.append(0, 3 * han.cumsum()[stops - 1]).astype(np.int32)
+        values = pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), pa.py_buffer(data))
+        until = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        lists = np.append(0, np.searchsorted(stops, until.cumsum(), "right")).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(lists), values)
+
+    def _cut_between(self, starts, stops, c, single, ends, cuts) -> None:
+        """Sets in ``cuts`` where stretches without a sure cut are cut: one character further in all
+        of them at a time, the longest first, and alone those that are longer than nearly all."""
+        many = stops - starts > 1
+        starts, stops = starts[many], stops[many]
+        order = np.argsort(starts - stops, kind="stable")
+        starts, stops = starts[order], stops[order]
+        lengths, back = stops - starts, np.zeros(len(c) + 1, np.int32)
+        active = len(starts) - np.searchsorted(lengths[::-1], np.arange(lengths.max(initial=0) + 2))
+        # Of the last places: cost and number of words.
+        last = [(np.zeros(len(starts)), np.zeros(len(starts), np.int64))]
+        steps = 0
+        while active[steps + 1] >= FEW:
+            steps += 1
+            m, p = active[steps], starts[: active[steps]] + steps
+            told = None
+            for k in range(min(steps, len(ends) + 1), 0, -1):
+                base, words = last[-k]
+                way = base[:m] + (single[p - 1] if k == 1 else ends[k - 2][p])
+                key, words = np.rint(way * 1e9), words[:m] + 1
+                if told is None:
+                    told, least, fewest, size = key, way, words, np.full(m, k, np.int32)
+                    continue
+                better = (key < told) | ((key == told) & (words < fewest))
+                told, least, fewest, size = np.where(better, key, told), np.where(better, way, least), np.where(better, words, fewest), np.where(better, np.int32(k), size)
+            back[p] = size
+            last = [*last[-len(ends) :], (least, fewest)]
+        alone = active[steps + 1]
+        for a, b in zip(starts[:alone].tolist(), stops[:alone].tolist(), strict=True):
+            run = (c[a:b] + np.uint32(FIRST)).astype("<u4").tobytes().decode("utf-32-le")
+            cuts[a + np.cumsum([len(w) for w in self.cut(run)])] = True
+        starts, p = starts[alone:], stops[alone:]
+        while len(p):
+            p = p - back[p]
+            inside = p > starts
+            starts, p = starts[inside], p[inside]
+            cuts[p] = True
+
 
 def pieces(texts: pd.Series, most: int = HELD) -> Iterator[pd.Series]:
     """A batch's texts in order, in parts of some ``most`` characters or of one longer text."""
@@ -122,14 +310,13 @@ def segmenter(found: DataFrame) -> Callable[[Column], Column]:
     a lexicon (word, n) of bounded size, which is taken to all tasks."""
     rows = found.limit(WORDS).collect()
     shared = found.sparkSession.sparkContext.broadcast({r["word"]: r["n"] for r in rows})
-    runs = re.compile(r"[一-鿿]+")
 
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         s = Segmenter(shared.value)
         for batch in batches:
             # Words take many times the room of their text: a part's are handed on before the next part is cut.
-            for texts in pieces(batch):
-                yield texts.map(lambda t: [w for run in runs.findall(t or "") for w in s.cut(run)])
+            for texts in pieces(batch.to_pandas() if isinstance(batch, pa.Array) else batch):
+                yield s.words(texts.tolist())
 
-    cut.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return pandas_udf(cut, ArrayType(StringType()))
+    cut.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(cut, ArrayType(StringType()))

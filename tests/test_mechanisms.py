@@ -112,6 +112,46 @@ def test_words_of_a_batch_are_handed_on_in_parts(spark):
     assert [len(p) for p in segment.pieces(pd.Series(["aaaa", "b", "cc", None]), 2)] == [2, 2] and [len(p) for p in segment.pieces(pd.Series([], dtype=str))] == [0]
 
 
+def test_runs_that_are_cut_at_once_are_cut_as_alone(monkeypatch):
+    """Any lexicons, ties among them, with steps in a table and searched, and with any number of runs that go on alone."""
+    rng = random.Random(4)
+    for trial in range(200):
+        chars = "天地人你我"[: rng.choice([2, 3, 5])]
+        counts = {"".join(rng.choice(chars) for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 6]))): rng.choice([1, 2, 4, 8, rng.randrange(1, 50)]) for _ in range(rng.randrange(20))}
+        monkeypatch.setattr(segment, "TABLE", rng.choice([0, 1 << 22]))
+        monkeypatch.setattr(segment, "FEW", rng.choice([1, 3, 24]))
+        s = segment.Segmenter(counts | rng.choice([{}, {"x": 3, "天x": 4}]))
+        texts = [rng.choice([None, "", "x", "𠀀天"]) if rng.random() < 0.2 else "".join(rng.choice(chars + rng.choice(["", "x。"])) for _ in range(rng.randrange(40))) for _ in range(rng.randrange(30))]
+        assert s.words(texts).to_pylist() == [[w for run in re.findall("[一-鿿]+", t or "") for w in s.cut(run)] for t in texts], (trial, counts)
+
+
+@pytest.mark.parametrize("kinds", [3, 300, 20_000])
+def test_windows_are_what_runs_hold(kinds):
+    """Characters and what follows them, counted, of few and of so many characters that a window is no number."""
+    rng = random.Random(kinds)
+    texts = [None, "", "x", "一", "鿿一x一一"] + ["".join(chr(0x4E00 + rng.randrange(kinds)) if rng.random() < 0.9 else "x" for _ in range(2_000)) for _ in range(20)]
+    want = Counter()
+    for run in (f"^{r}$" for t in texts for r in re.findall("[一-鿿]+", t or "")):
+        want.update(run[i : i + 5] for i in range(len(run) - 1))
+    w, n = segment.windows(texts, 4)
+    assert len(w) == len(want) and dict(zip(w.to_pylist(), n.tolist(), strict=True)) == want
+
+
+def test_many_texts_take_a_fraction_of_their_cuts_alone(spark):
+    import time
+
+    rng = random.Random(7)
+    counts = {"".join(rng.choice("天地人你我他") for _ in range(k)): rng.randrange(5, 500) for k in (1, 2, 3, 4) for _ in range(12)}
+    words = segment.segmenter(spark.createDataFrame(list(counts.items()), "word string, n long"))
+    s, texts = segment.Segmenter(counts), ["".join(rng.choices("天地人你我他中国。", k=2_000)) for _ in range(300)]
+    started = time.perf_counter()
+    alone = [[w for run in re.findall("[一-鿿]+", t) for w in s.cut(run)] for t in texts]
+    middle = time.perf_counter()
+    parts = list(words.func(iter([pd.Series(texts)])))
+    assert time.perf_counter() - middle < (middle - started) / 3
+    assert [[str(x) for x in w] for p in parts for w in p] == alone
+
+
 def test_words_are_searched(spark, tmp_path):
     """An index by words finds what holds the word, not what holds its characters by chance."""
     segments = segment.segmenter(spark.createDataFrame([("机器", 9), ("学习", 9), ("器学", 1), ("大", 3)], "word string, n long"))
