@@ -3,12 +3,14 @@
 A string of up to ``LONGEST`` characters is a word if its parts stand together far
 more often than by chance (cohesion: the least, over its cuts, of the log of its
 share over the product of its parts' shares) and if what stands before and after
-it varies (branching entropy on both sides). Counts, cohesion and entropies are
-joins and sums over all runs of Chinese characters.
+it varies (branching entropy on both sides). Tasks count the strings of their
+texts; sums of these, cohesion and entropies are groups and joins.
 
 A run is then cut where the product of its words' shares is greatest: a word graph
 and one pass from left to right that keeps the best way to each place. Characters
-that no word covers stand alone. Time is linear in the run.
+that no word covers stand alone. Time is linear in the run. Many runs are cut at
+once: first where no word lies across, then what is left between, one character
+further in all of it at a time.
 """
 
 from __future__ import annotations
@@ -36,13 +38,14 @@ WORDS = 200_000
 HELD = 1 << 18
 #: Characters of texts whose strings are counted at once.
 COUNTED = 1 << 21
+#: Characters that NumPy takes at once, so that its arrays stay near.
+BLOCK = 1 << 16
 #: The first Chinese character, and how many there are.
 FIRST, HAN = 0x4E00, 0x5200
 #: Entries of a table of steps between beginnings of words; beyond, steps are searched.
 TABLE = 1 << 22
 #: Stretches that are cut one by one if no more are as long.
 FEW = 24
-RUN = r"([\x{4e00}-\x{9fff}]+)"
 
 
 def _characters(texts: Iterable[str | None]) -> np.ndarray:
@@ -51,6 +54,10 @@ def _characters(texts: Iterable[str | None]) -> np.ndarray:
     return np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32) - FIRST  # others wrap around to large numbers
 
 
+def _text(c: np.ndarray) -> str:
+    return (c + np.uint32(FIRST)).astype("<u4", copy=False).tobytes().decode("utf-32-le")
+
+
 def _strings(chars: np.ndarray, lengths: np.ndarray) -> pa.StringArray:
     """Strings of some lengths out of their characters in a row, which take three bytes each but for marks of ends."""
     data = chars.astype("<u4").tobytes().decode("utf-32-le").encode()
@@ -62,21 +69,26 @@ def _strings(chars: np.ndarray, lengths: np.ndarray) -> pa.StringArray:
 def windows(texts: Iterable[str | None], longest: int) -> tuple[pa.StringArray, np.ndarray]:
     """What runs of the texts hold, with ^ before and $ after each: every character and the
     ``longest`` that follow it, as far as the run goes, and how often."""
-    c = _characters(texts)
-    han = c < HAN
-    present = np.flatnonzero(np.bincount(c[han], minlength=HAN))
-    rank = np.zeros(HAN + 1, np.int64)
+    c = np.minimum(_characters(texts), HAN)
+    n, rank = len(c), np.zeros(HAN + 1, np.int64)
+    rank[c] = 1
+    rank[HAN] = 0
+    present = np.flatnonzero(rank)
     rank[present] = np.arange(1, len(present) + 1)
-    s = np.append(rank[np.minimum(c, HAN)], np.zeros(longest, np.int64))
-    starts = np.flatnonzero(np.append(han[:-1] | han[1:], han[-1:]))
-    base = len(present) + 1
+    c, base, codes = np.append(c, np.full(longest, HAN, np.uint32)), len(present) + 1, []
     if base ** (longest + 1) < 1 << 63:
         # A window is a number whose digits are its characters; 0 is an end, and all after one.
-        code, open_ = s[starts], True
-        for k in range(1, longest + 1):
-            at = s[starts + k] * open_
-            code = code * base + at
-            open_ = at > 0
+        for i in range(0, n, BLOCK):
+            s = rank[c[i : min(n, i + BLOCK) + longest]]
+            m = len(s) - longest
+            code, open_ = s[:m].copy(), True
+            for k in range(1, longest + 1):
+                at = s[k : m + k] * open_
+                code *= base
+                code += at
+                open_ = at > 0
+            codes.append(code[(s[:m] > 0) | (s[1 : m + 1] > 0)])
+        code = np.concatenate(codes)
         code.sort()
         new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.empty(0, np.int64)
         n, code = np.diff(np.append(new, len(code))), code[new]
@@ -85,9 +97,9 @@ def windows(texts: Iterable[str | None], longest: int) -> tuple[pa.StringArray,
             code, digits[:, k] = np.divmod(code, base)
         return _strings(*_marked(digits, np.append(0, present + FIRST))), n
     names, parts = np.append(0, present + FIRST), []
-    for i in range(0, len(starts), 1 << 18):
-        digits = s[starts[i : i + (1 << 18), None] + np.arange(longest + 1)]
-        parts.append(_strings(*_marked(digits, names)))
+    for i in range(0, n, BLOCK):
+        starts = i + np.flatnonzero((c[i : min(n, i + BLOCK)] < HAN) | (c[i + 1 : min(n, i + BLOCK) + 1] < HAN))
+        parts.append(_strings(*_marked(rank[c[starts[:, None] + np.arange(longest + 1)]], names)))
     told = pc.value_counts(pa.chunked_array(parts, pa.string()))
     return told.field("values"), told.field("counts").to_numpy()
 
@@ -176,11 +188,11 @@ class Segmenter:
             if len(w) == 1 and 0 <= ord(w) - FIRST < HAN:
                 self.single[ord(w) - FIRST] = self.cost[w]
         letters = sorted(set("".join(words)))
-        self.letter = np.zeros(HAN + 1, np.int64)
+        self.letter = np.zeros(HAN + 1, np.int32)
         self.letter[[ord(x) - FIRST for x in letters]] = np.arange(1, len(letters) + 1)
         number = {x: i for i, x in enumerate(letters, 1)}
         nodes, self.letters = {}, len(letters) + 1
-        self.first, steps = np.zeros(self.letters, np.int64), {}
+        self.first, steps = np.zeros(self.letters, np.int32), {}
         for w in words:
             at = nodes.setdefault(w[0], len(nodes) + 1)
             self.first[number[w[0]]] = at
@@ -189,20 +201,21 @@ class Segmenter:
                 at = steps[key] = nodes.setdefault(w[:k], len(nodes) + 1)
         self.node_cost = np.full(len(nodes) + 1, math.inf)
         self.node_cost[[nodes[w] for w in words]] = [self.cost[w] for w in words]
+        self.is_word = np.isfinite(self.node_cost)
         self.deepest = max(map(len, words), default=1)
         self.keys = np.sort(np.fromiter(steps, np.int64, len(steps)))
-        self.to = np.array([steps[k] for k in self.keys.tolist()], np.int64)
+        self.to = np.array([steps[k] for k in self.keys.tolist()], np.int32)
         self.table = None
         if (len(nodes) + 1) * self.letters <= TABLE:
             self.table = np.zeros((len(nodes) + 1) * self.letters, np.int32)
             self.table[self.keys] = self.to
 
     def _next(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
-        key = node * self.letters + letter
         if self.table is not None:
-            return self.table[key]
+            return self.table[node * np.int32(self.letters) + letter]
+        key = node.astype(np.int64) * self.letters + letter
         found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[found] == key, self.to[found], 0)
+        return np.where(self.keys[found] == key, self.to[found], np.int32(0))
 
     def cut(self, run: str) -> list[str]:
         """Words of a run: of least cost, of these the fewest, of these the one whose last words are longest."""
@@ -229,40 +242,38 @@ class Segmenter:
     def words(self, texts: Iterable[str | None]) -> pa.ListArray:
         """Words of texts by the same rule, all runs at once."""
         texts = [t or "" for t in texts]
-        c = _characters(texts)
+        c = np.minimum(_characters(texts), HAN)
         n, han = len(c), c < HAN
-        index = np.minimum(c, HAN).astype(np.int32)
-        letter = np.append(self.letter[index], np.zeros(self.deepest, np.int64))
+        letter = np.append(self.letter[c], np.zeros(self.deepest, np.int32))
         # ends[k][p]: cost of the word of k + 2 characters that ends before place p.
-        ends, across = [], np.zeros(n + self.deepest + 1, np.int32)
-        node = self.first[letter[:n]]
-        at = np.flatnonzero(node)
-        node = node[at]
+        ends, cuts = [], np.ones(n + 1, bool)
+        node, at = self.first[letter[:n]], None
         for k in range(2, self.deepest + 1):
-            node = self._next(node, letter[at + k - 1])
-            at, node = at[node > 0], node[node > 0]
-            is_word = np.isfinite(self.node_cost[node])
+            node = self._next(node, letter[k - 1 : n + k - 1] if at is None else letter[at + (k - 1)])
+            going = np.flatnonzero(node)
+            at, node = going if at is None else at[going], node[going]
+            is_word = self.is_word[node]
             found = at[is_word]
             ends.append(np.full(n + 1, math.inf))
             ends[-1][found + k] = self.node_cost[node[is_word]]
-            across[found + 1] += 1
-            across[found + k] -= 1
-        cuts = across[: n + 1].cumsum() == 0
+            for i in range(1, k):
+                cuts[found + i] = False
         places = np.flatnonzero(cuts)
-        self._cut_between(places[:-1], places[1:], c, self.single[index], ends, cuts)
+        self._cut_between(places[:-1], places[1:], c, ends, cuts)
         # Each Chinese character takes three bytes.
-        stops = np.flatnonzero(cuts[1:] & han) + 1
-        data = (c[han] + np.uint32(FIRST)).astype("<u4").tobytes().decode("utf-32-le").encode()
-        offsets = np.append(0, 3 * han.cumsum()[stops - 1]).astype(np.int32)
-        values = pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), pa.py_buffer(data))
+        cuts = cuts[1:] & han
+        stops = np.flatnonzero(cuts)
+        offsets = np.zeros(len(stops) + 1, np.int32)
+        offsets[1:] = 3 * (np.flatnonzero(cuts[han]) + 1)
+        values = pa.StringArray.from_buffers(len(stops), pa.py_buffer(offsets), pa.py_buffer(_text(c[han]).encode()))
         until = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-        lists = np.append(0, np.searchsorted(stops, until.cumsum(), "right")).astype(np.int32)
+        lists = np.append(0, np.searchsorted(stops, until.cumsum())).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(lists), values)
 
-    def _cut_between(self, starts, stops, c, single, ends, cuts) -> None:
+    def _cut_between(self, starts, stops, c, ends, cuts) -> None:
         """Sets in ``cuts`` where stretches without a sure cut are cut: one character further in all
         of them at a time, the longest first, and alone those that are longer than nearly all."""
-        many = stops - starts > 1
+        many = np.flatnonzero(stops - starts > 1)
         starts, stops = starts[many], stops[many]
         order = np.argsort(starts - stops, kind="stable")
         starts, stops = starts[order], stops[order]
@@ -277,7 +288,7 @@ class Segmenter:
             told = None
             for k in range(min(steps, len(ends) + 1), 0, -1):
                 base, words = last[-k]
-                way = base[:m] + (single[p - 1] if k == 1 else ends[k - 2][p])
+                way = base[:m] + (self.single[c[p - 1]] if k == 1 else ends[k - 2][p])
                 key, words = np.rint(way * 1e9), words[:m] + 1
                 if told is None:
                     told, least, fewest, size = key, way, words, np.full(m, k, np.int32)
@@ -288,8 +299,7 @@ class Segmenter:
             last = [*last[-len(ends) :], (least, fewest)]
         alone = active[steps + 1]
         for a, b in zip(starts[:alone].tolist(), stops[:alone].tolist(), strict=True):
-            run = (c[a:b] + np.uint32(FIRST)).astype("<u4").tobytes().decode("utf-32-le")
-            cuts[a + np.cumsum([len(w) for w in self.cut(run)])] = True
+            cuts[a + np.cumsum([len(w) for w in self.cut(_text(c[a:b]))])] = True
         starts, p = starts[alone:], stops[alone:]
         while len(p):
             p = p - back[p]
